@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, sharding, token_counts
+from . import bpe, language_id, sharding, token_counts
 from .common import documents
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(documents(spark, sf_dir))
+
+
 def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(documents(spark, sf_dir), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -28,7 +32,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_shard_documents, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op4_shard_documents, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
