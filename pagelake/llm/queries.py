@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, sharding, token_counts
+from . import bpe, language_id, sharding, simhash, token_counts
 from .common import documents
 
 
@@ -20,6 +20,11 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs, train=~F.col("held_out"))
@@ -32,7 +37,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_shard_documents, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op4_shard_documents, op7_simhash, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
