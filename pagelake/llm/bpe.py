@@ -35,7 +35,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Fixed values of the tokenizer: its special tokens and its word pattern (on normalised text).
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 WORD = regex.compile(r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
-BLOCK_BYTES = 16 << 20
+#: Characters of text in a block: larger blocks repeat fewer words, and take more memory in a task.
+BLOCK_CHARS = 32 << 20
 
 
 def normalise(text: str) -> str:
@@ -95,7 +96,7 @@ def _blocks(keep: list[str]) -> Callable:
                     codes.append(np.array(list(map(numbers.__getitem__, words)), np.uint32))
                     size += len(t)
                 kept.append(pa.RecordBatch.from_arrays(b.columns[:-1], names=keep))
-                if size >= BLOCK_BYTES:
+                if size >= BLOCK_CHARS:
                     yield flush()
                     seq, size = seq + 1, 0
                     kept, lengths, codes, numbers = [], [], [], _Numbers()
@@ -137,15 +138,21 @@ def pieces(file: str) -> list[str]:
     return [t.id_to_token(i) for i in range(t.get_vocab_size(with_added_tokens=True))]
 
 
+def id_kind(file: str) -> str:
+    """The smallest unsigned integers that hold the vocabulary's ids."""
+    return "<u2" if tokenizer(file).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def _encode_runs(file: str) -> Callable:
     """Rows sorted by word: every run of equal words is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, known = tokenizer(file), {}
+        kind = id_kind(file)
         for b in batches:
             words = b.column(2).to_pylist()
             new = [w for w in dict.fromkeys(words) if w not in known]
-            coded = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
+            coded = {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
             ids = [coded[w] if w in coded else known[w] for w in words]
             known = {words[-1]: ids[-1]} if words else known  # a run may go on in the next batch
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["block", "number", "ids"])
@@ -177,17 +184,18 @@ def _join_back(file: str, keep: list[str], finish: Callable, schema: pa.Schema)
 
 
 def _as_ids(rows: list[list[int]], ids: list[bytes], file: str) -> list[pa.Array]:
-    return [pa.array([np.frombuffer(b"".join([ids[c] for c in row]), "<u4").astype(np.int32) for row in rows], pa.list_(pa.int32()))]
+    kind = id_kind(file)
+    return [pa.array([np.frombuffer(b"".join([ids[c] for c in row]), kind).astype(np.int32) for row in rows], pa.list_(pa.int32()))]
 
 
 def _as_digests(rows: list[list[int]], ids: list[bytes], file: str) -> list[pa.Array]:
-    piece = pieces(file)
-    texts = [" ".join([piece[i] for i in np.frombuffer(x, "<u4").tolist()]).encode() for x in ids]
+    piece, kind = pieces(file), id_kind(file)
+    texts = [" ".join([piece[i] for i in np.frombuffer(x, kind).tolist()]).encode() for x in ids]
     n, coded, decoded = [], [], []
     for row in rows:
-        raw = b"".join([ids[c] for c in row])
-        n.append(len(raw) // 4)
-        coded.append(hashlib.sha256(raw).hexdigest())
+        row_ids = np.frombuffer(b"".join([ids[c] for c in row]), kind).astype("<u4")
+        n.append(len(row_ids))
+        coded.append(hashlib.sha256(row_ids.tobytes()).hexdigest())
         decoded.append(hashlib.sha256(b" ".join([texts[c] for c in row])).hexdigest())
     return [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
