@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, sharding, simhash, substrings, suffixes, token_counts
+from . import bpe, language_id, mixing, sharding, simhash, substrings, suffixes, syncmers, token_counts, topk
 from .common import documents
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_with_edits(documents(spark, sf_dir))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
@@ -28,11 +32,20 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    return topk.top_k(table, table.filter("vec_id % 20 = 0"), k=20)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("crc")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", language_id.held_out())
     model = language_id.fit(docs, train=~F.col("held_out"))
@@ -45,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_substrings, op4_shard_documents, op5_suffixes, op7_simhash, op9_language_id, op10_token_counts)}
+    return {f.__name__: f for f in (op1_bpe, op2_syncmers, op3_substrings, op4_shard_documents, op5_suffixes, op6_topk, op7_simhash, op8_mixing, op9_language_id, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,23 +17,29 @@ from pyspark.sql import functions as F
 from .seeds import Shape, find_seeds, prefix_sums, stretches
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, doc, crc, text and the columns carry, renamed c0, c1, ..."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.crc32(F.encode("text", "utf-8")).alias("crc"), "text"
-    )
+    more = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *more)
+    return rows.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("doc"), F.crc32(F.encode("text", "utf-8")).alias("crc"), "text", *(f"c{i}" for i in range(len(carry))))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """doc_id, doc, crc and the text, compressed for its way through the shuffle."""
+def ddl(df: DataFrame, *names: str) -> str:
+    return "".join(f", `{n}` {df.schema[n].dataType.simpleString()}" for n in names)
+
+
+def packed(rows: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, doc, crc, the columns carry, and z: the text, compressed for its way through the shuffle."""
+    names = ["doc_id", "doc", "crc", *carry, "z"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            texts = [z.compress(t.encode()) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(texts, pa.binary())], names=["doc_id", "doc", "crc", "z"])
+            texts = [z.compress(t.encode()) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, doc long, crc long, z binary")
+    return rows.select("doc_id", "doc", "crc", *carry, "text").mapInArrow(run, f"doc_id long, doc long, crc long{ddl(rows, *carry)}, z binary")
 
 
 def seed_rows(rows: DataFrame, shape: Shape, symbols: Callable[[bytes], np.ndarray]) -> DataFrame:

@@ -102,32 +102,35 @@ def repeated_windows(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (with_text: also kept, bytes, and spans) for every row.
+def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row.
 
     A byte of the UTF-8 text goes if 200 bytes around it also start anywhere
     else, in this or another document; overlaps count, all is judged on the
-    input. n_spans counts maximal removed runs. A null text counts as empty.
-    Rows of equal id and text count as one document, as do rows without id of
-    equal text. Other columns are not read.
+    input. n_spans counts maximal removed runs. with_text: also kept, the text
+    that stays (without characters cut in two), spans, and the columns carry of docs as c0, c1, ... A null text
+    counts as empty. Rows of equal id and text count as one document, as do
+    rows without id of equal text. Other columns are not read.
     """
-    window = shape.window
+    window, more = shape.window, [f"c{i}" for i in range(len(carry))]
+    names = ["doc_id", *more, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int64())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
-                out = []
-                for doc_id, crc, z, ranges in zip(*(c.to_pylist() for c in b.slice(lo, 256).columns), strict=True):
+                part, out = b.slice(lo, 256), []
+                for z, ranges in zip(part.column(part.num_columns - 2).to_pylist(), part.column(part.num_columns - 1).to_pylist(), strict=True):
                     raw = repeats.unpack(z)
                     gone = repeats.cover(len(raw), window, [(r["lo"], r["hi"]) for r in ranges or ()])
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])))).reshape(-1, 2).tolist()
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if edges else raw
-                    out.append((doc_id, crc, len(raw), len(raw) - len(kept), len(edges), hashlib.sha256(kept).hexdigest(), kept if with_text else None, edges if with_text else None))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 8
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.list_(pa.int64())))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "crc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+                    out.append((len(raw), len(raw) - len(kept), len(edges), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None, edges if with_text else None))
+                columns = list(zip(*out, strict=True)) if out else [[]] * 6
+                yield pa.RecordBatch.from_arrays([*part.columns[:-2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
     found = materialise(repeated_windows(docs, shape))
-    joined = repeats.packed(repeats.keyed(docs)).join(found, ["doc", "crc"], "left").select("doc_id", "crc", "z", "ranges")
-    out = joined.mapInArrow(run, "doc_id long, crc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<array<long>>")
-    return out if with_text else out.drop("crc", "kept", "spans")
+    rows = repeats.keyed(docs, carry)
+    joined = repeats.packed(rows, *more).join(found, ["doc", "crc"], "left").select("doc_id", *more, "z", "ranges")
+    out = joined.mapInArrow(run, f"doc_id long{repeats.ddl(rows, *more)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<long>>")
+    return out if with_text else out.drop("kept", "spans")
