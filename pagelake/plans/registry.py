@@ -4,10 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .fixtures import Tables, with_views
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of Tables under its name, with the SQL that gives the same rows."""
+
+    def register(f: Callable) -> Callable:
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[f.__name__] = with_views(sql)
+        return f
+
+    return register
+
+
+def _load() -> None:
+    from . import boxes, joins, reports, strips, texts  # noqa: F401
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
