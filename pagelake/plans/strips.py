@@ -1 +1,161 @@
-"""x"""
+"""Queries over strips, slices, views and seams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import joins as J
+from ..operators import strips as S
+from .fixtures import Tables
+from .registry import query
+
+
+@query("""SELECT chapter_id, page_id, top, top + height AS bottom, max(top + height) OVER (PARTITION BY chapter_id) AS total FROM fx_layout""")
+def w4_strip_layout(t: Tables) -> DataFrame:
+    return S.strip_layout(t.fx_pages).select("chapter_id", "page_id", "top", "bottom", "total")
+
+
+@query("""WITH n AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN height + page_id % 50 ELSE height END AS nh FROM fx_pages)
+SELECT chapter_id, page_id, page_no, CAST(100 + coalesce(sum(nh) OVER (PARTITION BY chapter_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS top, nh AS height FROM n""")
+def w5_relayout(t: Tables) -> DataFrame:
+    sizes = t.fx_pages.filter("page_id % 3 = 0").select("page_id", (F.col("height") + F.col("page_id") % 50).alias("real_height"))
+    return S.relayout(S.strip_layout(t.fx_pages), sizes)
+
+
+@query("SELECT chapter_id, CAST(floor(avg(width)) AS BIGINT) AS width, CAST(floor(avg(height)) AS BIGINT) AS height FROM fx_pages WHERE page_no < 3 GROUP BY chapter_id")
+def a15_estimate_layout(t: Tables) -> DataFrame:
+    return S.estimate_layout(t.fx_pages)
+
+
+VPAGES = """k AS (SELECT p.*, CASE WHEN height <= 3500 THEN 1 ELSE (SELECT CAST(arg_min(k, [greatest(0.0, 2000 - height*1.0/k, height*1.0/k - 3500), abs(height*1.0/k - 2400), k*1.0]) AS BIGINT)
+ FROM (SELECT unnest(generate_series(1, greatest(CAST(ceil(height/2000.0) AS BIGINT), 1))) AS k) q) END AS k FROM fx_pages p),
+v AS (SELECT chapter_id, page_id, page_no, skip, i AS virtual_index, i*(height//k) + least(i, height % k) AS crop_top, i*(height//k) + least(i, height % k) + height//k + CASE WHEN i < height % k THEN 1 ELSE 0 END AS crop_bottom
+ FROM (SELECT *, unnest(generate_series(0, k-1)) AS i FROM k) u)"""
+
+
+@query(f"WITH {VPAGES} SELECT page_id, virtual_index, crop_top, crop_bottom FROM v")
+def w6_virtual_pages(t: Tables) -> DataFrame:
+    return S.virtual_pages(t.fx_pages).select("page_id", "virtual_index", "crop_top", "crop_bottom")
+
+
+@query("""WITH c AS (SELECT *, CAST(floor(3*width*0.8) AS BIGINT) AS step, height*1.0/width > 3.5 AS tall FROM fx_pages),
+n AS (SELECT *, CASE WHEN tall THEN CAST(ceil(greatest(height-3*width,0)*1.0/step) AS BIGINT) ELSE 0 END AS n FROM c),
+s AS (SELECT *, unnest(generate_series(0, n)) AS slice FROM n)
+SELECT page_id, slice, slice*step AS start_y, CASE WHEN NOT tall OR slice = n THEN height ELSE slice*step + 3*width END AS end_y FROM s""")
+def w7_overlap_slices(t: Tables) -> DataFrame:
+    return S.overlap_slices(t.fx_pages)
+
+
+@query("""WITH b AS (SELECT page_id, page_id % 2 AS slice, 10 AS y1, 20 AS y2 FROM fx_pages),
+c AS (SELECT *, CAST(floor(3*width*0.8) AS BIGINT) AS step, height*1.0/width > 3.5 AS tall FROM fx_pages), n AS (SELECT page_id, step, CASE WHEN tall THEN CAST(ceil(greatest(height-3*width,0)*1.0/step) AS BIGINT) ELSE 0 END AS n FROM c)
+SELECT b.page_id, b.slice, b.y1 + b.slice*n.step AS y1, b.y2 + b.slice*n.step AS y2 FROM b JOIN n ON b.page_id=n.page_id AND b.slice <= n.n""")
+def w7b_unslice(t: Tables) -> DataFrame:
+    boxes = t.fx_pages.select("page_id", (F.col("page_id") % 2).alias("slice"), F.lit(10).alias("y1"), F.lit(20).alias("y2"))
+    return S.unslice(boxes, S.overlap_slices(t.fx_pages))
+
+
+@query(f"""WITH {VPAGES}, l AS (SELECT *, lead(page_id) OVER w AS np, lead(virtual_index) OVER w AS nv, lead(skip) OVER w AS ns, lead(page_no) OVER w AS nn FROM v WINDOW w AS (PARTITION BY chapter_id ORDER BY page_no, virtual_index))
+SELECT chapter_id, page_id, virtual_index, np AS next_page_id, nv AS next_virtual_index FROM l WHERE np IS NOT NULL AND NOT skip AND NOT ns AND nn - page_no <= 1""")
+def w8_seam_pairs(t: Tables) -> DataFrame:
+    return S.seam_pairs(S.virtual_pages(t.fx_pages), t.fx_pages)
+
+
+@query("""SELECT d.page_id, d.det_idx, d.x1 + CAST(floor((1200-l.width)/2.0) AS BIGINT) AS x1, d.y1 + l.top AS y1, d.x2 + CAST(floor((1200-l.width)/2.0) AS BIGINT) AS x2, d.y2 + l.top AS y2 FROM fx_det d JOIN fx_layout l ON d.page_id=l.page_id""")
+def p19_to_scene(t: Tables) -> DataFrame:
+    return S.to_scene(t.fx_det.select("page_id", "det_idx", *J.CORNERS), t.fx_layout, 1200)
+
+
+@query("SELECT d.page_id, d.det_idx, d.x1, d.y1, d.x2, d.y2 FROM fx_det d JOIN fx_layout l ON d.page_id=l.page_id")
+def p19_to_local(t: Tables) -> DataFrame:
+    scene = S.to_scene(t.fx_det.select("page_id", "det_idx", *J.CORNERS), t.fx_layout, 1200)
+    return S.to_local(scene, t.fx_layout, 1200)
+
+
+@query(f"WITH {VPAGES} SELECT page_id, virtual_index, 5 + crop_top AS y1, 25 + crop_top AS y2 FROM v")
+def p20_to_physical(t: Tables) -> DataFrame:
+    v = S.virtual_pages(t.fx_pages)
+    return S.to_physical(v.select("page_id", "virtual_index", F.lit(5).alias("y1"), F.lit(25).alias("y2")), v)
+
+
+MAPS = """vw AS (SELECT chapter_id, min(top) + 2000 AS a, min(top) + 14000 AS b FROM fx_layout GROUP BY 1),
+c AS (SELECT l.chapter_id, l.page_id, l.page_no, l.top, greatest(a-500, l.top)-l.top AS crop_top, least(b+500, l.top+l.height)-l.top AS crop_bottom FROM fx_layout l JOIN vw ON l.chapter_id=vw.chapter_id AND l.top < b+500 AND l.top+l.height > a-500),
+m AS (SELECT *, CAST(sum(crop_bottom-crop_top) OVER (PARTITION BY chapter_id ORDER BY page_no) AS BIGINT) AS combined_end FROM c)"""
+
+
+def _maps(t: Tables) -> DataFrame:
+    views = t.fx_layout.groupBy("chapter_id").agg((F.min("top") + 2000).alias("view_top"), (F.min("top") + 14000).alias("view_bottom"))
+    return S.view_mappings(t.fx_layout, views, 500)
+
+
+@query(f"WITH {MAPS} SELECT chapter_id, page_id, crop_top, crop_bottom, combined_end-(crop_bottom-crop_top) AS combined_start, combined_end FROM m")
+def w18_view_mappings(t: Tables) -> DataFrame:
+    return _maps(t).select("chapter_id", "page_id", "crop_top", "crop_bottom", "combined_start", "combined_end")
+
+
+SEEN = f"""{MAPS}, vis AS (SELECT * FROM (SELECT b.chapter_id, b.block_idx, m.page_no, b.x1, b.y1 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y1, b.x2, b.y2 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y2,
+ row_number() OVER (PARTITION BY b.chapter_id, b.block_idx ORDER BY m.page_no) AS rn FROM fx_strip b JOIN m ON b.chapter_id=m.chapter_id AND b.y1 < m.top+crop_bottom AND b.y2 > m.top+crop_top) x WHERE rn = 1)"""
+
+
+@query(f"WITH {SEEN} SELECT chapter_id, block_idx, page_no, x1, y1, x2, y2 FROM vis")
+def j11_visible_blocks(t: Tables) -> DataFrame:
+    return S.visible_blocks(t.fx_strip, _maps(t))
+
+
+@query(f"WITH {SEEN} SELECT chapter_id, min(block_idx) AS block_idx FROM (SELECT *, rank() OVER (PARTITION BY chapter_id ORDER BY y1) AS r FROM vis) x WHERE r = 1 GROUP BY 1")
+def w17_first_visible(t: Tables) -> DataFrame:
+    return S.first_visible(S.visible_blocks(t.fx_strip, _maps(t)))
+
+
+@query(f"""WITH {MAPS}, b AS (SELECT chapter_id, page_id AS box, combined_end - 20 AS y1, combined_end + 5 AS y2 FROM m)
+SELECT b.chapter_id, b.box, b.y1 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y1, b.y2 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y2
+FROM b JOIN m ON b.chapter_id=m.chapter_id AND b.y1 >= combined_end-(crop_bottom-crop_top) AND b.y1 < combined_end""")
+def j12_combined_to_scene(t: Tables) -> DataFrame:
+    m = _maps(t)
+    boxes = m.select("chapter_id", F.col("page_id").alias("box"), (F.col("combined_end") - 20).alias("y1"), (F.col("combined_end") + 5).alias("y2"))
+    return S.combined_to_scene(boxes, m)
+
+
+SEAMS = """tp AS (SELECT page_id AS seam, det_idx AS block_idx, x1, y1, x2, y2 FROM fx_text), bt AS (SELECT page_id - 1 AS seam, det_idx AS next_idx, x1, y1 - 60 AS y1, x2, y2 - 60 AS y2 FROM fx_text),
+ca AS (SELECT t.seam, t.block_idx, b.next_idx, greatest(least(t.x2,b.x2)-greatest(t.x1,b.x1),0)*1.0/greatest(least(t.x2-t.x1,b.x2-b.x1),1) AS score FROM tp t JOIN bt b ON t.seam=b.seam
+ AND 700 - t.y2 <= 200 AND b.y1 <= 200 AND greatest(t.x2-t.x1,b.x2-b.x1)*1.0/greatest(least(t.x2-t.x1,b.x2-b.x1),1) <= 2.2)"""
+
+
+def _seams(t: Tables) -> DataFrame:
+    tops = t.fx_text.select(F.col("page_id").alias("seam"), F.col("det_idx").alias("block_idx"), *J.CORNERS, F.lit(700).alias("slice_height"))
+    bottoms = t.fx_text.select((F.col("page_id") - 1).alias("seam"), F.col("det_idx").alias("block_idx"), "x1", (F.col("y1") - 60).alias("y1"), "x2", (F.col("y2") - 60).alias("y2"))
+    return S.seam_candidates(tops, bottoms, edge=200)
+
+
+@query(f"WITH {SEAMS} SELECT seam, block_idx, next_idx, round(score, 9) AS score FROM ca WHERE score > 0")
+def j13_seam_candidates(t: Tables) -> DataFrame:
+    return _seams(t).withColumn("score", F.round("score", 9))
+
+
+@query()
+def j14_seam_match(t: Tables) -> DataFrame:
+    return S.seam_match(_seams(t))
+
+
+@query("""WITH it AS (SELECT p.chapter_id, p.page_no, p.height, p.page_id AS item_idx, CASE WHEN p.page_id % 2 = 0 THEN p.height - 10 ELSE -15 END AS y1, CASE WHEN p.page_id % 2 = 0 THEN p.height + 25 ELSE 30 END AS y2 FROM fx_pages p)
+SELECT o.page_id AS onto, item_idx, y1 - it.height AS y1, y2 - it.height AS y2 FROM it JOIN fx_pages o ON o.chapter_id=it.chapter_id AND o.page_no=it.page_no+1 WHERE y2 > it.height
+UNION ALL SELECT o.page_id, item_idx, y1 + o.height, y2 + o.height FROM it JOIN fx_pages o ON o.chapter_id=it.chapter_id AND o.page_no=it.page_no-1 WHERE y1 < 0""")
+def j32_spill_items(t: Tables) -> DataFrame:
+    even = F.col("page_id") % 2 == 0
+    items = t.fx_pages.select("page_id", F.col("page_id").alias("item_idx"), F.when(even, F.col("height") - 10).otherwise(-15).alias("y1"), F.when(even, F.col("height") + 25).otherwise(30).alias("y2"))
+    return S.spill_items(items, t.fx_pages)
+
+
+@query(f"WITH {VPAGES}, b AS (SELECT page_id, count(*) AS n FROM fx_det GROUP BY 1) SELECT v.page_id, count(*) AS slices, coalesce(max(b.n), 0) AS blocks FROM v LEFT JOIN b ON v.page_id=b.page_id GROUP BY v.page_id")
+def a20_page_progress(t: Tables) -> DataFrame:
+    return S.page_progress(S.virtual_pages(t.fx_pages), t.fx_det)
+
+
+@query("""WITH b AS (SELECT s.chapter_id, l.page_no, s.block_idx, s.x1 % 20 AS x1, s.x1 % 20 + 150 AS x2, s.y1 % 40 AS y1, s.y1 % 40 + 10 AS y2, s.block_idx % 2 AS kind FROM fx_strip s JOIN fx_layout l ON l.chapter_id=s.chapter_id AND l.page_id*2 <= s.block_idx AND s.block_idx < l.page_id*2+2)
+SELECT a.chapter_id, a.page_no, a.block_idx AS above, b.block_idx AS below FROM b a JOIN b ON a.chapter_id=b.chapter_id AND b.page_no=a.page_no+1 AND a.kind=b.kind AND abs(b.y1-a.y2) < 15 AND abs(a.x1-b.x1) <= 10 AND abs((a.x2-a.x1)-(b.x2-b.x1)) <= 20""")
+def c10_rejoin_pairs(t: Tables) -> DataFrame:
+    own = t.fx_layout.select("chapter_id", F.col("page_id").alias("own"), "page_no")
+    s = t.fx_strip.withColumn("own", F.floor(F.col("block_idx") / 2)).join(own, ["chapter_id", "own"])
+    x, y = F.col("x1") % 20, F.col("y1") % 40
+    b = s.select("chapter_id", "page_no", "block_idx", x.alias("x1"), (x + 150).alias("x2"), y.alias("y1"), (y + 10).alias("y2"), (F.col("block_idx") % 2).alias("kind"))
+    return S.rejoin_pairs(b)
