@@ -1 +1,264 @@
-"""x"""
+"""Queries over reports, stores, exports, logs and languages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import lang as L
+from ..functions import report as R
+from ..operators import reports as O
+from .fixtures import Tables
+from .registry import query
+
+SKIPS = """fi AS (SELECT run_id, path, reason, min(ts) AS ts, arg_min(event_id, [epoch_us(ts), event_id]) AS ev FROM fx_runs WHERE kind='skip' AND reason NOT IN ('User-skipped','Text Blocks') GROUP BY 1,2,3),
+sk AS (SELECT run_id, path, list(reason ORDER BY ts, ev) AS reasons FROM fi GROUP BY 1,2)"""
+
+
+@query(f"WITH {SKIPS} SELECT run_id, path, reasons FROM sk")
+def a10_collect_skips(t: Tables) -> DataFrame:
+    return O.collect_skips(t.fx_runs)
+
+
+@query(f"WITH {SKIPS}, n AS (SELECT run_id, count(*) AS skipped FROM sk GROUP BY 1), tt AS (SELECT run_id, count(DISTINCT path) AS cur, 45 - run_id AS prev FROM fx_runs GROUP BY 1) SELECT tt.run_id, greatest(prev,cur) AS total, coalesce(skipped,0) AS skipped, greatest(greatest(prev,cur)-coalesce(skipped,0),0) AS completed FROM tt LEFT JOIN n ON tt.run_id=n.run_id")
+def a11_finalise_report(t: Tables) -> DataFrame:
+    totals = t.fx_runs.groupBy("run_id").agg(F.countDistinct("path").alias("current_total")).withColumn("previous_total", 45 - F.col("run_id"))
+    return O.finalise_report(O.collect_skips(t.fx_runs), totals)
+
+
+@query(f"WITH {SKIPS}, p AS (SELECT * FROM sk WHERE run_id=0), c AS (SELECT * FROM sk WHERE run_id=1), r AS (SELECT DISTINCT path FROM fx_runs WHERE run_id=1 AND event_id % 2 = 0) SELECT path, reasons FROM p WHERE path NOT IN (SELECT path FROM r) UNION ALL SELECT path, reasons FROM c")
+def j26_carry_pending(t: Tables) -> DataFrame:
+    s = O.collect_skips(t.fx_runs)
+    run = t.fx_runs.filter("run_id = 1 and event_id % 2 = 0").select("path").distinct()
+    return O.carry_pending(s.filter("run_id = 0").drop("run_id"), s.filter("run_id = 1").drop("run_id"), run)
+
+
+@query(f"WITH {SKIPS} SELECT run_id, path FROM sk WHERE path NOT LIKE 'p1%'")
+def j27_resolve_entries(t: Tables) -> DataFrame:
+    s = O.collect_skips(t.fx_runs)
+    return O.resolve_entries(s, s.filter("path like 'p1%'").select("path").distinct()).select("run_id", "path")
+
+
+@query(f"WITH {SKIPS} SELECT run_id, path FROM sk WHERE path IN ('p3.png','p7.png','p12.png')")
+def j28_retryable(t: Tables) -> DataFrame:
+    pages = t.spark.createDataFrame([("p3.png",), ("p7.png",), ("p12.png",), ("gone.png",)], "path string")
+    return O.retryable(O.collect_skips(t.fx_runs), pages).select("run_id", "path")
+
+
+@query("SELECT page_id FROM (SELECT page_id, bool_and(trim(translation) <> '') AS ok FROM fx_blocks WHERE trim(text) <> '' GROUP BY 1) x WHERE ok")
+def j33_fully_translated(t: Tables) -> DataFrame:
+    return O.fully_translated(t.fx_blocks)
+
+
+@query("SELECT page_id, CASE WHEN NOT bool_or(trim(text)<>'') THEN 'OCR' ELSE 'Translator' END AS reason FROM fx_blocks GROUP BY 1 HAVING NOT bool_or(trim(text)<>'') OR NOT bool_or(trim(translation)<>'')")
+def a9_empty_pages(t: Tables) -> DataFrame:
+    return O.empty_pages(t.fx_blocks)
+
+
+@query("SELECT path, min(page_id) AS position FROM fx_pages WHERE page_id % 4 < 2 AND path IN (SELECT path FROM fx_pages WHERE NOT skip) GROUP BY path")
+def p18_run_pages(t: Tables) -> DataFrame:
+    requested = t.fx_pages.filter("page_id % 4 < 2").select("path", F.col("page_id").alias("position"))
+    return O.run_pages(t.fx_pages, requested)
+
+
+@query("""SELECT path, CASE WHEN page_id % 10 = 0 THEN 'vanished' WHEN page_id % 10 = 1 THEN 'changed' ELSE 'added' END AS state FROM (SELECT concat(path, '#', CAST(page_id AS VARCHAR(20))) AS path, page_id FROM fx_pages) x WHERE page_id % 10 < 3""")
+def u2_diff_pages(t: Tables) -> DataFrame:
+    p = t.fx_pages.select(F.concat("path", F.lit("#"), F.col("page_id").cast("string")).alias("path"), "page_id", "width", "height")
+    new = p.filter("page_id % 10 <> 0").withColumn("height", F.col("height") + (F.col("page_id") % 10 == 1).cast("int"))
+    return O.diff_pages(p.filter("page_id % 10 <> 2"), new, "path", ["width", "height"])
+
+
+@query("""WITH a AS (SELECT path, page_id AS position, page_id % 3 AS from_table FROM fx_pages) SELECT path, CAST(from_table AS INT) AS from_table, position FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY from_table, position) AS rn FROM a) x WHERE rn = 1""")
+def u1_all_pages(t: Tables) -> DataFrame:
+    p = t.fx_pages.select("path", F.col("page_id").alias("position"))
+    return O.all_pages(*(p.filter(f"position % 3 = {i}") for i in range(3)))
+
+
+@query("SELECT true AS same")
+def u3_is_permutation(t: Tables) -> DataFrame:
+    p = t.fx_pages.select("path", "page_no")
+    return O.is_permutation(p, p.orderBy(F.desc("page_no")))
+
+
+@query("SELECT DISTINCT sha256(content) AS hash, length(content) AS size FROM fx_files WHERE sha256(content) NOT IN (SELECT sha256(content) FROM fx_files WHERE file_id % 5 = 0)")
+def s7_save_plan(t: Tables) -> DataFrame:
+    blobs = t.fx_files.filter("file_id % 5 = 0").select(F.sha2("content", 256).alias("hash"))
+    return O.save_plan(t.fx_files, blobs)
+
+
+@query("""WITH n AS (SELECT chapter_id AS archive, count(*) AS entries FROM fx_pages GROUP BY 1), d AS (SELECT chapter_id AS archive, list(page_id ORDER BY page_id) AS pages FROM fx_pages WHERE page_id % 4 <> 0 GROUP BY 1)
+SELECT d.archive, pages, len(pages) >= 0.7*entries AS bulk FROM d JOIN n ON d.archive=n.archive""")
+def s5_materialise_plan(t: Tables) -> DataFrame:
+    return O.materialise_plan(t.fx_pages.select(F.col("chapter_id").alias("archive"), "page_id"), t.fx_pages.filter("page_id % 4 = 0"))
+
+
+NAMED = "CASE page_id % 5 WHEN 0 THEN 'Part A' WHEN 1 THEN 'part a' WHEN 2 THEN ' Part B ' WHEN 3 THEN '' ELSE 'x/y' END"
+
+
+def _named(t: Tables) -> DataFrame:
+    return t.fx_pages.withColumn("group_name", F.expr(NAMED)).withColumnRenamed("chapter_id", "bundle")
+
+
+@query(f"SELECT trim(g) AS group_name, count(*) AS pages FROM (SELECT {NAMED} AS g FROM fx_pages) x WHERE trim(g) <> '' GROUP BY 1")
+def a14_chapter_counts(t: Tables) -> DataFrame:
+    return O.chapter_counts(_named(t))
+
+
+@query(f"SELECT bundle, count(DISTINCT g) > 1 OR count(DISTINCT lower(regexp_extract(path,'([^/]*)$',1))) < count(*) AS split FROM (SELECT chapter_id AS bundle, path, {NAMED} AS g FROM fx_pages) x GROUP BY 1")
+def a14_needs_split(t: Tables) -> DataFrame:
+    return O.needs_split(_named(t))
+
+
+@query(f"SELECT page_id, coalesce(nullif(trim({NAMED}),''), nullif(CASE WHEN page_id % 2 = 0 THEN 'arc' ELSE '' END,''), 'bundle') AS label FROM fx_pages")
+def s12_default_group(t: Tables) -> DataFrame:
+    archive = F.when(F.col("page_id") % 2 == 0, "arc").otherwise("")
+    return _named(t).select("page_id", O.default_group(F.col("group_name"), archive, F.lit("bundle")).alias("label"))
+
+
+@query(f"""WITH g AS (SELECT chapter_id AS bundle, {NAMED} AS group_name, page_no FROM fx_pages), a AS (SELECT bundle, group_name, min(page_no) AS first, list(page_no ORDER BY page_no) AS page_nos,
+ CASE group_name WHEN ' Part B ' THEN 'Part B' WHEN '' THEN 'chapter' WHEN 'x/y' THEN 'x_y' ELSE group_name END AS stem FROM g GROUP BY 1,2),
+n AS (SELECT *, row_number() OVER (PARTITION BY bundle, lower(stem) ORDER BY first) AS n FROM a) SELECT bundle, group_name, page_nos, concat(stem, CASE WHEN n=1 THEN '' ELSE concat('_', lpad(CAST(n AS VARCHAR), 2, '0')) END, '.zip') AS file FROM n""")
+def s11_export_plan(t: Tables) -> DataFrame:
+    return O.export_plan(_named(t))
+
+
+@query("""WITH s AS (SELECT page_id, chapter_id, CASE WHEN page_id % 2 = 0 THEN 'Page' ELSE 'page' END AS stem FROM fx_pages), n AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, lower(stem) ORDER BY page_id) AS n FROM s)
+SELECT page_id, CASE WHEN n=1 THEN stem ELSE concat(stem, '_', lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INT), '0')) END AS name FROM n""")
+def w10_unique_names(t: Tables) -> DataFrame:
+    d = t.fx_pages.withColumn("stem", F.when(F.col("page_id") % 2 == 0, "Page").otherwise("page"))
+    return O.unique_names(d, ["chapter_id"], "page_id").select("page_id", "name")
+
+
+@query("""SELECT page_id, lpad(CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY page_id) AS VARCHAR), CAST(length(CAST(count(*) OVER (PARTITION BY chapter_id) AS VARCHAR)) AS INT), '0') AS number FROM fx_pages""")
+def s4_number_pages(t: Tables) -> DataFrame:
+    return O.number_pages(t.fx_pages, "chapter_id", "page_id").select("page_id", "number")
+
+
+@query("""WITH d AS (SELECT path, max(ts) AS ts, arg_max(event_id, [epoch_us(ts), event_id]) AS event_id, bool_or(event_id % 97 = 0) AS pinned FROM fx_runs GROUP BY path) SELECT path, event_id, pinned FROM d ORDER BY pinned DESC, ts DESC, event_id DESC LIMIT 15""")
+def w15_recent(t: Tables) -> DataFrame:
+    return O.recent(t.fx_runs.withColumn("pinned", F.col("event_id") % 97 == 0)).select("path", "event_id", "pinned")
+
+
+@query("SELECT run_id, tag, arg_min(event_id, [epoch_us(ts), event_id]) AS event_id, arg_min(rss_mb, [epoch_us(ts), event_id]) AS rss_mb FROM fx_memlog GROUP BY 1,2")
+def w16_first_per_tag(t: Tables) -> DataFrame:
+    return O.first_per_tag(t.fx_memlog)
+
+
+@query("SELECT run_id, tag, arg_min(rss_mb, [epoch_us(ts), event_id]) AS first_mb, arg_max(rss_mb, [epoch_us(ts), event_id]) AS last_mb, max(rss_mb) AS peak_mb, count(*) AS n FROM fx_memlog GROUP BY 1,2")
+def a16_memlog_stats(t: Tables) -> DataFrame:
+    return O.memlog_stats(t.fx_memlog)
+
+
+@query("SELECT run_id, CAST(rank AS INT) AS rank, event_id, rss_mb FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY rss_mb DESC, event_id) AS rank FROM fx_memlog) x WHERE rank <= 12")
+def a17_top_maps(t: Tables) -> DataFrame:
+    return O.top_maps(t.fx_memlog)
+
+
+@query("""WITH d AS (SELECT page_id, block_idx, text, (row_number() OVER (PARTITION BY page_id ORDER BY block_idx) - 1) // 2 AS batch FROM fx_blocks WHERE trim(text) <> '') SELECT page_id, batch, list(text ORDER BY block_idx) AS texts FROM d GROUP BY 1,2""")
+def a18_request_batches(t: Tables) -> DataFrame:
+    return O.request_batches(t.fx_blocks, 2)
+
+
+@query("""WITH h AS (SELECT run_id AS key, floor(rss_mb/10)*10 AS low, floor(rss_mb/10)*10+10 AS high, count(*) AS n FROM fx_memlog GROUP BY 1,2,3), c AS (SELECT *, sum(n) OVER (PARTITION BY key ORDER BY low) AS upto, sum(n) OVER (PARTITION BY key) AS al FROM h),
+f AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY low) AS rn FROM c WHERE upto >= 0.9*al AND n > 0) SELECT key, round(low + (0.9*al-(upto-n))/n*(high-low), 6) AS value FROM f WHERE rn=1""")
+def a19_hist_quantile(t: Tables) -> DataFrame:
+    low = F.floor(F.col("rss_mb") / 10) * 10
+    h = t.fx_memlog.groupBy(F.col("run_id").alias("key"), low.alias("low"), (low + 10).alias("high")).agg(F.count("*").alias("n"))
+    return O.hist_quantile(h, 0.9).withColumn("value", F.round("value", 6))
+
+
+@query("""SELECT page_id, CAST(i AS INT) AS version, CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS hash, i = page_id % 3 AS is_current FROM fx_pages, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) n""")
+def w12_page_history(t: Tables) -> DataFrame:
+    return O.page_history(t.fx_pages.select("page_id", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("versions"), (F.col("page_id") % 3).alias("current")))
+
+
+DETAIL = """CASE WHEN lower(error) LIKE '%timed out%' OR lower(error) LIKE '%timeout%' THEN 'Request timed out' WHEN error LIKE '%429%' THEN 'Rate limited by provider' WHEN error LIKE '%401%' THEN 'Authentication failed'
+WHEN lower(error) LIKE '%insufficient credits%' THEN 'Insufficient credits' WHEN lower(error) LIKE '%connection%' THEN 'Network error' WHEN error LIKE '%503%' THEN 'Provider unavailable' WHEN lower(error) LIKE '%json%' THEN 'Unexpected response' WHEN error LIKE '%flagged%' THEN 'Content flagged' ELSE '' END"""
+
+
+@query(f"SELECT event_id, {DETAIL} AS detail, error LIKE '%flagged%' AS flagged, reason = 'User-skipped' AS user_skip, reason = 'Text Blocks' AS no_text, CASE WHEN error LIKE 'Traceback%' THEN '' ELSE error END AS line FROM fx_runs")
+def f15_f17_errors(t: Tables) -> DataFrame:
+    e = F.col("error")
+    return t.fx_runs.select("event_id", R.error_detail(e).alias("detail"), R.is_flagged(e).alias("flagged"), R.is_user_skip(F.col("reason")).alias("user_skip"), R.is_no_text(F.col("reason")).alias("no_text"), R.error_line(e).alias("line"))
+
+
+ACTION = """CASE detail WHEN 'Request timed out' THEN 'Try again or check the connection' WHEN 'Rate limited by provider' THEN 'Wait and try again' WHEN 'Authentication failed' THEN 'Check the credentials' WHEN 'Insufficient credits' THEN 'Buy credits or switch the provider'
+WHEN 'Network error' THEN 'Check the connection' WHEN 'Provider unavailable' THEN 'Try again later' WHEN 'Unexpected response' THEN 'Try again or switch the model' WHEN 'Content flagged' THEN 'Edit the text or switch the provider' ELSE CASE reason WHEN 'Image Load' THEN 'Check the file' WHEN 'OCR' THEN 'Try another reader' ELSE 'Try again' END END"""
+
+
+@query(f"""WITH d AS (SELECT event_id, reason, {DETAIL} AS detail FROM fx_runs), a AS (SELECT *, {ACTION} AS action FROM d)
+SELECT event_id, action, concat(CASE reason WHEN 'OCR' THEN 'Text recognition failed' WHEN 'Translator' THEN 'Translation failed' WHEN 'Text Blocks' THEN 'No text blocks found' WHEN 'Image Load' THEN 'The image could not be read' ELSE 'Page skipped' END,
+ CASE WHEN detail <> '' THEN concat(': ', detail) ELSE '' END, '. ', action) AS told FROM a""")
+def f18_f19_reasons(t: Tables) -> DataFrame:
+    r, e = F.col("reason"), F.col("error")
+    return t.fx_runs.select("event_id", R.error_action(r, e).alias("action"), R.skip_reason(r, e).alias("told"))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN reason WHEN 1 THEN error ELSE 'bad field' END AS told, CASE WHEN event_id % 4 = 0 THEN 'credits' WHEN event_id % 4 = 1 AND (CASE event_id % 3 WHEN 0 THEN reason WHEN 1 THEN error ELSE 'bad field' END) LIKE '%flagged%' THEN 'flagged' WHEN event_id % 4 = 2 THEN 'server' ELSE 'other' END AS kind FROM fx_runs""")
+def f20_http_error(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    body = F.when(n % 3 == 0, F.to_json(F.struct(F.col("reason").alias("detail")))).when(n % 3 == 1, F.to_json(F.struct(F.struct(F.col("error").alias("message")).alias("detail")))).otherwise('{"detail":[{"msg":"bad field"}]}')
+    status = F.when(n % 4 == 0, 402).when(n % 4 == 1, 400).when(n % 4 == 2, 503).otherwise(404)
+    told, kind = R.http_error(status, F.col("body"))
+    return t.fx_runs.withColumn("body", body).select("event_id", told.alias("told"), kind.alias("kind"))
+
+
+@query("SELECT event_id, 90.0*(event_id % 7)/7 + 10.0*(event_id % 3)/3 AS pct FROM fx_runs")
+def f33_progress(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    return t.fx_runs.select("event_id", R.progress_pct(n % 7, F.lit(7), n % 3, F.lit(3)).alias("pct"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_id END AS subscription, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 1 END AS one_time, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id + 1 END AS total FROM fx_runs")
+def f34_credits(t: Tables) -> DataFrame:
+    n = F.col("event_id")
+    c = F.when(n % 2 == 0, n.cast("string")).otherwise(F.to_json(F.struct(n.alias("subscription"), F.lit(1).alias("one_time"), (n + 1).alias("total"))))
+    return t.fx_runs.select("event_id", R.parse_credits(c).alias("c")).select("event_id", "c.*")
+
+
+SCRIPT = "CASE WHEN script LIKE 'Japanese%' THEN 'Japanese' WHEN script LIKE 'HanS%' THEN 'HanS' ELSE script END"
+SUM = f"""s AS (SELECT page_id, {SCRIPT} AS script, sum((x2-x1)*(y2-y1)) AS area, min(block_idx) AS first FROM fx_blocks WHERE {SCRIPT} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') GROUP BY 1,2),
+r AS (SELECT *, sum(area) OVER (PARTITION BY page_id) AS al, row_number() OVER (PARTITION BY page_id ORDER BY area DESC, first) AS rn FROM s),
+dom AS (SELECT p.page_id, CASE WHEN r.area*1.0/r.al >= 0.7 THEN r.script ELSE '' END AS script, coalesce(r.script, '') AS loose FROM (SELECT DISTINCT page_id FROM fx_blocks) p LEFT JOIN r ON p.page_id=r.page_id AND r.rn=1)"""
+
+
+@query(f"WITH {SUM} SELECT page_id, coalesce(script,'') AS script FROM dom")
+def a1_dominant_script(t: Tables) -> DataFrame:
+    from ..operators import languages as G
+
+    return G.dominant_script(t.fx_blocks)
+
+
+@query(f"WITH {SUM} SELECT page_id, CASE coalesce(nullif(coalesce(script,''),''), loose) WHEN 'Japanese' THEN 'Japanese' WHEN 'Hangul' THEN 'Korean' WHEN 'HanS' THEN 'Chinese' WHEN 'HanT' THEN 'Chinese' WHEN 'Cyrillic' THEN 'Russian' ELSE 'Auto' END AS language FROM dom")
+def a2_auto_language(t: Tables) -> DataFrame:
+    from ..operators import languages as G
+
+    return G.resolve_auto_lang(t.fx_blocks)
+
+
+@query(f"""WITH {SUM}, b AS (SELECT f.page_id, CASE WHEN {SCRIPT.replace('script', 'f.script')} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') THEN {SCRIPT.replace('script', 'f.script')} ELSE coalesce(dom.script,'') END AS s FROM fx_blocks f JOIN dom ON f.page_id=dom.page_id)
+SELECT page_id, CASE s WHEN 'Latin' THEN 'latin' WHEN 'Japanese' THEN 'japanese' WHEN 'Hangul' THEN 'korean' WHEN 'Cyrillic' THEN 'russian' ELSE 'chinese' END AS bucket, count(*) AS blocks FROM b GROUP BY 1,2""")
+def a3_route_blocks(t: Tables) -> DataFrame:
+    from ..operators import languages as G
+
+    return G.route_blocks(t.fx_blocks).groupBy("page_id", "bucket").agg(F.count("*").alias("blocks"))
+
+
+@query(f"""SELECT page_id, block_idx, {SCRIPT} AS script, CASE {SCRIPT} WHEN 'Latin' THEN 'en' WHEN 'Japanese' THEN 'ja' WHEN 'Hangul' THEN 'ko' WHEN 'Cyrillic' THEN 'ru' ELSE 'zh' END AS code,
+CASE {SCRIPT} WHEN 'Japanese' THEN 'Japanese' WHEN 'Hangul' THEN 'Korean' WHEN 'HanS' THEN 'Chinese' WHEN 'Cyrillic' THEN 'Russian' ELSE 'Auto' END AS language, {SCRIPT} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') AS ok FROM fx_blocks""")
+def f1_f2_scripts(t: Tables) -> DataFrame:
+    s = F.col("script")
+    return t.fx_blocks.select("page_id", "block_idx", L.normalize_script(s).alias("script"), L.script_lang(s).alias("code"), L.script_language(s).alias("language"), L.script_ok(s).alias("ok"))
+
+
+@query("""WITH c AS (SELECT page_id, block_idx, CASE (page_id+block_idx) % 5 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'ja' WHEN 2 THEN 'en' WHEN 3 THEN 'ar' ELSE 'pt' END AS code FROM fx_blocks)
+SELECT page_id, block_idx, CASE code WHEN 'zh-CN' THEN 'Simplified Chinese' WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' WHEN 'ar' THEN 'Arabic' ELSE 'Portuguese' END AS name, code AS back, code = 'ar' AS rtl, code IN ('zh-CN','ja') AS no_space,
+CASE code WHEN 'zh-CN' THEN 'zh-Hans' ELSE code END AS a, CASE code WHEN 'zh-CN' THEN 'ZH-HANS' WHEN 'en' THEN 'EN-US' WHEN 'pt' THEN 'PT-PT' ELSE upper(code) END AS b, CASE code WHEN 'zh-CN' THEN 'zh' ELSE code END AS c FROM c""")
+def f3_f5_codes(t: Tables) -> DataFrame:
+    from ..functions import texts as T
+
+    n = (F.col("page_id") + F.col("block_idx")) % 5
+    code = F.when(n == 0, "zh-CN").when(n == 1, "ja").when(n == 2, "en").when(n == 3, "ar").otherwise("pt")
+    d = t.fx_blocks.withColumn("code", code)
+    name = L.canonical_lang(F.col("code"))
+    return d.select("page_id", "block_idx", name.alias("name"), L.lang_code(name).alias("back"), L.is_rtl(F.col("code")).alias("rtl"), T.is_no_space(F.col("code")).alias("no_space"), *(L.provider_code(F.col("code"), p).alias(p) for p in "abc"))
