@@ -56,7 +56,7 @@ class Classifier:
         return F.aggregate(found, start, lambda acc, w: F.zip_with(acc, table[w], lambda a, b: a + b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, vocabulary: int = 128, least: float = 40.0) -> Classifier:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, vocabulary: int = 128, least: float = 20.0) -> Classifier:
     """Naive Bayes on about max_rows labelled documents, drawn by a hash of the id.
 
     Words tell whether a text is toxic: the vocabulary most telling ones, by
