@@ -66,12 +66,16 @@ def norm_newlines(c: Column) -> Column:
 def text_delta(old: Column, new: Column) -> Column:
     """(start, removed, inserted): the smallest edit, by common prefix, then common suffix."""
     most = F.least(F.length(old), F.length(new))
-    prefix = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= most) & (F.substring(old, i, F.lit(1)) == F.substring(new, i, F.lit(1))), i).otherwise(n))
-    rest = most - prefix
-    suffix = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(most, F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (i <= rest) & (F.substring(old, F.length(old) - i + 1, F.lit(1)) == F.substring(new, F.length(new) - i + 1, F.lit(1))), i).otherwise(n)
-    )
-    return F.struct(prefix.alias("start"), F.substring(old, prefix + 1, F.length(old) - prefix - suffix).alias("removed"), F.substring(new, prefix + 1, F.length(new) - prefix - suffix).alias("inserted"))
+    chars = lambda c: F.split(c, "")
+
+    def common(a: Column, b: Column) -> Column:
+        first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)).cast("int")
+        return F.when(first == 0, most).otherwise(F.least(first - 1, most))
+
+    prefix = common(chars(old), chars(new))
+    suffix = F.least(common(F.reverse(chars(old)), F.reverse(chars(new))), most - prefix)
+    middle = lambda c: F.substring(c, prefix + 1, F.length(c) - prefix - suffix)
+    return F.struct(prefix.alias("start"), middle(old).alias("removed"), middle(new).alias("inserted"))
 
 
 def clean_ja(c: Column) -> Column:

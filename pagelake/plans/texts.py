@@ -1 +1,288 @@
-"""x"""
+"""Queries over texts: filters, search and replacement, layout, replies, cache keys."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import texts as T
+from ..operators import texts as O
+from .fixtures import Tables
+from .registry import query
+
+B = ["page_id", "block_idx"]
+
+
+@query("SELECT page_id, block_idx FROM fx_blocks WHERE regexp_matches(text, '[\\p{L}\\p{N}]')")
+def p16_has_content(t: Tables) -> DataFrame:
+    return t.fx_blocks.filter(T.has_content(F.col("text"))).select(*B)
+
+
+@query("SELECT page_id, block_idx FROM fx_blocks WHERE trim(text) <> '' AND trim(translation) <> ''")
+def p17_erasable(t: Tables) -> DataFrame:
+    return O.erasable(t.fx_blocks).select(*B)
+
+
+@query("""SELECT page_id, block_idx, upper(script) AS up, CASE WHEN translation = upper(translation) AND translation <> lower(translation) THEN concat(upper(substr(translation,1,1)), lower(substr(translation,2))) ELSE translation END AS cap FROM fx_blocks""")
+def p23_format_case(t: Tables) -> DataFrame:
+    return t.fx_blocks.select(*B, T.format_case(F.col("script"), True).alias("up"), T.format_case(F.col("translation"), False).alias("cap"))
+
+
+@query("""SELECT page_id, block_idx, CASE WHEN script LIKE 'Japanese%' THEN replace(replace(replace(text, chr(13), ''), chr(10), ''), ' ', '') ELSE replace(replace(text, chr(13), ''), chr(10), '') END AS clean FROM fx_blocks""")
+def p24_preprocess(t: Tables) -> DataFrame:
+    lang = F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en")
+    return t.fx_blocks.select(*B, T.preprocess(F.col("text"), lang).alias("clean"))
+
+
+@query("""SELECT page_id, det_idx, y2-y1 > x2-x1 AND page_id % 3 = 0 AS vertical, (y2-y1 > x2-x1) AND (y2-y1) > CAST(1.15 AS DOUBLE)*(x2-x1) AS rotate, (y2-y1) > 0.3*1090 OR (x2-x1) > 0.5*1040 AS override FROM fx_text""")
+def p25_p27_flags(t: Tables) -> DataFrame:
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    target = F.when(F.col("page_id") % 3 == 0, "ja").otherwise("en")
+    tall = h > w
+    return t.fx_text.select("page_id", "det_idx", (tall & target.isin("zh-cn", "zh-tw", "ja")).alias("vertical"), (tall & (h > 1.15 * w)).alias("rotate"), ((h > 0.3 * 1090) | (w > 0.5 * 1040)).alias("override"))
+
+
+@query("""WITH c AS (SELECT page_id, det_idx, CASE WHEN det_idx % 3 = 1 THEN NULL ELSE x1 % 256 END AS r, y1 % 256 AS g, (x1+y1) % 256 AS b FROM fx_text),
+k AS (SELECT *, greatest(r,g,b)-least(r,g,b) < 40 AS grey, 0.299*r+0.587*g+0.114*b AS luma FROM c)
+SELECT page_id, det_idx, CASE WHEN r IS NULL THEN 9 WHEN grey THEN CASE WHEN luma < 128 THEN 0 ELSE 255 END ELSE r END AS r FROM k""")
+def p28_smart_color(t: Tables) -> DataFrame:
+    r = F.when(F.col("det_idx") % 3 != 1, F.col("x1") % 256)
+    d = t.fx_text.select("page_id", "det_idx", r.alias("r"), (F.col("y1") % 256).alias("g"), ((F.col("x1") + F.col("y1")) % 256).alias("b"))
+    grey = F.greatest("r", "g", "b") - F.least("r", "g", "b") < 40
+    luma = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
+    return d.select("page_id", "det_idx", F.when(F.col("r").isNull(), 9).when(grey, F.when(luma < 128, 0).otherwise(255)).otherwise(F.col("r")).alias("r"))
+
+
+@query("SELECT page_id, 'Japanese' AS source_lang, 'English' AS target_lang FROM fx_pages")
+def p31_set_langs(t: Tables) -> DataFrame:
+    return t.fx_pages.select("page_id").withColumns({"source_lang": F.lit("Japanese"), "target_lang": F.lit("English")})
+
+
+#: The word looked for: literal, any case.
+WORD = "the"
+PIECES = "str_split(lower(text), 'the')"
+FOUND = f"""p AS (SELECT page_id, block_idx, text, {PIECES} AS parts FROM fx_blocks WHERE lower(text) LIKE '%the%'),
+m AS (SELECT *, unnest(generate_series(0, len(parts)-2)) AS ordinal FROM p),
+s AS (SELECT page_id, block_idx, text, ordinal, CAST(3*ordinal + list_sum(list_transform(parts[1:ordinal+1], lambda x: length(x))) AS BIGINT) AS start FROM m)"""
+
+
+@query(f"""WITH {FOUND} SELECT page_id, block_idx, ordinal, start, start+3 AS "end", substr(text, start+1, 3) AS found,
+concat(CASE WHEN start > 30 THEN '…' ELSE '' END, replace(substr(text, greatest(start-30,0)+1, least(start+33,length(text))-greatest(start-30,0)), chr(10), '\\n'), CASE WHEN start+33 < length(text) THEN '…' ELSE '' END) AS preview FROM s""")
+def f8_f9_find_matches(t: Tables) -> DataFrame:
+    return O.find_matches(t.fx_blocks, O.Search(WORD))
+
+
+@query(f"WITH {FOUND} SELECT count(*) AS matches, count(DISTINCT page_id) AS pages FROM s")
+def a12_search_summary(t: Tables) -> DataFrame:
+    return O.search_summary(O.find_matches(t.fx_blocks, O.Search(WORD)))
+
+
+@query(f"""WITH {FOUND} SELECT page_id, block_idx, ordinal, coalesce(lead(block_idx) OVER w, first(block_idx) OVER f) AS next_block, coalesce(lead(ordinal) OVER w, first(ordinal) OVER f) AS next_ordinal,
+coalesce(lag(block_idx) OVER w, last(block_idx) OVER f) AS prev_block, coalesce(lag(ordinal) OVER w, last(ordinal) OVER f) AS prev_ordinal FROM s
+WINDOW w AS (PARTITION BY page_id ORDER BY block_idx, ordinal), f AS (PARTITION BY page_id ORDER BY block_idx, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def w9_match_cursor(t: Tables) -> DataFrame:
+    return O.match_cursor(O.find_matches(t.fx_blocks, O.Search(WORD)))
+
+
+REPLACED = "r AS (SELECT page_id, block_idx, text AS old, replace(text, 'th', 'q$1') AS new, CAST((length(text)-length(replace(text, 'th', '')))/2 AS INT) AS count FROM fx_blocks WHERE text LIKE '%th%')"
+
+
+@query(f"WITH {REPLACED} SELECT * FROM r")
+def f11_replace_all(t: Tables) -> DataFrame:
+    return O.replace_all(t.fx_blocks, O.Search("th", match_case=True), "q$1")
+
+
+@query(f"WITH {REPLACED} SELECT count(*) AS blocks, coalesce(CAST(sum(count) AS BIGINT), 0) AS replacements FROM r")
+def a13_replace_summary(t: Tables) -> DataFrame:
+    return O.replace_summary(O.replace_all(t.fx_blocks, O.Search("th", match_case=True), "q$1"))
+
+
+@query("""WITH p AS (SELECT page_id, block_idx, text, str_split(text, 'th') AS parts FROM fx_blocks WHERE (length(text)-length(replace(text,'th','')))/2 > 1)
+SELECT page_id, block_idx, text AS old, concat(parts[1], 'th', parts[2], 'NEW', array_to_string(parts[3:], 'th')) AS new FROM p""")
+def f11_replace_nth(t: Tables) -> DataFrame:
+    return O.replace_nth(t.fx_blocks, O.Search("th", match_case=True), "NEW", 1)
+
+
+@query()
+def f10_preserve_case(t: Tables) -> DataFrame:
+    return O.replace_nth(t.fx_blocks, O.Search("the"), "new word", 0, keep_case=True)
+
+
+@query("SELECT page_id, block_idx, regexp_matches(text, '<[^>]+>') AS html, replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)) AS norm FROM fx_blocks")
+def f12_html_newlines(t: Tables) -> DataFrame:
+    return t.fx_blocks.select(*B, T.looks_html(F.col("text")).alias("html"), T.norm_newlines(F.col("text")).alias("norm"))
+
+
+@query()
+def f13_replace_html(t: Tables) -> DataFrame:
+    return O.replace_html(t.fx_html, O.Search("the"), "[$1]").select("page_id", F.md5("new").alias("digest"))
+
+
+@query("SELECT page_id, block_idx, length(text) // 2 AS start, '' AS removed, 'ZQ' AS inserted FROM fx_blocks")
+def f14_text_delta(t: Tables) -> DataFrame:
+    half = F.floor(F.length("text") / 2).cast("int")
+    new = F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("ZQ"), F.substring(F.col("text"), half + 1, F.length("text")))
+    return t.fx_blocks.withColumn("new", new).select(*B, T.text_delta(F.col("text"), F.col("new")).alias("d")).select(*B, "d.*")
+
+
+@query("""SELECT page_id, block_idx, CASE WHEN text IN ('', '...!?') THEN 0 ELSE 1 END AS kind, concat_ws('_', x1, y1, x2, y2, angle) AS id FROM fx_blocks""")
+def f27_block_id(t: Tables) -> DataFrame:
+    return t.fx_blocks.select(*B, F.when(F.col("text").isin("", "...!?"), 0).otherwise(1).alias("kind"), T.block_id().alias("id"))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a_b' WHEN 1 THEN 'chapter' WHEN 2 THEN 'x' ELSE 'p 1' END AS stem, CASE page_id % 3 WHEN 0 THEN '.cbz' WHEN 1 THEN '.zip' ELSE '.zip' END AS ext FROM fx_pages""")
+def f25_f26_names(t: Tables) -> DataFrame:
+    name = F.when(F.col("page_id") % 4 == 0, "a/b").when(F.col("page_id") % 4 == 1, "***").when(F.col("page_id") % 4 == 2, "..x..").otherwise(" p 1 ")
+    ext = F.when(F.col("page_id") % 3 == 0, " CBZ ").when(F.col("page_id") % 3 == 1, "").otherwise(".rar")
+    return t.fx_pages.select("page_id", T.safe_stem(name).alias("stem"), T.out_ext(ext).alias("ext"))
+
+
+@query("""SELECT page_id, path, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY page_id % 37, page_id) AS INT) AS rank FROM fx_pages""")
+def w14_natural_order(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chapter_id").orderBy(T.natural_key(F.col("path")), "page_id")
+    return t.fx_pages.withColumn("rank", F.row_number().over(w)).select("page_id", "path", "rank")
+
+
+@query("""SELECT page_id, path LIKE '%.png' AS image, '.png' AS ext, page_id % 2 = 0 AS archive, CASE WHEN page_id % 2 = 0 THEN concat('v', CAST(page_id AS VARCHAR(20))) ELSE 'chapter' END AS label FROM fx_pages""")
+def s2_s3_inputs(t: Tables) -> DataFrame:
+    from ..sources.inputs import plan_inputs
+
+    p = t.fx_pages
+    asked = p.select("page_id", "path", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("in/v"), F.col("page_id").cast("string"), F.lit(".CBZ"))).otherwise(F.lit("")).alias("source"))
+    d = plan_inputs(asked)
+    return d.select("page_id", T.is_image_file(F.col("path")).alias("image"), T.safe_ext(F.col("path")).alias("ext"), "archive", "label")
+
+
+@query("""SELECT page_id, block_idx, md5(text) AS content_key, CASE WHEN translation = '' THEN 'no_context' ELSE md5(translation) END AS context_key, concat('reader_', sha256(concat('{"a":"', script, '","z":"1"}'))) AS settings_key FROM fx_blocks""")
+def f28_cache_keys(t: Tables) -> DataFrame:
+    key = F.struct("page_id", "block_idx")
+    pages = t.fx_blocks.select(key.alias("page_id"), F.col("text").alias("content"), F.col("translation").alias("context"), F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.col("script")).alias("settings"), F.lit("reader").alias("tool"))
+    return O.cache_keys(pages).select("page_id.*", "content_key", "context_key", "settings_key")
+
+
+FRAMES = "f AS (SELECT page_id AS line_id, block_idx AS t, (page_id*3 + block_idx*block_idx) % 4 AS label, 0.5 + (block_idx % 5)/10.0 AS prob FROM fx_blocks), d AS (SELECT * FROM (SELECT *, lag(label) OVER (PARTITION BY line_id ORDER BY t) AS pv FROM f) x WHERE (pv IS NULL OR pv <> label) AND label <> 2)"
+
+
+def _frames(t: Tables) -> DataFrame:
+    p, b = F.col("page_id"), F.col("block_idx")
+    return t.fx_blocks.select(p.alias("line_id"), b.alias("t"), ((p * 3 + b * b) % 4).alias("label"), (0.5 + (b % 5) / 10.0).alias("prob"))
+
+
+@query(f"WITH {FRAMES}, n AS (SELECT line_id, label, count(*) AS n, min(t) AS first FROM d GROUP BY 1,2), r AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY n DESC, first) AS rn FROM n) SELECT l.line_id, r.label FROM (SELECT DISTINCT line_id FROM f) l LEFT JOIN r ON l.line_id=r.line_id AND rn=1")
+def f30_collapse_frames(t: Tables) -> DataFrame:
+    return O.collapse_frames(_frames(t), 2)
+
+
+@query(f"WITH {FRAMES} SELECT line_id, string_agg(CAST(label AS VARCHAR), ' ' ORDER BY t) AS text, avg(prob) AS prob FROM d GROUP BY 1")
+def f30_collapse_text(t: Tables) -> DataFrame:
+    return O.collapse_text(_frames(t), 2)
+
+
+@query("SELECT page_id, block_idx, CASE WHEN max(page_id % 2) = 1 THEN string_agg(concat('l', CAST(line_idx AS VARCHAR)), '' ORDER BY line_idx) ELSE string_agg(concat('l', CAST(line_idx AS VARCHAR)), ' ' ORDER BY line_idx) END AS text FROM fx_lines GROUP BY 1,2")
+def a6_block_text(t: Tables) -> DataFrame:
+    lines = t.fx_lines.withColumn("text", F.concat(F.lit("l"), F.col("line_idx").cast("string")))
+    return O.block_text(lines, F.col("page_id") % 2 == 1)
+
+
+@query("""WITH d AS (SELECT *, least(x2-x1, y2-y1) AS thick, (x2-x1)*(y2-y1) AS area FROM (SELECT page_id, block_idx, line_idx, x1, y1, x2, y2 - CASE WHEN line_idx = 1 THEN 9 ELSE 0 END AS y2 FROM fx_lines) a),
+s AS (SELECT *, thick < 0.7*quantile_cont(thick,0.5) OVER (PARTITION BY page_id, block_idx) AND area < 0.75*quantile_cont(area,0.5) OVER (PARTITION BY page_id, block_idx) AS sm FROM d)
+SELECT page_id, block_idx, line_idx, sm AND NOT bool_and(sm) OVER (PARTITION BY page_id, block_idx) AS small FROM s""")
+def a7_small_lines(t: Tables) -> DataFrame:
+    lines = t.fx_lines.withColumn("y2", F.col("y2") - F.when(F.col("line_idx") == 1, 9).otherwise(0))
+    return O.split_small_lines(lines).select("page_id", "block_idx", "line_idx", "small")
+
+
+@query("""WITH j AS (SELECT page_id, concat('    "block_', CAST(row_number() OVER (PARTITION BY page_id ORDER BY block_idx) - 1 AS VARCHAR), '": ', to_json(translation)) AS r, block_idx FROM fx_blocks)
+SELECT page_id, concat('{', chr(10), string_agg(r, concat(',', chr(10)) ORDER BY block_idx), chr(10), '}') AS json FROM j GROUP BY 1""")
+def a8_page_json(t: Tables) -> DataFrame:
+    return O.page_json(t.fx_blocks, "translation")
+
+
+@query("SELECT page_id, block_idx, CASE block_idx WHEN 0 THEN 'zero' WHEN 2 THEN 'two' ELSE translation END AS translation FROM fx_blocks")
+def f21_parse_reply(t: Tables) -> DataFrame:
+    replies = t.fx_blocks.select("page_id").distinct().withColumn("reply", F.lit('Here: {"block_0": "zero",\n "block_2": "two"} done'))
+    return O.parse_reply(replies, t.fx_blocks).select(*B, "translation")
+
+
+@query("SELECT page_id, CAST(0 AS INT) AS line_idx, 'word' AS text, CAST(page_id % 50 AS INT) AS x1, 2 AS y1, CAST(page_id % 50 AS INT) + 30 AS x2, 12 AS y2 FROM fx_pages")
+def f36_parse_lines(t: Tables) -> DataFrame:
+    x = F.col("page_id") % 50
+    corner = lambda a, b: F.concat(F.lit('{"x":'), a.cast("string"), F.lit(f',"y":{b}}}'))
+    good = F.concat(F.lit('{"description":"word","boundingPoly":{"vertices":['), corner(x, 2), F.lit(","), corner(x + 30, 2), F.lit(","), corner(x + 30, 12), F.lit(","), corner(x, 12), F.lit("]}}"))
+    bad = '{"description":"bad","boundingPoly":{"vertices":[{"x":1},{"x":1,"y":2},{"x":2,"y":2}]}}'
+    reply = F.concat(F.lit("["), good, F.lit(","), good, F.lit(f",{bad}]"))
+    return O.parse_lines(t.fx_pages.select("page_id", reply.alias("reply")))
+
+
+@query("SELECT page_id, block_idx, concat(CASE WHEN translation <> '' THEN concat('Context: ', translation, chr(10)) ELSE '' END, 'Translate the values, keep the keys:', chr(10), text) AS prompt FROM fx_blocks")
+def f35_page_prompt(t: Tables) -> DataFrame:
+    d = t.fx_blocks.select(*B, F.col("translation").alias("context"), F.col("text").alias("json"))
+    return O.page_prompt(d).select(*B, "prompt")
+
+
+SPANS = "sp AS (SELECT page_id AS text_id, block_idx*10 AS start, block_idx*10 + 8 + block_idx % 4 AS \"end\", CASE WHEN block_idx % 3 = 0 THEN 'b' ELSE 'n' END AS style FROM fx_blocks), ln AS (SELECT page_id AS text_id, max(block_idx)*10 + 5 AS length FROM fx_blocks GROUP BY 1)"
+
+
+def _spans(t: Tables) -> tuple[DataFrame, DataFrame]:
+    b = F.col("block_idx")
+    spans = t.fx_blocks.select(F.col("page_id").alias("text_id"), (b * 10).alias("start"), (b * 10 + 8 + b % 4).alias("end"), F.when(b % 3 == 0, "b").otherwise("n").alias("style"))
+    return spans, t.fx_blocks.groupBy(F.col("page_id").alias("text_id")).agg((F.max("block_idx") * 10 + 5).alias("length"))
+
+
+@query(f"""WITH {SPANS}, g AS (SELECT *, CASE WHEN start > max("end") OVER (PARTITION BY text_id, style ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS nw FROM sp),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY text_id, style ORDER BY start, "end") AS il FROM g) SELECT text_id, style, min(start) AS start, max("end") AS "end" FROM i GROUP BY text_id, style, il""")
+def w20_merge_spans(t: Tables) -> DataFrame:
+    return O.merge_spans(_spans(t)[0])
+
+
+@query(f"""WITH {SPANS}, g AS (SELECT *, start <= coalesce(max("end") OVER (PARTITION BY text_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ok FROM sp), k AS (SELECT text_id, bool_and(ok) AS ok, max("end") AS last FROM g GROUP BY 1)
+SELECT ln.text_id, ok AND last >= length AS covered FROM ln JOIN k ON ln.text_id=k.text_id""")
+def w20_covers(t: Tables) -> DataFrame:
+    return O.covers(*_spans(t))
+
+
+@query(f"""WITH {SPANS}, c AS (SELECT sp.text_id, greatest(start,2) AS start, least("end", length) AS e, style, length FROM sp JOIN ln ON sp.text_id=ln.text_id WHERE least("end",length) > greatest(start,2)),
+h AS (SELECT text_id, start, style, length FROM c UNION ALL SELECT text_id, 0, 'default', max(length) FROM c GROUP BY text_id HAVING min(start) > 0),
+x AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY text_id ORDER BY start), length) AS e, CASE WHEN lag(style) OVER (PARTITION BY text_id ORDER BY start) = style THEN 0 ELSE 1 END AS nw FROM h),
+i AS (SELECT *, sum(nw) OVER (PARTITION BY text_id ORDER BY start) AS il FROM x) SELECT text_id, min(start) AS start, max(e) AS "end", min(style) AS style FROM i GROUP BY text_id, il""")
+def w19_coalesce_runs(t: Tables) -> DataFrame:
+    spans, lengths = _spans(t)
+    return O.coalesce_runs(spans.withColumn("start", F.greatest("start", F.lit(2))), lengths)
+
+
+@query()
+def f23_layout_greedy(t: Tables) -> DataFrame:
+    d = t.fx_blocks.withColumn("lang", F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en"))
+    return O.layout_greedy(d, F.lit(24))
+
+
+@query()
+def f24_layout_columns(t: Tables) -> DataFrame:
+    return O.layout_columns(t.fx_blocks, 24, first_indent="  ", max_lines=4)
+
+
+@query()
+def f22_clean_ja(t: Tables) -> DataFrame:
+    return t.fx_blocks.select(*B, T.clean_ja(F.col("text")).alias("clean"))
+
+
+@query("SELECT page_id, CAST(0 AS INT) AS det_idx, 0 AS x1, 0 AS y1, width AS x2, height // 2 AS y2 FROM fx_pages")
+def h1_detect(t: Tables) -> DataFrame:
+    def stub(pdf):
+        return pdf.assign(det_idx=0, x1=0, y1=0, x2=pdf["width"], y2=pdf["height"] // 2)[["page_id", "det_idx", "x1", "y1", "x2", "y2"]]
+
+    return O.detect(t.fx_pages.select("page_id", "width", "height"), stub, "page_id long, det_idx int, x1 int, y1 int, x2 long, y2 long")
+
+
+@query("SELECT page_id, block_idx, CASE WHEN block_idx % 2 = 0 THEN concat('w', CAST(x2-x1 AS VARCHAR)) ELSE '' END AS text FROM fx_blocks")
+def h2_read_text(t: Tables) -> DataFrame:
+    d = t.fx_blocks.withColumn("bucket", F.when(F.col("block_idx") % 2 == 0, "latin").otherwise("other"))
+    return O.read_text(d, {"latin": lambda pdf: ["w" + str(int(w)) for w in pdf["x2"] - pdf["x1"]]})
+
+
+@query("""SELECT page_id, block_idx, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN '' WHEN block_idx % 2 = 0 THEN 'cached' ELSE reverse(text) END AS value FROM fx_blocks""")
+def h3_translate(t: Tables) -> DataFrame:
+    cache = t.fx_blocks.filter("block_idx % 2 = 0").select(*B, F.lit("cached").alias("value"))
+    return O.translate(t.fx_blocks, lambda texts: [x[::-1] for x in texts], cache)
