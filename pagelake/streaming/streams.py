@@ -49,7 +49,7 @@ def stream_memlog(log: DataFrame, size: str = "1 hour") -> DataFrame:
     return log.groupBy("run_id", "tag", F.window("ts", size)).agg(F.min("rss_mb").alias("low_mb"), F.max("rss_mb").alias("peak_mb"), F.count("*").alias("n"))
 
 
-def stream_seams(slices: DataFrame) -> DataFrame:
+def stream_seams(slices: DataFrame, timeout_ms: int | None = None) -> DataFrame:
     """Merge blocks cut by the border of consecutive slices of a chapter.
 
     slices: chapter_id, slice_no, height and blocks, an array of (idx, x1, y1,
@@ -57,7 +57,7 @@ def stream_seams(slices: DataFrame) -> DataFrame:
     its lower edge and the block at the next upper edge that shares most of
     its width become one, in the coordinates of the upper slice. A slice is
     published when the next has come, the last of a chapter at its end marker
-    (blocks null) or after the timeout.
+    (blocks null) or, for streams that go on for ever, after the timeout.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -74,7 +74,7 @@ def stream_seams(slices: DataFrame) -> DataFrame:
         held = state.get if state.exists else None
         if held is not None:
             held = (held[0], held[1], [b if isinstance(b, dict) else b.asDict() for b in held[2]])
-        if state.hasTimedOut:
+        if timeout_ms and state.hasTimedOut:
             if held is not None:
                 done += rows(key[0], held)
             state.remove()
@@ -92,10 +92,12 @@ def stream_seams(slices: DataFrame) -> DataFrame:
                     state.remove()
             else:
                 state.update((held[0], held[1], [tuple(b[k] for k in ("idx", "x1", "y1", "x2", "y2")) for b in held[2]]))
-                state.setTimeoutDuration(600_000)
+                if timeout_ms:
+                    state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(done, columns=["chapter_id", "slice_no", "idx", "x1", "y1", "x2", "y2"])
 
-    return slices.groupBy("chapter_id").applyInPandasWithState(step, out, state_schema, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
+    return slices.groupBy("chapter_id").applyInPandasWithState(step, out, state_schema, "append", timeout)
 
 
 def join_slices(held: tuple, blocks: list[dict], edge: int = 60) -> tuple[tuple, list[dict]]:
