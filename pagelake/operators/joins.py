@@ -203,3 +203,33 @@ def audit_assets(expected: DataFrame, files: DataFrame) -> DataFrame:
     digest = F.when(n == 64, F.sha2("content", 256)).when(n == 32, F.md5("content"))
     state = F.when(F.col("content").isNull(), "missing").when(digest.isNull(), "present").when(F.lower("expected") == digest, "verified").otherwise("differs")
     return d.select("file_id", state.alias("state"))
+
+
+def find_items(keys: DataFrame, items: DataFrame) -> DataFrame:
+    """Block keys with the first placed text within 5 px and 1 degree, borders included."""
+    placed = items.select("page_id", F.col("item_idx").alias("cached_idx"), F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("px").alias("x2"), F.col("py").alias("y2"), F.col("rotation").alias("angle"))
+    corner = keys.withColumns({"x2": F.col("x1"), "y2": F.col("y1")})
+    return banded(corner, placed, ["page_id"], ["block_idx"], "cached_idx").select("page_id", "block_idx", F.col("cached_idx").alias("item_idx"))
+
+
+def seam_crop(blocks: DataFrame, width: int, height: int, pad: int = 48) -> DataFrame:
+    """Blocks of a seam in the coordinates of the padded hull of all of them, clamped to the image."""
+    hull = blocks.groupBy("seam").agg(
+        F.greatest(F.min("x1") - pad, F.lit(0)).alias("cx1"), F.greatest(F.min("y1") - pad, F.lit(0)).alias("cy1"), F.least(F.max("x2") + pad, F.lit(width)).alias("cx2"), F.least(F.max("y2") + pad, F.lit(height)).alias("cy2")
+    )
+    d = blocks.join(hull, "seam")
+    return d.withColumns({"x1": F.col("x1") - F.col("cx1"), "x2": F.col("x2") - F.col("cx1"), "y1": F.col("y1") - F.col("cy1"), "y2": F.col("y2") - F.col("cy1")})
+
+
+def render_area(blocks: DataFrame, width: int, height: int) -> DataFrame:
+    """Contracted by 5 %, unless the page's first block is Korean or Chinese."""
+    first = F.first("source_lang").over(Window.partitionBy("page_id").orderBy("block_idx"))
+    small = B.expand(B.box(), -5, -5, F.lit(width), F.lit(height))
+    d = blocks.withColumn("__keep", F.coalesce(first.rlike("^(ko|zh)"), F.lit(False)))
+    return d.withColumns({c: F.when(F.col("__keep"), F.col(c)).otherwise(n) for c, n in zip(CORNERS, (small.x1, small.y1, small.x2, small.y2), strict=True)}).drop("__keep")
+
+
+def load_state(pages: DataFrame, refs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Image references of pages, of every kind, by id to the stored path, else the original one."""
+    d = refs.join(stored.select("image_id", "stored_path"), "image_id", "left").join(pages.select("page_id", "path"), "page_id")
+    return d.select("page_id", "kind", "image_id", F.coalesce("stored_path", "path").alias("path"))

@@ -165,3 +165,23 @@ def page_history(pages: DataFrame) -> DataFrame:
 def empty_pages(blocks: DataFrame) -> DataFrame:
     d = blocks.groupBy("page_id").agg(F.bool_or(F.trim("text") != "").alias("has_text"), F.bool_or(F.trim("translation") != "").alias("has_translation"))
     return d.withColumn("reason", F.when(~F.col("has_text"), "OCR").when(~F.col("has_translation"), "Translator")).filter("reason is not null").select("page_id", "reason")
+
+
+def page_names(df: DataFrame) -> DataFrame:
+    """File names within a chapter: the safe stem, page_%04d where it is empty, and the extension."""
+    n = F.row_number().over(Window.partitionBy("chapter_id").orderBy("page_no"))
+    stem = F.regexp_extract("path", "([^/]*?)(\\.[^./]*)?$", 1)
+    named = F.when(F.trim(stem) == "", F.format_string("page_%04d", n)).otherwise(T.safe_stem(stem))
+    return df.withColumn("file", F.concat(named, T.safe_ext(F.col("path"))))
+
+
+def write_page_json(pages: DataFrame, path: str) -> None:
+    """One document for each page (chapter_id, page_id, json), in a folder for each chapter."""
+    pages.select("chapter_id", F.to_json(F.struct("page_id", "json")).alias("value")).write.mode("overwrite").partitionBy("chapter_id").text(path)
+
+
+def explode_legacy_state(df: DataFrame) -> DataFrame:
+    """Old one-row states (maps by path) as a row for each path that has a state or a patch."""
+    keys = F.array_union(F.map_keys("states"), F.map_keys("patches"))
+    d = df.select("project_id", "states", "patches", F.explode(keys).alias("path"))
+    return d.select("project_id", "path", F.try_element_at("states", F.col("path")).alias("state"), F.try_element_at("patches", F.col("path")).alias("patch"))

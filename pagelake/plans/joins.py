@@ -175,3 +175,45 @@ def j24_delete_pages(t: Tables) -> DataFrame:
 WHEN length(expected)=32 THEN CASE WHEN lower(expected)=md5(content) THEN 'verified' ELSE 'differs' END ELSE 'present' END AS state FROM fx_assets a LEFT JOIN fx_files f ON a.file_id=f.file_id""")
 def j29_audit_assets(t: Tables) -> DataFrame:
     return J.audit_assets(t.fx_assets, t.fx_files)
+
+
+@query("""WITH i AS (SELECT page_id, block_idx AS item_idx, x1 + (block_idx*5)%13 - 6 AS px, y1 + (block_idx*3)%7 - 3 AS py, angle AS rotation FROM fx_blocks),
+m AS (SELECT b.page_id, b.block_idx, min(i.item_idx) AS item_idx FROM fx_blocks b JOIN i ON i.page_id=b.page_id AND abs(i.px-b.x1)<=5 AND abs(i.py-b.y1)<=5 AND abs(i.rotation-b.angle)<=1 GROUP BY 1,2)
+SELECT b.page_id, b.block_idx, m.item_idx FROM fx_blocks b LEFT JOIN m ON b.page_id=m.page_id AND b.block_idx=m.block_idx""")
+def j17_find_items(t: Tables) -> DataFrame:
+    b = F.col("block_idx")
+    items = t.fx_blocks.select("page_id", b.alias("item_idx"), (F.col("x1") + (b * 5) % 13 - 6).alias("px"), (F.col("y1") + (b * 3) % 7 - 3).alias("py"), F.col("angle").alias("rotation"))
+    return J.find_items(t.fx_blocks.select("page_id", "block_idx", "x1", "y1", "angle"), items)
+
+
+@query(f"""WITH h AS (SELECT page_id, greatest(min(x1)-48,0) AS a, greatest(min(y1)-48,0) AS b, least(max(x2)+48,{WIDTH}) AS c, least(max(y2)+48,{HEIGHT}) AS d FROM fx_text GROUP BY 1)
+SELECT t.page_id AS seam, t.det_idx, x1-a AS x1, y1-b AS y1, x2-a AS x2, y2-b AS y2, c-a AS w, d-b AS h FROM fx_text t JOIN h ON t.page_id=h.page_id""")
+def p22_seam_crop(t: Tables) -> DataFrame:
+    d = J.seam_crop(t.fx_text.withColumnRenamed("page_id", "seam"), WIDTH, HEIGHT)
+    return d.select("seam", "det_idx", *J.CORNERS, (F.col("cx2") - F.col("cx1")).alias("w"), (F.col("cy2") - F.col("cy1")).alias("h"))
+
+
+@query("""WITH f AS (SELECT *, first_value(script) OVER (PARTITION BY page_id ORDER BY block_idx) LIKE 'Hangul%' AS keep FROM fx_blocks)
+SELECT page_id, block_idx, CASE WHEN keep THEN x1 ELSE x1+7 END AS x1, CASE WHEN keep THEN y1 ELSE y1+1 END AS y1, CASE WHEN keep THEN x2 ELSE x2-7 END AS x2, CASE WHEN keep THEN y2 ELSE y2-1 END AS y2 FROM f""")
+def p5_render_area(t: Tables) -> DataFrame:
+    d = t.fx_blocks.withColumn("source_lang", F.when(F.col("script").startswith("Hangul"), "ko").otherwise("en"))
+    return J.render_area(d, 100_000, 100_000).select("page_id", "block_idx", *J.CORNERS)
+
+
+@query("""SELECT page_id, CASE n.i WHEN 0 THEN 'page' WHEN 1 THEN 'clean' WHEN 2 THEN 'patch' ELSE 'thumb' END AS kind, page_id*4 + n.i AS image_id, CASE WHEN (page_id*4 + n.i) % 3 = 0 THEN concat('store/', CAST(page_id*4 + n.i AS VARCHAR(20))) ELSE path END AS path
+FROM fx_pages, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n""")
+def s8_load_state(t: Tables) -> DataFrame:
+    p = t.fx_pages
+    refs = p.select("page_id", F.posexplode(F.array(*map(F.lit, ("page", "clean", "patch", "thumb")))).alias("i", "kind")).select("page_id", "kind", (F.col("page_id") * 4 + F.col("i")).alias("image_id"))
+    stored = refs.filter("image_id % 3 = 0").select("image_id", F.concat(F.lit("store/"), F.col("image_id").cast("string")).alias("stored_path"))
+    return J.load_state(p, refs, stored)
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN concat('v', CAST(page_id % 10 AS VARCHAR)) ELSE '' END AS stem, CASE WHEN page_id % 2 = 0 THEN 'in' ELSE concat('ch', CAST(chapter_id AS VARCHAR)) END AS dir FROM fx_pages""")
+def s14_attach_archive(t: Tables) -> DataFrame:
+    from ..sources.inputs import attach_archive
+
+    p = t.fx_pages.withColumn("path", F.concat("path", F.lit("#"), F.col("page_id").cast("string")))
+    name = F.concat(F.lit("in/v"), (F.col("page_id") % 10).cast("string"), F.lit(".zip"))
+    archives = p.filter("page_id % 2 = 0").groupBy(name.alias("archive")).agg(F.collect_list("path").alias("extracted"))
+    return attach_archive(p, archives).select("page_id", "stem", "dir")

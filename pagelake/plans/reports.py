@@ -262,3 +262,17 @@ def f3_f5_codes(t: Tables) -> DataFrame:
     d = t.fx_blocks.withColumn("code", code)
     name = L.canonical_lang(F.col("code"))
     return d.select("page_id", "block_idx", name.alias("name"), L.lang_code(name).alias("back"), L.is_rtl(F.col("code")).alias("rtl"), T.is_no_space(F.col("code")).alias("no_space"), *(L.provider_code(F.col("code"), p).alias(p) for p in "abc"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 6 = 0 THEN concat('page_', lpad(CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY page_no) AS VARCHAR), 4, '0'), '.png') ELSE concat('p', CAST(page_id % 37 AS VARCHAR), '.png') END AS file FROM fx_pages")
+def w11_page_names(t: Tables) -> DataFrame:
+    d = t.fx_pages.withColumn("path", F.when(F.col("page_id") % 6 == 0, "x/.png").otherwise(F.col("path")))
+    return O.page_names(d).select("page_id", "file")
+
+
+@query("""SELECT chapter_id AS project_id, path, CASE WHEN max(page_id % 3) > 0 THEN 's' END AS state, CASE WHEN min(page_id % 3) = 0 THEN 'p' END AS patch FROM (SELECT chapter_id, concat(path, '#', CAST(page_id AS VARCHAR)) AS path, page_id FROM fx_pages) x GROUP BY 1,2""")
+def s9_legacy_state(t: Tables) -> DataFrame:
+    p = t.fx_pages.withColumn("path", F.concat("path", F.lit("#"), F.col("page_id").cast("string")))
+    entry = lambda keep, v: F.map_from_entries(F.collect_list(F.when(keep, F.struct(F.col("path").alias("key"), F.lit(v).alias("value")))))
+    old = p.groupBy(F.col("chapter_id").alias("project_id")).agg(entry(F.col("page_id") % 3 > 0, "s").alias("states"), entry(F.col("page_id") % 3 == 0, "p").alias("patches"))
+    return O.explode_legacy_state(old)
