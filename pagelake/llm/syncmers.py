@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 K, S, KEPT = 5, 3, 64
 #: Thai, Lao and the scripts of East Asia are written without blanks.
 _ALONE = "\\u0E00-\\u0EFF\\u2E80-\\u9FFF\\uF900-\\uFAFF"
@@ -105,12 +107,16 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    full = base.withColumn("prints", sketch(F.col("text")))
-    sizes = base.select("id", "twin", F.floor(F.char_length("text") / 4).cast("int").alias("quarter")).distinct()
-    links = _next(sizes.select("id", "twin")).join(sizes, ["id", "twin"])
-    heads = full.select(F.col("id").alias("next_id"), F.col("twin").alias("next_twin"), F.col("text").alias("next_text"), F.col("prints").alias("next_prints")).join(links, ["next_id", "next_twin"])
-    heads = heads.select("id", "twin", F.substring(F.col("next_text"), F.lit(1), F.col("quarter")).alias("head"), "next_prints").dropDuplicates(["id", "twin"])
-    both = full.join(heads, ["id", "twin"])
+    quarter = F.floor(F.char_length("text") / 4).cast("int")
+    # Keys and fingerprints first: small rows. Texts then move by key once, for both joins below.
+    keys = materialise(base.select("id", "twin", quarter.alias("quarter"), sketch(F.col("text")).alias("prints")))
+    keys = keys.dropDuplicates(["id", "twin"])
+    links = materialise(_next(keys.select("id", "twin")))
+    follow = lambda df, *more: df.select(F.col("id").alias("next_id"), F.col("twin").alias("next_twin"), *more)
+    prints = keys.select("id", "twin", "prints").join(links.join(follow(keys, F.col("prints").alias("next_prints")), ["next_id", "next_twin"]).drop("next_id", "next_twin"), ["id", "twin"])
+    heads = follow(base, F.col("text").alias("next_text")).join(links.join(keys.select("id", "twin", "quarter"), ["id", "twin"]), ["next_id", "next_twin"])
+    heads = heads.select("id", "twin", F.substring(F.col("next_text"), F.lit(1), F.col("quarter")).alias("head")).dropDuplicates(["id", "twin"])
+    both = base.join(heads, ["id", "twin"]).join(prints, ["id", "twin"])
     n = F.char_length("text")
     edited = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head"))
     out = edited.withColumn("edited_prints", sketch(F.col("edited")))
