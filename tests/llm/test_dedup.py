@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagelake.llm import simhash, substrings, suffixes
+import corpus_pipeline
+from pagelake.llm import near_copies, simhash, substrings, suffixes
 from pagelake.llm.graph import components
 from pagelake.llm.seeds import Shape
 
@@ -141,3 +142,56 @@ def test_components_of_a_path(spark):
     links = spark.range(n).selectExpr("id as a", "id + 1 as b").unionByName(spark.createDataFrame([(900, 901), (901, 900), (5, 5)], "a long, b long"))
     got = {r["node"]: r["root"] for r in components(links).collect()}
     assert got == {**dict.fromkeys(range(1, n + 1), 0), 901: 900}
+
+
+def shingle_set(text, n=5):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def groups_of(rows):
+    """The smallest id of each row's component of five-word similarity 0.8, by comparing all pairs."""
+    sets, group = [shingle_set(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    low = {}
+    for (i, _), g in zip(rows, group, strict=True):
+        low[g] = min(i, low.get(g, i))
+    return [low[g] for g in group]
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """Texts with copies of 1 to 12 edited words, some over a chain of edits, and one line that all share."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts = [None, "", "one", "One", "two words"]
+    for n in (6, 20, 60, 120, 200, 300):
+        base = "the line that all of these texts share".split() + [word() for _ in range(n)]
+        texts.append(" ".join(base))
+        for edits in (1, 1, 2, 3, 4, 6, 9, 12):
+            w = list(base)
+            for at in rng.sample(range(len(w)), min(edits, len(w))):
+                w[at] = word()
+            texts.append(" ".join(w))
+            base = w if rng.random() < 0.3 else base
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    return list(zip(ids, texts, strict=True))
+
+
+def test_near_copies(spark, edited, rows):
+    for some in (edited, rows):
+        docs = spark.createDataFrame(some, "doc_id long, text string").repartition(3)
+        want = sorted((i, g) for (i, _), g in zip(some, groups_of(some), strict=True))
+        assert sorted(tuple(r) for r in near_copies.near_copies(docs).collect()) == want
+    assert near_copies.near_copies(docs.filter("false")).count() == 0
+
+
+def test_stage_drops_edited_copies(spark, edited):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in edited], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(set(groups_of(edited)))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want and len(want) < len(edited) - 10
