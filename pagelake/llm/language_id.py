@@ -34,6 +34,12 @@ BUCKETS = 4096
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
+#: Letters of a text, and the least likeness to a language's mean features with so many, calibrated on 2000 labelled
+#: rows of sf0.1 that were not fitted: there the least is 0.478 from 60 letters on, 0.356 from 30, 0.208 from 8. Random
+#: letters and sentences of five languages not learned reached 0.373 at most.
+FLOORS = ((400, 0.45), (60, 0.42), (30, 0.33), (0, 0.15))
+
+
 def features(text: str) -> np.ndarray:
     """Square roots of hashed bigram and trigram shares, length 1 (zero without letters)."""
     b = np.frombuffer(b" " + text.lower().encode("utf-8", "replace").translate(_BLANK) + b" ", np.uint8).astype(np.uint32)
@@ -67,6 +73,8 @@ class LanguageModel:
         self.langs = sorted(set(langs))
         family = np.array([FAMILY_OF.get(k, k) for k in langs], dtype=object)
         names, lang = sorted(set(family)), np.array(langs, dtype=object)
+        means = {k: x[lang == k].mean(axis=0) for k in self.langs}
+        self.centres = {k: c / max(1e-9, np.linalg.norm(c)) for k, c in means.items()}
         self.families = [(f, sorted({k for k in self.langs if FAMILY_OF.get(k, k) == f})) for f in names]
         rows: list[tuple[np.ndarray, float]] = []
         if len(names) > 1:
@@ -80,11 +88,16 @@ class LanguageModel:
         self.w = np.array([w for w, _ in rows], np.float32).reshape(len(rows), x.shape[1])
         self.b = np.array([b for _, b in rows], np.float32)
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """The language and a score from 0 to 1: how sure both steps are."""
+    def predict(self, text: str | None, doubt: bool = False) -> tuple[str, float]:
+        """The language and a score from 0 to 1: how sure both steps are.
+
+        The score only ranks the languages learned. With doubt, a text that is
+        not like the language found either is und with score 0.
+        """
         if not text or not self.langs or not LETTER.search(text):
             return UNKNOWN, 0.0
-        margin = self.w @ features(text) + self.b
+        x = features(text)
+        margin = self.w @ x + self.b
         share, at = 1.0, 0
         if len(self.families) > 1:
             p = 1 / (1 + np.exp(-3.0 * margin[: len(self.families)].astype(np.float64)))
@@ -98,6 +111,10 @@ class LanguageModel:
                 votes[a] += p1
                 votes[b] += 1 - p1
         best = max(langs, key=lambda k: (votes[k], k))
+        if doubt:
+            letters = len(LETTER.findall(text[:4000]))
+            if float(self.centres[best] @ x) < next(least for n, least in FLOORS if letters >= n):
+                return UNKNOWN, 0.0
         return best, share * (votes[best] / max(1, len(langs) - 1) if len(langs) > 1 else 1.0)
 
 
@@ -130,10 +147,11 @@ def fit(docs: DataFrame, train: Column, max_rows: int = 2000, max_per_language:
     return LanguageModel(np.array([np.frombuffer(x, np.float16) for _, x in rows], np.float32).reshape(len(rows), BUCKETS), [k for k, _ in rows])
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc_id",), doubt: bool = False) -> DataFrame:
     """The columns keep, lang_pred and score of every row of docs.
 
-    und with score 0 where the text is null, empty or has no letter. Each row
+    und with score 0 where the text is null, empty or has no letter, and with
+    doubt where it is not like any language learned. Each row
     is judged by its whole text alone, so repeated rows agree; an empty table
     gives an empty table.
     """
@@ -142,7 +160,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            said = [model.predict(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            said = [model.predict(t, doubt) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

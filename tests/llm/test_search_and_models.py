@@ -165,3 +165,19 @@ def test_language_stage_keeps_clean_documents(spark):
     docs = documents(spark, SF)
     kept = corpus_pipeline.identify_language(spark, docs, SF)
     assert docs.filter("n_chars > 30").join(kept, "doc_id", "left_anti").count() == 0
+
+
+def test_language_stage_drops_junk_and_unlearned_languages(spark):
+    rng = random.Random(4)
+    letters = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (8, 30, 200)]
+    other = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    ]
+    clean = documents(spark, SF)
+    bad = spark.createDataFrame([(10_000 + i, t, None, "x", len(t)) for i, t in enumerate(letters + other)], SCHEMA)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, clean.unionByName(bad), SF).collect()}
+    assert not {i for i in kept if i >= 10_000}
+    assert {r["doc_id"] for r in clean.filter("n_chars > 30").collect()} <= kept
