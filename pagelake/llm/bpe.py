@@ -235,10 +235,13 @@ def decode(encoded: DataFrame, file: str | None = None) -> DataFrame:
 
     The table is the tokenizer's vocabulary, of fixed size, so it is broadcast.
     Pieces are joined by blanks, special tokens included. No ids give ''.
+    Repeated rows and null ids each keep their row.
     """
     spark = encoded.sparkSession
     table = spark.createDataFrame(list(enumerate(pieces(file or public_tokenizers.path(TOKENIZER)))), "id int, piece string")
-    rows = encoded.select("doc_id", F.xxhash64("ids").alias("__key"), F.posexplode_outer("ids").alias("pos", "id"))
-    joined = rows.join(F.broadcast(table), "id", "left").groupBy("doc_id", "__key").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
-    texts = joined.select("doc_id", "__key", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
-    return texts.select("doc_id", "decoded")
+    # Equal id lists are decoded once and joined back to their rows; null and [] share a key and a text.
+    rows = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("__key"))
+    parts = rows.select("__key", "ids").distinct().select("__key", F.posexplode_outer("ids").alias("pos", "id"))
+    joined = parts.join(F.broadcast(table), "id", "left").groupBy("__key").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+    texts = joined.select("__key", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
+    return rows.join(texts, "__key").select("doc_id", "decoded")

@@ -36,6 +36,15 @@ def test_encode_and_decode(docs):
     assert texts == {r["doc_id"]: t.decode(t.encode(r["text"], add_special_tokens=False).ids, skip_special_tokens=False) for r in one.collect()}
 
 
+def test_decode_keeps_repeated_rows(spark):
+    rows = [(1, "hello world"), (1, "hello world"), (None, "hello world"), (None, "hello world"), (None, ""), (2, None), (2, "world hello hello")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["decoded"]) for r in bpe.decode(bpe.encode(docs)).collect()]
+    t = bpe.tokenizer(public_tokenizers.path(bpe.TOKENIZER))
+    want = [(i, t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False)) for i, x in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_empty_table(docs):
     none = docs.filter("false")
     assert bpe.digests(none).count() == bpe.encode(none).count() == token_counts.count_tokens(none).count() == 0
