@@ -1,15 +1,12 @@
-"""Suffix dedup over bytes: suffixes sorted by sample, the rest induced (operator 5).
-
-A suffix tuple for every byte would need several times the text on disk, so
-only the suffixes that start at sample positions (seeds) are sorted over the
-corpus; Spark's shuffles, which spill, are the external queues. Suffixes that
-stand up to `reach` bytes before a sample position are induced from it: two
-of them share 200 bytes iff they have the same sample suffix at the same
-distance d, the d bytes before it are equal, and the common prefix of the
-sample suffixes has at least 200 - d bytes. Names (hashes) of stretches stand
-for ranks and common-prefix lengths, so that only "equal over this length" is
-asked. The recursion narrows the distances: all of a sample suffix at once,
-then parts of a few distances, then single ones, each on what is left.
+"""Suffix dedup over bytes by hash classes of winnowed seeds, in place of suffix sorting (operator 5).
+
+A suffix tuple for every byte is reckoned to need several times the text on
+disk, so no suffix is sorted and no order induced. Windows of 200 bytes get a
+seed; those that start up to `reach` bytes before it are told apart by their
+distance d: two of them are equal iff they have equal seeds at the same d, the
+d bytes before and the 200 - d bytes from the seed on being equal. Hashes of
+stretches stand for the bytes. The classes narrow: all distances of a seed at
+once, then parts of a few, then single ones, each on what is left.
 """
 
 from __future__ import annotations
