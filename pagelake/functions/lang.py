@@ -7,20 +7,46 @@ from pyspark.sql import functions as F
 
 #: Recogniser bucket, language code and language name of each script.
 SCRIPTS = {
-    "Latin": ("latin", "en", "Auto"),
-    "Japanese": ("japanese", "ja", "Japanese"),
-    "Hangul": ("korean", "ko", "Korean"),
+    "Cyrillic": ("cyrillic", "ru", "Russian"),
     "HanS": ("chinese", "zh", "Chinese"),
     "HanT": ("chinese", "zh", "Chinese"),
-    "Cyrillic": ("russian", "ru", "Russian"),
+    "Hangul": ("korean", "ko", "Korean"),
+    "Japanese": ("japanese", "ja", "Japanese"),
+    "Latin": ("latin", "en", "Auto"),
 }
-#: Language names and codes.
+#: Language codes in order, and their names.
 LANGUAGES = {
-    "English": "en", "Korean": "ko", "Japanese": "ja", "French": "fr", "Simplified Chinese": "zh-CN", "Traditional Chinese": "zh-TW", "Chinese": "zh", "Russian": "ru", "German": "de",
-    "Dutch": "nl", "Spanish": "es", "Italian": "it", "Turkish": "tr", "Polish": "pl", "Portuguese": "pt", "Brazilian Portuguese": "pt-br", "Thai": "th", "Vietnamese": "vi", "Indonesian": "id",
-    "Hungarian": "hu", "Finnish": "fi", "Arabic": "ar", "Czech": "cs", "Persian": "fa", "Romanian": "ro", "Mongolian": "mn",
-}
-RTL = ("ar", "fa", "he", "ur")
+    "ar": "Arabic",
+    "cs": "Czech",
+    "de": "German",
+    "en": "English",
+    "es": "Spanish",
+    "fa": "Persian",
+    "fi": "Finnish",
+    "fr": "French",
+    "he": "Hebrew",
+    "hr": "Croatian",
+    "hu": "Hungarian",
+    "id": "Indonesian",
+    "it": "Italian",
+    "ja": "Japanese",
+    "ko": "Korean",
+    "mn": "Mongolian",
+    "nl": "Dutch",
+    "pl": "Polish",
+    "pt": "Portuguese",
+    "pt-br": "Brazilian Portuguese",
+    "ro": "Romanian",
+    "ru": "Russian",
+    "th": "Thai",
+    "tr": "Turkish",
+    "vi": "Vietnamese",
+    "zh": "Chinese",
+    "zh-CN": "Simplified Chinese",
+    "zh-TW": "Traditional Chinese",
+}
+#: Codes of languages written from right to left.
+RTL = ("ar", "fa", "he")
 
 
 def _map(pairs: dict) -> Column:
@@ -53,12 +79,23 @@ def script_ok(c: Column) -> Column:
 
 
 def lang_code(c: Column) -> Column:
-    return _map(LANGUAGES)[c]
+    """The code of a name; null if it is none of ours."""
+    return _map({v: k for k, v in LANGUAGES.items()})[c]
 
 
 def canonical_lang(c: Column) -> Column:
     """The name of a code."""
-    return _map({v: k for k, v in LANGUAGES.items()})[c]
+    return _map(LANGUAGES)[c]
+
+
+def to_canonical(label: Column, labels: dict[str, str]) -> Column:
+    """The name behind a label of a user interface, which maps labels to names; unknown labels stay."""
+    return F.coalesce(_map(labels)[label], label) if labels else label
+
+
+def to_label(name: Column, labels: dict[str, str]) -> Column:
+    """The label of a name; unknown names stay."""
+    return to_canonical(name, {v: k for k, v in labels.items()})
 
 
 def is_rtl(code: Column) -> Column:

@@ -5,73 +5,102 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Patterns of an error in order, with class and advice.
+#: Phrases of an error, in order, with its class and advice.
 DETAILS = [
-    ("timed out|timeout", "Request timed out", "Try again or check the connection"),
-    ("429|rate limit|too many requests", "Rate limited by provider", "Wait and try again"),
-    ("401|403|unauthorized|forbidden|api key", "Authentication failed", "Check the credentials"),
-    ("insufficient credits|402", "Insufficient credits", "Buy credits or switch the provider"),
-    ("connection|network|dns", "Network error", "Check the connection"),
-    ("500|502|503|504|unavailable", "Provider unavailable", "Try again later"),
-    ("json|expecting value|parse", "Unexpected response", "Try again or switch the model"),
-    ("flagged|safety|content policy", "Content flagged", "Edit the text or switch the provider"),
+    (("flagged as unsafe", "content was flagged", "safety filters"), "The AI provider flagged this content", None),
+    (("insufficient credit",), "Insufficient credits", "Buy more credits"),
+    (("timed out", "timeout"), "Request timed out", "Try again"),
+    (("too many requests", "rate limit", "429"), "Rate limited by provider", "Wait and try again"),
+    (("unauthorized", "invalid api key", "401", "403"), "Authentication failed", "Check API settings"),
+    (("connection", "network", "name or service not known", "failed to establish"), "Network or connection error", "Check your connection"),
+    (("bad gateway", "service unavailable", "gateway timeout", "502", "503", "504"), "Provider unavailable", "Try again later"),
+    (("jsondecodeerror", "empty json", "expecting value"), "Invalid translation response", "Try again"),
 ]
+#: The class of any other error, and advice by reason.
+OTHER, ADVICE = "Unexpected tool error", {"ocr": "Try another text recognition tool", "translat": "Try another translator"}
 #: Texts of the skip reasons.
-REASONS = {"OCR": "Text recognition failed", "Translator": "Translation failed", "Text Blocks": "No text blocks found", "Image Load": "The image could not be read"}
+REASONS = {
+    "Image Load": "Image could not be opened",
+    "OCR": "Text recognition failed",
+    "OCR Chunk Failed": "Webtoon text recognition chunk failed",
+    "Text Blocks": "No text blocks detected",
+    "Translation Chunk Failed": "Webtoon translation chunk failed",
+    "Translator": "Translation failed",
+}
 
 
 def error_line(c: Column, most: int = 180) -> Column:
-    """The first line that says something: no traceback head, no file line; cut."""
-    lines = F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.lower(x).startswith("traceback") & ~x.startswith("File "))
-    return F.substring(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), 1, most)
+    """The first line that says something before a traceback; file lines and notes on handling are passed by; cut with dots."""
+    lines = F.filter(F.transform(F.split(c, "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^File [\"']") & ~x.startswith("During handling of the above exception"))
+    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
+    said = F.when(F.lower(first).startswith("traceback"), "").otherwise(first)
+    return F.when(F.length(said) > most, F.concat(F.substring(said, 1, most - 3), F.lit("..."))).otherwise(said)
+
+
+def _any(c: Column, phrases: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(c), p))
 
 
 def is_flagged(c: Column) -> Column:
-    return F.lower(c).contains("flagged")
+    return _any(F.coalesce(c, F.lit("")), DETAILS[0][0])
 
 
-def is_user_skip(c: Column) -> Column:
-    return F.lower(c).contains("user-skipped")
+def is_user_skip(reason: Column, error: Column | None = None) -> Column:
+    said = F.concat_ws(" ", reason, F.lit("") if error is None else error)
+    return _any(said, ("user-skipped", "user skipped"))
 
 
 def is_no_text(reason: Column) -> Column:
     return reason == "Text Blocks"
 
 
-def _first(c: Column, i: int) -> Column:
-    out = F.lit("")
-    for pattern, *told in reversed(DETAILS):
-        out = F.when(F.lower(c).rlike(pattern), told[i]).otherwise(out)
-    return out
-
-
 def error_detail(c: Column) -> Column:
-    return _first(c, 0)
+    """The class of an error, '' without one."""
+    said, out = error_line(c), F.lit(OTHER)
+    for phrases, told, _ in reversed(DETAILS):
+        out = F.when(_any(said, phrases), told).otherwise(out)
+    return F.when(F.coalesce(said, F.lit("")) == "", "").otherwise(out)
 
 
 def error_action(reason: Column, c: Column) -> Column:
-    by_error = _first(c, 1)
-    return F.when(by_error != "", by_error).when(reason == "Image Load", "Check the file").when(reason == "OCR", "Try another reader").otherwise("Try again")
+    """What to do: by the error's class; by the reason if content was flagged or the error says nothing known."""
+    said, why = error_line(c), F.lower(F.coalesce(reason, F.lit("")))
+    by_reason = lambda other: F.when(why.contains("ocr"), ADVICE["ocr"]).when(why.contains("translator") | why.contains("translation"), ADVICE["translat"]).otherwise(other)
+    out = F.when(reason == "Text Blocks", "").otherwise(by_reason("Try again"))
+    for phrases, _, advice in reversed(DETAILS):
+        out = F.when(_any(said, phrases), by_reason("Try another tool") if advice is None else F.lit(advice)).otherwise(out)
+    return out
 
 
 def skip_reason(reason: Column, c: Column) -> Column:
-    base = F.coalesce(F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])[reason], F.lit("Page skipped"))
-    detail = error_detail(c)
-    return F.concat(base, F.when(detail != "", F.concat(F.lit(": "), detail)).otherwise(""), F.lit(". "), error_action(reason, c))
+    """The text of a reason, with the error's class and the advice where there are such."""
+    base = F.coalesce(F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])[reason], F.lit("Page processing failed"))
+    detail, action = error_detail(c), error_action(reason, c)
+    return F.concat(base, F.when(detail != "", F.concat(F.lit(": "), detail)).otherwise(""), F.when(action != "", F.concat(F.lit(". "), action, F.lit("."))).otherwise(""))
 
 
 def http_error(status: Column, body: Column) -> tuple[Column, Column]:
     """The message of an error body (text, object or list under detail) and the class of the status."""
     detail = F.get_json_object(body, "$.detail")
     told = F.coalesce(F.get_json_object(body, "$.detail.message"), F.get_json_object(body, "$.detail[0].msg"), detail, F.get_json_object(body, "$.message"), body)
-    kind = F.when(status == 402, "credits").when((status == 400) & is_flagged(told), "flagged").when(status >= 500, "server").otherwise("other")
+    kind = F.when(status == 402, "credits").when((status == 400) & F.contains(F.lower(told), F.lit("flagged")), "flagged").when(status >= 500, "server").otherwise("other")
     return told, kind
 
 
-def progress_pct(page: Column, pages: Column, archive: Column, archives: Column) -> Column:
-    """Pages make nine tenths, archives the last one."""
-    part = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return 90 * part(page, pages) + 10 * part(archive, archives)
+#: Names of the steps of a page.
+STAGES = {0: "start-image", 1: "text-block-detection", 2: "ocr-processing", 3: "translation", 5: "pre-inpaint-setup", 7: "inpainting", 9: "text-rendering-prepare", 10: "save-and-finish"}
+
+
+def stage_name(step: Column) -> Column:
+    known = F.create_map(*[x for k, v in STAGES.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(known[step.cast("int")], F.concat(F.lit("stage-"), step.cast("string")))
+
+
+def progress_pct(index: Column, pages: Column, step: Column, steps: Column, archives: Column) -> Column:
+    """Pages make nine tenths, archives, whose indices follow, the last one; a step is its share of a page or archive."""
+    share = F.when(steps > 0, step / steps).otherwise(0.0)
+    part = lambda n, of: F.when(of > 0, (n + share) / of).otherwise(0.0)
+    return F.when(index < pages, 90 * part(index, pages)).otherwise(90 + 10 * part(index - pages, archives))
 
 
 def parse_credits(c: Column) -> Column:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letters and digits of ASCII and their full-width forms, in order.
 _HALF = "".join(map(chr, range(0x21, 0x7F)))
 _FULL = "".join(chr(ord(c) + 0xFEE0) for c in _HALF)
+#: Half-width kana and marks, their full-width forms, and letters that a voicing mark joins.
+_KANA = "".join(map(chr, range(0xFF61, 0xFFA0)))
+_WIDE = "".join(unicodedata.normalize("NFKC", c).strip() if c not in "\uff9e\uff9f" else {"\uff9e": "\u309b", "\uff9f": "\u309c"}[c] for c in _KANA)
+_VOICED = {c + m: v for c in _KANA for m in "\uff9e\uff9f" if len(v := unicodedata.normalize("NFKC", c + m)) == 1}
 
 
 def has_content(c: Column) -> Column:
@@ -39,22 +45,61 @@ def preview(c: Column, start: Column, end: Column, around: int = 30) -> Column:
     return F.concat(F.when(low > 0, "…").otherwise(""), cut, F.when(high < F.length(c), "…").otherwise(""))
 
 
+_CASED = "\\p{Lu}\\p{Lt}\\p{Ll}"
+_TITLE = f"^[^{_CASED}]*[\\p{{Lu}}\\p{{Lt}}]\\p{{Ll}}*(?:[^{_CASED}]+[\\p{{Lu}}\\p{{Lt}}]\\p{{Ll}}*)*[^{_CASED}]*$"
+
+
+def title_case(c: Column) -> Column:
+    """Every run of letters with case: a capital, then small letters."""
+    runs = F.regexp_extract_all(c, F.lit(f"[{_CASED}]+|[^{_CASED}]+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 30)))), "")
+
+
 def preserve_case(match: Column, replacement: Column) -> Column:
     """The replacement in the case of what it replaces: lower, upper, title, or first letter."""
     cased = F.lower(match) != F.upper(match)
-    first = F.substring(match, 1, 1)
-    title = match == F.initcap(match)
     capital = F.concat(F.upper(F.substring(replacement, 1, 1)), F.substring(replacement, 2, 1 << 30))
     return (
         F.when(~cased, replacement)
         .when(match == F.lower(match), F.lower(replacement))
         .when(match == F.upper(match), F.upper(replacement))
-        .when(title, F.initcap(replacement))
-        .when(first != F.lower(first), capital)
+        .when(match.rlike(_TITLE), title_case(replacement))
+        .when(match.rlike("^\\p{Lu}"), capital)
         .otherwise(replacement)
     )
 
 
+def plain_text(c: Column) -> Column:
+    """The text of HTML: tags go, the common entities become characters."""
+    flat = F.regexp_replace(F.regexp_replace(c, "(?i)<br\\s*/?>", "\n"), "<[^>]*>", "")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        flat = F.replace(flat, F.lit(name), F.lit(char))
+    return flat
+
+
+def is_vertical(direction: Column, target: Column) -> Column:
+    """Set in columns: a vertical block in a language that can be."""
+    return F.coalesce((direction == "vertical") & F.lower(target).isin("zh-cn", "zh-tw", "ja"), F.lit(False))
+
+
+def rotate_crops(direction: Column, width: Column, height: Column) -> Column:
+    """Lines to be turned before reading: vertical and over 1.15 times as high as wide."""
+    return (direction == "vertical") & (height > 1.15 * width)
+
+
+def reader_override(free: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """Free text taller than 0.3 or wider than 0.5 of its page goes to the other reader."""
+    return free & ((height > 0.3 * page_height) | (width > 0.5 * page_width))
+
+
+def smart_color(found: tuple[Column, Column, Column], default: tuple[Column, Column, Column]) -> Column:
+    """A struct r, g, b: the colour found, else the default; one that is nearly grey becomes black or white by its luma."""
+    known = found[0].isNotNull() & found[1].isNotNull() & found[2].isNotNull()
+    grey = F.greatest(*found) - F.least(*found) < 40
+    snapped = F.when(0.299 * found[0] + 0.587 * found[1] + 0.114 * found[2] < 128, 0).otherwise(255)
+    return F.struct(*(F.when(~known, d).when(grey, snapped).otherwise(c).alias(n) for n, c, d in zip("rgb", found, default, strict=True)))
+
+
 def looks_html(c: Column) -> Column:
     return c.rlike("<[^>]+>")
 
@@ -79,10 +124,12 @@ def text_delta(old: Column, new: Column) -> Column:
 
 
 def clean_ja(c: Column) -> Column:
-    """Recognised text: no blanks, dots in runs kept as dots, half to full width."""
-    flat = F.replace(F.regexp_replace(c, "\\s+", ""), F.lit("…"), F.lit("..."))
-    dots = F.regexp_replace(flat, "[・.]{2,}", "..")
-    return F.translate(dots, _HALF, _FULL)
+    """Recognised text: no blanks, middle dots in runs of dots become dots, half to full width."""
+    flat = F.replace(F.regexp_replace(c, "(?U)\\s+", ""), F.lit("…"), F.lit("..."))
+    wide = F.regexp_replace(flat, "・(?=[・.])|(?<=[・.])・", ".")
+    for two, one in _VOICED.items():
+        wide = F.replace(wide, F.lit(two), F.lit(one))
+    return F.translate(wide, _HALF + _KANA, _FULL + _WIDE)
 
 
 def safe_stem(c: Column) -> Column:
@@ -105,9 +152,11 @@ def block_id() -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts p2 before p10: runs of digits padded."""
+    """Sorts p2 before p10: a run of digits sorts by its length without leading zeros, then by its digits."""
     parts = F.regexp_extract_all(c, F.lit("\\d+|\\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
+    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), number(p)).otherwise(p)), "")
 
 
 def is_image_file(c: Column) -> Column:

@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
 
 
-def by_group(df: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
-    """fn on the rows (tuples) of each group, which stand together after one shuffle; it returns tuples.
-
-    Groups are streamed, so a task holds one group and one batch.
-    """
-    at = [df.columns.index(k) for k in keys]
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        key, held = None, []
-        for b in batches:
-            out: list[tuple] = []
-            for row in b.itertuples(index=False, name=None):
-                own = tuple(row[i] for i in at)
-                if own != key and held:
-                    out += fn(held)
-                    held = []
-                key = own
-                held.append(row)
-            yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(fn(held), columns=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
-
-
 def clean_boxes(df: DataFrame, width: int, height: int, tol: int = 5) -> DataFrame:
     """Clamp to the page; drop boxes at most tol wide or high."""
     clamp = lambda c, top: F.greatest(F.lit(0), F.least(F.col(c), F.lit(top)))
@@ -108,15 +78,6 @@ def line_hulls(lines: DataFrame) -> DataFrame:
     return lines.groupBy("page_id", "line").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"), F.count("*").alias("n"))
 
 
-def segments_by_x(rows: DataFrame) -> DataFrame:
-    """Cut rows (page_id, line) where the blank to the running right edge is over max(12, 0.85 median height)."""
-    w = Window.partitionBy("page_id", "line").orderBy("x1", "det_idx")
-    d = rows.withColumn("right", F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    d = d.withColumn("limit", F.greatest(F.lit(12.0), 0.85 * F.percentile(F.col("y2") - F.col("y1"), 0.5).over(Window.partitionBy("page_id", "line"))))
-    d = gaps_and_islands(d, ["page_id", "line"], ["x1", "det_idx"], F.col("x1") - F.col("right") > F.col("limit"))
-    return d.withColumnRenamed("island", "segment").drop("right", "limit")
-
-
 def rect_order(df: DataFrame) -> DataFrame:
     """Reading order: by line, then left to right."""
     lines = group_lines(df)
@@ -130,299 +91,48 @@ def sort_lines(lines: DataFrame, vertical: Column) -> DataFrame:
     return lines.withColumn("rank", F.row_number().over(w))
 
 
-def drop_nested(df: DataFrame, least: float = 0.85) -> DataFrame:
-    """Drop boxes covered on both axes by at least that share of another at least as large (each other, if equal)."""
-    a, b = B.box("a."), B.box("b.")
-    covered = (B.overlap_1d(a.x1, a.x2, b.x1, b.x2) >= least * a.width) & (B.overlap_1d(a.y1, a.y2, b.y1, b.y2) >= least * a.height)
-    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.det_idx") != F.col("b.det_idx")) & (b.area >= a.area) & covered
-    return df.alias("a").join(df.alias("b"), on, "left_anti")
+def segments_by_x(rows: DataFrame) -> DataFrame:
+    """Cut rows (page_id, line) where the blank after the running right edge is over max(12, 0.85 median height)."""
+    w = Window.partitionBy("page_id", "line").orderBy("x1", "det_idx")
+    d = rows.withColumn("right", F.max("x2").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.withColumn("limit", F.greatest(F.lit(12.0), 0.85 * F.percentile(F.col("y2") - F.col("y1"), 0.5).over(Window.partitionBy("page_id", "line"))))
+    d = gaps_and_islands(d, ["page_id", "line"], ["x1", "det_idx"], F.col("x1") - F.col("right") - 1 > F.col("limit"))
+    return d.withColumnRenamed("island", "segment").drop("right", "limit")
 
 
-def merge_contained(df: DataFrame, least: float = 0.3, same: float = 0.5) -> DataFrame:
-    """Boxes of a page, in order, grown over all original boxes in a containment of at least that share; then of near-equal results the first.
+def drop_nested(df: DataFrame, wider: float = 1.0, higher: float = 1.0, across: float = 0.85, down: float = 0.85) -> DataFrame:
+    """Drop boxes covered by those shares, in pixels, by another box at least so many times as wide and high.
 
-    Order matters, so a page is one array and both passes are folds in the JVM.
+    The defaults are for columns in columns; (1.75, 1.1, 0.7, 0.85) for narrow
+    lines beside a wide one.
     """
-    cols = ["x1", "y1", "x2", "y2"]
-    make = lambda b: F.struct(*(c.cast("double").alias(n) for c, n in zip((b.x1, b.y1, b.x2, b.y2), cols, strict=True)))
-    as_box = lambda s: B.Box(s["x1"], s["y1"], s["x2"], s["y2"])
-    page = df.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("det_idx", *(F.col(c).cast("double").alias(c) for c in cols)))).alias("all"))
-
-    def grow(own: Column) -> Column:
-        def step(acc: Column, other: Column) -> Column:
-            a, o = as_box(acc), as_box(other)
-            hit = B.mostly_in(a, o, least) | B.mostly_in(o, a, least)
-            return F.when(hit, make(B.union_box(a, o))).otherwise(acc)
-
-        return F.aggregate("all", make(as_box(own)), step)
-
-    grown = page.withColumn("grown", F.transform("all", grow))
-    empty = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
-
-    def keep(acc: Column, s: Column) -> Column:
-        known = F.exists(acc, lambda k: (k == s) | (B.iou(as_box(k), as_box(s)) >= same))
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(s)))
-
-    return grown.select("page_id", F.posexplode(F.aggregate("grown", empty, keep)).alias("idx", "b")).select("page_id", "idx", "b.*")
-
-
-def merge_touching(df: DataFrame, width: int, height: int, pad: int = 32) -> DataFrame:
-    """Padded boxes of a page that touch are merged until none do; the hulls don't depend on the order."""
-
-    def page(rows: list[tuple]) -> list[tuple]:
-        boxes, merged = [list(r[1:]) for r in rows], True
-        while merged:
-            merged, out = False, []
-            for b in boxes:
-                for o in out:
-                    if b[0] <= o[2] and o[0] <= b[2] and b[1] <= o[3] and o[1] <= b[3]:
-                        o[:] = [min(b[0], o[0]), min(b[1], o[1]), max(b[2], o[2]), max(b[3], o[3])]
-                        merged = True
-                        break
-                else:
-                    out.append(b)
-            boxes = out
-        return [(rows[0][0], *b) for b in sorted(boxes)]
-
-    padded = pad_boxes(df, width, height, pad).select("page_id", "x1", "y1", "x2", "y2")
-    return by_group(padded, ["page_id"], page, "page_id long, x1 long, y1 long, x2 long, y2 long")
-
-
-def reading_order(df: DataFrame, rtl: bool = False, band: float = 0.5) -> DataFrame:
-    """Blocks by centre height, one inserted after another; blocks of one band by x, from the right for tall pairs if asked."""
-
-    def page(boxes: list[tuple]) -> list[tuple]:
-        rows: list[tuple] = []  # page_id, det_idx, x1, y1, x2, y2, cx, cy
-        for r in sorted(boxes, key=lambda r: (r[7], r[1])):
-            at = len(rows)
-            for i, o in enumerate(rows):
-                if abs(r[7] - o[7]) <= band * min(r[5] - r[3], o[5] - o[3]):
-                    tall = r[5] - r[3] > r[4] - r[2] and o[5] - o[3] > o[4] - o[2]
-                    if r[6] > o[6] if rtl and tall else r[6] < o[6]:
-                        at = i
-                        break
-                elif r[7] < o[7]:
-                    at = i + 1
-                    break
-            rows.insert(at, r)
-        return [(r[0], r[1], i) for i, r in enumerate(rows)]
+    size = lambda b: (F.greatest(b.width + 1, F.lit(1)), F.greatest(b.height + 1, F.lit(1)))
+    a, b = B.box("a."), B.box("b.")
+    (aw, ah), (bw, bh) = size(a), size(b)
+    shared = lambda p1, p2, q1, q2: F.least(p2, q2) - F.greatest(p1, q1) + 1
+    covered = (shared(a.x1, a.x2, b.x1, b.x2) >= across * aw) & (shared(a.y1, a.y2, b.y1, b.y2) >= down * ah)
+    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.det_idx") != F.col("b.det_idx")) & (bw >= wider * aw) & (bh >= higher * ah) & covered
+    return df.alias("a").join(df.alias("b"), on, "left_anti")
 
-    b = B.box()
-    slim = df.select("page_id", F.col("det_idx").cast("long").alias("det_idx"), "x1", "y1", "x2", "y2", b.cx.cast("double").alias("cx"), b.cy.cast("double").alias("cy"))
-    return by_group(slim, ["page_id"], page, "page_id long, det_idx long, rank int")
 
+def direction_from_lines(lines: DataFrame, blocks: DataFrame, lang: Column | None = None) -> DataFrame:
+    """vertical or horizontal, by the shapes of a block's lines: one side must outweigh the other by 1.15 and 0.2.
 
-def direction_votes(df: DataFrame) -> DataFrame:
-    """Orientation votes of a page: spread of centres, median shape, nearest neighbours; vertical only if strictly more."""
-    b = B.box()
-    d = df.select("page_id", "det_idx", "x1", "y1", "x2", "y2", b.cx.alias("cx"), b.cy.alias("cy"))
-    shape = d.groupBy("page_id").agg(
-        (F.max("cy") - F.min("cy")).alias("range_y"), (F.max("cx") - F.min("cx")).alias("range_x"), F.percentile((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")), 0.5).alias("aspect"), F.count("*").alias("n")
-    )
-    other = d.select("page_id", F.col("det_idx").alias("o_idx"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
-    dx, dy = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy")
-    pairs = d.join(other, "page_id").filter("det_idx <> o_idx").withColumns({"right": F.when((dx > 0) & (F.abs(dy) < dx), dx), "down": F.when((dy > 0) & (F.abs(dx) < dy), dy)})
-    flow = pairs.groupBy("page_id", "det_idx").agg(F.min("right").alias("r"), F.min("down").alias("d"))
-    flow = flow.groupBy("page_id").agg(F.sum((F.col("r") <= F.coalesce("d", F.lit(1e9))).cast("int")).alias("flow_right"), F.sum((F.col("d") < F.coalesce("r", F.lit(1e9))).cast("int")).alias("flow_down"))
-    v = shape.join(flow, "page_id", "left").na.fill(0, ["flow_right", "flow_down"])
-    tall = ((F.col("range_y") > 1.5 * F.col("range_x")).cast("int"), (F.col("aspect") > 1.2).cast("int"), (F.col("flow_down") > 1.2 * F.col("flow_right")).cast("int"))
-    flat = ((F.col("range_x") > 1.5 * F.col("range_y")).cast("int"), (F.col("aspect") < 1 / 1.2).cast("int"), (F.col("flow_right") > 1.2 * F.col("flow_down")).cast("int"))
-    return v.withColumns({"vertical_votes": sum(tall[1:], tall[0]), "horizontal_votes": sum(flat[1:], flat[0])}).withColumn("direction", F.when(F.col("vertical_votes") > F.col("horizontal_votes"), "ver_rtl").otherwise("hor_ltr"))
-
-
-def direction_from_lines(lines: DataFrame, blocks: DataFrame) -> DataFrame:
-    """From the shapes of a block's lines: vertical if the tall ones outweigh the wide ones by 1.15 and 0.2; without lines by the block."""
+    Else by the block: vertical if over 1.25 times as high as wide. With lang
+    by the hull of the lines (the block without any): 1.15 times, or for a
+    nearly square one in Japanese or Chinese from 0.9 on; Korean is horizontal.
+    """
     b = B.box()
-    w, h = b.width.cast("double"), b.height.cast("double")
-    sums = lines.groupBy("page_id", "block_idx").agg(F.sum(F.greatest(w / h - 1, F.lit(0.0))).alias("wide"), F.sum(F.greatest(h / w - 1, F.lit(0.0))).alias("tall"))
+    w, h = F.greatest(b.width, F.lit(1)).cast("double"), F.greatest(b.height, F.lit(1)).cast("double")
+    hull = [f(c).alias(f"l{c}") for f, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))]
+    sums = lines.groupBy("page_id", "block_idx").agg(F.sum(F.greatest(w / h - 1, F.lit(0.0))).alias("wide"), F.sum(F.greatest(h / w - 1, F.lit(0.0))).alias("tall"), *hull)
     d = blocks.join(sums, ["page_id", "block_idx"], "left")
-    by_lines = F.col("tall") > 1.15 * F.col("wide") + 0.2
-    return d.withColumn("direction", F.when(F.coalesce(by_lines, b.height > b.width), "ver_rtl").otherwise("hor_ltr")).select("page_id", "block_idx", "direction")
-
-
-def fold_page(df: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Column, step, finish=None) -> DataFrame:
-    """Rows of a key, in order, folded into an array of structs (idx and columns); one row for each struct left."""
-    rows = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("__rows"))
-    return rows.select(*keys, F.inline(F.aggregate("__rows", start, step, finish) if finish else F.aggregate("__rows", start, step)))
-
-
-def _boxes(like: str = "") -> Column:
-    return F.array().cast(f"array<struct<idx:bigint,x1:bigint,y1:bigint,x2:bigint,y2:bigint{like}>>")
-
-
-def dedup_blocks(df: DataFrame, pixels: int = 5) -> DataFrame:
-    """Blocks of a page, in order: one near a kept one with equal text takes its place if larger, else goes."""
-    like = ",text:string"
-    make = lambda r: F.struct(r["det_idx"].cast("long").alias("idx"), *(r[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")), r["text"].alias("text"))
-    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
-
-    def near(a: Column, b: Column) -> Column:
-        close = a["text"] == b["text"]
-        for c in ("x1", "y1", "x2", "y2"):
-            close = close & (F.abs(a[c] - b[c]) < pixels)
-        return close
-
-    def step(acc: Column, r: Column) -> Column:
-        new = make(r)
-        first = F.array_min(F.transform(acc, lambda k, i: F.when(near(k, new), i)))
-        swapped = F.transform(acc, lambda k, i: F.when((i == first) & (area(new) > area(k)), new).otherwise(k))
-        return F.when(first.isNull(), F.concat(acc, F.array(new))).otherwise(swapped)
-
-    return fold_page(df, ["page_id"], ["det_idx"], ["x1", "y1", "x2", "y2", "text"], _boxes(like), step)
-
-
-def insert_new(new: DataFrame, existing: DataFrame, pixels: int = 5) -> DataFrame:
-    """New blocks with no existing one and no earlier new one within so many pixels on all sides."""
-    a, b = B.box("n."), B.box("e.")
-    fresh = new.alias("n").join(existing.alias("e"), (F.col("n.page_id") == F.col("e.page_id")) & B.near(a, b, pixels), "left_anti")
-    make = lambda r: F.struct(r["det_idx"].cast("long").alias("idx"), *(r[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-
-    def step(acc: Column, r: Column) -> Column:
-        one = make(r)
-        known = F.exists(acc, lambda k: (F.abs(k["x1"] - one["x1"]) <= pixels) & (F.abs(k["y1"] - one["y1"]) <= pixels) & (F.abs(k["x2"] - one["x2"]) <= pixels) & (F.abs(k["y2"] - one["y2"]) <= pixels))
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(one)))
-
-    return fold_page(fresh, ["page_id"], ["det_idx"], ["x1", "y1", "x2", "y2"], _boxes(), step)
-
-
-def _merge_into_first(df: DataFrame, order: list[str], fits) -> DataFrame:
-    """Boxes of a page, in order, each merged into the first group that it fits, or a group of its own."""
-    make = lambda r: F.struct(r["det_idx"].cast("long").alias("idx"), *(r[c].cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-
-    def union(k: Column, b: Column) -> Column:
-        return F.struct(k["idx"].alias("idx"), F.least(k["x1"], b["x1"]).alias("x1"), F.least(k["y1"], b["y1"]).alias("y1"), F.greatest(k["x2"], b["x2"]).alias("x2"), F.greatest(k["y2"], b["y2"]).alias("y2"))
-
-    def step(acc: Column, r: Column) -> Column:
-        one = make(r)
-        first = F.array_min(F.transform(acc, lambda k, i: F.when(fits(k, one), i)))
-        return F.when(first.isNull(), F.concat(acc, F.array(one))).otherwise(F.transform(acc, lambda k, i: F.when(i == first, union(k, one)).otherwise(k)))
-
-    return fold_page(df, ["page_id"], order, [c for c in ("det_idx", "x1", "y1", "x2", "y2") if c not in order], _boxes(), step)
-
-
-def _across(a: Column, b: Column, low: str, high: str) -> Column:
-    """Shared length of two boxes on an axis as a share of the smaller one."""
-    shared = F.greatest(F.least(a[high], b[high]) - F.greatest(a[low], b[low]), F.lit(0))
-    return shared / F.greatest(F.least(a[high] - a[low], b[high] - b[low]), F.lit(1))
-
-
-def merge_line_boxes(df: DataFrame) -> DataFrame:
-    """Line fragments in (y, x) order merged into the first line that they continue: same height band, small gap."""
-
-    def fits(k: Column, b: Column) -> Column:
-        tall = F.greatest(k["y2"] - k["y1"], b["y2"] - b["y1"])
-        gap = F.greatest(b["x1"] - k["x2"], k["x1"] - b["x2"])
-        return (_across(k, b, "y1", "y2") >= 0.5) & (gap <= tall)
-
-    return _merge_into_first(df, ["y1", "x1", "det_idx"], fits)
-
-
-def merge_aligned(df: DataFrame, median_height: int = 60) -> DataFrame:
-    """Aligned fragments merged row by row: overlap of 0.45 or centres near, gap at most max(14, 1.55 heights)."""
-
-    def fits(k: Column, b: Column) -> Column:
-        near = F.abs((k["y1"] + k["y2"]) - (b["y1"] + b["y2"])) / 2 <= 0.35 * median_height
-        gap = F.greatest(b["x1"] - k["x2"], k["x1"] - b["x2"])
-        return ((_across(k, b, "y1", "y2") >= 0.45) | near) & (gap <= max(14, 1.55 * median_height))
-
-    return _merge_into_first(df, ["x1", "y1", "det_idx"], fits)
-
-
-def merge_columns(df: DataFrame, gap: int = 12) -> DataFrame:
-    """Adjacent narrow columns merged from left to right."""
-
-    def fits(k: Column, b: Column) -> Column:
-        narrow = (k["x2"] - k["x1"] < k["y2"] - k["y1"]) & (b["x2"] - b["x1"] < b["y2"] - b["y1"])
-        return narrow & (b["x1"] - k["x2"] <= gap) & (_across(k, b, "y1", "y2") >= 0.6)
-
-    return _merge_into_first(df, ["x1", "det_idx"], fits)
-
-
-def rows_by_y(df: DataFrame, share: float = 0.6) -> DataFrame:
-    """Boxes by centre height; a row takes the next while it stays within a share of its height from the row's mean centre."""
-    empty = F.array().cast("array<struct<n:int,mean:double,members:array<bigint>>>")
-    rows = df.withColumn("cy", B.box().cy.cast("double")).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("cy", "det_idx", (F.col("y2") - F.col("y1")).alias("h")))).alias("r"))
-
-    def step(acc: Column, b: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = F.coalesce(F.abs(b["cy"] - last["mean"]) <= share * b["h"], F.lit(False))
-        member = F.array(b["det_idx"].cast("long"))
-        grown = F.struct((last["n"] + 1).alias("n"), ((last["mean"] * last["n"] + b["cy"]) / (last["n"] + 1)).alias("mean"), F.concat(last["members"], member).alias("members"))
-        fresh = F.struct(F.lit(1).alias("n"), b["cy"].alias("mean"), member.alias("members"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    rows = rows.select("page_id", F.posexplode(F.aggregate("r", empty, step)).alias("row", "s"))
-    return rows.select("page_id", "row", F.explode("s.members").alias("det_idx"))
-
-
-def merge_slices(df: DataFrame, inside: float = 0.85, same: float = 0.5) -> DataFrame:
-    """Boxes of a page and label from overlapping slices: contained or equal ones keep the larger, stacked parts become one, until nothing changes."""
-
-    def page(rows: list[tuple]) -> list[tuple]:
-        boxes = [r[3:] for r in sorted(rows, key=lambda r: r[2])]
-        area = lambda b: max(0, b[2] - b[0]) * max(0, b[3] - b[1])
-
-        def joined(a, b):
-            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-            both, small, large = max(0, w) * max(0, h), min(area(a), area(b)), max(area(a), area(b))
-            if small and (both / small >= inside or both / (small + large - both) >= same):
-                return a if area(a) >= area(b) else b
-            hull = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-            stacked = w > 0 and w / max(1, min(a[2] - a[0], b[2] - b[0])) >= 0.8 and -h <= 10 and abs((a[2] - a[0]) - (b[2] - b[0])) <= 0.2 * max(a[2] - a[0], b[2] - b[0])
-            return hull if stacked and area(hull) <= 3 * max(1, large) else None
-
-        changed = True
-        while changed:
-            changed = False
-            for i in range(len(boxes)):
-                for j in range(i + 1, len(boxes)):
-                    one = joined(boxes[i], boxes[j])
-                    if one is not None:
-                        boxes[i : i + 1], changed = [one], True
-                        del boxes[j]
-                        break
-                if changed:
-                    break
-        return [(*rows[0][:2], *b) for b in sorted(boxes)]
-
-    slim = df.select("page_id", "label", "det_idx", "x1", "y1", "x2", "y2")
-    return by_group(slim, ["page_id", "label"], page, "page_id long, label int, x1 long, y1 long, x2 long, y2 long")
-
-
-def absorb_fragments(df: DataFrame, least_area: int = 6000, reach: int = 40) -> DataFrame:
-    """Small boxes and the nearest larger neighbour of the page that takes each, if one is near."""
-    small, large = df.filter(B.box().area < least_area), df.filter(B.box().area >= least_area)
-    o = large.select("page_id", F.col("det_idx").alias("into"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
-    dx = F.greatest(F.col("o_x1") - F.col("x2"), F.col("x1") - F.col("o_x2"), F.lit(0))
-    dy = F.greatest(F.col("o_y1") - F.col("y2"), F.col("y1") - F.col("o_y2"), F.lit(0))
-    d = small.join(o, "page_id").withColumn("gap", dx + dy).filter(F.col("gap") <= reach)
-    return d.groupBy("page_id", "det_idx").agg(F.min(F.struct("gap", "into")).alias("m")).select("page_id", "det_idx", "m.into", "m.gap")
-
-
-def sliding_variance(df: DataFrame) -> DataFrame:
-    """Variance of centres over windows of clip(n/3, 3, 8) boxes by height, for pages of five boxes and more: its mean by page."""
-    w = Window.partitionBy("page_id").orderBy("cy", "det_idx")
-    d = df.withColumn("cy", B.box().cy.cast("double")).withColumn("cx", B.box().cx.cast("double"))
-    d = d.withColumns({"rn": F.row_number().over(w), "n": F.count("*").over(Window.partitionBy("page_id"))}).filter("n >= 5")
-    d = d.withColumn("size", F.least(F.greatest(F.floor(F.col("n") / 3), F.lit(3)), F.lit(8)))
-    for k in range(3, 9):
-        d = d.withColumn(f"v{k}", F.var_pop("cx").over(w.rowsBetween(-(k - 1), 0)))
-    v = F.coalesce(*[F.when((F.col("size") == k) & (F.col("rn") >= k), F.col(f"v{k}")) for k in range(3, 9)])
-    return d.withColumn("v", v).filter("v is not null").groupBy("page_id").agg(F.avg("v").alias("variance"), F.count("*").alias("windows"))
-
-
-def vote_projection(df: DataFrame, cell: int = 50, factor: float = 1.3) -> DataFrame:
-    """Rows against columns of a grid: text in lines fills rows unevenly, text in columns fills columns unevenly."""
-    across = F.explode(F.sequence(F.floor(F.col("x1") / cell), F.floor((F.col("x2") - 1) / cell)))
-    down = F.explode(F.sequence(F.floor(F.col("y1") / cell), F.floor((F.col("y2") - 1) / cell)))
-    cells = df.withColumn("c", across).withColumn("r", down).select("page_id", "r", "c").distinct()
-    span = cells.groupBy("page_id").agg((F.max("r") - F.min("r") + 1).alias("rows"), (F.max("c") - F.min("c") + 1).alias("cols"))
-
-    def spread(k: str, n: str) -> DataFrame:
-        filled = cells.groupBy("page_id", k).agg(F.count("*").cast("double").alias("m")).groupBy("page_id").agg(F.sum("m").alias("s"), F.sum(F.col("m") * F.col("m")).alias("q"))
-        d = filled.join(span, "page_id")
-        return d.select("page_id", (F.col("q") / F.col(n) - (F.col("s") / F.col(n)) * (F.col("s") / F.col(n))).alias(f"var_{k}"))  # empty rows count as 0
-
-    d = spread("r", "rows").join(spread("c", "cols"), "page_id")
-    vote = F.when(F.col("var_c") > factor * F.col("var_r"), "ver_rtl").when(F.col("var_r") > factor * F.col("var_c"), "hor_ltr")
-    return d.withColumn("vote", vote)
+    vertical = h > 1.25 * w
+    if lang is not None:
+        at = B.Box(*(F.coalesce(f"l{c}", c) for c in ("x1", "y1", "x2", "y2")))
+        w, h = F.greatest(at.width, F.lit(1)).cast("double"), F.greatest(at.height, F.lit(1)).cast("double")
+        name = F.lower(F.trim(F.coalesce(lang, F.lit(""))))
+        square = (name.isin("ja", "japanese", "zh", "ch") | name.startswith("zh-") | name.contains("chinese")) & (h / w).between(0.85, 1.15)
+        vertical = F.when(name.isin("ko", "korean"), F.lit(False)).when(square, h >= 0.9 * w).otherwise(h > 1.15 * w)
+    by_lines = F.when(F.col("tall") > 1.15 * F.col("wide") + 0.2, "vertical").when(F.col("wide") > 1.15 * F.col("tall") + 0.2, "horizontal")
+    return d.withColumn("direction", F.coalesce(by_lines, F.when(vertical, "vertical").otherwise("horizontal"))).select("page_id", "block_idx", "direction")

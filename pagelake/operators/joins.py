@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from ..functions import texts as T
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -128,13 +129,13 @@ def clip_to_pages(blocks: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def sync_items(items: DataFrame, blocks: DataFrame, pixels: int = 5, band: int = 64) -> DataFrame:
-    """Placed texts with the first block whose corner is less than pixels away; its text replaces the block's."""
+    """Placed texts with the first block whose corner is less than pixels away and turned by less than a degree; their text, without tags, replaces the block's."""
     cell = lambda c, d=0: F.floor((F.col(c) + d) / band)
     reach = F.array_distinct(F.array(*[F.struct(cell("px", i).alias("bx"), cell("py", j).alias("by")) for i in (-pixels, pixels) for j in (-pixels, pixels)]))
     p = items.withColumn("__b", F.explode(reach)).select("page_id", "item_idx", "px", "py", "rotation", "plain", F.col("__b.bx").alias("bx"), F.col("__b.by").alias("by"))
     b = blocks.select("page_id", "block_idx", "x1", "y1", "angle", cell("x1").alias("bx"), cell("y1").alias("by"))
     hit = (F.abs(F.col("px") - F.col("x1")) < pixels) & (F.abs(F.col("py") - F.col("y1")) < pixels) & (F.abs(F.col("rotation") - F.col("angle")) < 1)
-    return p.join(b, ["page_id", "bx", "by"]).filter(hit).groupBy("page_id", "item_idx").agg(F.min("block_idx").alias("block_idx"), F.first("plain").alias("plain"))
+    return p.join(b, ["page_id", "bx", "by"]).filter(hit).groupBy("page_id", "item_idx").agg(F.min("block_idx").alias("block_idx"), F.first(T.plain_text(F.col("plain"))).alias("plain"))
 
 
 def edit_blocks(edits: DataFrame, blocks: DataFrame, least: float = 0.5) -> DataFrame:
@@ -178,6 +179,32 @@ def resolve_ids(ids: DataFrame, pages: DataFrame) -> DataFrame:
     return d.select("ident", F.coalesce("by_path", "by_base").alias("page_id"))
 
 
+def resolve_reorder(tokens: DataFrame, pages: DataFrame) -> DataFrame:
+    """project, pos and path of a new order of pages; path is null throughout a project whose tokens are no permutation.
+
+    tokens: project, pos, token; pages: project, page_no, path. A token is an
+    exact path that isn't used yet, else the next unused page of that base
+    name. Only tokens of one base name compete, so each such group is folded
+    by itself.
+    """
+    base = lambda c: F.regexp_extract(c, "([^/]*)$", 1)
+    asked = tokens.groupBy("project", base("token").alias("base")).agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("asked"))
+    there = pages.groupBy("project", base("path").alias("base")).agg(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "path"))), lambda p: p["path"]).alias("paths"))
+    d = asked.join(there, ["project", "base"], "left").withColumn("paths", F.coalesce("paths", F.array().cast("array<string>")))
+
+    def step(acc: Column, t: Column) -> Column:
+        free = F.filter("paths", lambda p: ~F.exists(acc, lambda a: a["path"] == p))
+        exact = F.filter(free, lambda p: p == t["token"])
+        by_name = F.when(t["token"] == F.col("base"), F.get(free, F.lit(0)))
+        return F.concat(acc, F.array(F.struct(t["pos"].cast("long").alias("pos"), F.coalesce(F.get(exact, F.lit(0)), by_name).alias("path"))))
+
+    got = d.select("project", F.inline(F.aggregate("asked", F.array().cast("array<struct<pos:bigint,path:string>>"), step)))
+    sizes = pages.groupBy("project").agg(F.count("*").alias("n"))
+    fine = got.groupBy("project").agg(F.count("*").alias("asked"), F.count("path").alias("found")).join(sizes, "project", "left")
+    fine = fine.select("project", F.coalesce((F.col("asked") == F.col("found")) & (F.col("asked") == F.col("n")), F.lit(False)).alias("fine"))
+    return got.join(fine, "project").select("project", "pos", F.when(F.col("fine"), F.col("path")).alias("path"))
+
+
 def remap_paths(entries: DataFrame, renames: DataFrame) -> DataFrame:
     return entries.join(renames.select(F.col("old").alias("path"), "new"), "path", "left").withColumn("path", F.coalesce("new", "path")).drop("new")
 

@@ -78,6 +78,24 @@ def save_plan(files: DataFrame, blobs: DataFrame) -> DataFrame:
     return d.join(blobs.select("hash"), "hash", "left_anti")
 
 
+def save_pages(files: DataFrame, known: DataFrame) -> DataFrame:
+    """path, size, mtime, hash and state of every page of a save, against what is stored (path, size, mtime, hash).
+
+    state: new, changed, touched (hashed anew, the content is the same), same
+    (path, size and mtime as stored, so the content isn't hashed) or vanished.
+    Rows to upsert are those of new, changed and touched; save_plan gives the
+    contents to store.
+    """
+    old = known.select("path", *(F.col(c).alias(f"old_{c}") for c in ("size", "mtime", "hash")))
+    d = files.join(old, "path", "full")
+    gone, fresh = F.col("content").isNull(), F.col("old_hash").isNull()
+    same = ~gone & ~fresh & (F.col("size") == F.col("old_size")) & (F.col("mtime") == F.col("old_mtime"))
+    hashed = F.when(gone | same, F.col("old_hash")).otherwise(F.sha2("content", 256))
+    d = d.select("path", "size", "mtime", hashed.alias("hash"), gone.alias("gone"), fresh.alias("fresh"), same.alias("same"), "old_hash")
+    state = F.when(F.col("gone"), "vanished").when(F.col("fresh"), "new").when(F.col("same"), "same").when(F.col("hash") == F.col("old_hash"), "touched").otherwise("changed")
+    return d.select("path", "size", "mtime", "hash", state.alias("state"))
+
+
 def materialise_plan(pages: DataFrame, ready: DataFrame) -> DataFrame:
     """Archives that still need entries read: which, and whether to read all at once (70 % or more are asked for)."""
     need = pages.join(ready.select("page_id"), "page_id", "left_anti")

@@ -124,22 +124,41 @@ def first_visible(visible: DataFrame) -> DataFrame:
     return visible.groupBy("chapter_id").agg(F.min_by("block_idx", F.struct("y1", "block_idx")).alias("block_idx"))
 
 
-def seam_candidates(tops: DataFrame, bottoms: DataFrame, edge: int = 60) -> DataFrame:
-    """Blocks near the lower edge of a slice with blocks near the upper edge of the next, scored by their overlap across.
+def seam_score(top: list[Column], bottom: list[Column], height: Column, edge: float) -> Column:
+    """How well a block at the lower edge of a slice goes on in one at the upper edge of the next; null if not at all.
+
+    Corners x1, y1, x2, y2 in each slice. Both within the edge; widths within
+    2.2; overlap across of 0.35 of the narrower or centres within 0.35 of the
+    wider; and a positive score of overlap, centres, widths and distances.
+    """
+    edge = float(max(10, edge))
+    tx1, ty1, tx2, ty2 = (c.cast("double") for c in top)
+    bx1, by1, bx2, by2 = (c.cast("double") for c in bottom)
+    one = F.lit(1.0)
+    w1, w2 = F.greatest(tx2 - tx1, one), F.greatest(bx2 - bx1, one)
+    narrow, wide = F.least(w1, w2), F.greatest(w1, w2)
+    ratio = wide / narrow
+    far_top, far_bottom = F.abs(height - ty2), F.abs(by1)
+    overlap = F.greatest(F.least(tx2, bx2) - F.greatest(tx1, bx1), F.lit(0.0)) / narrow
+    centre = F.abs((tx1 + tx2) / 2 - (bx1 + bx2) / 2) / wide
+    score = 2.6 * overlap - 0.75 * centre - 0.35 * F.abs(ratio - 1) - (far_top + far_bottom) / (3 * edge)
+    at_edge = (ty2 >= height - edge) & (ty1 < height) & (by1 <= edge) & (by2 > 0) & (far_top <= 1.6 * edge) & (far_bottom <= 1.6 * edge)
+    return F.when(at_edge & (ratio <= 2.2) & ((overlap >= 0.35) | (centre <= 0.35)) & (score > 0), score)
+
+
+def seam_candidates(tops: DataFrame, bottoms: DataFrame, edge: float = 60) -> DataFrame:
+    """Pairs of blocks that a border between slices may have cut, with their score.
 
     tops: seam, slice_height and box; bottoms: seam and box.
     """
-    b = bottoms.select("seam", F.col("block_idx").alias("next_idx"), *(F.col(c).alias(f"n_{c}") for c in J.CORNERS))
-    d = tops.filter(F.col("slice_height") - F.col("y2") <= edge).join(b.filter(F.col("n_y1") <= edge), "seam")
-    w1, w2 = F.col("x2") - F.col("x1"), F.col("n_x2") - F.col("n_x1")
-    shared = F.least("x2", "n_x2") - F.greatest("x1", "n_x1")
-    score = F.greatest(shared, F.lit(0)) / F.greatest(F.least(w1, w2), F.lit(1))
-    ratio = F.greatest(w1, w2) / F.greatest(F.least(w1, w2), F.lit(1))
-    return d.withColumn("score", score).filter((ratio <= 2.2) & (F.col("score") > 0)).select("seam", "block_idx", "next_idx", "score")
+    b = bottoms.filter(F.col("y1") <= max(10, edge)).select("seam", F.col("block_idx").alias("next_idx"), *(F.col(c).alias(f"n_{c}") for c in J.CORNERS))
+    d = tops.filter(F.col("y2") >= F.col("slice_height") - max(10, edge)).join(b, "seam")
+    score = seam_score([F.col(c) for c in J.CORNERS], [F.col(f"n_{c}") for c in J.CORNERS], F.col("slice_height"), edge)
+    return d.withColumn("score", score).filter("score is not null").select("seam", "block_idx", "next_idx", "score")
 
 
 def seam_match(candidates: DataFrame) -> DataFrame:
-    """Greedy pairs of a seam, best score first, each block once; a seam holds few candidates."""
+    """Greedy pairs of a seam, best score first (ties by block, then next block), each block once; a seam holds few candidates."""
     order = F.struct((-F.col("score")).alias("neg"), "block_idx", "next_idx")
     seam = candidates.groupBy("seam").agg(F.array_sort(F.collect_list(order)).alias("c"))
     empty = F.slice("c", 1, 0)
@@ -152,6 +171,35 @@ def seam_match(candidates: DataFrame) -> DataFrame:
     return d.select("seam", "m.block_idx", "m.next_idx", (-F.col("m.neg")).alias("score"))
 
 
+def seam_merge(blocks: DataFrame, heights: DataFrame, matches: DataFrame) -> DataFrame:
+    """Blocks of consecutive slices after their seams are merged: the upper block owns both, the lower one goes.
+
+    blocks: chapter_id, slice_no, block_idx, corners and bubble corners
+    (bubble_x1 ..., null without one); heights: chapter_id, slice_no, height;
+    matches: chapter_id, slice_no (of the upper slice), block_idx, next_idx. A
+    block that the seam above has consumed owns nothing; what it was matched
+    with stays. Seams of a chapter follow each other, so consumed blocks are
+    found by a fold over its matches, which are few.
+    """
+    seam = matches.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(F.struct(F.col("block_idx").cast("long").alias("a"), F.col("next_idx").cast("long").alias("b")))).alias("m"))
+    chapter = seam.groupBy("chapter_id").agg(F.sort_array(F.collect_list(F.struct(F.col("slice_no").cast("long").alias("s"), "m"))).alias("seams"))
+    pair = "array<struct<a:bigint,b:bigint>>"
+    zero = F.struct(F.lit(-1).cast("long").alias("s"), F.array().cast("array<bigint>").alias("gone"), F.array().cast(f"array<struct<s:bigint,m:{pair}>>").alias("out"))
+
+    def step(acc: Column, one: Column) -> Column:
+        kept = F.filter(one["m"], lambda p: ~((acc["s"] + 1 == one["s"]) & F.array_contains(acc["gone"], p["a"])))
+        return F.struct(one["s"].alias("s"), F.transform(kept, lambda p: p["b"]).alias("gone"), F.concat(acc["out"], F.array(F.struct(one["s"].alias("s"), kept.alias("m")))).alias("out"))
+
+    kept = chapter.select("chapter_id", F.inline(F.aggregate("seams", zero, step, lambda a: a["out"]))).select("chapter_id", F.col("s").alias("slice_no"), F.inline("m"))
+    below = blocks.select("chapter_id", (F.col("slice_no") - 1).alias("slice_no"), F.col("block_idx").alias("b"), *(F.col(f"{p}{c}").alias(f"n_{p}{c}") for p in ("", "bubble_") for c in J.CORNERS))
+    parts = kept.join(heights, ["chapter_id", "slice_no"]).join(below, ["chapter_id", "slice_no", "b"]).withColumnRenamed("a", "block_idx")
+    gone = kept.select("chapter_id", (F.col("slice_no") + 1).alias("slice_no"), F.col("b").alias("block_idx"))
+    d = blocks.join(gone, ["chapter_id", "slice_no", "block_idx"], "left_anti").join(parts.drop("b"), ["chapter_id", "slice_no", "block_idx"], "left")
+    pick = {"x1": F.least, "y1": F.least, "x2": F.greatest, "y2": F.greatest}
+    joined = {f"{p}{c}": f(F.col(f"{p}{c}"), F.col(f"n_{p}{c}") + (F.col("height") if c[0] == "y" else 0)) for p in ("", "bubble_") for c, f in pick.items()}  # least and greatest pass over nulls
+    return d.select("chapter_id", "slice_no", "block_idx", *(v.alias(k) for k, v in joined.items()))
+
+
 def spill_items(items: DataFrame, pages: DataFrame) -> DataFrame:
     """Texts of the page above that end below its lower edge, and of the page below that start above its top, moved onto this page."""
     w = Window.partitionBy("chapter_id").orderBy("page_no")
@@ -172,9 +220,23 @@ def page_progress(vpages: DataFrame, blocks: DataFrame) -> DataFrame:
     return v.join(b, "page_id", "left").na.fill(0, ["blocks"])
 
 
-def rejoin_pairs(blocks: DataFrame, gap: int = 15, left: int = 10, width: int = 20) -> DataFrame:
-    """Pairs of blocks on adjacent pages that a border has cut: close, aligned, of the same width and class."""
-    b = blocks.select("chapter_id", (F.col("page_no") - 1).alias("page_no"), "kind", F.col("block_idx").alias("below"), F.col("x1").alias("bx1"), F.col("x2").alias("bx2"), F.col("y1").alias("by1"))
-    d = blocks.join(b, ["chapter_id", "page_no", "kind"])
-    hit = (F.abs(F.col("by1") - F.col("y2")) < gap) & (F.abs(F.col("x1") - F.col("bx1")) <= left) & (F.abs((F.col("x2") - F.col("x1")) - (F.col("bx2") - F.col("bx1"))) <= width)
-    return d.filter(hit).select("chapter_id", "page_no", F.col("block_idx").alias("above"), "below")
+def clip_text_items(items: DataFrame, layout: DataFrame, strip_width: int) -> DataFrame:
+    """The part of each placed text on each page it meets, in page coordinates, with the lines of its text that fall there.
+
+    items: chapter_id, item_idx, x, y, w, h (strip coordinates) and text. Of n
+    lines those from int(top * n) to int(bottom * n) by the shares cut off; if
+    that is none, one line where over a tenth of the height shows, else ''.
+    """
+    boxes = items.select("chapter_id", F.col("item_idx").alias("block_idx"), "text", "w", "h", F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    d = J.pages_of_span(boxes, layout).withColumn("dx", (strip_width - F.col("width")) / 2)
+    d = d.withColumns({"l": F.greatest("x1", "dx"), "r": F.least(F.col("x2"), F.col("dx") + F.col("width")), "t": F.greatest("y1", "top"), "b": F.least("y2", "bottom")}).filter("l < r and t < b")
+    top, bottom = F.greatest(F.lit(0.0), (F.col("t") - F.col("y1")) / F.col("h")), F.least(F.lit(1.0), (F.col("b") - F.col("y1")) / F.col("h"))
+    d = d.withColumns({"ts": top, "bs": bottom, "lines": F.split("text", "\n", -1)}).withColumn("n", F.size("lines"))
+    start = F.least((F.col("ts") * F.col("n")).cast("int"), F.col("n") - 1)
+    d = d.withColumn("i", start).withColumn("j", F.greatest(F.col("i"), F.least((F.col("bs") * F.col("n")).cast("int"), F.col("n"))))
+    shows, early = F.col("bs") - F.col("ts") > 0.1, F.col("ts") < 0.5
+    none = F.col("i") >= F.col("j")
+    i = F.when(none & shows & ~early, F.greatest(F.lit(0), F.col("j") - 1)).otherwise(F.col("i"))
+    j = F.when(none & shows & early, F.greatest(F.lit(1), F.col("i") + 1)).when(none & ~shows, F.col("i")).otherwise(F.col("j"))
+    text = F.array_join(F.slice("lines", i + 1, j - i), "\n")
+    return d.select("chapter_id", F.col("block_idx").alias("item_idx"), "page_no", (F.col("l") - F.col("dx")).alias("x"), (F.col("t") - F.col("top")).alias("y"), (F.col("r") - F.col("l")).alias("w"), (F.col("b") - F.col("t")).alias("h"), text.alias("text"))

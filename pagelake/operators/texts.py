@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import texts as T
 
 
+#: Noncharacters, which no text holds, about each match, and between it and its groups.
+_OPEN, _SHUT, _CUT = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
 @dataclass(frozen=True)
 class Search:
     """What to look for: literal or regex, case, whole words."""
@@ -21,24 +25,65 @@ class Search:
     match_case: bool = False
     whole_word: bool = False
 
+    def __post_init__(self):
+        if not self.find.strip():
+            raise ValueError("nothing to look for")
+
+    @property
+    def body(self) -> str:
+        find = self.find.strip()
+        if not self.regex:
+            return re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", find)
+        return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", find.replace("(?P<", "(?<"))
+
     @property
     def pattern(self) -> str:
         """As a Java pattern; words in the Unicode sense."""
-        body = self.find if self.regex else re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", self.find)
-        if self.whole_word:
-            body = rf"(?<!\w)(?:{body})(?!\w)"
+        body = rf"(?<!\w)(?:{self.body})(?!\w)" if self.whole_word else self.body
         return f"(?{'' if self.match_case else 'iu'}U){body}"
 
-
-def _parts(c: Column, search: Search) -> tuple[Column, Column]:
-    """Texts between the matches, and the matches; empty matches don't count."""
-    return F.split(c, search.pattern, -1), F.regexp_extract_all(c, F.lit(search.pattern), F.lit(0))
+    @property
+    def groups(self) -> dict[str, int]:
+        """Numbers of the groups by number or name; 0 is the whole match."""
+        if not self.regex:
+            return {"0": 0}
+        p = re.compile(self.find.strip().replace("(?<", "(?P<").replace("(?P<=", "(?<=").replace("(?P<!", "(?<!"))
+        return {str(i): i for i in range(p.groups + 1)} | p.groupindex
+
+    def expansion(self, replacement: str) -> list[str | int]:
+        """A replacement as texts and group numbers: $1, $&, ${name} and $$ in regex searches, else as it is.
+
+        One that asks for a group the pattern lacks is taken as it is.
+        """
+        if not self.regex:
+            return [replacement]
+        out: list[str | int] = []
+        for text, number, name in re.findall(r"((?:[^$]|\$\$|\$(?![\d&{]))+)|\$(\d+|&)|\$\{(\w+)\}|\$", replacement):
+            if text:
+                out.append(text.replace("$$", "$"))
+                continue
+            group = self.groups.get("0" if number == "&" else number or name)
+            if group is None:
+                return [replacement]
+            out.append(group)
+        return out
+
+
+def _parts(c: Column, search: Search, groups: list[int] | None = None) -> tuple[Column, Column]:
+    """Texts between the matches, and the matches, each an array of the match and the groups asked for; empty matches don't count."""
+    asked = f"{_CUT}$".join(map(str, [0, *(groups or [])]))
+    marked = F.regexp_replace(c, search.pattern, f"{_OPEN}${asked}{_SHUT}")
+    marked = F.regexp_replace(marked, f"{_OPEN}(?:{_CUT}[^{_SHUT}]*)?{_SHUT}", "")
+    segments = F.split(marked, _OPEN, -1)
+    found = F.transform(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 1, F.lit(0))), lambda x: F.split(x, _SHUT, -1))
+    texts = F.concat(F.slice(segments, 1, 1), F.transform(found, lambda x: x[1]))
+    return texts, F.transform(found, lambda x: F.split(x[0], _CUT, -1))
 
 
 def find_matches(blocks: DataFrame, search: Search, column: str = "text") -> DataFrame:
     """Every non-empty match of a block with its ordinal and place."""
     parts, found = _parts(F.col(column), search)
-    d = blocks.select("page_id", "block_idx", F.col(column).alias("__t"), parts.alias("__p"), found.alias("__m")).filter("size(__m) > 0")
+    d = blocks.select("page_id", "block_idx", F.col(column).alias("__t"), parts.alias("__p"), F.transform(found, lambda m: m[0]).alias("__m")).filter("size(__m) > 0")
 
     def step(acc: Column, i: Column) -> Column:
         start = acc["at"] + F.length(F.col("__p")[i])
@@ -47,42 +92,49 @@ def find_matches(blocks: DataFrame, search: Search, column: str = "text") -> Dat
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<ordinal:int,start:int,end:int,found:string>>").alias("out"))
     folded = F.aggregate(F.sequence(F.lit(0), F.size("__m") - 1), zero, step)["out"]
-    return d.select("page_id", "block_idx", "__t", F.inline(folded)).filter("end > start").withColumn("preview", T.preview(F.col("__t"), F.col("start"), F.col("end"))).drop("__t")
+    return d.select("page_id", "block_idx", "__t", F.inline(folded)).withColumn("preview", T.preview(F.col("__t"), F.col("start"), F.col("end"))).drop("__t")
+
 
+def _replaced(c: Column, search: Search, replacement: str, keep_case: bool, nth: int | None) -> tuple[Column, Column]:
+    """The text with its matches (or the n-th, from 0) replaced, and how many were."""
+    plan = search.expansion(replacement)
+    groups = sorted({g for g in plan if isinstance(g, int) and g})
+    parts, found = _parts(c, search, groups)
 
-def java_replacement(text: str) -> str:
-    """$1, $& and $$ of a replacement in Java's form."""
-    out = re.sub(r"\\", r"\\\\", text)
-    return out.replace("$$", "\0").replace("$&", "$0").replace("\0", "\\$")
+    def new(m: Column) -> Column:
+        text = F.concat(F.lit(""), *(F.lit(x) if isinstance(x, str) else m[groups.index(x) + 1 if x else 0] for x in plan))
+        return T.preserve_case(m[0], text) if keep_case else text
 
+    put = F.transform(found, lambda m, i: new(m) if nth is None else F.when(i == nth, new(m)).otherwise(m[0]))
+    joined = F.array_join(F.zip_with(parts, put, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+    return joined, F.size(found) if nth is None else (F.size(found) > nth).cast("int")
 
-def replace_all(blocks: DataFrame, search: Search, replacement: str, column: str = "text") -> DataFrame:
-    """Changed blocks: old and new text and how many replacements."""
-    to = java_replacement(replacement) if search.regex else replacement.replace("\\", "\\\\").replace("$", "\\$")
-    new = F.regexp_replace(F.col(column), search.pattern, to)
-    d = blocks.select("page_id", "block_idx", F.col(column).alias("old"), new.alias("new"), F.regexp_count(F.col(column), F.lit(search.pattern)).alias("count"))
-    return d.filter("count > 0 and old <> new")
+
+def replace_all(blocks: DataFrame, search: Search, replacement: str, column: str = "text", keep_case: bool = False) -> DataFrame:
+    """Changed blocks: old and new text and how many replacements, in the case of what they replace if asked."""
+    new, count = _replaced(F.col(column), search, replacement, keep_case, None)
+    return blocks.select("page_id", "block_idx", F.col(column).alias("old"), new.alias("new"), count.alias("count")).filter("count > 0 and old <> new")
 
 
 def replace_nth(blocks: DataFrame, search: Search, replacement: str, n: int, column: str = "text", keep_case: bool = False) -> DataFrame:
-    """Replace the n-th match (from 0) of each block literally, in the case of what it replaces if asked."""
-    parts, found = _parts(F.col(column), search)
-    d = blocks.withColumns({"__p": parts, "__m": found}).filter(F.size("__m") > n)
-    to = T.preserve_case(F.col("__m")[n], F.lit(replacement)) if keep_case else F.lit(replacement)
-    mid = F.transform("__m", lambda m, i: F.when(i == n, to).otherwise(m))
-    joined = F.array_join(F.zip_with("__p", mid, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return d.select("page_id", "block_idx", F.col(column).alias("old"), joined.alias("new"))
+    """Blocks with an n-th match (from 0), and their text with it replaced."""
+    new, count = _replaced(F.col(column), search, replacement, keep_case, n)
+    return blocks.select("page_id", "block_idx", F.col(column).alias("old"), new.alias("new"), count.alias("count")).filter("count > 0").drop("count")
 
 
 def replace_html(df: DataFrame, search: Search, replacement: str, column: str = "html") -> DataFrame:
     """Replace between tags only; tags stay, a match across tags is none."""
     tag = "<[^>]+>"
     texts, tags = F.split(F.col(column), tag, -1), F.regexp_extract_all(F.col(column), F.lit(tag), F.lit(0))
-    to = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    new = F.transform(texts, lambda x: F.regexp_replace(x, search.pattern, to))
+    new = F.transform(texts, lambda x: _replaced(x, search, replacement, False, None)[0])
     return df.withColumn("new", F.array_join(F.zip_with(new, tags, lambda x, g: F.concat(x, F.coalesce(g, F.lit("")))), ""))
 
 
+def set_langs(pages: DataFrame, source: str, target: str) -> DataFrame:
+    """All pages in one source and target language."""
+    return pages.withColumns({"source_lang": F.lit(source), "target_lang": F.lit(target)})
+
+
 def search_summary(matches: DataFrame) -> DataFrame:
     return matches.agg(F.count("*").alias("matches"), F.countDistinct("page_id").alias("pages"))
 
@@ -134,12 +186,22 @@ def parse_reply(replies: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def parse_lines(replies: DataFrame) -> DataFrame:
-    """Recognised entries of a page, the first (whole page) left out; corners 0 and 2, none with a corner that lacks x or y."""
-    shape = "array<struct<description:string,boundingPoly:struct<vertices:array<struct<x:int,y:int>>>>>"
-    d = replies.select("page_id", F.posexplode(F.from_json("reply", shape)).alias("pos", "e")).filter("pos > 0")
-    v = F.col("e.boundingPoly.vertices")
+    """Recognised lines of a page from either shape of reply; corners 0 and 2, none with a corner that lacks x or y.
+
+    A list of entries, the first (the whole page) left out; or an object whose
+    readResult holds blocks, of which the first one's lines count.
+    """
+    corner = "array<struct<x:int,y:int>>"
+    entries = F.from_json("reply", f"array<struct<description:string,boundingPoly:struct<vertices:{corner}>>>")
+    rest = F.slice(entries, F.lit(2), F.greatest(F.size(entries) - 1, F.lit(0)))
+    read = F.from_json("reply", f"struct<readResult:struct<blocks:array<struct<lines:array<struct<text:string,boundingPolygon:{corner}>>>>>>")
+    lines = F.get(read["readResult"]["blocks"], F.lit(0))["lines"]
+    one = lambda text, v: F.struct(text.alias("text"), v.alias("v"))
+    listed = F.when(F.trim("reply").startswith("["), F.transform(rest, lambda e: one(e["description"], e["boundingPoly"]["vertices"]))).otherwise(F.transform(lines, lambda e: one(e["text"], e["boundingPolygon"])))
+    d = replies.select("page_id", F.posexplode(listed).alias("line_idx", "e"))
+    v = F.col("e.v")
     whole = (F.size(v) >= 3) & F.forall(v, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    return d.filter(whole).select("page_id", (F.col("pos") - 1).alias("line_idx"), F.col("e.description").alias("text"), v[0]["x"].alias("x1"), v[0]["y"].alias("y1"), v[2]["x"].alias("x2"), v[2]["y"].alias("y2"))
+    return d.filter(whole).select("page_id", "line_idx", F.col("e.text").alias("text"), v[0]["x"].alias("x1"), v[0]["y"].alias("y1"), v[2]["x"].alias("x2"), v[2]["y"].alias("y2"))
 
 
 def collapse_frames(frames: DataFrame, blank: int) -> DataFrame:
@@ -204,21 +266,68 @@ def coalesce_runs(runs: DataFrame, lengths: DataFrame) -> DataFrame:
     return d.groupBy("text_id", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("style").alias("style")).drop("island")
 
 
-def layout_greedy(blocks: DataFrame, chars: Column) -> DataFrame:
-    """Texts wrapped greedily at blanks (by character for languages without) into boxes of so many characters; line rows."""
-    tokens = F.when(T.is_no_space(F.col("lang")), F.split("text", "")).otherwise(F.split(F.trim("text"), "\\s+"))
-    glue = F.when(T.is_no_space(F.col("lang")), "").otherwise(" ")
-    d = blocks.select("page_id", "block_idx", tokens.alias("tok"), glue.alias("glue"), chars.alias("most"))
-    zero = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+def layout_greedy(blocks: DataFrame, most: Column, measure: Callable[[str], float] = len) -> DataFrame:
+    """Texts (page_id, block_idx, text, lang) wrapped greedily into lines that measure at most `most`; line rows with an overflow flag.
+
+    Lines break at blanks, and inside a word at its hyphens where that fits; in
+    languages without blanks between any characters, with line ends kept. A
+    word or character too long for a line has one of its own. measure is a
+    function of a line, such as the width in a font; by default characters.
+    """
+
+    def at_hyphen(line: str, word: str, room: float) -> int:
+        """The end of the longest part of the word, up to a hyphen inside, that still fits the line."""
+        ends = [i + 1 for i in range(1, len(word) - 1) if word[i] == "-"]
+        return max((e for e in ends if measure(f"{line} {word[:e]}" if line else word[:e]) <= room), default=0)
+
+    def by_words(text: str, room: float) -> list[str]:
+        lines, line, words = [], "", text.split()[::-1]
+        while words:
+            longer = f"{line} {words[-1]}" if line else words[-1]
+            cut = 0 if measure(longer) <= room else at_hyphen(line, words[-1], room)
+            if cut:
+                word = words.pop()
+                lines.append(f"{line} {word[:cut]}" if line else word[:cut])
+                words.append(word[cut:])
+                line = ""
+            elif measure(longer) <= room:
+                line = longer
+                words.pop()
+            else:
+                lines.append(line or words.pop())
+                line = ""
+        return [*lines, line] if line else lines
+
+    def by_letters(text: str, room: float) -> list[str]:
+        out = []
+        for paragraph in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            lines = [""]
+            for c in paragraph.replace(" ", ""):
+                if lines[-1] and measure(lines[-1] + c) > room:
+                    lines.append(c)
+                else:
+                    lines[-1] += c
+            out += lines
+        return out
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            out: list[tuple] = []
+            for page, block, text, tight, room in b.itertuples(index=False, name=None):
+                lines = (by_letters if tight else by_words)(text or "", room)
+                out += [(page, block, n, line, bool(measure(line) > room)) for n, line in enumerate(lines)]
+            yield pd.DataFrame(out, columns=["page_id", "block_idx", "line_no", "line", "overflow"])
+
+    slim = blocks.select(F.col("page_id").cast("long").alias("page_id"), F.col("block_idx").cast("long").alias("block_idx"), "text", T.is_no_space(F.col("lang")).alias("tight"), most.cast("double").alias("room"))
+    return slim.mapInPandas(run, "page_id long, block_idx long, line_no int, line string, overflow boolean")
 
-    def step(acc: Column, w: Column) -> Column:
-        longer = F.when(acc["line"] == "", w).otherwise(F.concat(acc["line"], F.col("glue"), w))
-        fits = (F.length(longer) <= F.col("most")) | (acc["line"] == "")
-        return F.struct(F.when(fits, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))).alias("lines"), F.when(fits, longer).otherwise(w).alias("line"))
 
-    folded = F.aggregate("tok", zero, step, lambda a: F.concat(a["lines"], F.array(a["line"])))
-    rows = d.select("page_id", "block_idx", "most", F.posexplode(folded).alias("line_no", "line"))
-    return rows.withColumn("overflow", F.length("line") > F.col("most"))
+def overflow_report(lines: DataFrame) -> DataFrame:
+    """Of each page: blocks laid out, and how many of them overflow."""
+    blocks = lines.groupBy("page_id", "block_idx").agg(F.bool_or("overflow").alias("over"))
+    return blocks.groupBy("page_id").agg(F.count("*").alias("blocks"), F.sum(F.col("over").cast("long")).alias("overflowing"))
 
 
 def layout_columns(blocks: DataFrame, width: int, first_indent: str = "", next_indent: str = "", max_lines: int | None = None, placeholder: str = "...") -> DataFrame:
@@ -261,37 +370,81 @@ def layout_columns(blocks: DataFrame, width: int, first_indent: str = "", next_i
     return slim.mapInPandas(run, "page_id long, block_idx long, line_no int, line string, overflow boolean")
 
 
-def detect(pages: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """A user's detector on page rows, batch by batch; fn: pandas frame to pandas frame of boxes."""
+def detect(pages: DataFrame, fn: Callable, ratio: float = 3.5, share: float = 0.2) -> DataFrame:
+    """Boxes (page_id, label, x1, y1, x2, y2) of a user's detector, run on overlapping slices of tall pages and merged.
+
+    pages: page_id, width, height and what fn needs. fn: a pandas frame of
+    slices (the columns of pages with slice, start_y and end_y) to one of boxes
+    (page_id, slice, label and corners in the slice). It gets a batch at a
+    time, so a model loads once for each worker.
+    """
+    from .clusters import merge_slices
+    from .strips import overlap_slices, unslice
+
+    slices = overlap_slices(pages, ratio, share)
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             yield fn(b)
 
-    return pages.mapInPandas(run, schema)
+    found = pages.join(slices, "page_id").mapInPandas(run, "page_id long, slice long, label int, x1 long, y1 long, x2 long, y2 long")
+    order = F.row_number().over(Window.partitionBy("page_id").orderBy("slice", "y1", "x1", "y2", "x2", "label"))
+    whole = unslice(found, slices).withColumn("det_idx", order).join(pages.select("page_id", F.col("height").alias("page_height")), "page_id")
+    return merge_slices(whole, "page_height")
+
+
+def _by_key(df: DataFrame, keys: list[str], fn: Callable, schema: str, size: int = 20_000) -> DataFrame:
+    """fn on pandas frames of whole groups of equal keys, about `size` rows at a time, after one shuffle by keys."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        held: list = []
+        rows = 0
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            rows += len(b)
+            if rows < size:
+                continue
+            whole = pd.concat(held, ignore_index=True)
+            changed = (whole[keys] != whole[keys].shift()).any(axis=1)
+            last = int(changed[changed].index[-1])  # the last group may go on in the next batch
+            if last:
+                yield fn(whole.iloc[:last])
+            held, rows = [whole.iloc[last:]], len(whole) - last
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
 
 
 def read_text(blocks: DataFrame, fns: dict[str, Callable]) -> DataFrame:
-    """Blocks of each page and bucket given to that bucket's reader; fn: pandas frame to list of texts."""
+    """Blocks given to their bucket's reader, many pages at a time; fn: pandas frame of blocks to list of texts, '' without a reader."""
 
     def run(pdf):
-        fn = fns.get(pdf["bucket"].iloc[0])
-        pdf["text"] = fn(pdf) if fn else ""
+        pdf = pdf.assign(text="")
+        for bucket, rows in pdf.groupby("bucket").groups.items():
+            if bucket in fns:
+                pdf.loc[rows, "text"] = list(fns[bucket](pdf.loc[rows]))
         return pdf[["page_id", "block_idx", "text"]]
 
-    slim = blocks.select(F.col("page_id").cast("long"), F.col("block_idx").cast("long"), "bucket", "x1", "y1", "x2", "y2")
-    return slim.groupBy("page_id", "bucket").applyInPandas(run, "page_id long, block_idx long, text string")
+    slim = blocks.select(F.col("page_id").cast("long").alias("page_id"), F.col("block_idx").cast("long").alias("block_idx"), "bucket", "x1", "y1", "x2", "y2")
+    return _by_key(slim, ["page_id"], run, "page_id long, block_idx long, text string")
 
 
 def translate(blocks: DataFrame, fn: Callable, cache: DataFrame) -> DataFrame:
-    """Translatable blocks missing from the cache go to fn, one call for each page; others get ''."""
+    """Translatable blocks missing from the cache go to fn, one call for each page with its texts in order; others get ''."""
     d = blocks.join(cache.select("page_id", "block_idx", "value"), ["page_id", "block_idx"], "left")
     wanted = T.has_content(F.col("text"))
 
     def run(pdf):
-        pdf = pdf.sort_values("block_idx")
-        pdf["value"] = fn(list(pdf["text"]))
-        return pdf[["page_id", "block_idx", "value"]]
+        import pandas as pd
+
+        out = [part.assign(value=fn(list(part["text"]))) for _, part in pdf.sort_values(["page_id", "block_idx"]).groupby("page_id")]
+        return pd.concat(out)[["page_id", "block_idx", "value"]]
 
-    asked = d.filter(wanted & F.col("value").isNull()).select("page_id", F.col("block_idx").cast("long"), "text").groupBy("page_id").applyInPandas(run, "page_id long, block_idx long, value string")
+    todo = d.filter(wanted & F.col("value").isNull()).select(F.col("page_id").cast("long").alias("page_id"), F.col("block_idx").cast("long").alias("block_idx"), "text")
+    asked = _by_key(todo, ["page_id"], run, "page_id long, block_idx long, value string")
     return d.filter(wanted & F.col("value").isNotNull()).select("page_id", "block_idx", "value").unionByName(asked).unionByName(d.filter(~wanted).select("page_id", "block_idx", F.lit("").alias("value")))

@@ -165,7 +165,7 @@ def c7_line_hulls(t: Tables) -> DataFrame:
     return O.line_hulls(O.group_lines(t.fx_text))
 
 
-@query(f"""WITH {LINES}, s AS (SELECT *, x1 - max(x2) OVER (PARTITION BY page_id, line ORDER BY x1, det_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blank,
+@query(f"""WITH {LINES}, s AS (SELECT *, x1 - max(x2) OVER (PARTITION BY page_id, line ORDER BY x1, det_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1 AS blank,
 greatest(12.0, 0.85*quantile_cont(y2-y1, 0.5) OVER (PARTITION BY page_id, line)) AS most FROM l)
 SELECT page_id, det_idx, line, CAST(sum(CASE WHEN blank IS NULL OR blank > most THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, line ORDER BY x1, det_idx) - 1 AS BIGINT) AS segment FROM s""")
 def c14_segments(t: Tables) -> DataFrame:
@@ -180,104 +180,3 @@ def w2_rect_order(t: Tables) -> DataFrame:
 @query("""SELECT page_id, block_idx, line_idx, CAST(row_number() OVER (PARTITION BY page_id, block_idx ORDER BY CASE WHEN page_id%2=0 THEN -x1 ELSE y1 END, CASE WHEN page_id%2=0 THEN y1 ELSE x1 END, line_idx) AS INT) AS rank FROM fx_lines""")
 def w3_sort_lines(t: Tables) -> DataFrame:
     return O.sort_lines(t.fx_lines, F.col("page_id") % 2 == 0).select("page_id", "block_idx", "line_idx", "rank")
-
-
-@query("""SELECT page_id, det_idx FROM fx_det a WHERE NOT EXISTS (SELECT 1 FROM fx_det b WHERE a.page_id=b.page_id AND a.det_idx<>b.det_idx AND (b.x2-b.x1)*(b.y2-b.y1) >= (a.x2-a.x1)*(a.y2-a.y1)
-AND greatest(least(a.x2,b.x2)-greatest(a.x1,b.x1),0) >= 0.85*(a.x2-a.x1) AND greatest(least(a.y2,b.y2)-greatest(a.y1,b.y1),0) >= 0.85*(a.y2-a.y1))""")
-def c15_drop_nested(t: Tables) -> DataFrame:
-    return O.drop_nested(t.fx_det).select("page_id", "det_idx")
-
-
-@query()
-def c1_merge_contained(t: Tables) -> DataFrame:
-    return O.merge_contained(t.fx_text)
-
-
-@query()
-def c3_merge_touching(t: Tables) -> DataFrame:
-    return O.merge_touching(t.fx_text, WIDTH, HEIGHT)
-
-
-@query()
-def w1_reading_order(t: Tables) -> DataFrame:
-    return O.reading_order(t.fx_text)
-
-
-@query("""WITH c AS (SELECT *, (x1+x2)/2.0 AS cx, (y1+y2)/2.0 AS cy FROM fx_text),
-s AS (SELECT page_id, max(cy)-min(cy) AS ry, max(cx)-min(cx) AS rx, quantile_cont(CAST(y2-y1 AS DOUBLE)/(x2-x1), 0.5) AS a FROM c GROUP BY page_id),
-p AS (SELECT c.page_id, c.det_idx, min(CASE WHEN o.cx>c.cx AND abs(o.cy-c.cy)<o.cx-c.cx THEN o.cx-c.cx END) AS r, min(CASE WHEN o.cy>c.cy AND abs(o.cx-c.cx)<o.cy-c.cy THEN o.cy-c.cy END) AS d
- FROM c JOIN c o ON c.page_id=o.page_id AND c.det_idx<>o.det_idx GROUP BY 1,2),
-f AS (SELECT page_id, coalesce(sum(CASE WHEN r IS NULL THEN NULL WHEN r<=coalesce(d,1e9) THEN 1 ELSE 0 END),0) AS fr, coalesce(sum(CASE WHEN d IS NULL THEN NULL WHEN d<coalesce(r,1e9) THEN 1 ELSE 0 END),0) AS fd FROM p GROUP BY page_id)
-SELECT s.page_id, CASE WHEN (CASE WHEN ry>1.5*rx THEN 1 ELSE 0 END)+(CASE WHEN a>1.2 THEN 1 ELSE 0 END)+(CASE WHEN coalesce(fd,0)>1.2*coalesce(fr,0) THEN 1 ELSE 0 END)
- > (CASE WHEN rx>1.5*ry THEN 1 ELSE 0 END)+(CASE WHEN a<1/1.2 THEN 1 ELSE 0 END)+(CASE WHEN coalesce(fr,0)>1.2*coalesce(fd,0) THEN 1 ELSE 0 END) THEN 'ver_rtl' ELSE 'hor_ltr' END AS direction
-FROM s LEFT JOIN f ON s.page_id=f.page_id""")
-def a4_direction_votes(t: Tables) -> DataFrame:
-    return O.direction_votes(t.fx_text).select("page_id", "direction")
-
-
-@query("""WITH s AS (SELECT page_id, block_idx, sum(greatest(CAST(x2-x1 AS DOUBLE)/(y2-y1)-1,0.0)) AS wide, sum(greatest(CAST(y2-y1 AS DOUBLE)/(x2-x1)-1,0.0)) AS tall FROM fx_lines GROUP BY 1,2)
-SELECT d.page_id, d.det_idx AS block_idx, CASE WHEN coalesce(tall > 1.15*wide+0.2, d.y2-d.y1 > d.x2-d.x1) THEN 'ver_rtl' ELSE 'hor_ltr' END AS direction
-FROM fx_det d LEFT JOIN s ON d.page_id=s.page_id AND d.det_idx=s.block_idx""")
-def a5_direction_from_lines(t: Tables) -> DataFrame:
-    return O.direction_from_lines(t.fx_lines, t.fx_det.withColumnRenamed("det_idx", "block_idx"))
-
-
-@query()
-def c2_merge_slices(t: Tables) -> DataFrame:
-    return O.merge_slices(t.fx_det)
-
-
-@query()
-def c4_merge_line_boxes(t: Tables) -> DataFrame:
-    return O.merge_line_boxes(t.fx_text)
-
-
-@query()
-def c8_dedup_blocks(t: Tables) -> DataFrame:
-    doubled = t.fx_text.unionByName(t.fx_text.withColumns({"det_idx": F.col("det_idx") + 100, "x2": F.col("x2") + 3}))
-    return O.dedup_blocks(doubled.withColumn("text", (F.col("det_idx") % 100).cast("string")))
-
-
-@query("SELECT page_id, det_idx AS idx, x1, y1, x2, y2 FROM fx_text n WHERE NOT EXISTS (SELECT 1 FROM fx_bubble e WHERE n.page_id=e.page_id AND abs(n.x1-e.x1)<=5 AND abs(n.y1-e.y1)<=5 AND abs(n.x2-e.x2)<=5 AND abs(n.y2-e.y2)<=5) AND det_idx % 2 = 1")
-def c9_insert_new(t: Tables) -> DataFrame:
-    odd = t.fx_text.filter("det_idx % 2 = 1")
-    twice = odd.unionByName(odd.withColumns({"det_idx": F.col("det_idx") + 1000, "x1": F.col("x1") + 2}))
-    return O.insert_new(twice, t.fx_bubble)
-
-
-@query()
-def c11_merge_aligned(t: Tables) -> DataFrame:
-    return O.merge_aligned(t.fx_text)
-
-
-@query("""WITH s AS (SELECT * FROM fx_text WHERE (x2-x1)*(y2-y1) < 6000), l AS (SELECT * FROM fx_text WHERE (x2-x1)*(y2-y1) >= 6000),
-p AS (SELECT s.page_id, s.det_idx, l.det_idx AS into_idx, greatest(l.x1-s.x2, s.x1-l.x2, 0) + greatest(l.y1-s.y2, s.y1-l.y2, 0) AS gap FROM s JOIN l ON s.page_id=l.page_id)
-SELECT page_id, det_idx, into_idx AS "into", gap FROM (SELECT *, row_number() OVER (PARTITION BY page_id, det_idx ORDER BY gap, into_idx) AS rn FROM p WHERE gap <= 40) x WHERE rn = 1""")
-def c12_absorb_fragments(t: Tables) -> DataFrame:
-    return O.absorb_fragments(t.fx_text)
-
-
-@query()
-def c13_rows_by_y(t: Tables) -> DataFrame:
-    return O.rows_by_y(t.fx_text)
-
-
-@query()
-def c16_merge_columns(t: Tables) -> DataFrame:
-    return O.merge_columns(t.fx_text)
-
-
-@query("""WITH d AS (SELECT page_id, det_idx, (x1+x2)/2.0 AS cx, row_number() OVER (PARTITION BY page_id ORDER BY (y1+y2)/2.0, det_idx) AS rn, count(*) OVER (PARTITION BY page_id) AS n FROM fx_text),
-z AS (SELECT *, least(greatest(n // 3, 3), 8) AS size FROM d WHERE n >= 5), v AS (SELECT a.page_id, a.rn, var_pop(b.cx) AS v FROM z a JOIN z b ON a.page_id=b.page_id AND b.rn > a.rn - a.size AND b.rn <= a.rn WHERE a.rn >= a.size GROUP BY 1,2)
-SELECT page_id, round(avg(v), 4) AS variance, count(*) AS windows FROM v GROUP BY 1""")
-def w13_sliding_variance(t: Tables) -> DataFrame:
-    return O.sliding_variance(t.fx_text).withColumn("variance", F.round("variance", 4))
-
-
-@query("""WITH c AS (SELECT DISTINCT page_id, r, c FROM (SELECT page_id, c, unnest(generate_series(y1 // 50, (y2-1) // 50)) AS r FROM (SELECT page_id, y1, y2, unnest(generate_series(x1 // 50, (x2-1) // 50)) AS c FROM fx_text) a) b),
-s AS (SELECT page_id, max(r)-min(r)+1 AS rows, max(c)-min(c)+1 AS cols FROM c GROUP BY 1),
-vr AS (SELECT c.page_id, sum(m*m)/max(rows) - (sum(m)/max(rows))*(sum(m)/max(rows)) AS v FROM (SELECT page_id, r, CAST(count(*) AS DOUBLE) AS m FROM c GROUP BY 1,2) c JOIN s ON c.page_id=s.page_id GROUP BY 1),
-vc AS (SELECT c.page_id, sum(m*m)/max(cols) - (sum(m)/max(cols))*(sum(m)/max(cols)) AS v FROM (SELECT page_id, c, CAST(count(*) AS DOUBLE) AS m FROM c GROUP BY 1,2) c JOIN s ON c.page_id=s.page_id GROUP BY 1)
-SELECT vr.page_id, round(vr.v, 6) AS var_r, round(vc.v, 6) AS var_c FROM vr JOIN vc ON vr.page_id=vc.page_id""")
-def a4c_vote_projection(t: Tables) -> DataFrame:
-    return O.vote_projection(t.fx_text).select("page_id", F.round("var_r", 6).alias("var_r"), F.round("var_c", 6).alias("var_c"))

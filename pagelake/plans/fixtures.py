@@ -64,7 +64,9 @@ VIEWS = {
                     WHEN 7 THEN 'Insufficient credits' WHEN 8 THEN 'Traceback (most recent call last): x' ELSE '' END AS error
         FROM events""",
     "fx_memlog": "SELECT user_id % 5 AS run_id, ts, event_id, event_type AS tag, value AS rss_mb FROM events",
-    "fx_files": "SELECT doc_id AS file_id, text AS content FROM documents WHERE doc_id % 13 <> 0",
+    "fx_files": "SELECT doc_id AS file_id, text AS content FROM documents",
+    # What an audit finds in place: some assets are missing.
+    "fx_present": "SELECT file_id, content FROM fx_files WHERE file_id % 13 <> 0",
     "fx_assets": """
         SELECT doc_id AS file_id, CASE WHEN doc_id % 11 = 0 THEN 'abc' WHEN doc_id % 7 = 0 THEN md5(concat(text, 'x'))
                                        ELSE md5(text) END AS expected FROM documents""",
@@ -74,6 +76,15 @@ VIEWS = {
         SELECT chapter_id, page_id, page_no, width, height,
                CAST(100 + coalesce(sum(height) OVER (PARTITION BY chapter_id ORDER BY page_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS top
         FROM fx_pages""",
+    # Items that page borders cut: one at the lower and one at the upper edge of each page.
+    "fx_cut": """
+        SELECT l.chapter_id, l.page_no, n.i AS idx, 100 + l.chapter_id % 7 + (l.page_no % 3) * 6 AS x1,
+               CASE WHEN n.i = 0 THEN l.top + l.height - l.page_id % 20 - 60 ELSE l.top + l.page_id % 9 END AS y1,
+               250 + l.chapter_id % 7 + (l.page_no % 3) * 6 + (l.page_id % 4) * 5 AS x2,
+               CASE WHEN n.i = 0 THEN l.top + l.height - l.page_id % 20 ELSE l.top + l.page_id % 9 + 50 END AS y2,
+               CASE WHEN l.page_id % 11 = 0 THEN 'b' ELSE 'a' END AS style,
+               CASE WHEN l.page_id % 5 = 0 THEN '' ELSE concat('t', CAST(l.page_id % 4 AS VARCHAR(20))) END AS text
+        FROM fx_layout l CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) n""",
     # Boxes in strip coordinates: two for each page, some over the border to the next page.
     "fx_strip": """
         SELECT l.chapter_id, l.page_id * 2 + n.i AS block_idx, l.page_id % 300 AS x1,
@@ -104,7 +115,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
-    return f"WITH {views}, {body[5:]}" if body.startswith("WITH ") else f"WITH {views} {body}"
+    head, rest = re.match(r"(WITH RECURSIVE |WITH |)(.*)", body, re.S).groups()
+    return f"{head}{views}, {rest}" if head else f"WITH {views} {rest}"
 
 
 class Tables:

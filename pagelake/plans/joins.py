@@ -172,9 +172,9 @@ def j24_delete_pages(t: Tables) -> DataFrame:
 
 
 @query("""SELECT a.file_id, CASE WHEN f.content IS NULL THEN 'missing' WHEN length(expected)=64 THEN CASE WHEN expected=sha256(content) THEN 'verified' ELSE 'differs' END
-WHEN length(expected)=32 THEN CASE WHEN lower(expected)=md5(content) THEN 'verified' ELSE 'differs' END ELSE 'present' END AS state FROM fx_assets a LEFT JOIN fx_files f ON a.file_id=f.file_id""")
+WHEN length(expected)=32 THEN CASE WHEN lower(expected)=md5(content) THEN 'verified' ELSE 'differs' END ELSE 'present' END AS state FROM fx_assets a LEFT JOIN fx_present f ON a.file_id=f.file_id""")
 def j29_audit_assets(t: Tables) -> DataFrame:
-    return J.audit_assets(t.fx_assets, t.fx_files)
+    return J.audit_assets(t.fx_assets, t.fx_present)
 
 
 @query("""WITH i AS (SELECT page_id, block_idx AS item_idx, x1 + (block_idx*5)%13 - 6 AS px, y1 + (block_idx*3)%7 - 3 AS py, angle AS rotation FROM fx_blocks),
@@ -217,3 +217,34 @@ def s14_attach_archive(t: Tables) -> DataFrame:
     name = F.concat(F.lit("in/v"), (F.col("page_id") % 10).cast("string"), F.lit(".zip"))
     archives = p.filter("page_id % 2 = 0").groupBy(name.alias("archive")).agg(F.collect_list("path").alias("extracted"))
     return attach_archive(p, archives).select("page_id", "stem", "dir")
+
+
+REORDER = """pg AS (SELECT chapter_id AS project, page_no, concat('ch', CAST(chapter_id AS VARCHAR), '/', CAST(page_id AS VARCHAR), '/p', CAST(page_id % 5 AS VARCHAR), '.png') AS path, page_id FROM fx_pages),
+tk AS (SELECT project, -page_no AS pos, CASE WHEN project % 7 = 0 AND page_no = 0 THEN 'gone.png' WHEN page_id % 2 = 0 THEN path ELSE concat('p', CAST(page_id % 5 AS VARCHAR), '.png') END AS token FROM pg)"""
+
+
+@query(f"""WITH {REORDER}, l AS (SELECT pg.project, any_value(t.l) AS tokens, list({{'p': path, 'b': regexp_extract(path, '([^/]*)$', 1)}} ORDER BY page_no) AS paths FROM pg JOIN (SELECT project, list({{'pos': CAST(pos AS BIGINT), 'token': token, 's': CAST(NULL AS STRUCT(pos BIGINT, path VARCHAR)[])}} ORDER BY pos) AS l FROM tk GROUP BY 1) t ON t.project=pg.project GROUP BY 1),
+f AS (SELECT project, len(paths) AS n, list_reduce(tokens, lambda a, x: {{'pos': x.pos, 'token': x.token, 's': list_append(a.s, {{'pos': x.pos, 'path': coalesce(
+ list_filter(paths, lambda k: k.p = x.token AND NOT list_contains(list_transform(a.s, lambda u: u.path), k.p))[1].p, list_filter(paths, lambda k: k.b = x.token AND NOT list_contains(list_transform(a.s, lambda u: u.path), k.p))[1].p)}})}},
+ {{'pos': CAST(0 AS BIGINT), 'token': '', 's': CAST([] AS STRUCT(pos BIGINT, path VARCHAR)[])}}).s AS s FROM l)
+SELECT project, u.pos AS pos, CASE WHEN len(list_filter(s, lambda k: k.path IS NULL)) = 0 AND len(s) = n THEN u.path END AS path FROM (SELECT *, unnest(s) AS u FROM f) q""")
+def j22_resolve_reorder(t: Tables) -> DataFrame:
+    p = F.col("page_id").cast("string")
+    base = F.concat(F.lit("p"), (F.col("page_id") % 5).cast("string"), F.lit(".png"))
+    pages = t.fx_pages.select(F.col("chapter_id").alias("project"), "page_no", F.concat(F.lit("ch"), F.col("chapter_id").cast("string"), F.lit("/"), p, F.lit("/"), base).alias("path"), "page_id", base.alias("base"))
+    token = F.when((F.col("project") % 7 == 0) & (F.col("page_no") == 0), "gone.png").when(F.col("page_id") % 2 == 0, F.col("path")).otherwise(F.col("base"))
+    return J.resolve_reorder(pages.select("project", (-F.col("page_no")).alias("pos"), token.alias("token")), pages.select("project", "page_no", "path"))
+
+
+@query("""WITH i AS (SELECT chapter_id, block_idx AS item_idx, x1 - 120 AS x, y1 AS y, x2-x1+500 AS w, y2-y1 AS h, array_to_string(list_transform(range(0, block_idx % 5 + 1), lambda k: concat('l', CAST(k AS VARCHAR))), chr(10)) AS text FROM fx_strip),
+c AS (SELECT i.*, l.page_no, l.top, (760-l.width)/2.0 AS dx, greatest(i.x, (760-l.width)/2.0) AS cl, least(i.x+i.w, (760-l.width)/2.0+l.width) AS cr, greatest(i.y, l.top) AS ct, least(i.y+i.h, l.top+l.height) AS cb FROM i JOIN fx_layout l ON l.chapter_id=i.chapter_id AND i.y < l.top+l.height AND i.y+i.h > l.top),
+r AS (SELECT *, str_split(text, chr(10)) AS ls, greatest(0.0, CAST(ct-y AS DOUBLE)/h) AS ts, least(1.0, CAST(cb-y AS DOUBLE)/h) AS bs FROM c WHERE cl < cr AND ct < cb),
+n AS (SELECT *, len(ls) AS n, least(CAST(trunc(ts*len(ls)) AS BIGINT), len(ls)-1) AS s0 FROM r), e AS (SELECT *, greatest(s0, least(CAST(trunc(bs*n) AS BIGINT), n)) AS e0 FROM n),
+f AS (SELECT *, CASE WHEN s0 >= e0 AND bs-ts > 0.1 AND ts >= 0.5 THEN greatest(0, e0-1) ELSE s0 END AS s1, CASE WHEN s0 >= e0 AND bs-ts > 0.1 AND ts < 0.5 THEN greatest(1, s0+1) WHEN s0 >= e0 AND bs-ts <= 0.1 THEN s0 ELSE e0 END AS e1 FROM e)
+SELECT chapter_id, item_idx, page_no, cl-dx AS x, ct-top AS y, cr-cl AS w, cb-ct AS h, array_to_string(ls[s1+1:e1], chr(10)) AS text FROM f""")
+def p21b_clip_text_items(t: Tables) -> DataFrame:
+    from ..operators import strips as S
+
+    line = F.transform(F.sequence(F.lit(0).cast("long"), F.col("block_idx") % 5), lambda k: F.concat(F.lit("l"), k.cast("string")))
+    items = t.fx_strip.select("chapter_id", F.col("block_idx").alias("item_idx"), (F.col("x1") - 120).alias("x"), F.col("y1").alias("y"), (F.col("x2") - F.col("x1") + 500).alias("w"), (F.col("y2") - F.col("y1")).alias("h"), F.array_join(line, "\n").alias("text"))
+    return S.clip_text_items(items, t.fx_layout, 760)

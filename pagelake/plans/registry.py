@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import boxes, joins, reports, streams, strips, texts  # noqa: F401
+    from . import boxes, clusters, joins, reports, sources, streams, strips, texts  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:

@@ -167,31 +167,47 @@ def a19_hist_quantile(t: Tables) -> DataFrame:
     return O.hist_quantile(h, 0.9).withColumn("value", F.round("value", 6))
 
 
-@query("""SELECT page_id, CAST(i AS INT) AS version, CASE i WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS hash, i = page_id % 3 AS is_current FROM fx_pages, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) n""")
+@query("""SELECT page_id, CAST(i AS INT) AS version, md5(concat(path, CAST(i AS VARCHAR))) AS hash, i = page_id % 3 AS is_current FROM fx_pages, (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) n WHERE i <= page_no % 3""")
 def w12_page_history(t: Tables) -> DataFrame:
-    return O.page_history(t.fx_pages.select("page_id", F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("versions"), (F.col("page_id") % 3).alias("current")))
+    return O.page_history(t.fx_pages.select("page_id", F.transform(F.sequence(F.lit(0).cast("long"), F.col("page_no") % 3), lambda i: F.md5(F.concat("path", i.cast("string")))).alias("versions"), (F.col("page_id") % 3).alias("current")))
 
 
-DETAIL = """CASE WHEN lower(error) LIKE '%timed out%' OR lower(error) LIKE '%timeout%' THEN 'Request timed out' WHEN error LIKE '%429%' THEN 'Rate limited by provider' WHEN error LIKE '%401%' THEN 'Authentication failed'
-WHEN lower(error) LIKE '%insufficient credits%' THEN 'Insufficient credits' WHEN lower(error) LIKE '%connection%' THEN 'Network error' WHEN error LIKE '%503%' THEN 'Provider unavailable' WHEN lower(error) LIKE '%json%' THEN 'Unexpected response' WHEN error LIKE '%flagged%' THEN 'Content flagged' ELSE '' END"""
+LOW = "lower(line)"
+_SAYS = lambda *xs: "(" + " OR ".join(f"{LOW} LIKE '%{x}%'" for x in xs) + ")"
+KIND = f"""CASE WHEN line = '' THEN 'none' WHEN {_SAYS('flagged as unsafe', 'content was flagged', 'safety filters')} THEN 'flagged' WHEN {_SAYS('insufficient credit')} THEN 'credits' WHEN {_SAYS('timed out', 'timeout')} THEN 'time'
+WHEN {_SAYS('too many requests', 'rate limit', '429')} THEN 'rate' WHEN {_SAYS('unauthorized', 'invalid api key', '401', '403')} THEN 'auth' WHEN {_SAYS('connection', 'network', 'name or service not known', 'failed to establish')} THEN 'net'
+WHEN {_SAYS('bad gateway', 'service unavailable', 'gateway timeout', '502', '503', '504')} THEN 'down' WHEN {_SAYS('jsondecodeerror', 'empty json', 'expecting value')} THEN 'json' ELSE 'other' END"""
+#: Errors as they come, and some with lines around, cut or without a telling line.
+RAW = """e AS (SELECT event_id, reason, CASE event_id % 7 WHEN 1 THEN concat(chr(10), '  File "a.py", line 1', chr(10), '  ', error, chr(10), 'more') WHEN 2 THEN concat(error, repeat('x', 200)) WHEN 3 THEN concat('something odd ', CAST(event_id AS VARCHAR)) ELSE error END AS error FROM fx_runs),
+k0 AS (SELECT event_id, reason, CASE WHEN event_id % 7 <> 3 AND error LIKE '%Traceback%' THEN '' WHEN event_id % 7 = 1 THEN coalesce(nullif(str_split(trim(replace(error, 'File "a.py", line 1', ''), ' ' || chr(10)), chr(10))[1], ''), 'more') WHEN length(error) > 180 THEN concat(substr(error, 1, 177), '...') ELSE error END AS line FROM e)"""
+DETAIL = "CASE kind WHEN 'none' THEN '' WHEN 'flagged' THEN 'The AI provider flagged this content' WHEN 'credits' THEN 'Insufficient credits' WHEN 'time' THEN 'Request timed out' WHEN 'rate' THEN 'Rate limited by provider' WHEN 'auth' THEN 'Authentication failed' WHEN 'net' THEN 'Network or connection error' WHEN 'down' THEN 'Provider unavailable' WHEN 'json' THEN 'Invalid translation response' ELSE 'Unexpected tool error' END"
+ERRORS = f"{RAW}, k1 AS (SELECT *, {KIND} AS kind FROM k0), d AS (SELECT *, {DETAIL} AS detail FROM k1)"
 
 
-@query(f"SELECT event_id, {DETAIL} AS detail, error LIKE '%flagged%' AS flagged, reason = 'User-skipped' AS user_skip, reason = 'Text Blocks' AS no_text, CASE WHEN error LIKE 'Traceback%' THEN '' ELSE error END AS line FROM fx_runs")
+def _raw_errors(t: Tables) -> DataFrame:
+    n, e, s = F.col("event_id") % 7, F.col("error"), F.lit
+    text = F.when(n == 1, F.concat(s('\n  File "a.py", line 1\n  '), e, s("\nmore"))).when(n == 2, F.concat(e, s("x" * 200))).when(n == 3, F.concat(s("something odd "), F.col("event_id").cast("string"))).otherwise(e)
+    return t.fx_runs.withColumn("error", text)
+
+
+@query(f"WITH {ERRORS} SELECT event_id, detail, kind = 'flagged' AS flagged, reason = 'User-skipped' AS user_skip, reason = 'Text Blocks' AS no_text, line FROM d")
 def f15_f17_errors(t: Tables) -> DataFrame:
     e = F.col("error")
-    return t.fx_runs.select("event_id", R.error_detail(e).alias("detail"), R.is_flagged(e).alias("flagged"), R.is_user_skip(F.col("reason")).alias("user_skip"), R.is_no_text(F.col("reason")).alias("no_text"), R.error_line(e).alias("line"))
+    line = R.error_line(e)
+    return _raw_errors(t).select("event_id", R.error_detail(e).alias("detail"), R.is_flagged(line).alias("flagged"), R.is_user_skip(F.col("reason"), e).alias("user_skip"), R.is_no_text(F.col("reason")).alias("no_text"), line.alias("line"))
 
 
-ACTION = """CASE detail WHEN 'Request timed out' THEN 'Try again or check the connection' WHEN 'Rate limited by provider' THEN 'Wait and try again' WHEN 'Authentication failed' THEN 'Check the credentials' WHEN 'Insufficient credits' THEN 'Buy credits or switch the provider'
-WHEN 'Network error' THEN 'Check the connection' WHEN 'Provider unavailable' THEN 'Try again later' WHEN 'Unexpected response' THEN 'Try again or switch the model' WHEN 'Content flagged' THEN 'Edit the text or switch the provider' ELSE CASE reason WHEN 'Image Load' THEN 'Check the file' WHEN 'OCR' THEN 'Try another reader' ELSE 'Try again' END END"""
+_BY_REASON = "CASE WHEN reason = 'OCR' THEN 'Try another text recognition tool' WHEN reason IN ('Translator', 'Translation') THEN 'Try another translator' ELSE '{}' END"
+ACTION = f"""CASE kind WHEN 'flagged' THEN {_BY_REASON.format('Try another tool')} WHEN 'credits' THEN 'Buy more credits' WHEN 'time' THEN 'Try again' WHEN 'rate' THEN 'Wait and try again' WHEN 'auth' THEN 'Check API settings'
+WHEN 'net' THEN 'Check your connection' WHEN 'down' THEN 'Try again later' WHEN 'json' THEN 'Try again' ELSE CASE WHEN reason = 'Text Blocks' THEN '' ELSE {_BY_REASON.format('Try again')} END END"""
 
 
-@query(f"""WITH d AS (SELECT event_id, reason, {DETAIL} AS detail FROM fx_runs), a AS (SELECT *, {ACTION} AS action FROM d)
-SELECT event_id, action, concat(CASE reason WHEN 'OCR' THEN 'Text recognition failed' WHEN 'Translator' THEN 'Translation failed' WHEN 'Text Blocks' THEN 'No text blocks found' WHEN 'Image Load' THEN 'The image could not be read' ELSE 'Page skipped' END,
- CASE WHEN detail <> '' THEN concat(': ', detail) ELSE '' END, '. ', action) AS told FROM a""")
+@query(f"""WITH {ERRORS}, a AS (SELECT *, {ACTION} AS action FROM d)
+SELECT event_id, action, concat(CASE reason WHEN 'OCR' THEN 'Text recognition failed' WHEN 'Translator' THEN 'Translation failed' WHEN 'Text Blocks' THEN 'No text blocks detected' WHEN 'Image Load' THEN 'Image could not be opened' ELSE 'Page processing failed' END,
+ CASE WHEN detail <> '' THEN concat(': ', detail) ELSE '' END, CASE WHEN action <> '' THEN concat('. ', action, '.') ELSE '' END) AS told FROM a""")
 def f18_f19_reasons(t: Tables) -> DataFrame:
     r, e = F.col("reason"), F.col("error")
-    return t.fx_runs.select("event_id", R.error_action(r, e).alias("action"), R.skip_reason(r, e).alias("told"))
+    return _raw_errors(t).select("event_id", R.error_action(r, e).alias("action"), R.skip_reason(r, e).alias("told"))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN reason WHEN 1 THEN error ELSE 'bad field' END AS told, CASE WHEN event_id % 4 = 0 THEN 'credits' WHEN event_id % 4 = 1 AND (CASE event_id % 3 WHEN 0 THEN reason WHEN 1 THEN error ELSE 'bad field' END) LIKE '%flagged%' THEN 'flagged' WHEN event_id % 4 = 2 THEN 'server' ELSE 'other' END AS kind FROM fx_runs""")
@@ -203,10 +219,12 @@ def f20_http_error(t: Tables) -> DataFrame:
     return t.fx_runs.withColumn("body", body).select("event_id", told.alias("told"), kind.alias("kind"))
 
 
-@query("SELECT event_id, 90.0*(event_id % 7)/7 + 10.0*(event_id % 3)/3 AS pct FROM fx_runs")
+@query("""WITH s AS (SELECT event_id, event_id % 10 AS i, event_id % 11 AS step FROM fx_runs)
+SELECT event_id, CASE WHEN i < 7 THEN 90*(i + step/10.0)/7 ELSE 90 + 10*(i - 7 + step/10.0)/3 END AS pct,
+CASE step WHEN 0 THEN 'start-image' WHEN 1 THEN 'text-block-detection' WHEN 2 THEN 'ocr-processing' WHEN 3 THEN 'translation' WHEN 5 THEN 'pre-inpaint-setup' WHEN 7 THEN 'inpainting' WHEN 9 THEN 'text-rendering-prepare' WHEN 10 THEN 'save-and-finish' ELSE concat('stage-', CAST(step AS VARCHAR)) END AS stage FROM s""")
 def f33_progress(t: Tables) -> DataFrame:
-    n = F.col("event_id")
-    return t.fx_runs.select("event_id", R.progress_pct(n % 7, F.lit(7), n % 3, F.lit(3)).alias("pct"))
+    i, step = F.col("event_id") % 10, F.col("event_id") % 11
+    return t.fx_runs.select("event_id", R.progress_pct(i, F.lit(7), step, F.lit(10), F.lit(3)).alias("pct"), R.stage_name(step).alias("stage"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN NULL ELSE event_id END AS subscription, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 1 END AS one_time, CASE WHEN event_id % 2 = 0 THEN event_id ELSE event_id + 1 END AS total FROM fx_runs")
@@ -237,7 +255,7 @@ def a2_auto_language(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {SUM}, b AS (SELECT f.page_id, CASE WHEN {SCRIPT.replace('script', 'f.script')} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') THEN {SCRIPT.replace('script', 'f.script')} ELSE coalesce(dom.script,'') END AS s FROM fx_blocks f JOIN dom ON f.page_id=dom.page_id)
-SELECT page_id, CASE s WHEN 'Latin' THEN 'latin' WHEN 'Japanese' THEN 'japanese' WHEN 'Hangul' THEN 'korean' WHEN 'Cyrillic' THEN 'russian' ELSE 'chinese' END AS bucket, count(*) AS blocks FROM b GROUP BY 1,2""")
+SELECT page_id, CASE s WHEN 'Latin' THEN 'latin' WHEN 'Japanese' THEN 'japanese' WHEN 'Hangul' THEN 'korean' WHEN 'Cyrillic' THEN 'cyrillic' ELSE 'chinese' END AS bucket, count(*) AS blocks FROM b GROUP BY 1,2""")
 def a3_route_blocks(t: Tables) -> DataFrame:
     from ..operators import languages as G
 
@@ -245,20 +263,20 @@ def a3_route_blocks(t: Tables) -> DataFrame:
 
 
 @query(f"""SELECT page_id, block_idx, {SCRIPT} AS script, CASE {SCRIPT} WHEN 'Latin' THEN 'en' WHEN 'Japanese' THEN 'ja' WHEN 'Hangul' THEN 'ko' WHEN 'Cyrillic' THEN 'ru' ELSE 'zh' END AS code,
-CASE {SCRIPT} WHEN 'Japanese' THEN 'Japanese' WHEN 'Hangul' THEN 'Korean' WHEN 'HanS' THEN 'Chinese' WHEN 'Cyrillic' THEN 'Russian' ELSE 'Auto' END AS language, {SCRIPT} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') AS ok FROM fx_blocks""")
+CASE {SCRIPT} WHEN 'Japanese' THEN 'Japanese' WHEN 'Hangul' THEN 'Korean' WHEN 'HanS' THEN 'Chinese' WHEN 'Cyrillic' THEN 'Russian' ELSE 'Auto' END AS language, CASE {SCRIPT} WHEN 'Latin' THEN 'latin' WHEN 'Japanese' THEN 'japanese' WHEN 'Hangul' THEN 'korean' WHEN 'Cyrillic' THEN 'cyrillic' ELSE 'chinese' END AS bucket, {SCRIPT} IN ('Latin','Japanese','Hangul','HanS','HanT','Cyrillic') AS ok FROM fx_blocks""")
 def f1_f2_scripts(t: Tables) -> DataFrame:
     s = F.col("script")
-    return t.fx_blocks.select("page_id", "block_idx", L.normalize_script(s).alias("script"), L.script_lang(s).alias("code"), L.script_language(s).alias("language"), L.script_ok(s).alias("ok"))
+    return t.fx_blocks.select("page_id", "block_idx", L.normalize_script(s).alias("script"), L.script_lang(s).alias("code"), L.script_language(s).alias("language"), L.ocr_bucket(s).alias("bucket"), L.script_ok(s).alias("ok"))
 
 
-@query("""WITH c AS (SELECT page_id, block_idx, CASE (page_id+block_idx) % 5 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'ja' WHEN 2 THEN 'en' WHEN 3 THEN 'ar' ELSE 'pt' END AS code FROM fx_blocks)
-SELECT page_id, block_idx, CASE code WHEN 'zh-CN' THEN 'Simplified Chinese' WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' WHEN 'ar' THEN 'Arabic' ELSE 'Portuguese' END AS name, code AS back, code = 'ar' AS rtl, code IN ('zh-CN','ja') AS no_space,
+@query("""WITH c AS (SELECT page_id, block_idx, CASE (page_id+block_idx) % 7 WHEN 0 THEN 'zh-CN' WHEN 1 THEN 'ja' WHEN 2 THEN 'en' WHEN 3 THEN 'ar' WHEN 4 THEN 'he' WHEN 5 THEN 'hr' ELSE 'pt' END AS code FROM fx_blocks)
+SELECT page_id, block_idx, CASE code WHEN 'zh-CN' THEN 'Simplified Chinese' WHEN 'ja' THEN 'Japanese' WHEN 'en' THEN 'English' WHEN 'ar' THEN 'Arabic' WHEN 'he' THEN 'Hebrew' WHEN 'hr' THEN 'Croatian' ELSE 'Portuguese' END AS name, code AS back, code IN ('ar', 'he') AS rtl, code IN ('zh-CN','ja') AS no_space,
 CASE code WHEN 'zh-CN' THEN 'zh-Hans' ELSE code END AS a, CASE code WHEN 'zh-CN' THEN 'ZH-HANS' WHEN 'en' THEN 'EN-US' WHEN 'pt' THEN 'PT-PT' ELSE upper(code) END AS b, CASE code WHEN 'zh-CN' THEN 'zh' ELSE code END AS c FROM c""")
 def f3_f5_codes(t: Tables) -> DataFrame:
     from ..functions import texts as T
 
-    n = (F.col("page_id") + F.col("block_idx")) % 5
-    code = F.when(n == 0, "zh-CN").when(n == 1, "ja").when(n == 2, "en").when(n == 3, "ar").otherwise("pt")
+    n = (F.col("page_id") + F.col("block_idx")) % 7
+    code = F.element_at(F.array(*map(F.lit, ("zh-CN", "ja", "en", "ar", "he", "hr", "pt"))), (n + 1).cast("int"))
     d = t.fx_blocks.withColumn("code", code)
     name = L.canonical_lang(F.col("code"))
     return d.select("page_id", "block_idx", name.alias("name"), L.lang_code(name).alias("back"), L.is_rtl(F.col("code")).alias("rtl"), T.is_no_space(F.col("code")).alias("no_space"), *(L.provider_code(F.col("code"), p).alias(p) for p in "abc"))

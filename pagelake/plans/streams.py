@@ -7,9 +7,12 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folders import drop_at_end, shared_folder
+from ..sources.inputs import read_memlog
 from ..streaming import streams as S
 from .fixtures import VIEWS, Tables
 from .registry import query
+from .strips import EDGE, MATCHES, MERGED, SEAMS, SLICE, slice_blocks
 
 
 def live(t: Tables, view: str) -> DataFrame:
@@ -38,9 +41,9 @@ def t4_stream_deltas(t: Tables) -> DataFrame:
     return S.run_to_end(S.stream_deltas(live(t, "fx_runs").filter("kind = 'skip'"), ["event_id"]).select("event_id"), "append")
 
 
-@query()
+@query("SELECT DISTINCT path FROM fx_runs WHERE reason = 'Image Load'")
 def t5_once_per_path(t: Tables) -> DataFrame:
-    return S.run_to_end(S.once_per_path(live(t, "fx_runs").filter("reason = 'Image Load'")).select("path", "ts"), "append")
+    return S.run_to_end(S.once_per_path(live(t, "fx_runs").filter("reason = 'Image Load'")).select("path"), "append")
 
 
 @query("""WITH d AS (SELECT run_id, ts, lag(ts) OVER (PARTITION BY run_id ORDER BY ts) AS pv FROM fx_runs WHERE kind='page_done'),
@@ -54,3 +57,27 @@ def t6_coalesce_saves(t: Tables) -> DataFrame:
 def t7_stream_memlog(t: Tables) -> DataFrame:
     d = S.run_to_end(S.stream_memlog(live(t, "fx_memlog")), "complete")
     return d.select("run_id", "tag", F.col("window.start").cast("timestamp_ntz").alias("start"), "low_mb", "peak_mb", "n")
+
+
+@query(f"WITH {SEAMS}, {MATCHES}, {MERGED} SELECT chapter_id, slice_no, block_idx AS idx, x1, y1, x2, y2 FROM mg")
+def t3_stream_seams(t: Tables) -> DataFrame:
+    """Slices written as files, a chapter's end marked, and read back as a stream: the rows of j15_seam_merge."""
+    b = slice_blocks(t)
+    part = F.struct(F.col("block_idx").alias("idx"), *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    slices = b.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(part)).alias("blocks"))
+    end = slices.select("chapter_id").distinct().select("chapter_id", F.lit(8).cast("long").alias("slice_no"), F.lit(None).cast(slices.schema["blocks"].dataType).alias("blocks"))
+    place = shared_folder(t.spark, "slices")
+    drop_at_end(t.spark, place)
+    slices.unionByName(end).select("chapter_id", "slice_no", F.lit(SLICE).cast("long").alias("height"), "blocks").write.parquet(place)
+    stream = t.spark.readStream.schema(t.spark.read.parquet(place).schema).parquet(place)
+    return S.run_to_end(S.stream_seams(stream, EDGE), "append")
+
+
+@query("SELECT run_id, tag, count(*) AS n, min(rss_mb) AS low_mb, max(rss_mb) AS peak_mb FROM fx_memlog GROUP BY 1, 2")
+def s13_read_memlog(t: Tables) -> DataFrame:
+    """Snapshots written as JSON lines, read back as a stream."""
+    place = shared_folder(t.spark, "memlog")
+    drop_at_end(t.spark, place)
+    t.fx_memlog.select("ts", "run_id", "tag", "rss_mb").write.json(place)
+    log = S.run_to_end(read_memlog(t.spark, place, stream=True), "append")
+    return log.groupBy("run_id", "tag").agg(F.count("*").alias("n"), F.min("rss_mb").alias("low_mb"), F.max("rss_mb").alias("peak_mb"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators import rejoin as N
 from ..operators import strips as S
 from .fixtures import Tables
 from .registry import query
@@ -116,25 +117,59 @@ def j12_combined_to_scene(t: Tables) -> DataFrame:
     return S.combined_to_scene(boxes, m)
 
 
-SEAMS = """tp AS (SELECT page_id AS seam, det_idx AS block_idx, x1, y1, x2, y2 FROM fx_text), bt AS (SELECT page_id - 1 AS seam, det_idx AS next_idx, x1, y1 - 60 AS y1, x2, y2 - 60 AS y2 FROM fx_text),
-ca AS (SELECT t.seam, t.block_idx, b.next_idx, greatest(least(t.x2,b.x2)-greatest(t.x1,b.x1),0)*1.0/greatest(least(t.x2-t.x1,b.x2-b.x1),1) AS score FROM tp t JOIN bt b ON t.seam=b.seam
- AND 700 - t.y2 <= 200 AND b.y1 <= 200 AND greatest(t.x2-t.x1,b.x2-b.x1)*1.0/greatest(least(t.x2-t.x1,b.x2-b.x1),1) <= 2.2)"""
+#: Slices of 640 pixels: the boxes of page c * 8 + s are the blocks of slice s of chapter c, 60 pixels further up.
+EDGE, SLICE = 200, 640
+SEAMS = f"""bl AS (SELECT page_id // 8 AS chapter_id, page_id % 8 AS slice_no, CAST(det_idx AS BIGINT) AS block_idx, x1, y1-60 AS y1, x2, y2-60 AS y2 FROM fx_text),
+pr AS (SELECT t.chapter_id, t.slice_no, t.chapter_id*8+t.slice_no AS seam, t.block_idx, b.block_idx AS next_idx, greatest(1,t.x2-t.x1)*1.0 AS w1, greatest(1,b.x2-b.x1)*1.0 AS w2, (t.x1+t.x2)/2.0 AS c1, (b.x1+b.x2)/2.0 AS c2,
+ greatest(0, least(t.x2,b.x2)-greatest(t.x1,b.x1)) AS inter, abs({SLICE}-t.y2) AS d1, abs(b.y1) AS d2 FROM bl t JOIN bl b ON t.chapter_id=b.chapter_id AND b.slice_no=t.slice_no+1 AND t.y2 >= {SLICE - EDGE} AND t.y1 < {SLICE} AND b.y1 <= {EDGE} AND b.y2 > 0),
+sc AS (SELECT *, 2.6*(inter/least(w1,w2)) - 0.75*(abs(c1-c2)/greatest(w1,w2)) - 0.35*abs(greatest(w1,w2)/least(w1,w2)-1) - (d1+d2)/(3.0*{EDGE}) AS score FROM pr
+ WHERE greatest(w1,w2)/least(w1,w2) <= 2.2 AND d1 <= 1.6*{EDGE} AND d2 <= 1.6*{EDGE} AND (inter/least(w1,w2) >= 0.35 OR abs(c1-c2)/greatest(w1,w2) <= 0.35)),
+ca AS (SELECT * FROM sc WHERE score > 0)"""
+PAIR = "STRUCT(a BIGINT, b BIGINT)"
+MATCHES = f"""mt AS (SELECT chapter_id, slice_no, seam, list_reduce(list({{'a': block_idx, 'b': next_idx, 's': CAST(NULL AS {PAIR}[])}} ORDER BY score DESC, block_idx, next_idx),
+ lambda m, x: {{'a': x.a, 'b': x.b, 's': CASE WHEN len(list_filter(m.s, lambda k: k.a = x.a OR k.b = x.b)) > 0 THEN m.s ELSE list_append(m.s, {{'a': x.a, 'b': x.b}}) END}}, {{'a': NULL, 'b': NULL, 's': CAST([] AS {PAIR}[])}}).s AS m FROM ca GROUP BY 1,2,3)"""
+#: Seams of a chapter in order: a block that the seam above has consumed owns nothing.
+_STATE = f"STRUCT(s BIGINT, gone BIGINT[], o STRUCT(s BIGINT, m {PAIR}[])[])"
+_KEPT = "list_filter(x.m, lambda p: NOT (a.st.s + 1 = x.s AND list_contains(a.st.gone, p.a)))"
+MERGED = f"""ch AS (SELECT chapter_id, list({{'s': CAST(slice_no AS BIGINT), 'm': m, 'st': CAST(NULL AS {_STATE})}} ORDER BY slice_no) AS l FROM mt GROUP BY 1),
+fo AS (SELECT chapter_id, list_reduce(l, lambda a, x: {{'s': x.s, 'm': x.m, 'st': {{'s': x.s, 'gone': list_transform({_KEPT}, lambda p: p.b), 'o': list_append(a.st.o, {{'s': x.s, 'm': {_KEPT}}})}}}}, {{'s': NULL, 'm': NULL, 'st': CAST({{'s': -1, 'gone': [], 'o': []}} AS {_STATE})}}).st.o AS o FROM ch),
+kp AS (SELECT chapter_id, u.s AS slice_no, p.a AS a, p.b AS b FROM (SELECT chapter_id, u, unnest(u.m) AS p FROM (SELECT chapter_id, unnest(o) AS u FROM fo) q) r),
+mg AS (SELECT t.chapter_id, t.slice_no, t.block_idx, least(t.x1, coalesce(n.x1, t.x1)) AS x1, least(t.y1, coalesce(n.y1+{SLICE}, t.y1)) AS y1, greatest(t.x2, coalesce(n.x2, t.x2)) AS x2, greatest(t.y2, coalesce(n.y2+{SLICE}, t.y2)) AS y2
+ FROM bl t LEFT JOIN kp ON kp.chapter_id=t.chapter_id AND kp.slice_no=t.slice_no AND kp.a=t.block_idx LEFT JOIN bl n ON n.chapter_id=kp.chapter_id AND n.slice_no=kp.slice_no+1 AND n.block_idx=kp.b
+ WHERE NOT EXISTS (SELECT 1 FROM kp g WHERE g.chapter_id=t.chapter_id AND g.slice_no=t.slice_no-1 AND g.b=t.block_idx))"""
+
+
+def slice_blocks(t: Tables) -> DataFrame:
+    page = F.col("page_id")
+    return t.fx_text.select(F.floor(page / 8).alias("chapter_id"), (page % 8).alias("slice_no"), F.col("det_idx").cast("long").alias("block_idx"), "x1", (F.col("y1") - 60).alias("y1"), "x2", (F.col("y2") - 60).alias("y2"))
 
 
 def _seams(t: Tables) -> DataFrame:
-    tops = t.fx_text.select(F.col("page_id").alias("seam"), F.col("det_idx").alias("block_idx"), *J.CORNERS, F.lit(700).alias("slice_height"))
-    bottoms = t.fx_text.select((F.col("page_id") - 1).alias("seam"), F.col("det_idx").alias("block_idx"), "x1", (F.col("y1") - 60).alias("y1"), "x2", (F.col("y2") - 60).alias("y2"))
-    return S.seam_candidates(tops, bottoms, edge=200)
+    b = slice_blocks(t).withColumn("seam", F.col("chapter_id") * 8 + F.col("slice_no"))
+    tops = b.filter("slice_no < 7").withColumn("slice_height", F.lit(SLICE))
+    return S.seam_candidates(tops, b.filter("slice_no > 0").withColumn("seam", F.col("seam") - 1), edge=EDGE)
 
 
-@query(f"WITH {SEAMS} SELECT seam, block_idx, next_idx, round(score, 9) AS score FROM ca WHERE score > 0")
+@query(f"WITH {SEAMS} SELECT seam, block_idx, next_idx, round(score, 9) AS score FROM ca")
 def j13_seam_candidates(t: Tables) -> DataFrame:
     return _seams(t).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(f"WITH {SEAMS}, {MATCHES} SELECT seam, p.a AS block_idx, p.b AS next_idx FROM (SELECT seam, unnest(m) AS p FROM mt) q")
 def j14_seam_match(t: Tables) -> DataFrame:
-    return S.seam_match(_seams(t))
+    return S.seam_match(_seams(t)).select("seam", "block_idx", "next_idx")
+
+
+@query(f"""WITH {SEAMS}, {MATCHES}, {MERGED} SELECT *, CASE WHEN block_idx % 2 = 0 AND NOT EXISTS (SELECT 1 FROM kp WHERE kp.chapter_id=mg.chapter_id AND kp.slice_no=mg.slice_no AND kp.a=mg.block_idx) THEN x1 - 5
+ WHEN EXISTS (SELECT 1 FROM kp WHERE kp.chapter_id=mg.chapter_id AND kp.slice_no=mg.slice_no AND kp.a=mg.block_idx) THEN (SELECT min(v.x1) - 5 FROM bl v JOIN kp ON kp.chapter_id=mg.chapter_id AND kp.slice_no=mg.slice_no AND kp.a=mg.block_idx
+ WHERE v.block_idx % 2 = 0 AND v.chapter_id=mg.chapter_id AND ((v.slice_no=mg.slice_no AND v.block_idx=mg.block_idx) OR (v.slice_no=mg.slice_no+1 AND v.block_idx=kp.b))) END AS bubble_x1 FROM mg""")
+def j15_seam_merge(t: Tables) -> DataFrame:
+    """Every second block has a bubble, 5 pixels larger."""
+    even = F.col("block_idx") % 2 == 0
+    b = slice_blocks(t).withColumns({f"bubble_{c}": F.when(even, F.col(c) + (-5 if c in ("x1", "y1") else 5)) for c in J.CORNERS})
+    m = S.seam_match(_seams(t)).select(F.floor(F.col("seam") / 8).alias("chapter_id"), (F.col("seam") % 8).alias("slice_no"), "block_idx", "next_idx")
+    heights = b.select("chapter_id", "slice_no").distinct().withColumn("height", F.lit(SLICE))
+    return S.seam_merge(b, heights, m).select("chapter_id", "slice_no", "block_idx", *J.CORNERS, "bubble_x1")
 
 
 @query("""WITH it AS (SELECT p.chapter_id, p.page_no, p.height, p.page_id AS item_idx, CASE WHEN p.page_id % 2 = 0 THEN p.height - 10 ELSE -15 END AS y1, CASE WHEN p.page_id % 2 = 0 THEN p.height + 25 ELSE 30 END AS y2 FROM fx_pages p)
@@ -151,11 +186,63 @@ def a20_page_progress(t: Tables) -> DataFrame:
     return S.page_progress(S.virtual_pages(t.fx_pages), t.fx_det)
 
 
-@query("""WITH b AS (SELECT s.chapter_id, l.page_no, s.block_idx, s.x1 % 20 AS x1, s.x1 % 20 + 150 AS x2, s.y1 % 40 AS y1, s.y1 % 40 + 10 AS y2, s.block_idx % 2 AS kind FROM fx_strip s JOIN fx_layout l ON l.chapter_id=s.chapter_id AND l.page_id*2 <= s.block_idx AND s.block_idx < l.page_id*2+2)
-SELECT a.chapter_id, a.page_no, a.block_idx AS above, b.block_idx AS below FROM b a JOIN b ON a.chapter_id=b.chapter_id AND b.page_no=a.page_no+1 AND a.kind=b.kind AND abs(b.y1-a.y2) < 15 AND abs(a.x1-b.x1) <= 10 AND abs((a.x2-a.x1)-(b.x2-b.x1)) <= 20""")
+def _stacked_sql(gap: int, left: int, width: int) -> str:
+    return f"(abs(a.y2-b.y1) < {gap} OR abs(b.y2-a.y1) < {gap}) AND abs(a.x1-b.x1) <= {left} AND abs((a.x2-a.x1)-(b.x2-b.x1)) <= {width}"
+
+
+def _pairs_sql(hit: str) -> str:
+    return f"ps AS (SELECT a.chapter_id, a.page_no AS ap, a.idx AS ai, b.page_no AS bp, b.idx AS bi FROM fx_cut a JOIN fx_cut b ON a.chapter_id=b.chapter_id AND abs(a.page_no-b.page_no) <= 1 AND (a.page_no<>b.page_no OR a.idx<>b.idx) AND a.style=b.style AND {hit})"
+
+
+_KEY = "STRUCT(p BIGINT, i BIGINT)"
+_GS = f"STRUCT(used {_KEY}[], o {_KEY}[][])"
+_FREE = "list_filter(x.bs, lambda k: NOT list_contains(a.st.used, k))"
+GROUPS = f"""sd AS (SELECT chapter_id, {{'p': CAST(ap AS BIGINT), 'i': CAST(ai AS BIGINT)}} AS a, list({{'p': CAST(bp AS BIGINT), 'i': CAST(bi AS BIGINT)}} ORDER BY bp, bi) AS bs FROM ps GROUP BY 1, 2),
+sl AS (SELECT chapter_id, list({{'a': a, 'bs': bs, 'st': CAST(NULL AS {_GS})}} ORDER BY a.p, a.i) AS l FROM sd GROUP BY 1),
+gf AS (SELECT chapter_id, list_reduce(l, lambda a, x: {{'a': x.a, 'bs': x.bs, 'st': CASE WHEN list_contains(a.st.used, x.a) THEN a.st ELSE {{'used': list_concat(a.st.used, [x.a], {_FREE}), 'o': CASE WHEN len({_FREE}) > 0 THEN list_append(a.st.o, list_concat([x.a], {_FREE})) ELSE a.st.o END}} END}},
+ {{'a': NULL, 'bs': NULL, 'st': CAST({{'used': [], 'o': []}} AS {_GS})}}).st.o AS o FROM sl)"""
+_TB = "STRUCT(p BIGINT, i BIGINT, y1 BIGINT, y2 BIGINT)"
+_PREV = "list_sort(list_filter(list_transform(g.st, lambda m, n: {'y1': m.y1, 'n': n, 'y2': m.y2}), lambda m: m.y1 <= v.b.y1))[-1].y2"
+_NEXT = "list_sort(list_filter(list_transform(g.st, lambda m, n: {'y1': m.y1, 'n': n, 'y2': m.y2}), lambda m: m.y1 > v.b.y1))[1].y1"
+_KEY_OF = "{'p': v.b.p, 'i': v.b.i}"
+_CHAIN = f"""list_reduce(list_transform(x.bs, lambda e: {{'b': e, 'st': CAST(NULL AS {_TB}[])}}), lambda g, v: {{'b': v.b, 'st': CASE WHEN NOT list_contains(a.st.used, {_KEY_OF}) AND (coalesce(abs({_PREV}-v.b.y1) < 50, false) OR coalesce(abs(v.b.y2-{_NEXT}) < 50, false)) THEN list_append(g.st, v.b) ELSE g.st END}}, {{'b': NULL, 'st': CAST([x.a] AS {_TB}[])}}).st"""
+_CHAINED = f"list_transform({_CHAIN}, lambda m: {{'p': m.p, 'i': m.i}})"
+TEXT_GROUPS = f"""sd AS (SELECT a.chapter_id, {{'p': CAST(a.page_no AS BIGINT), 'i': CAST(a.idx AS BIGINT), 'y1': a.y1, 'y2': a.y2}} AS a, list({{'p': CAST(b.page_no AS BIGINT), 'i': CAST(b.idx AS BIGINT), 'y1': b.y1, 'y2': b.y2}} ORDER BY b.page_no, b.idx) AS bs FROM fx_cut a JOIN fx_cut b ON a.chapter_id=b.chapter_id AND abs(a.page_no-b.page_no) = 1 AND a.style=b.style AND abs(a.x1-b.x1) <= 15 GROUP BY 1, 2),
+sl AS (SELECT chapter_id, list({{'a': a, 'bs': bs, 'st': CAST(NULL AS {_GS})}} ORDER BY a.p, a.i) AS l FROM sd GROUP BY 1),
+gf AS (SELECT chapter_id, list_reduce(l, lambda a, x: {{'a': x.a, 'bs': x.bs, 'st': CASE WHEN list_contains(a.st.used, {{'p': x.a.p, 'i': x.a.i}}) THEN a.st ELSE {{'used': list_concat(a.st.used, {_CHAINED}), 'o': CASE WHEN len({_CHAINED}) > 1 THEN list_append(a.st.o, {_CHAINED}) ELSE a.st.o END}} END}},
+ {{'a': NULL, 'bs': NULL, 'st': CAST({{'used': [], 'o': []}} AS {_GS})}}).st.o AS o FROM sl)"""
+
+
+def _merged_sql(glue: str, differ: bool) -> str:
+    return f"""gm AS (SELECT chapter_id, g, pl, o[g][pl] AS k FROM (SELECT chapter_id, o, g, unnest(range(1, len(o[g])+1)) AS pl FROM (SELECT chapter_id, o, unnest(range(1, len(o)+1)) AS g FROM gf) q) r),
+gh AS (SELECT gm.chapter_id, g, count(*) AS parts, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, coalesce(string_agg(nullif(text, ''), {glue} ORDER BY y1, pl), '') AS text, count(DISTINCT nullif(trim(text), '')) AS said FROM gm JOIN fx_cut c ON c.chapter_id=gm.chapter_id AND c.page_no=k.p AND c.idx=k.i GROUP BY 1, 2)
+SELECT chapter_id, CAST(g-1 AS INT) AS "group", parts, x1, y1, x2, y2, text, (SELECT min(l.page_no) FROM fx_layout l WHERE l.chapter_id=gh.chapter_id AND (gh.y1+gh.y2)/2.0 BETWEEN l.top AND l.top+l.height) AS to_page FROM gh {"WHERE said > 1" if differ else ""}"""
+
+
+_CENTRES = "abs((a.y1+a.y2)/2.0-(b.y1+b.y2)/2.0) <= {0} AND abs((a.x1+a.x2)/2.0-(b.x1+b.x2)/2.0) <= 50"
+
+
+@query(f"WITH {_pairs_sql(_stacked_sql(15, 10, 20))} SELECT * FROM ps")
 def c10_rejoin_pairs(t: Tables) -> DataFrame:
-    own = t.fx_layout.select("chapter_id", F.col("page_id").alias("own"), "page_no")
-    s = t.fx_strip.withColumn("own", F.floor(F.col("block_idx") / 2)).join(own, ["chapter_id", "own"])
-    x, y = F.col("x1") % 20, F.col("y1") % 40
-    b = s.select("chapter_id", "page_no", "block_idx", x.alias("x1"), (x + 150).alias("x2"), y.alias("y1"), (y + 10).alias("y2"), (F.col("block_idx") % 2).alias("kind"))
-    return S.rejoin_pairs(b)
+    return N.rejoin_pairs(t.fx_cut).select("chapter_id", F.col("a_page_no").alias("ap"), F.col("a_idx").alias("ai"), F.col("b_page_no").alias("bp"), F.col("b_idx").alias("bi"))
+
+
+@query(f"WITH {_pairs_sql(_stacked_sql(15, 10, 20))}, {GROUPS}, {_merged_sql(chr(39) + ' ' + chr(39), True)}")
+def c10_rejoin_blocks(t: Tables) -> DataFrame:
+    return N.rejoin_blocks(t.fx_cut, t.fx_layout)
+
+
+@query(f"WITH {_pairs_sql(_stacked_sql(10, 5, 10))}, {GROUPS}, {_merged_sql(chr(39) + ' ' + chr(39), False)}")
+def c10b_rejoin_rects(t: Tables) -> DataFrame:
+    return N.rejoin_rects(t.fx_cut, t.fx_layout)
+
+
+@query(f"WITH {TEXT_GROUPS}, {_merged_sql('chr(10)', False)}")
+def c10c_rejoin_texts(t: Tables) -> DataFrame:
+    return N.rejoin_texts(t.fx_cut, t.fx_layout)
+
+
+@query(f"WITH {_pairs_sql(_CENTRES.format(90))}, {GROUPS}, {_merged_sql(chr(39) + ' ' + chr(39), False)}")
+def c10d_rejoin_strokes(t: Tables) -> DataFrame:
+    """Centres up to 90 pixels apart: the items are higher than the 20 that strokes are held to."""
+    return N.merge_groups(t.fx_cut, N.groups(N.stroke_pairs(t.fx_cut, down=90)), t.fx_layout)

@@ -34,28 +34,26 @@ def p24_preprocess(t: Tables) -> DataFrame:
     return t.fx_blocks.select(*B, T.preprocess(F.col("text"), lang).alias("clean"))
 
 
-@query("""SELECT page_id, det_idx, y2-y1 > x2-x1 AND page_id % 3 = 0 AS vertical, (y2-y1 > x2-x1) AND (y2-y1) > CAST(1.15 AS DOUBLE)*(x2-x1) AS rotate, (y2-y1) > 0.3*1090 OR (x2-x1) > 0.5*1040 AS override FROM fx_text""")
+@query("""SELECT page_id, det_idx, y2-y1 > x2-x1 AND page_id % 3 = 0 AS vertical, (y2-y1 > x2-x1) AND (y2-y1) > CAST(1.15 AS DOUBLE)*(x2-x1) AS rotate, label = 1 AND ((y2-y1) > 0.3*1090 OR (x2-x1) > 0.5*1040) AS override FROM fx_text""")
 def p25_p27_flags(t: Tables) -> DataFrame:
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     target = F.when(F.col("page_id") % 3 == 0, "ja").otherwise("en")
-    tall = h > w
-    return t.fx_text.select("page_id", "det_idx", (tall & target.isin("zh-cn", "zh-tw", "ja")).alias("vertical"), (tall & (h > 1.15 * w)).alias("rotate"), ((h > 0.3 * 1090) | (w > 0.5 * 1040)).alias("override"))
+    direction = F.when(h > w, "vertical").otherwise("horizontal")
+    override = T.reader_override(F.col("label") == 1, w, h, F.lit(1040), F.lit(1090))
+    return t.fx_text.select("page_id", "det_idx", T.is_vertical(direction, target).alias("vertical"), T.rotate_crops(direction, w, h).alias("rotate"), override.alias("override"))
 
 
 @query("""WITH c AS (SELECT page_id, det_idx, CASE WHEN det_idx % 3 = 1 THEN NULL ELSE x1 % 256 END AS r, y1 % 256 AS g, (x1+y1) % 256 AS b FROM fx_text),
-k AS (SELECT *, greatest(r,g,b)-least(r,g,b) < 40 AS grey, 0.299*r+0.587*g+0.114*b AS luma FROM c)
-SELECT page_id, det_idx, CASE WHEN r IS NULL THEN 9 WHEN grey THEN CASE WHEN luma < 128 THEN 0 ELSE 255 END ELSE r END AS r FROM k""")
+k AS (SELECT *, greatest(r,g,b)-least(r,g,b) < 40 AS grey, CASE WHEN 0.299*r+0.587*g+0.114*b < 128 THEN 0 ELSE 255 END AS bw FROM c)
+SELECT page_id, det_idx, CASE WHEN r IS NULL THEN 9 WHEN grey THEN bw ELSE r END AS r, CASE WHEN r IS NULL THEN 8 WHEN grey THEN bw ELSE g END AS g, CASE WHEN r IS NULL THEN 7 WHEN grey THEN bw ELSE b END AS b FROM k""")
 def p28_smart_color(t: Tables) -> DataFrame:
-    r = F.when(F.col("det_idx") % 3 != 1, F.col("x1") % 256)
-    d = t.fx_text.select("page_id", "det_idx", r.alias("r"), (F.col("y1") % 256).alias("g"), ((F.col("x1") + F.col("y1")) % 256).alias("b"))
-    grey = F.greatest("r", "g", "b") - F.least("r", "g", "b") < 40
-    luma = 0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b")
-    return d.select("page_id", "det_idx", F.when(F.col("r").isNull(), 9).when(grey, F.when(luma < 128, 0).otherwise(255)).otherwise(F.col("r")).alias("r"))
+    found = (F.when(F.col("det_idx") % 3 != 1, F.col("x1") % 256), F.col("y1") % 256, (F.col("x1") + F.col("y1")) % 256)
+    return t.fx_text.select("page_id", "det_idx", T.smart_color(found, (F.lit(9), F.lit(8), F.lit(7))).alias("c")).select("page_id", "det_idx", "c.*")
 
 
-@query("SELECT page_id, 'Japanese' AS source_lang, 'English' AS target_lang FROM fx_pages")
+@query("SELECT page_id, path, 'Japanese' AS source_lang, 'English' AS target_lang FROM fx_pages")
 def p31_set_langs(t: Tables) -> DataFrame:
-    return t.fx_pages.select("page_id").withColumns({"source_lang": F.lit("Japanese"), "target_lang": F.lit("English")})
+    return O.set_langs(t.fx_pages.select("page_id", "path"), "Japanese", "English")
 
 
 #: The word looked for: literal, any case.
@@ -103,25 +101,38 @@ def f11_replace_nth(t: Tables) -> DataFrame:
     return O.replace_nth(t.fx_blocks, O.Search("th", match_case=True), "NEW", 1)
 
 
-@query()
+@query("""WITH m AS (SELECT page_id, block_idx, text, strpos(lower(text), 'the') AS p FROM fx_blocks), w AS (SELECT *, substr(text, p, 3) AS f FROM m WHERE p > 0)
+SELECT page_id, block_idx, text AS old, concat(substr(text, 1, p-1), CASE f WHEN 'the' THEN 'new word' WHEN 'THE' THEN 'NEW WORD' WHEN 'The' THEN 'New Word' ELSE CASE WHEN f LIKE 'T%' THEN 'New word' ELSE 'new word' END END, substr(text, p+3)) AS new FROM w""")
 def f10_preserve_case(t: Tables) -> DataFrame:
     return O.replace_nth(t.fx_blocks, O.Search("the"), "new word", 0, keep_case=True)
 
 
-@query("SELECT page_id, block_idx, regexp_matches(text, '<[^>]+>') AS html, replace(replace(text, chr(13)||chr(10), chr(10)), chr(13), chr(10)) AS norm FROM fx_blocks")
+@query("""SELECT page_id, block_idx, text AS old, regexp_replace(text, '([a-z])h([aeiou])', '\\2-\\1$', 'g') AS new, CAST(len(regexp_extract_all(text, '[a-z]h[aeiou]')) AS INT) AS count FROM fx_blocks WHERE regexp_matches(text, '[a-z]h[aeiou]')""")
+def f11_replace_groups(t: Tables) -> DataFrame:
+    return O.replace_all(t.fx_blocks, O.Search("([a-z])h(?P<v>[aeiou])", regex=True, match_case=True), "${v}-$1$$")
+
+
+@query("SELECT page_id, regexp_matches(html, '<[^>]+>') AS tagged, md5(replace(replace(concat(html, chr(13), chr(10), 'x', chr(13)), chr(13)||chr(10), chr(10)), chr(13), chr(10))) AS norm FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN regexp_replace(html, '[<>]', '', 'g') ELSE html END AS html FROM fx_html) h")
 def f12_html_newlines(t: Tables) -> DataFrame:
-    return t.fx_blocks.select(*B, T.looks_html(F.col("text")).alias("html"), T.norm_newlines(F.col("text")).alias("norm"))
+    html = F.when(F.col("page_id") % 4 == 0, F.regexp_replace("html", "[<>]", "")).otherwise(F.col("html"))
+    return t.fx_html.select("page_id", T.looks_html(html).alias("tagged"), F.md5(T.norm_newlines(F.concat(html, F.lit("\r\nx\r")))).alias("norm"))
 
 
-@query()
+@query("""WITH p AS (SELECT page_id, list_transform(string_split_regex(html, '<[^>]+>'), lambda x: regexp_replace(x, '(?i)the', '[$1]', 'g')) AS t, regexp_extract_all(html, '<[^>]+>') AS g FROM fx_html)
+SELECT page_id, md5(array_to_string(list_transform(range(1, len(t)+1), lambda i: concat(t[i], coalesce(g[i], ''))), '')) AS digest FROM p""")
 def f13_replace_html(t: Tables) -> DataFrame:
     return O.replace_html(t.fx_html, O.Search("the"), "[$1]").select("page_id", F.md5("new").alias("digest"))
 
 
-@query("SELECT page_id, block_idx, length(text) // 2 AS start, '' AS removed, 'ZQ' AS inserted FROM fx_blocks")
+@query("""WITH h AS (SELECT *, length(text) // 2 AS half, least(block_idx % 4, length(text) - length(text) // 2) AS cut FROM fx_blocks)
+SELECT page_id, block_idx, half AS start, CASE WHEN page_id % 3 = 0 THEN '' WHEN page_id % 3 = 1 THEN substr(text, half+1, cut) ELSE substr(text, half+1) END AS removed, CASE WHEN page_id % 3 = 2 THEN '' ELSE 'ZQ' END AS inserted FROM h""")
 def f14_text_delta(t: Tables) -> DataFrame:
-    half = F.floor(F.length("text") / 2).cast("int")
-    new = F.concat(F.substring(F.col("text"), F.lit(1), half), F.lit("ZQ"), F.substring(F.col("text"), half + 1, F.length("text")))
+    """Two letters inserted in the middle, put for up to three others, or the second half cut off."""
+    n = F.length("text")
+    half = F.floor(n / 2).cast("int")
+    cut = F.when(F.col("page_id") % 3 == 0, 0).otherwise(F.least((F.col("block_idx") % 4).cast("int"), n - half))
+    head = F.substring(F.col("text"), F.lit(1), half)
+    new = F.when(F.col("page_id") % 3 == 2, head).otherwise(F.concat(head, F.lit("ZQ"), F.substring(F.col("text"), half + cut + 1, n)))
     return t.fx_blocks.withColumn("new", new).select(*B, T.text_delta(F.col("text"), F.col("new")).alias("d")).select(*B, "d.*")
 
 
@@ -130,10 +141,11 @@ def f27_block_id(t: Tables) -> DataFrame:
     return t.fx_blocks.select(*B, F.when(F.col("text").isin("", "...!?"), 0).otherwise(1).alias("kind"), T.block_id().alias("id"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'a_b' WHEN 1 THEN 'chapter' WHEN 2 THEN 'x' ELSE 'p 1' END AS stem, CASE page_id % 3 WHEN 0 THEN '.cbz' WHEN 1 THEN '.zip' ELSE '.zip' END AS ext FROM fx_pages""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('a_b', CAST(page_id AS VARCHAR)) WHEN 1 THEN 'chapter' WHEN 2 THEN concat('x', CAST(page_id % 37 AS VARCHAR)) ELSE concat('p ', CAST(page_id AS VARCHAR)) END AS stem, CASE page_id % 5 WHEN 0 THEN '.cbz' WHEN 3 THEN '.cbt' ELSE '.zip' END AS ext FROM fx_pages""")
 def f25_f26_names(t: Tables) -> DataFrame:
-    name = F.when(F.col("page_id") % 4 == 0, "a/b").when(F.col("page_id") % 4 == 1, "***").when(F.col("page_id") % 4 == 2, "..x..").otherwise(" p 1 ")
-    ext = F.when(F.col("page_id") % 3 == 0, " CBZ ").when(F.col("page_id") % 3 == 1, "").otherwise(".rar")
+    n, s = F.col("page_id"), lambda c: c.cast("string")
+    name = F.when(n % 4 == 0, F.concat(F.lit("a/b"), s(n))).when(n % 4 == 1, "***").when(n % 4 == 2, F.concat(F.lit("..x"), s(n % 37), F.lit(".."))).otherwise(F.concat(F.lit(" p "), s(n), F.lit(" ")))
+    ext = F.element_at(F.array(*map(F.lit, (" CBZ ", "", ".rar", "cbt", ".ZIP"))), (n % 5 + 1).cast("int"))
     return t.fx_pages.select("page_id", T.safe_stem(name).alias("stem"), T.out_ext(ext).alias("ext"))
 
 
@@ -200,20 +212,32 @@ def a8_page_json(t: Tables) -> DataFrame:
     return O.page_json(t.fx_blocks, "translation")
 
 
-@query("SELECT page_id, block_idx, CASE block_idx WHEN 0 THEN 'zero' WHEN 2 THEN 'two' ELSE translation END AS translation FROM fx_blocks")
+@query("""SELECT page_id, block_idx, CASE WHEN page_id % 3 = 0 THEN translation WHEN block_idx = 0 THEN concat('z"{', CAST(page_id AS VARCHAR), '}') WHEN block_idx = 2 THEN upper(role) ELSE translation END AS translation
+FROM fx_blocks JOIN (SELECT conv_id, min(role) AS role FROM conversations WHERE turn = 0 GROUP BY 1) r ON r.conv_id = page_id""")
 def f21_parse_reply(t: Tables) -> DataFrame:
-    replies = t.fx_blocks.select("page_id").distinct().withColumn("reply", F.lit('Here: {"block_0": "zero",\n "block_2": "two"} done'))
+    """Replies of two keys with words around; every third page's holds no object."""
+    first = t.conversations.filter("turn = 0").groupBy(F.col("conv_id").alias("page_id")).agg(F.upper(F.min("role")).alias("two"))
+    body = F.to_json(F.struct(F.concat(F.lit('z"{'), F.col("page_id").cast("string"), F.lit("}")).alias("block_0"), F.col("two").alias("block_2")))
+    replies = first.withColumn("reply", F.when(F.col("page_id") % 3 == 0, "none").otherwise(F.concat(F.lit("Here:\n"), body, F.lit(" done"))))
     return O.parse_reply(replies, t.fx_blocks).select(*B, "translation")
 
 
-@query("SELECT page_id, CAST(0 AS INT) AS line_idx, 'word' AS text, CAST(page_id % 50 AS INT) AS x1, 2 AS y1, CAST(page_id % 50 AS INT) + 30 AS x2, 12 AS y2 FROM fx_pages")
+@query("""SELECT page_id, CAST(i AS INT) AS line_idx, concat('w', CAST(page_id AS VARCHAR), '_', CAST(i AS VARCHAR)) AS text, CAST(page_id % 50 + i AS INT) AS x1, CAST(2 + 20*i AS INT) AS y1, CAST(page_id % 50 + 30 AS INT) AS x2, CAST(12 + 20*i AS INT) AS y2
+FROM fx_pages CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) n WHERE (page_id + i) % 4 <> 0""")
 def f36_parse_lines(t: Tables) -> DataFrame:
-    x = F.col("page_id") % 50
-    corner = lambda a, b: F.concat(F.lit('{"x":'), a.cast("string"), F.lit(f',"y":{b}}}'))
-    good = F.concat(F.lit('{"description":"word","boundingPoly":{"vertices":['), corner(x, 2), F.lit(","), corner(x + 30, 2), F.lit(","), corner(x + 30, 12), F.lit(","), corner(x, 12), F.lit("]}}"))
-    bad = '{"description":"bad","boundingPoly":{"vertices":[{"x":1},{"x":1,"y":2},{"x":2,"y":2}]}}'
-    reply = F.concat(F.lit("["), good, F.lit(","), good, F.lit(f",{bad}]"))
-    return O.parse_lines(t.fx_pages.select("page_id", reply.alias("reply")))
+    """Even pages in one shape of reply, odd ones in the other; one line of four lacks a number."""
+    i, n = F.col("i"), F.col("page_id")
+    corner = lambda a, b: F.struct(a.cast("int").alias("x"), b.cast("int").alias("y"))
+    left, right, top, low = n % 50 + i, n % 50 + 30, 2 + 20 * i, 12 + 20 * i
+    corners = F.array(corner(F.when((n + i) % 4 != 0, left), top), corner(right, top), corner(right, low), corner(left, low))
+    text = F.concat(F.lit("w"), n.cast("string"), F.lit("_"), i.cast("string"))
+    d = t.fx_pages.select("page_id", F.explode(F.array(*map(F.lit, range(4)))).alias("i"))
+    g = d.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("i", text.alias("text"), corners.alias("v")))).alias("l"))
+    entry = lambda x: F.struct(x["text"].alias("description"), F.struct(x["v"].alias("vertices")).alias("boundingPoly"))
+    line = lambda x: F.struct(x["text"].alias("text"), x["v"].alias("boundingPolygon"))
+    listed = F.to_json(F.concat(F.slice(F.transform("l", entry), 1, 1), F.transform("l", entry)))
+    read = F.to_json(F.struct(F.struct(F.array(F.struct(F.transform("l", line).alias("lines"))).alias("blocks")).alias("readResult")))
+    return O.parse_lines(g.select("page_id", F.when(n % 2 == 0, listed).otherwise(read).alias("reply")))
 
 
 @query("SELECT page_id, block_idx, concat(CASE WHEN translation <> '' THEN concat('Context: ', translation, chr(10)) ELSE '' END, 'Translate the values, keep the keys:', chr(10), text) AS prompt FROM fx_blocks")
@@ -263,23 +287,36 @@ def f24_layout_columns(t: Tables) -> DataFrame:
     return O.layout_columns(t.fx_blocks, 24, first_indent="  ", max_lines=4)
 
 
-@query()
+@query("""SELECT page_id, block_idx, concat(array_to_string(list_transform(str_split(replace(regexp_replace(text, '\\s+', '', 'g'), '…', '...'), ''), lambda c: CASE WHEN ord(c) BETWEEN 33 AND 126 THEN chr(ord(c) + 65248) ELSE c END), ''), '．．．ｘ・ガパア。') AS clean FROM fx_blocks""")
 def f22_clean_ja(t: Tables) -> DataFrame:
-    return t.fx_blocks.select(*B, T.clean_ja(F.col("text")).alias("clean"))
+    """Texts with a tail of dots, half-width kana and voicing marks."""
+    return t.fx_blocks.select(*B, T.clean_ja(F.concat("text", F.lit(" ・.・x・ｶﾞﾊﾟｱ｡"))).alias("clean"))
 
 
-@query("SELECT page_id, CAST(0 AS INT) AS det_idx, 0 AS x1, 0 AS y1, width AS x2, height // 2 AS y2 FROM fx_pages")
+@query()
+def h4_overflow_report(t: Tables) -> DataFrame:
+    """Lines measured by a function: wide letters count double."""
+    d = t.fx_blocks.withColumn("lang", F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en"))
+    return O.overflow_report(O.layout_greedy(d, F.lit(24.0), lambda line: sum(2 if c in "mwMW" else 1 for c in line)))
+
+
+@query("""SELECT page_id, label, x1, CAST(500*k AS BIGINT) AS y1, x2, CAST(500*k + 60 AS BIGINT) AS y2 FROM (SELECT page_id, height, CAST(page_id % 2 AS INT) AS label, CAST(20 AS BIGINT) AS x1, CAST(140 AS BIGINT) AS x2, unnest(range(0, height // 500 + 1)) AS k FROM fx_pages) p WHERE 500*k + 60 <= height""")
 def h1_detect(t: Tables) -> DataFrame:
+    """A detector that sees a box every 500 pixels of a page, if the whole of it is in the slice."""
+
     def stub(pdf):
-        return pdf.assign(det_idx=0, x1=0, y1=0, x2=pdf["width"], y2=pdf["height"] // 2)[["page_id", "det_idx", "x1", "y1", "x2", "y2"]]
+        import pandas as pd
+
+        seen = [(r.page_id, r.slice, r.page_id % 2, 20, y - r.start_y, 140, y + 60 - r.start_y) for r in pdf.itertuples() for y in range(-(-r.start_y // 500) * 500, r.end_y - 59, 500)]
+        return pd.DataFrame(seen, columns=["page_id", "slice", "label", "x1", "y1", "x2", "y2"])
 
-    return O.detect(t.fx_pages.select("page_id", "width", "height"), stub, "page_id long, det_idx int, x1 int, y1 int, x2 long, y2 long")
+    return O.detect(t.fx_pages.select("page_id", "width", "height"), stub)
 
 
 @query("SELECT page_id, block_idx, CASE WHEN block_idx % 2 = 0 THEN concat('w', CAST(x2-x1 AS VARCHAR)) ELSE '' END AS text FROM fx_blocks")
 def h2_read_text(t: Tables) -> DataFrame:
     d = t.fx_blocks.withColumn("bucket", F.when(F.col("block_idx") % 2 == 0, "latin").otherwise("other"))
-    return O.read_text(d, {"latin": lambda pdf: ["w" + str(int(w)) for w in pdf["x2"] - pdf["x1"]]})
+    return O.read_text(d, {"latin": lambda pdf: "w" + (pdf["x2"] - pdf["x1"]).astype(str)})
 
 
 @query("""SELECT page_id, block_idx, CASE WHEN NOT regexp_matches(text, '[\\p{L}\\p{N}]') THEN '' WHEN block_idx % 2 = 0 THEN 'cached' ELSE reverse(text) END AS value FROM fx_blocks""")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.folders import drop_at_end, shared_folder
+
 LATE = "1 hour"
 
 
@@ -49,90 +49,99 @@ def stream_memlog(log: DataFrame, size: str = "1 hour") -> DataFrame:
     return log.groupBy("run_id", "tag", F.window("ts", size)).agg(F.min("rss_mb").alias("low_mb"), F.max("rss_mb").alias("peak_mb"), F.count("*").alias("n"))
 
 
-def stream_seams(slices: DataFrame, timeout_ms: int | None = None) -> DataFrame:
-    """Merge blocks cut by the border of consecutive slices of a chapter.
+_PARTS = ("idx", "x1", "y1", "x2", "y2")
+
+
+def stream_seams(slices: DataFrame, edge: float = 60, timeout_ms: int | None = None) -> DataFrame:
+    """Merge blocks cut by the border of consecutive slices of a chapter, as seam_match and seam_merge do for whole tables.
 
     slices: chapter_id, slice_no, height and blocks, an array of (idx, x1, y1,
-    x2, y2), in order of slice_no. State holds the last slice only; a block at
-    its lower edge and the block at the next upper edge that shares most of
-    its width become one, in the coordinates of the upper slice. A slice is
-    published when the next has come, the last of a chapter at its end marker
-    (blocks null) or, for streams that go on for ever, after the timeout.
+    x2, y2), in order of slice_no. State holds the last slice and which of its
+    blocks the seam above has consumed. A slice is published when the next has
+    come, the last of a chapter at its end marker (blocks null) or, for streams
+    that go on for ever, after the timeout.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     out = "chapter_id long, slice_no long, idx long, x1 long, y1 long, x2 long, y2 long"
-    state_schema = "slice_no long, height long, blocks array<struct<idx:long,x1:long,y1:long,x2:long,y2:long>>"
+    state_schema = "slice_no long, height long, gone array<long>, blocks array<struct<idx:long,x1:long,y1:long,x2:long,y2:long>>"
 
-    def rows(chapter: int, held: tuple) -> list[tuple]:
-        return [(chapter, held[0], *(b[k] for k in ("idx", "x1", "y1", "x2", "y2"))) for b in held[2]]
+    def as_tuples(blocks) -> list[tuple]:
+        return [tuple(int(b[k]) for k in _PARTS) for b in blocks]
 
     def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
         done: list[tuple] = []
-        held = state.get if state.exists else None
-        if held is not None:
-            held = (held[0], held[1], [b if isinstance(b, dict) else b.asDict() for b in held[2]])
+        held = (state.get[0], state.get[1], list(state.get[2]), as_tuples(state.get[3])) if state.exists else None
         if timeout_ms and state.hasTimedOut:
             if held is not None:
-                done += rows(key[0], held)
+                done += [(key[0], held[0], *b) for b in held[3] if b[0] not in held[2]]
             state.remove()
         else:
             arrived = sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["slice_no"])
             for r in arrived:
-                blocks = None if r["blocks"] is None else [dict(b) if isinstance(b, dict) else b.asDict() for b in r["blocks"]]
-                if held is not None and blocks is not None and r["slice_no"] == held[0] + 1:
-                    held, blocks = join_slices(held, blocks)
+                blocks = None if r["blocks"] is None else as_tuples(r["blocks"])
+                gone: list[int] = []
                 if held is not None:
-                    done += rows(key[0], held)
-                held = None if blocks is None else (int(r["slice_no"]), int(r["height"]), blocks)
+                    own = [b for b in held[3] if b[0] not in held[2]]
+                    if blocks is not None and r["slice_no"] == held[0] + 1:
+                        own, gone = join_slices(held, blocks, edge)
+                    done += [(key[0], held[0], *b) for b in own]
+                held = None if blocks is None else (int(r["slice_no"]), int(r["height"]), gone, blocks)
             if held is None:
                 if state.exists:
                     state.remove()
             else:
-                state.update((held[0], held[1], [tuple(b[k] for k in ("idx", "x1", "y1", "x2", "y2")) for b in held[2]]))
+                state.update(held)
                 if timeout_ms:
                     state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(done, columns=["chapter_id", "slice_no", "idx", "x1", "y1", "x2", "y2"])
+        yield pd.DataFrame(done, columns=["chapter_id", "slice_no", *_PARTS])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     return slices.groupBy("chapter_id").applyInPandasWithState(step, out, state_schema, "append", timeout)
 
 
-def join_slices(held: tuple, blocks: list[dict], edge: int = 60) -> tuple[tuple, list[dict]]:
-    """The held slice with merged blocks, and what is left of the next one's."""
-    number, height, upper = held
-    pairs = []
-    for a in upper:
-        for b in blocks:
-            shared = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])
-            small, large = sorted((max(1, a["x2"] - a["x1"]), max(1, b["x2"] - b["x1"])))
-            if height - a["y2"] <= edge and b["y1"] <= edge and shared > 0 and large / small <= 2.2:
-                pairs.append((-shared / small, a["idx"], b["idx"]))
-    used_a: dict[int, int] = {}
-    used_b: set[int] = set()
-    for _, i, j in sorted(pairs):
-        if i not in used_a and j not in used_b:
-            used_a[i] = j
-            used_b.add(j)
-    below = {b["idx"]: b for b in blocks}
-    merged = []
+def seam_score(a: tuple, b: tuple, height: int, edge: float) -> float | None:
+    """The score of two blocks (idx, x1, y1, x2, y2) at a seam; operators.strips has the rule."""
+    edge = float(max(10, edge))
+    wa, wb = max(1, a[3] - a[1]), max(1, b[3] - b[1])
+    narrow, wide = min(wa, wb), max(wa, wb)
+    far = abs(height - a[4]), abs(b[2])
+    at_edge = a[4] >= height - edge and a[2] < height and b[2] <= edge and b[4] > 0 and max(far) <= 1.6 * edge
+    overlap = max(0, min(a[3], b[3]) - max(a[1], b[1])) / narrow
+    centre = abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2) / wide
+    score = 2.6 * overlap - 0.75 * centre - 0.35 * abs(wide / narrow - 1) - sum(far) / (3 * edge)
+    return score if at_edge and wide / narrow <= 2.2 and (overlap >= 0.35 or centre <= 0.35) and score > 0 else None
+
+
+def join_slices(held: tuple, blocks: list[tuple], edge: float = 60) -> tuple[list[tuple], list[int]]:
+    """What is published of the held slice (number, height, consumed ids, blocks), and the ids that it consumes of the next one's blocks."""
+    _, height, gone, upper = held
+    scored = sorted((-s, a[0], b[0]) for a in upper for b in blocks if (s := seam_score(a, b, height, edge)) is not None)
+    pairs: dict[int, int] = {}
+    taken: set[int] = set()
+    for _, i, j in scored:
+        if i not in pairs and j not in taken:
+            pairs[i] = j
+            taken.add(j)
+    below, out, consumed = {b[0]: b for b in blocks}, [], []
     for a in upper:
-        b = below.get(used_a.get(a["idx"], None)) if a["idx"] in used_a else None
-        merged.append(a if b is None else {"idx": a["idx"], "x1": min(a["x1"], b["x1"]), "y1": min(a["y1"], b["y1"] + height), "x2": max(a["x2"], b["x2"]), "y2": max(a["y2"], b["y2"] + height)})
-    return (number, height, merged), [b for b in blocks if b["idx"] not in used_b]
+        if a[0] in gone:
+            continue
+        if a[0] in pairs:
+            b = below[pairs[a[0]]]
+            consumed.append(b[0])
+            a = (a[0], min(a[1], b[1]), min(a[2], b[2] + height), max(a[3], b[3]), max(a[4], b[4] + height))
+        out.append(a)
+    return out, consumed
 
 
 def run_to_end(df: DataFrame, mode: str) -> DataFrame:
     """Run a stream over what there is, and its result: all batches, or in complete mode the last."""
     spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.conf.get("spark.master", "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = shared_folder(spark, "stream")
+    drop_at_end(spark, place)
     last = {"n": 0}
 
     def sink(batch: DataFrame, n: int) -> None:

@@ -10,7 +10,9 @@ from pagelake.functions import lang as L
 from pagelake.functions import report as R
 from pagelake.functions import texts as T
 from pagelake.operators import boxes as OB
+from pagelake.operators import clusters as C
 from pagelake.operators import joins as J
+from pagelake.operators import orientation as D
 from pagelake.operators import strips as S
 from pagelake.operators import texts as OT
 from pagelake.sources import inputs
@@ -31,8 +33,13 @@ def test_scalars(spark):
     assert one(spark, *(R.error_detail(s(e)) for e in ("HTTP 429 Too Many Requests", "503 Service Unavailable", ""))) == ("Rate limited by provider", "Provider unavailable", "")
     assert one(spark, *(T.safe_stem(s(x)) for x in ("a/b:c..", "***"))) == ("a_b_c", "chapter")
     assert tuple(one(spark, R.parse_credits(s("7")))[0]) == (None, 7, 7)
-    assert OT.java_replacement("$1-$&-${n}-$$") == "$1-$0-${n}-\\$"
-    assert one(spark, T.clean_ja(s("a b…!?"))) == ("ａｂ．．！？",)
+    assert one(spark, *(T.clean_ja(s(x)) for x in ("a b…!?", "あ・い・・う", "ﾊﾟｶﾞ"))) == ("ａｂ．．．！？", "あ・い．．う", "パガ")
+    assert one(spark, T.title_case(s("it's a NEW day")), T.preserve_case(s("It's"), s("new word")), T.preserve_case(s("TheEnd"), s("new word"))) == ("It'S A New Day", "New word", "New word")
+    names = ["p1", "p" + "9" * 21, "p1" + "0" * 20 + "1", "p1" + "0" * 20 + "2", "p007", "p7b"]
+    d = rows(spark, [(n,) for n in names], "n string")
+    assert [r["n"] for r in d.orderBy(T.natural_key(F.col("n"))).collect()] == ["p1", "p007", "p7b", *names[1:4]]
+    assert one(spark, R.error_line(s('Traceback (most recent call last):\n x')), R.error_line(s('\n File "a", line 1\nboom')), R.error_detail(s("content was flagged, 429")), R.error_action(s("OCR"), s("content was flagged"))) == ("", "boom", "The AI provider flagged this content", "Try another text recognition tool")
+    assert one(spark, R.skip_reason(s("Text Blocks"), s(""))) == ("No text blocks detected",)
 
 
 def rows(spark, values, schema):
@@ -52,15 +59,15 @@ def test_box_functions(spark):
 
 def test_touching_boxes(spark):
     d = rows(spark, [(1, 0, 0, 10, 10), (1, 15, 0, 25, 10), (1, 80, 80, 90, 90)], "page_id long, x1 long, y1 long, x2 long, y2 long")
-    got = OB.merge_touching(d, 100, 100, pad=3)
+    got = C.merge_touching(d, 100, 100, pad=3)
     assert sorted(tuple(r)[1:] for r in got.collect()) == [(0, 0, 28, 13), (77, 77, 93, 93)]
-    again = OB.merge_touching(got, 100, 100, pad=0)
+    again = C.merge_touching(got, 100, 100, pad=0)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
 
 
 def test_merge_contained(spark):
     d = rows(spark, [(1, 0, 0, 0, 100, 100), (1, 1, 10, 10, 60, 60), (1, 2, 300, 300, 320, 320)], "page_id long, det_idx int, x1 long, y1 long, x2 long, y2 long")
-    assert sorted(tuple(r)[2:] for r in OB.merge_contained(d).collect()) == [(0.0, 0.0, 100.0, 100.0), (300.0, 300.0, 320.0, 320.0)]
+    assert sorted(tuple(r)[2:] for r in C.merge_contained(d).collect()) == [(0.0, 0.0, 100.0, 100.0), (300.0, 300.0, 320.0, 320.0)]
 
 
 @pytest.mark.parametrize(("height", "sizes"), [(2400, [2400]), (5000, [2500, 2500]), (7001, [2334, 2334, 2333])])
@@ -90,13 +97,69 @@ def test_ranges_that_share_buckets_are_joined_once(spark):
 
 
 def test_layouts(spark):
-    d = rows(spark, [(1, 0, "the quick brown fox", "en"), (1, 1, "漢字仮名", "ja")], "page_id long, block_idx long, text string, lang string")
-    got = [(r["block_idx"], r["line"]) for r in OT.layout_greedy(d, F.lit(3 * 3)).orderBy("block_idx", "line_no").collect()]
-    assert got == [(0, "the quick"), (0, "brown fox"), (1, "漢字仮名")]
+    d = rows(spark, [(1, 0, "the quick brown fox", "en"), (1, 1, "漢字仮名 あ\n\nい", "ja"), (1, 2, "well-known by-and-by extraordinary -x", "en"), (1, 3, None, "en")], "page_id long, block_idx long, text string, lang string")
+    got: dict = {}
+    for r in OT.layout_greedy(d, F.lit(9)).orderBy("block_idx", "line_no").collect():
+        got.setdefault(r["block_idx"], []).append((r["line"], r["overflow"]))
+    assert [x for x, _ in got[0]] == ["the quick", "brown fox"] and [x for x, _ in got[1]] == ["漢字仮名あ", "", "い"] and 3 not in got
+    assert got[2] == [("well-", False), ("known by-", False), ("and-by", False), ("extraordinary", True), ("-x", False)]
+    wide = OT.layout_greedy(d.filter("block_idx = 0"), F.lit(9), lambda line: 2 * len(line))
+    assert [r["line"] for r in wide.orderBy("line_no").collect()] == ["the", "quick", "brown", "fox"]
     long = OT.layout_columns(rows(spark, [(1, 0, "incomprehensibilities of it")], "page_id long, block_idx long, text string"), 10).orderBy("line_no").collect()
     assert [r["line"] for r in long] == ["incompreh-", "ensibilit-", "ies of it"] and all(len(r["line"]) <= 10 for r in long)
 
 
+def test_search_and_replace(spark):
+    d = rows(spark, [(1, 0, "aXbXX aab"), (1, 1, None), (1, 2, "")], "page_id long, block_idx long, text string")
+    empty = OT.find_matches(d, OT.Search("X*", regex=True, match_case=True)).orderBy("ordinal").collect()
+    assert [(r["ordinal"], r["start"], r["end"], r["found"]) for r in empty] == [(0, 1, 2, "X"), (1, 3, 5, "XX")]
+    one_by = lambda find, to, **k: [r["new"] for r in OT.replace_all(d, OT.Search(find, regex=True, match_case=True), to, **k).collect()]
+    assert one_by("(?P<n>a+)(b)", "<$2$1|${n}|$&|$$>") == ["aXbXX <baa|aa|aab|$>"]
+    assert one_by("b", "${gone}") == ["aX${gone}XX aa${gone}"]
+    assert [r["new"] for r in OT.replace_nth(d, OT.Search("(X)(X)?", regex=True), "[$1$2]", 1).collect()] == ["aXb[XX] aab"]
+    assert [r["new"] for r in OT.replace_all(d, OT.Search("xx"), "new", keep_case=True).collect()] == ["aXbNEW aab"]
+    with pytest.raises(ValueError):
+        OT.Search("  ")
+
+
+BOXES = "page_id long, det_idx int, x1 long, y1 long, x2 long, y2 long"
+
+
+def corners(df):
+    return sorted(tuple(r[c] for c in ("x1", "y1", "x2", "y2")) for r in df.collect())
+
+
+def test_line_boxes(spark):
+    d = rows(spark, [(1, 0, 0, 0, 100, 20), (1, 1, 120, 4, 200, 24), (1, 2, 300, 0, 320, 100), (1, 3, 302, 110, 318, 200), (1, 4, 500, 300, 503, 340)], BOXES)
+    assert corners(C.merge_line_boxes(d, 1000, 1000)) == [(0, 0, 200, 24), (300, 0, 320, 200)]
+
+
+def test_slices_are_merged_in_one_pass(spark):
+    d = rows(spark, [(1, 0, 0, 0, 100, 100), (1, 1, 5, 5, 95, 95), (1, 2, 0, 104, 100, 204), (1, 3, 0, 900, 100, 990), (2, 0, 0, 0, 10, 10)], BOXES).withColumn("label", F.lit(0))
+    assert corners(C.merge_slices(d, 1000)) == [(0, 0, 10, 10), (0, 0, 100, 204), (0, 900, 100, 990)]
+
+
+def test_fragments_and_columns(spark):
+    d = rows(spark, [(1, 0, 0, 0, 200, 30), (1, 1, 90, 32, 96, 36), (1, 2, 0, 100, 200, 130), (1, 3, 500, 500, 504, 504), (1, 4, 0, 200, 200, 230)], BOXES)
+    assert corners(C.absorb_fragments(d)) == [(0, 0, 200, 36), (0, 100, 200, 130), (0, 200, 200, 230), (500, 500, 504, 504)]
+    e = rows(spark, [(1, 0, 0, 0, 10, 100), (1, 1, 14, 0, 24, 100), (1, 2, 60, 0, 70, 100), (1, 3, 64, 500, 74, 600)], BOXES)
+    assert corners(C.merge_columns(e)) == [(0, 0, 24, 100), (60, 0, 70, 100), (64, 500, 74, 600)]
+
+
+def test_reading_order(spark):
+    d = rows(spark, [(1, 0, 50, 0, 60, 40), (1, 1, 0, 5, 10, 45), (1, 2, 0, 100, 10, 140)], BOXES)
+    ranks = lambda **k: [r["det_idx"] for r in C.reading_order(d, **k).orderBy("rank").collect()]
+    assert ranks() == [1, 0, 2] and ranks(rtl=True) == [0, 1, 2] and ranks(rtl=True, vertical=F.lit(False)) == [1, 0, 2]
+
+
+@pytest.mark.parametrize("fn", [C.merge_contained, lambda d: C.merge_line_boxes(d, 99, 99), C.merge_aligned, C.absorb_fragments, C.rows_by_y, C.merge_columns, C.reading_order, lambda d: C.merge_touching(d, 99, 99), OB.drop_nested, D.direction_votes, D.group_lines_auto])
+def test_empty_single_and_tied_boxes(spark, fn):
+    none = rows(spark, [], BOXES)
+    assert fn(none).count() == 0
+    twin = rows(spark, [(1, 0, 5, 5, 15, 15), (2, 0, 5, 5, 15, 15), (2, 1, 5, 5, 15, 15)], BOXES).withColumn("idx", F.lit("clash"))
+    assert {r["page_id"] for r in fn(twin).collect()} >= {1}
+
+
 def test_scan_archives(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.cbz", "w") as z:
         for n in ("p10.png", "p2.png", "note.txt", "P1.png"):
@@ -116,3 +179,18 @@ def test_seams_as_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     got = streams.run_to_end(streams.stream_seams(stream), "append")
     assert sorted((r["slice_no"], r["idx"], r["y1"], r["y2"]) for r in got.collect()) == [(0, 0, 950, 1040), (0, 1, 10, 50), (1, 1, 400, 450)]
+
+
+def test_reorder(spark):
+    pages = rows(spark, [("a", 0, "x/p1"), ("a", 1, "y/p1"), ("a", 2, "p2"), ("b", 0, "z")], "project string, page_no long, path string")
+    ask = lambda tokens: {(r["project"], r["pos"]): r["path"] for r in J.resolve_reorder(rows(spark, tokens, "project string, pos long, token string"), pages).collect()}
+    assert ask([("a", 0, "p1"), ("a", 1, "p2"), ("a", 2, "p1")]) == {("a", 0): "x/p1", ("a", 1): "p2", ("a", 2): "y/p1"}
+    assert ask([("a", 0, "p1"), ("a", 1, "x/p1"), ("a", 2, "p2")]) == dict.fromkeys([("a", 0), ("a", 1), ("a", 2)])
+    assert ask([("b", 0, "z"), ("b", 1, "z")]) == {("b", 0): None, ("b", 1): None}
+
+
+def test_image_headers(spark):
+    jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC00011080064009603012200021101031101FFDA")
+    files = rows(spark, [("a", bytearray(jpeg)), ("b", bytearray(b"none")), ("c", bytearray(b"GIF89a\x0a\x00\x14\x00")), ("d", None)], "path string, content binary")
+    good, bad = inputs.header_sizes(files)
+    assert sorted(map(tuple, good.collect())) == [("a", 150, 100), ("c", 10, 20)] and sorted(r["path"] for r in bad.collect()) == ["b", "d"]
