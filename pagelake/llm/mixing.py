@@ -10,9 +10,11 @@ of domains; documents stay where they are.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,13 @@ from .common import materialise
 
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
+#: Rates so near a whole number are that number, so that clean documents stay; totals move by that share at most.
+SNAP = 0.02
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters."""
-    return F.filter(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), "[^\\p{L}]+"), "")
 
 
 def marks(text: Column, words: Column) -> Column:
@@ -38,6 +42,18 @@ def marks(text: Column, words: Column) -> Column:
     return F.array(step("#symbols ", F.ceil(symbols * 20 / n) / 10), step("#distinct ", distinct), step("#upper ", upper / n), F.concat(F.lit("#length "), length))
 
 
+def featured(docs: DataFrame, keep: list[Column]) -> DataFrame:
+    """keep, words (tokens in order) and marks of every row; the text is split once, in a projection of its own."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    split = docs.select(*keep, text.alias("__text"), tokens(text).alias("words"))
+    kept = [c for c in split.columns if c not in ("__text", "words")]
+    return split.select(*kept, "words", marks(F.col("__text"), F.col("words")).alias("marks"))
+
+
+def _slot(word: Column, slots: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(slots)).cast("int") + 1
+
+
 @dataclass(frozen=True)
 class Classifier:
     """Two questions, toxic? and of good quality?: log odds without features, and what each feature adds."""
@@ -45,15 +61,24 @@ class Classifier:
     start: tuple[float, float]
     weights: dict[str, tuple[float, float]]
 
-    def log_odds(self, text: Column) -> Column:
-        """An array: log odds of toxic, of good quality."""
+    def _slots(self) -> int:
+        """A table size at which no two features share a slot."""
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in self.weights]
+        h = [x - (1 << 64) if x >> 63 else x for x in h]
+        return next(m for m in itertools.count(8 * len(h) + 1, 2) if len({x % m for x in h}) == len(h))
+
+    def log_odds(self, words: Column, marked: Column) -> Column:
+        """An array: log odds of toxic, of good quality. Features present are found by hash, their weights by slot."""
         start = F.array(*map(F.lit, self.start))
         if not self.weights:
             return start
-        words = tokens(text)
-        found = F.array_intersect(F.concat(words, marks(text, words)), F.array(*map(F.lit, self.weights)))
-        table = F.create_map(*[x for w, own in self.weights.items() for x in (F.lit(w), F.array(*map(F.lit, own)))])
-        return F.aggregate(found, start, lambda acc, w: F.zip_with(acc, table[w], lambda a, b: a + b))
+        slots = self._slots()
+        where = {xxhash.xxh64_intdigest(w.encode(), 42): own for w, own in self.weights.items()}
+        at = {(x - (1 << 64) if x >> 63 else x) % slots: own for x, own in where.items()}
+        tables = [F.split(F.lit(" ".join(repr(at[i][k]) if i in at else "0" for i in range(slots))), " ").cast("array<double>") for k in (0, 1)]
+        found = F.array_intersect(F.concat(words, marked), F.split(F.lit("\n".join(self.weights)), "\n"))
+        places = F.transform(found, lambda w: _slot(w, slots))
+        return F.aggregate(places, start, lambda acc, i: F.array(*[acc[k] + F.element_at(tables[k], i) for k in (0, 1)]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, vocabulary: int = 128, least: float = 20.0) -> Classifier:
@@ -66,9 +91,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, vocabulary: in
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("y0"), F.col("quality").cast("int").alias("y1")).dropna().dropDuplicates(["doc_id"])
     share = min(1.0, max_rows / max(1, known.count()))
     drawn = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 20)) < int(share * (1 << 20)))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    features = F.array_distinct(F.concat(tokens(text), marks(text, tokens(text))))
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("y0", "y1", features.alias("words")))  # max_rows rows
+    labelled = featured(docs.join(F.broadcast(drawn), "doc_id"), [F.col("y0"), F.col("y1")])  # max_rows rows
+    rows = materialise(labelled.select("y0", "y1", F.array_distinct(F.concat("words", "marks")).alias("words")))
     n = rows.agg(F.count("*").alias("n"), F.sum("y0").alias("n0"), F.sum("y1").alias("n1")).first()
     counts = rows.select("y0", "y1", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen"), F.sum("y0").alias("c0"), F.sum("y1").alias("c1"))
     start, weights = [], {}
@@ -94,55 +118,83 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, vocabulary: in
 
 def classify(docs: DataFrame, model: Classifier, keep: list[Column]) -> DataFrame:
     """keep, n_tokens and the posteriors p_clean, p_poor, p_toxic (they add up to 1) of every row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     sure = lambda x: 1 / (1 + F.exp(-F.greatest(F.lit(-50.0), F.least(F.lit(50.0), x))))
-    scored = docs.select(*keep, F.size(tokens(text)).cast("long").alias("n_tokens"), model.log_odds(text).alias("s"))
+    seen = featured(docs, keep)
+    kept = [c for c in seen.columns if c not in ("words", "marks")]
+    scored = seen.select(*kept, F.size("words").cast("long").alias("n_tokens"), model.log_odds(F.col("words"), F.col("marks")).alias("s"))
     odds = scored.withColumns({"p_toxic": sure(F.col("s")[0]), "good": sure(F.col("s")[1])})
     return odds.select(*[c for c in scored.columns if c != "s"], ((1 - F.col("p_toxic")) * F.col("good")).alias("p_clean"), ((1 - F.col("p_toxic")) * (1 - F.col("good"))).alias("p_poor"), "p_toxic")
 
 
 def _rate(steps: list[list[float]], max_rate: float | None) -> Column:
-    """The rate after the steps: from 1, each step subtracts its product with the posterior and goes back into the bounds."""
+    """The rate after the steps, from 1: each subtracts its product with the posterior, goes back into the bounds, and then on by its momentum."""
     p = [F.col(f"p_{d}") for d in DOMAINS]
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*map(F.lit, g)) for g in steps])
 
-    def step(r: Column, g: Column) -> Column:
-        new = F.greatest(F.lit(0.0), r - sum((p[i] * g[i] for i in range(1, len(p))), p[0] * g[0]))
-        return new if max_rate is None else F.least(F.lit(max_rate), new)
+    def inside(r: Column) -> Column:
+        r = F.greatest(F.lit(0.0), r)
+        return r if max_rate is None else F.least(F.lit(max_rate), r)
+
+    def step(acc: Column, g: Column) -> Column:
+        new = inside(acc["ahead"] - sum((p[i] * g[i] for i in range(1, len(p))), p[0] * g[0]))
+        return F.struct(new.alias("rate"), inside(new + g[len(p)] * (new - acc["rate"])).alias("ahead"))
+
+    start = F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    return F.aggregate(moves, start, step)
+
+
+@dataclass(frozen=True)
+class Rates:
+    """Gradient steps, from which a posterior gives its rate, and how far expected totals still are from the targets, as a share of the budget."""
+
+    steps: list[list[float]]
+    deviation: float
 
-    return F.aggregate(moves, F.lit(1.0), step)
+    def rate(self, max_rate: float | None) -> Column:
+        return _rate(self.steps, max_rate)["rate"] if self.steps else F.lit(1.0)
 
 
-def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, rounds: int = 12, tolerance: float = 1e-3) -> list[list[float]]:
-    """The gradient steps that bring expected domain tokens to the targets.
+def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, rounds: int = 60, tolerance: float = 1e-3, still: float = 1e-4, patience: int = 8) -> Rates:
+    """The projected gradient steps, with momentum, that bring expected domain tokens to the targets in the sense of least squares.
 
     The token budget is such that the domain of largest target keeps what it
     has. Steps are scaled by each domain's tokens, which bounds the curvature.
+    They end when the largest deviation is within the tolerance or has not
+    fallen by `still` in `patience` rounds: then bounds on rates, or posteriors
+    too soft, forbid a better fit. Those up to the best round are returned.
     """
-    sums = [F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col("rate")).alias(d) for d in DOMAINS]
     steps: list[list[float]] = []
+    seen: list[float] = []
     first: list[float] | None = None
-    for _ in range(rounds):
-        now = [x or 0.0 for x in posteriors.withColumn("rate", _rate(steps, max_rate)).agg(*sums).first()]
+    t = 1.0
+    while True:
+        # Totals of the rate itself, and of where momentum has led, from which the next step starts.
+        state = _rate(steps, max_rate)
+        rows = posteriors.withColumn("s", state if steps else F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")))
+        row = rows.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col(f"s.{k}")).alias(f"{k}_{d}") for d in DOMAINS for k in ("rate", "ahead")]).first()
+        now, ahead = ([row[f"{k}_{d}"] or 0.0 for d in DOMAINS] for k in ("rate", "ahead"))
         if first is None:
             first = now
             main = max(targets, key=lambda d: targets[d])
             budget = now[DOMAINS.index(main)] / targets[main]
             wanted = [targets.get(d, 0.0) * budget for d in DOMAINS]
-        if not budget or max(abs(a - b) for a, b in zip(now, wanted, strict=True)) <= tolerance * budget:
-            break
-        steps.append([(a - b) / m if m > 0 else 0.0 for a, b, m in zip(now, wanted, first, strict=True)])
-    return steps
+        seen.append(max(abs(a - b) for a, b in zip(now, wanted, strict=True)) / budget if budget else 0.0)
+        if seen[-1] <= tolerance or len(seen) > rounds or len(seen) > patience and min(seen[:-patience]) - min(seen[-patience:]) < still:
+            best = min(range(len(seen)), key=seen.__getitem__)
+            return Rates(steps[:best], seen[best])
+        t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
+        steps.append([*((a - b) / m if m > 0 else 0.0 for a, b, m in zip(ahead, wanted, first, strict=True)), (old - 1) / t])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None) -> DataFrame:
-    """doc_id, crc, n_tokens, p_clean, p_poor, p_toxic, rate and copies for every row of docs.
+    """doc_id, crc, n_tokens, p_clean, p_poor, p_toxic, rate, copies and deviation for every row of docs.
 
     No rate exceeds max_rate; targets are then met as nearly as that allows.
     copies is the rate rounded down or up by a hash of id and text, so its
-    mean is the rate; rates within 0.02 of a whole number are that number. A
+    mean is the rate; rates within SNAP of a whole number are that number.
+    deviation: how far expected totals stay from the targets, see fit_rates. A
     null or blank text has no tokens and is judged like one without words; rows with
     a null id are drawn by their text. Repeated rows get equal values. Without
     labels both questions stand at even odds. Extra columns are not read.
@@ -151,11 +203,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     crc = F.crc32(F.encode(text, "utf-8"))
     model = fit(docs, labels)
     scored = materialise(classify(docs, model, [F.col("doc_id"), crc.alias("crc")]))
-    rate = _rate(fit_rates(scored, targets, max_rate), max_rate)
+    fitted = fit_rates(scored, targets, max_rate)
+    rate = fitted.rate(max_rate)
     whole = F.round("rate")
     draw = F.pmod(F.xxhash64("doc_id", "crc"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.abs(F.col("rate") - whole) <= 0.02, whole).otherwise(F.floor(F.col("rate") + draw))
-    return scored.withColumn("rate", rate).withColumn("copies", copies.cast("int"))
+    copies = F.when(F.abs(F.col("rate") - whole) <= SNAP, whole).otherwise(F.floor(F.col("rate") + draw))
+    return scored.withColumn("rate", rate).withColumns({"copies": copies.cast("int"), "deviation": F.lit(fitted.deviation)})
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None) -> DataFrame:
