@@ -2,10 +2,9 @@
 
 1. Tasks split whole texts into words and cut their rows into blocks. A block
    keeps its distinct words and, for every position, the number of its word.
-2. The words of all blocks, sorted by word, form the distinct-word table: equal
-   words stand together, and each distinct word is encoded once.
-3. Ids return to their block by word number and fill its positions.
-4. Decoding looks up the piece of each id in the vocabulary's id-to-piece table.
+2. The words of all blocks give the distinct-word table; each word is encoded once.
+3. A join by word gives each block its words' ids, by number, which fill the positions.
+4. Decoding joins ids with the vocabulary's id-to-piece table, once for each distinct word.
 
 Texts travel once, as compressed word numbers; equal shuffles are reused by
 Spark. Blocks depend on the order of rows within input partitions, which a
@@ -28,9 +27,11 @@ import pyarrow as pa
 import regex
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 TOKENIZER = "word_bpe_49k.json"
 #: Fixed values of the tokenizer: its special tokens and its word pattern (on normalised text).
 SPECIAL = regex.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
@@ -77,7 +78,7 @@ def _pack(kept: list[pa.RecordBatch], lengths: list[int], codes: list[np.ndarray
     return zlib.crc32(words), body
 
 
-def _blocks(keep: list[str]) -> Callable:
+def _blocks(keep: list[str], block_chars: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, size = TaskContext.get().partitionId(), 0, 0
         kept, lengths, codes, numbers = [], [], [], _Numbers()
@@ -86,20 +87,25 @@ def _blocks(keep: list[str]) -> Callable:
             crc, body = _pack(kept, lengths, codes, numbers)
             return pa.RecordBatch.from_arrays([pa.array([part << 43 | seq << 32 | crc], pa.int64()), pa.array([body], pa.binary())], names=["block", "body"])
 
+        def take(batch: pa.RecordBatch, lo: int, hi: int) -> None:
+            rows = pa.array(range(lo, hi), pa.int32())  # a copy: slices would hold on to the batch with all its texts
+            kept.append(pa.RecordBatch.from_arrays([c.take(rows) for c in batch.columns[:-1]], names=keep))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                b = batch.slice(at, 256)
-                texts = b.column(b.num_columns - 1).to_pylist()
-                for t in texts:
-                    words = split_words(t)
-                    lengths.append(len(words))
-                    codes.append(np.array(list(map(numbers.__getitem__, words)), np.uint32))
-                    size += len(t)
-                kept.append(pa.RecordBatch.from_arrays(b.columns[:-1], names=keep))
-                if size >= BLOCK_CHARS:
+            start = 0
+            for i, t in enumerate(batch.column(batch.num_columns - 1)):
+                text = t.as_py()
+                words = split_words(text)
+                lengths.append(len(words))
+                codes.append(np.array(list(map(numbers.__getitem__, words)), np.uint32))
+                size += len(text)
+                if size >= block_chars:
+                    take(batch, start, i + 1)
                     yield flush()
-                    seq, size = seq + 1, 0
+                    start, seq, size = i + 1, seq + 1, 0
                     kept, lengths, codes, numbers = [], [], [], _Numbers()
+            if start < batch.num_rows:
+                take(batch, start, batch.num_rows)
         if kept:
             yield flush()
 
@@ -143,64 +149,100 @@ def id_kind(file: str) -> str:
     return "<u2" if tokenizer(file).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def _encode_runs(file: str) -> Callable:
-    """Rows sorted by word: every run of equal words is encoded once."""
+def _encode_words(file: str) -> Callable:
+    """Distinct words to (word, ids), ids packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, known = tokenizer(file), {}
-        kind = id_kind(file)
+        t, kind = tokenizer(file), id_kind(file)
         for b in batches:
-            words = b.column(2).to_pylist()
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            coded = {w: np.array(e.ids, kind).tobytes() for w, e in zip(new, t.encode_batch(new, add_special_tokens=False), strict=True)}
-            ids = [coded[w] if w in coded else known[w] for w in words]
-            known = {words[-1]: ids[-1]} if words else known  # a run may go on in the next batch
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["block", "number", "ids"])
+            coded = t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(e.ids, kind).tobytes() for e in coded], pa.binary()), pa.array([e.ids for e in coded], pa.list_(pa.int32()))], names=["word", "packed", "ids"])
 
     return run
 
 
-def _join_back(file: str, keep: list[str], finish: Callable, schema: pa.Schema) -> Callable:
+def _piece_table(spark: SparkSession, file: str) -> DataFrame:
+    """The id-to-piece table: the tokenizer's vocabulary, of fixed size, so joins broadcast it."""
+    return F.broadcast(spark.createDataFrame(list(enumerate(pieces(file))), "id int, piece string"))
+
+
+def _decoded(lists: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """(key, decoded) of rows (key, ids), keys distinct: ids meet their pieces in a join and are put back in order."""
+    parts = lists.select(key, F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
+    joined = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+    return joined.select(key, F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
+
+
+class _Words:
+    """Ids of a block's words, by word number, as one flat array."""
+
+    def __init__(self, entries: pa.Table, words: int, kind: str):
+        number = entries.column("number").to_numpy()
+        order = np.argsort(number, kind="stable")
+        if len(number) != words or not np.array_equal(number[order], np.arange(words)):
+            raise ValueError("words of a block are missing; checkpoint the input")
+        self.order = pa.array(order)
+        packed = pa.concat_arrays(entries.column("ids").chunks or [pa.array([], pa.binary())]).take(self.order)
+        _, offsets, data = packed.buffers()
+        size = np.dtype(kind).itemsize
+        ends = np.frombuffer(offsets, np.int32)[: words + 1].astype(np.int64) // size if words else np.zeros(1, np.int64)
+        self.flat = np.frombuffer(data, kind, count=int(ends[-1])) if words and ends[-1] else np.zeros(0, kind)
+        self.first, self.n = ends[:-1], np.diff(ends)
+
+    def ids(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of rows of the given numbers of words, and where each row ends."""
+        n = self.n[codes]
+        sums = np.concatenate(([0], np.cumsum(n)))
+        at = np.repeat(self.first[codes] - sums[:-1], n) + np.arange(sums[-1])
+        return self.flat[at], sums[np.cumsum(lengths)]
+
+
+def _join_back(file: str, keep: list[str], finish: Callable, schema: pa.Schema, at_once: int = 1 << 20) -> Callable:
     def run(blocks: pa.Table, entries: pa.Table) -> pa.Table:
         if blocks.num_rows != 1:
             raise ValueError("a block was split differently when it was computed again; checkpoint the input")
         kept, lengths, planes, _ = pickle.loads(blocks.column("body")[0].as_py())
-        kept, lengths = pa.ipc.open_stream(kept).read_all(), np.frombuffer(lengths, np.uint32)
+        kept, lengths = pa.ipc.open_stream(kept).read_all(), np.frombuffer(lengths, np.uint32).astype(np.int64)
         planes = np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(4, -1)
         codes = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
-        number = entries.column("number").to_numpy()
-        if len(number) != (int(codes.max()) + 1 if len(codes) else 0):
-            raise ValueError("words of a block are missing; checkpoint the input")
-        ids: list[bytes] = [b""] * len(number)
-        for n, x in zip(number.tolist(), entries.column("ids").to_pylist(), strict=True):
-            ids[n] = x
-        out, ends = [], np.cumsum(lengths, dtype=np.int64)
-        for a, b in zip(ends - lengths, ends, strict=True):
-            out.append(codes[a:b].tolist())
-        columns = finish(out, ids, file)
-        return pa.Table.from_arrays([*(kept.column(k).combine_chunks() for k in keep), *columns], schema=schema)
+        words = _Words(entries, int(codes.max()) + 1 if len(codes) else 0, id_kind(file))
+        finisher = finish(entries, words)
+        ends = np.cumsum(lengths)
+        out, lo = [], 0
+        while lo < len(lengths):  # rows of about a million words at a time
+            done = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + at_once, side="right")))
+            out.append(finisher(codes[done : int(ends[hi - 1])], lengths[lo:hi]))
+            lo = hi
+        columns = [pa.chunked_array([c[i] for c in out], schema.field(len(keep) + i).type) for i in range(len(schema) - len(keep))]
+        return pa.Table.from_arrays([*(kept.column(k) for k in keep), *columns], schema=schema)
 
     return run
 
 
-def _as_ids(rows: list[list[int]], ids: list[bytes], file: str) -> list[pa.Array]:
-    kind = id_kind(file)
-    return [pa.array([np.frombuffer(b"".join([ids[c] for c in row]), kind).astype(np.int32) for row in rows], pa.list_(pa.int32()))]
+def _as_ids(entries: pa.Table, words: _Words) -> Callable:
+    def finish(codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        ids, ends = words.ids(codes, lengths)
+        return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))]
+
+    return finish
+
+
+def _as_digests(entries: pa.Table, words: _Words) -> Callable:
+    texts = [x.encode() for x in entries.column("decoded").take(words.order).to_pylist()]
 
+    def finish(codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+        ids, ends = words.ids(codes, lengths)
+        ids, upto = ids.astype("<u4"), np.cumsum(lengths).tolist()
+        starts = np.concatenate(([0], ends[:-1]))
+        coded = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        decoded = [hashlib.sha256(b" ".join([texts[c] for c in codes[a:b].tolist()])).hexdigest() for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+        return [pa.array(ends - starts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
-def _as_digests(rows: list[list[int]], ids: list[bytes], file: str) -> list[pa.Array]:
-    piece, kind = pieces(file), id_kind(file)
-    texts = [" ".join([piece[i] for i in np.frombuffer(x, kind).tolist()]).encode() for x in ids]
-    n, coded, decoded = [], [], []
-    for row in rows:
-        row_ids = np.frombuffer(b"".join([ids[c] for c in row]), kind).astype("<u4")
-        n.append(len(row_ids))
-        coded.append(hashlib.sha256(row_ids.tobytes()).hexdigest())
-        decoded.append(hashlib.sha256(b" ".join([texts[c] for c in row])).hexdigest())
-    return [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+    return finish
 
 
-def _encode(docs: DataFrame, keep: tuple[str, ...], file: str | None, finish: Callable, more: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+def _encode(docs: DataFrame, keep: tuple[str, ...], file: str | None, finish: Callable, more: dict[str, tuple[str, pa.DataType]], decode: bool, block_chars: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     file = file or public_tokenizers.path(TOKENIZER)
@@ -208,40 +250,42 @@ def _encode(docs: DataFrame, keep: tuple[str, ...], file: str | None, finish: Ca
     kept = source.drop("__text").schema
     fields = [*to_arrow_schema(kept), *(pa.field(k, t) for k, (_, t) in more.items())]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{k} {t}" for k, (t, _) in more.items())])
-    blocks = source.mapInArrow(_blocks(list(keep)), "block long, body binary").repartition("block")
+    blocks = source.mapInArrow(_blocks(list(keep), block_chars), "block long, body binary").repartition("block")
     words = blocks.mapInArrow(_words, "block long, number int, word string")
-    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_runs(file), "block long, number int, ids binary")
+    # The distinct-word table: each word encoded, and where asked decoded, once.
+    table = words.select("word").distinct().mapInArrow(_encode_words(file), "word string, packed binary, ids array<int>")
+    if decode:
+        table = materialise(table)
+        table = table.select("word", "packed").join(_decoded(table, "word", _piece_table(docs.sparkSession, file)), "word")
+    coded = words.join(table.withColumn("ids", F.col("packed")), "word").select("block", "number", "ids", *(["decoded"] if decode else []))
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join_back(file, list(keep), finish, pa.schema(fields)), ddl)
 
 
-def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns keep and ids, an array, for every row of docs.
 
     Whole texts, encoded as the tokenizers library does without added special
     tokens. A null or empty text has no ids; repeated rows and null ids each
-    keep their row; other columns of docs are not read.
+    keep their row; other columns of docs are not read. A task holds one
+    block: about block_chars characters, or one text if that is longer.
     """
-    return _encode(docs, keep, file, _as_ids, {"ids": ("array<int>", pa.list_(pa.int32()))})
+    return _encode(docs, keep, file, _as_ids, {"ids": ("array<int>", pa.list_(pa.int32()))}, False, block_chars)
 
 
-def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None) -> DataFrame:
+def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns keep, n_tokens, ids_sha256 and decoded_sha256: encode and decode without keeping the ids."""
     text = ("string", pa.string())
-    return _encode(docs, keep, file, _as_digests, {"n_tokens": ("long", pa.int64()), "ids_sha256": text, "decoded_sha256": text})
+    return _encode(docs, keep, file, _as_digests, {"n_tokens": ("long", pa.int64()), "ids_sha256": text, "decoded_sha256": text}, True, block_chars)
 
 
 def decode(encoded: DataFrame, file: str | None = None) -> DataFrame:
     """doc_id and decoded for each row (doc_id, ids): ids joined with the id-to-piece table.
 
-    The table is the tokenizer's vocabulary, of fixed size, so it is broadcast.
     Pieces are joined by blanks, special tokens included. No ids give ''.
-    Repeated rows and null ids each keep their row.
+    Repeated rows and null ids each keep their row: equal id lists, told apart
+    by two hashes of 64 bits, are decoded once and joined back.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(list(enumerate(pieces(file or public_tokenizers.path(TOKENIZER)))), "id int, piece string")
-    # Equal id lists are decoded once and joined back to their rows; null and [] share a key and a text.
-    rows = encoded.select("doc_id", "ids", F.xxhash64("ids").alias("__key"))
-    parts = rows.select("__key", "ids").distinct().select("__key", F.posexplode_outer("ids").alias("pos", "id"))
-    joined = parts.join(F.broadcast(table), "id", "left").groupBy("__key").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
-    texts = joined.select("__key", F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
+    # null and [] share a key and a text.
+    rows = encoded.select("doc_id", "ids", F.struct(F.xxhash64("ids").alias("a"), F.xxhash64(F.lit(1), "ids").alias("b")).alias("__key"))
+    texts = _decoded(rows.select("__key", "ids").dropDuplicates(["__key"]), "__key", _piece_table(encoded.sparkSession, file or public_tokenizers.path(TOKENIZER)))
     return rows.join(texts, "__key").select("doc_id", "decoded")
