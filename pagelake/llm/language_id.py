@@ -10,13 +10,12 @@ labelled rows; prediction runs over all rows where they are.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Families of common languages. A language not listed is a family of its own.
@@ -29,7 +28,6 @@ FAMILIES = {
 }
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
 BUCKETS = 4096
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -94,7 +92,7 @@ class LanguageModel:
         The score only ranks the languages learned. With doubt, a text that is
         not like the language found either is und with score 0.
         """
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         x = features(text)
         margin = self.w @ x + self.b
@@ -112,7 +110,7 @@ class LanguageModel:
                 votes[b] += 1 - p1
         best = max(langs, key=lambda k: (votes[k], k))
         if doubt:
-            letters = len(LETTER.findall(text[:4000]))
+            letters = sum(map(str.isalpha, text))
             if float(self.centres[best] @ x) < next(least for n, least in FLOORS if letters >= n):
                 return UNKNOWN, 0.0
         return best, share * (votes[best] / max(1, len(langs) - 1) if len(langs) > 1 else 1.0)
@@ -126,16 +124,19 @@ def held_out(fold: int = 5) -> Column:
 def fit(docs: DataFrame, train: Column, max_rows: int = 2000, max_per_language: int = 500) -> LanguageModel:
     """Fit on text and lang of the rows of docs where train holds and lang is known.
 
-    The sample is bounded: about max_rows rows, and of a language about
-    max_per_language rows, drawn by a hash of text, so equal at every run.
+    The sample is bounded: at most max_rows distinct texts, of a language at
+    most max_per_language (and at least one), those of smallest hash, so equal
+    at every run and however often a text is repeated.
     """
-    labelled = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    hashed = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text", F.lit(9)).alias("h"))
+    sizes = {r["lang"]: r["n"] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
     if not sizes:
         return LanguageModel(np.zeros((0, BUCKETS), np.float32), [])
     each = min(max_per_language, max(1, max_rows // len(sizes)))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
-    drawn = labelled.filter(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select("lang", "text")
+    # A share that leaves somewhat more than enough texts of each language, then the smallest hashes of those.
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, (2 * each + 60) / max(1, n))))])
+    some = hashed.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    drawn = some.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rn") <= each).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
