@@ -7,13 +7,15 @@ text gives back these two. So one pass over a text, left to right, finds the
 last piece and the exact token count of every prefix. Budget and truncation
 questions are then look-ups.
 
-No piece holds a word mark behind another character, so words are independent
-and the pass runs once for each distinct word that a worker meets.
+No piece holds a word mark behind another character, so words are independent:
+the pass runs once for each distinct word that a worker remembers, and the
+counts stored for its prefixes answer both totals and cuts.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate, pairwise
@@ -31,9 +33,9 @@ WORDS = re.compile(rf"{MARK}*(?:[^\W\d_²³¹]+|(?:[^\w{MARK}]|[_²³¹])+)|{MAR
 
 
 class PrefixCounter:
-    """Token counts of all prefixes of a word, remembered for a bounded number of words."""
+    """Token counts of all prefixes of a word, remembered within about `memory` bytes."""
 
-    def __init__(self, model_file: str, remembered: int = 1_000_000):
+    def __init__(self, model_file: str, memory: int = 256 << 20):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -43,27 +45,33 @@ class PrefixCounter:
         if any(self.words(p) != [p] for p in self.score):
             raise ValueError("a piece spans words: texts can't be cut like this for this model")
         self.longest = max(map(len, self.score))
-        self.remembered = remembered
+        self.memory = memory
         self._pairs: dict[tuple[str, str], bool] = {}
         self._edges: dict[str, tuple | None] = {}
         counter = self
 
-        class Totals(dict):
-            """Words met lately; the older half goes when a new half is full."""
-
-            older: dict[str, int] = {}
-
-            def __missing__(self, word: str) -> int:
-                if 2 * len(self) >= counter.remembered:
-                    self.older = dict(self)
+        class Counts(dict):
+            """Prefix counts of words met lately; the older half goes when a new half is full."""
+
+            older: dict[str, bytes | array] = {}
+            held = 0
+
+            def __missing__(self, word: str) -> bytes | array:
+                counts = self.older.get(word)
+                if counts is None:
+                    counts = counter.prefixes(word)
+                    counts = bytes(counts) if counts[-1] < 256 else array("I", counts)
+                cost = 300 + 6 * len(word)  # about the bytes that an entry takes
+                if 2 * cost > counter.memory:
+                    return counts
+                if 2 * (self.held + cost) > counter.memory:
+                    self.older, self.held = dict(self), 0
                     self.clear()
-                n = self.older.get(word)
-                if n is None:
-                    n = counter.prefixes(word)[-1]
-                self[word] = n
-                return n
+                self.held += cost
+                self[word] = counts
+                return counts
 
-        self.totals = Totals()
+        self.known = Counts()
 
     def merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
         """The pieces of a short text, best score first and leftmost among equals, and the last merge."""
@@ -102,7 +110,7 @@ class PrefixCounter:
         """Whether left + right is tokenised as these two: no merge crosses the edge before both are whole."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) >= self.remembered:
+            if len(self._pairs) >= self.memory >> 8:
                 self._pairs.clear()
             known = self._pairs[left, right] = self._may_follow(left, right)
         return known
@@ -147,13 +155,13 @@ class PrefixCounter:
         return MARK + text.replace(" ", MARK) if text else ""
 
     def count(self, text: str) -> int:
-        return sum(map(self.totals.__getitem__, self.words(self.marked(text))))
+        return sum([self.known[w][-1] for w in self.words(self.marked(text))])
 
     def all_prefixes(self, text: str) -> list[int]:
         """Token counts of text[:0], text[:1], ... text[:len(text)]."""
         out, base = [], 0
         for word in self.words(self.marked(text)):
-            counts = self.prefixes(word)
+            counts = self.known[word]
             out += [base + c for c in counts[1:]]
             base += counts[-1]
         return [0, *out[1:]]
@@ -161,14 +169,14 @@ class PrefixCounter:
     def cut(self, text: str, budget: int) -> tuple[int, int]:
         """Tokens of text, and code points of its longest prefix of at most budget tokens."""
         words = self.words(self.marked(text))
-        counts = [self.totals[w] for w in words]
+        counts = [self.known[w][-1] for w in words]
         total = sum(counts)
         if total <= budget:
             return total, len(text)
         sums = list(accumulate(counts))
         k = bisect_right(sums, budget)  # the word in which the budget ends
         base = sums[k] - counts[k]
-        inside = max(i for i, c in enumerate(self.prefixes(words[k])) if base + c <= budget)
+        inside = max(i for i, c in enumerate(self.known[words[k]]) if base + c <= budget)
         return total, max(0, sum(map(len, words[:k])) + inside - 1)  # less the mark put in front
 
 
