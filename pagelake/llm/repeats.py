@@ -1,7 +1,15 @@
 """Repeated windows in a corpus: steps that the two substring operators share.
 
-Rows are told apart by doc (the id, or a hash of the text where it is null)
-and crc, so rows of equal id and text count as one document.
+Documents are told apart by doc (the id, or a hash of the text where it is
+null) and crc. Seeds that occur once go first. Of the others each has three
+digests: of its hull, which is all that its windows can cover, and of the two
+halves, one of which every window contains. A hull that occurs twice settles
+all windows of the seed; where neither half occurs twice there are none. What
+is left is looked at window by window.
+
+A class is told by two 64-bit digests, of the seed and of the stretch, so no
+class mixes different stretches by chance. Classes that hold many rows are
+few; their statistics are broadcast, and their rows stay where they are.
 """
 
 from __future__ import annotations
@@ -11,10 +19,16 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .seeds import Shape, find_seeds, prefix_sums, stretches
+from .common import discard, materialise
+from .seeds import Shape, View, digest, find_seeds
+
+#: A seed or class of more rows than this and than total / MOST is large: there are at most MOST of them. Rows of other
+#: seeds are sorted in one task each, which spills, so it is a matter of time only.
+LARGE, MOST = 1 << 20, 8192
+SALTS = 64
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -36,76 +50,175 @@ def packed(rows: DataFrame, *carry: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            texts = [z.compress(t.encode()) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], names=names)
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                texts = [z.compress(t.as_buffer()) for t in part.column(part.num_columns - 1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.binary())], names=names)
 
     return rows.select("doc_id", "doc", "crc", *carry, "text").mapInArrow(run, f"doc_id long, doc long, crc long{ddl(rows, *carry)}, z binary")
 
 
-def seed_rows(rows: DataFrame, shape: Shape, symbols: Callable[[bytes], np.ndarray]) -> DataFrame:
-    """(doc, crc, seed, at, hull): each seed, where it is, and the hash of all that its windows can cover.
+def unpack(z: bytes) -> bytes:
+    return zstandard.decompress(z)
 
-    hull is null where that reaches beyond the document.
-    """
+
+def signed(digests: list[int]) -> np.ndarray:
+    return np.array(digests, np.uint64).view(np.int64)
+
+
+def seed_counts(rows: DataFrame, shape: Shape, view: Callable[[bytes], View]) -> DataFrame:
+    """(seed, count) of the seeds that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                seeds, ats, hulls, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], []
-                whole = [np.zeros(0, bool)]
-                for text in part.column(2).to_pylist():
-                    sums = prefix_sums(symbols(text.encode()))
-                    found = find_seeds(sums, shape).at
-                    counts.append(len(found))
-                    if not len(found):
-                        continue
-                    left = found - shape.reach
-                    inside = (left >= 0) & (left + shape.hull < len(sums))
-                    hull = np.zeros(len(found), np.uint64)
-                    hull[inside] = stretches(sums, left[inside], shape.hull)
-                    seeds.append(stretches(sums, found, shape.k))
-                    ats.append(found)
-                    hulls.append(hull)
-                    whole.append(inside)
-                take = pa.array(np.repeat(np.arange(part.num_rows), counts))
-                hull = np.concatenate([np.zeros(0, np.uint64), *hulls]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(ats).astype(np.int32)), pa.array(hull, mask=~np.concatenate(whole))],
-                    names=["doc", "crc", "seed", "at", "hull"],
-                )
+                seeds: list[int] = []
+                for text in b.column(0).slice(lo, 512):
+                    v = view(text.as_py().encode())
+                    seeds += [digest(v.piece(a, a + shape.k)) for a in find_seeds(v, shape).at.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(seeds))], names=["seed"])
+
+    return materialise(rows.select("text").mapInArrow(run, "seed long").groupBy("seed").count().filter("count > 1"))
+
 
-    return rows.select("doc", "crc", "text").mapInArrow(run, "doc long, crc long, seed long, at int, hull long")
+_SEED = "doc long, crc long, seed long, at int, near short, far short, hull long, left short, right short"
 
 
-def repeated_seeds(seeds: DataFrame) -> DataFrame:
-    """The rows whose seed occurs more than once; counted before rows move, joined so that a common seed can be split."""
-    common = seeds.groupBy("seed").count().filter("count > 1").select("seed")
-    return seeds.join(common, "seed")
+def _seed_rows(rows: DataFrame, shape: Shape, view: Callable[[bytes], View]) -> DataFrame:
+    """Each seed: where it is, its windows' distances, and digests of its hull and halves, null where no window needs them.
+
+    Two bytes do for a half: a chance collision only asks for a closer look.
+    """
+    names = [c.split(" ")[0] for c in _SEED.split(", ")]
+    half, right_half = shape.half, shape.right_half
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part, counts = b.slice(lo, 512), []
+                ats, nears, fars = ([np.zeros(0, np.int64)] for _ in range(3))
+                seeds, hulls, lefts, rights = [], [], [], []
+                for text in part.column(2):
+                    v = view(text.as_py().encode())
+                    found, piece = find_seeds(v, shape), v.piece
+                    counts.append(len(found.at))
+                    for own, more in zip((ats, nears, fars), (found.at, found.near, found.far), strict=True):
+                        own.append(more)
+                    for a, near, far in zip(found.at.tolist(), found.near.tolist(), found.far.tolist(), strict=True):
+                        seeds.append(digest(piece(a, a + shape.k)))
+                        start = a - shape.reach
+                        hulls.append(digest(piece(start, start + shape.hull)) if start >= 0 and start + shape.hull <= v.n else None)
+                        lefts.append(digest(piece(a - half, a + shape.k)) & 0xFFFF if far >= half else None)
+                        rights.append(digest(piece(a, a + right_half)) & 0xFFFF if near < half else None)
+                take = pa.array(np.repeat(np.arange(part.num_rows), counts))
+                hashes = [pa.array(c, pa.uint64()).view(pa.int64()) for c in (seeds, hulls)]
+                hashes += [pa.array(c, pa.uint16()).view(pa.int16()) for c in (lefts, rights)]
+                at, near, far = (np.concatenate(c) for c in (ats, nears, fars))
+                places = [pa.array(at.astype(np.int32)), pa.array(near.astype(np.int16)), pa.array(far.astype(np.int16))]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), hashes[0], *places, *hashes[1:]], names=names)
+
+    return rows.select("doc", "crc", "text").mapInArrow(run, _SEED)
 
 
 def occurrence() -> Column:
     return F.xxhash64("doc", "crc", "at")
 
 
-def classes(rows: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
-    """rows with statistics of all rows of equal keys; none where a key is null."""
-    found = rows.filter(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(*(v.alias(k) for k, v in stats.items()))
-    return rows.join(found, keys, "left")
+def repeated_seeds(rows: DataFrame, shape: Shape, view: Callable[[bytes], View]) -> tuple[DataFrame, bool, DataFrame]:
+    """Rows of the seeds that occur more than once, dealt out by seed and salt; whether any seed is large; and the counts, a table for discard().
 
+    large: whether the row's seed occurs so often; such rows are dealt out by
+    their salt, all others have salt 0. Seeds are counted before rows move.
+    """
+    counts = seed_counts(rows, shape, view)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    is_large = F.col("count") > max(LARGE, total // MOST)
+    large = counts.filter(is_large).select("seed", F.lit(True).alias("large"))
+    some = bool(large.head(1))
+    seeds = _seed_rows(rows, shape, view)
+    if not some:
+        return seeds.join(counts.select("seed"), "seed").withColumns({"large": F.lit(False), "salt": F.lit(0)}), False, counts
+    salted = seeds.join(F.broadcast(large), "seed", "left").withColumn("salt", F.when(F.col("large"), F.pmod(occurrence(), F.lit(SALTS))).otherwise(0).cast("int"))  # at most MOST rows
+    dealt = counts.select("seed", F.explode(F.when(is_large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    return salted.join(dealt, ["seed", "salt"]).withColumn("large", F.coalesce("large", F.lit(False))), True, counts
 
-def cover(n: int, window: int, ranges: list[tuple[int, int]]) -> np.ndarray:
-    """Which of n symbols lie in a window that starts in one of the ranges (both ends included)."""
-    edge = np.zeros(n + window + 2, np.int64)
-    if ranges:
-        lo, hi = np.array(ranges, np.int64).T
-        np.add.at(edge, lo, 1)
-        np.add.at(edge, hi + window, -1)
-    return np.cumsum(edge)[:n] > 0
 
+def windowed(*dealt: str) -> Callable[[DataFrame, list[str], Column], DataFrame]:
+    """low and high as classes() gives them, for rows that stand together by the columns dealt; no rows move."""
 
-def unpack(z: bytes) -> bytes:
-    return zstandard.decompress(z)
+    def spread(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+        w = Window.partitionBy(*dealt, *(k for k in keys if k not in dealt))
+        known = F.expr(" and ".join(f"{k} is not null" for k in keys))
+        return rows.withColumns({"low": F.when(known, F.min(value).over(w)), "high": F.when(known, F.max(value).over(w))})
+
+    return spread
+
+
+def classes(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """rows with low and high: least and greatest value of all rows of equal keys; null where a key is null or stands alone.
+
+    For large seeds: rows are written first, as they are read more than once,
+    and classes that hold many of them are joined by broadcast.
+    """
+    rows = materialise(rows)
+    known = " and ".join(f"{k} is not null" for k in keys)
+    stats = rows.filter(known).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("__n"))
+    stats = materialise(stats.filter("__n > 1"))
+    is_large = F.col("__n") > max(LARGE, rows.count() // MOST)
+    large = stats.filter(is_large).drop("__n").withColumnsRenamed({"low": "__low", "high": "__high"})
+    # Rows of large classes, and those of none, are dealt out by themselves and meet nothing in the shuffle.
+    own = F.when(F.expr(known) & F.col("__low").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns))
+    marked = rows.join(F.broadcast(large), keys, "left").withColumn("__own", own)  # at most MOST rows
+    joined = marked.join(stats.filter(~is_large).drop("__n").withColumn("__own", F.xxhash64(*keys)), ["__own", *keys], "left")
+    return joined.select(*rows.columns, F.coalesce("__low", "low").alias("low"), F.coalesce("__high", "high").alias("high"))
+
+
+def _judge(rows: DataFrame, shape: Shape, value: Column, settled: Column, closed: Column, spread: Callable[[DataFrame, list[str], Column], DataFrame]) -> DataFrame:
+    """rows with done (all windows of the seed are repeated) and the distances lo .. hi still to look at (none: lo > hi)."""
+    true = lambda c: F.coalesce(c, F.lit(False))
+    out = spread(rows, ["seed", "hull"], value).withColumn("done", true(settled)).withColumn("__open", ~true(closed)).drop("low", "high")
+    for side in ("left", "right"):  # halves that open rows of other value share
+        out = spread(out, ["seed", side], F.when(F.col("__open"), value)).withColumn(f"ask_{side}", F.col("__open") & true(F.col("low") != F.col("high"))).drop("low", "high")
+    lo = F.greatest(F.col("near"), F.when(F.col("ask_right"), 0).otherwise(shape.half))
+    hi = F.least(F.col("far"), F.when(F.col("ask_left"), shape.reach).otherwise(shape.half - 1))
+    return out.withColumns({"lo": lo.cast("int"), "hi": F.when(F.col("ask_left") | F.col("ask_right"), hi).otherwise(-1).cast("int")})
+
+
+def asked(seeds: DataFrame, any_large: bool, shape: Shape, value: Column, settled: Column, closed: Column) -> DataFrame:
+    """The rows of repeated_seeds() that are done or have windows to look at, with done, lo and hi.
+
+    settled and closed are told from value and from low and high of the hull's
+    class; closed rows are represented by another one of their class.
+    """
+    columns = ["doc", "crc", "seed", "at", "near", "far", "lo", "hi", "done", "large"]
+    stay = "done or lo <= hi"
+    out = _judge(seeds, shape, value, settled, closed, windowed("seed", "salt") if any_large else windowed("seed"))
+    if not any_large:
+        return materialise(out.filter(stay).select(columns))
+    if_large = [F.when(F.col("large"), F.col(c)).alias(c) for c in ("hull", "left", "right")]
+    mixed = materialise(out.filter(f"large or {stay}").select(*columns, *if_large))  # what windows say of large seeds isn't used
+    rows = mixed.filter("large").drop("lo", "hi", "done")
+    large = _judge(rows, shape, value, settled, closed, classes).filter(stay).select(columns)
+    return materialise(mixed.filter("not large").select(columns).unionByName(large))
+
+
+def by_seed(rows: DataFrame, any_large: bool, narrow: Callable[[DataFrame, Callable], DataFrame]) -> DataFrame:
+    """narrow, a function of rows and of a way to classes(), over rows (seed, large, ...): one shuffle by seed, other ways for large seeds."""
+    if not any_large:
+        return narrow(rows.repartition("seed"), windowed("seed"))
+    rows = materialise(rows)
+    return narrow(rows.filter("not large").repartition("seed"), windowed("seed")).unionByName(narrow(rows.filter("large"), classes))
+
+
+def to_look_at(rows: DataFrame, asked_rows: DataFrame) -> DataFrame:
+    """(doc, crc, z, open) of the documents with windows to look at; open: (at, lo, hi, seed, large)."""
+    open_ = asked_rows.filter("lo <= hi").groupBy("doc", "crc").agg(F.collect_list(F.struct("at", "lo", "hi", "seed", "large")).alias("open"))
+    return packed(rows).join(open_, ["doc", "crc"]).select("doc", "crc", "z", "open")
+
+
+def starts(rows: DataFrame, near: str = "near", far: str = "far") -> DataFrame:
+    """(doc, crc, lo, hi): first and last starts of the windows of rows with at and distances."""
+    return rows.select("doc", "crc", (F.col("at") - F.col(far)).alias("lo"), (F.col("at") - F.col(near)).alias("hi"))
 
 
 def ranges_by_document(*tables: DataFrame) -> DataFrame:
@@ -116,6 +229,11 @@ def ranges_by_document(*tables: DataFrame) -> DataFrame:
     return rows.groupBy("doc", "crc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
-def open_and_done(rows: DataFrame) -> DataFrame:
-    """(doc, crc, open, settled): positions of the seeds to look at more closely and of those settled; rows: open, done."""
-    return rows.groupBy("doc", "crc").agg(F.collect_list(F.when(F.col("open"), F.col("at"))).alias("open"), F.collect_list(F.when(F.col("done"), F.col("at"))).alias("settled"))
+def cover(n: int, window: int, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Which of n symbols lie in a window that starts in one of the ranges (both ends included)."""
+    edge = np.zeros(n + window + 2, np.int64)
+    if ranges:
+        lo, hi = np.array(ranges, np.int64).T
+        np.add.at(edge, lo, 1)
+        np.add.at(edge, hi + window, -1)
+    return np.cumsum(edge)[:n] > 0

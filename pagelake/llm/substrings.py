@@ -2,60 +2,46 @@
 
 Seeds are winnowed anchors. Documents meet on the anchors they share; around a
 shared anchor the match is extended both ways, first to all that windows with
-this anchor can cover, and where that differs, window by window. What matches
-an earlier document for at least `window` words on end is a repeat; the
-windows found join into maximal repeats.
+this anchor can cover, then to half a window on either side, and where that is
+shared only in part, window by window. What matches an earlier document for at
+least `window` words on end is a repeat; the windows found join into maximal
+repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import compress
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import materialise
-from .seeds import BYTE, Shape, find_seeds, prefix_sums, stretches
+from .common import discard, materialise
+from .seeds import Shape, digest, word_view
 
-SHAPE = Shape(window=50, k=8, part=1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-
-
-def words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words, runs of bytes other than blanks."""
-    inside = np.concatenate(([False], ~_SPACE[np.frombuffer(raw, np.uint8)], [False]))
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return edges[::2], edges[1::2]
-
-
-def word_symbols(raw: bytes) -> np.ndarray:
-    starts, ends = words(raw)
-    return stretches(prefix_sums(BYTE[np.frombuffer(raw, np.uint8)]), starts, ends - starts)
+SHAPE = Shape(window=50, k=8)
 
 
 def _windows(shape: Shape):
-    """Of documents with their open seeds: every window of such a seed; of the settled ones the ranges of starts."""
+    """Of documents with seeds to look at: every window there, and its digest."""
+    names = ["doc", "crc", "at", "d", "seed", "large", "hash"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.uint64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc", "crc", "lo", "hi", "seed", "hash"]
         for b in batches:
-            for doc, crc, z, open_, settled in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                sums = prefix_sums(word_symbols(repeats.unpack(z)))
-                found = find_seeds(sums, shape)
-                ask, done = np.isin(found.at, open_), np.isin(found.at, settled)
-                first, n = found.first[ask], found.last[ask] - found.first[ask] + 1
-                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                seed = np.repeat(stretches(sums, found.at[ask], shape.k), n).view(np.int64)
-                single = [at.astype(np.int32), at.astype(np.int32), seed, stretches(sums, at, shape.window).view(np.int64)]
-                wide = [found.first[done].astype(np.int32), found.last[done].astype(np.int32)]
-                m = int(done.sum())
-                for size, columns in ((len(at), single), (m, [*wide, None, None])):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * size, pa.int64()), pa.array([crc] * size, pa.int64()), *(pa.nulls(size, pa.int64()) if c is None else pa.array(c) for c in columns)], names=names)
+            for doc, crc, z, open_ in zip(*(b.column(c) for c in ("doc", "crc", "z", "open")), strict=True):
+                piece, doc, crc = word_view(repeats.unpack(z.as_py())).piece, doc.as_py(), crc.as_py()
+                out = [
+                    (doc, crc, one["at"], d, one["seed"], one["large"], digest(piece(one["at"] - d, one["at"] - d + shape.window)))
+                    for one in open_.as_py()
+                    for d in range(one["lo"], one["hi"] + 1)
+                ]
+                columns = zip(*out, strict=True) if out else [[]] * len(names)
+                arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays[:-1], arrays[-1].view(pa.int64())], names=names)
 
     return run
 
@@ -63,14 +49,20 @@ def _windows(shape: Shape):
 def earlier_windows(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """(doc, crc, ranges): first and last starts of windows that also start in a document of smaller doc_id."""
     rows = repeats.keyed(docs).filter("doc_id is not null")
-    hits = materialise(repeats.repeated_seeds(repeats.seed_rows(rows, shape, word_symbols)).drop("seed"))
-    judged = repeats.classes(hits, ["hull"], earliest=F.min("doc")).withColumn("done", F.coalesce(F.col("earliest") < F.col("doc"), F.lit(False))).withColumn("open", ~F.col("done"))  # the earliest stays open for others
-    texts = repeats.packed(rows).select("doc", "crc", "z")
-    found = texts.join(repeats.open_and_done(judged), ["doc", "crc"]).select("doc", "crc", "z", "open", "settled")
-    found = materialise(found.mapInArrow(_windows(shape), "doc long, crc long, lo int, hi int, seed long, hash long"))
-    single = repeats.classes(found.filter("hash is not null"), ["seed", "hash"], earliest=F.min("doc")).filter("earliest < doc")
-    columns = ["doc", "crc", "lo", "hi"]
-    return repeats.ranges_by_document(found.filter("hash is null").select(columns), single.select(columns))
+    doc = F.col("doc")
+    earlier = F.coalesce(F.col("low") < doc, F.lit(False))  # the earliest stays open for others
+    seeds, any_large, counts = repeats.repeated_seeds(rows, shape, word_view)
+    asked = repeats.asked(seeds, any_large, shape, doc, earlier, earlier)
+    discard(counts)
+
+    def narrow(windows: DataFrame, spread: Callable) -> DataFrame:
+        found = spread(windows, ["seed", "hash"], doc).filter(earlier)
+        return repeats.starts(found.select("doc", "crc", "at", F.col("d").alias("near"), F.col("d").alias("far")))
+
+    windows = repeats.to_look_at(rows, asked).mapInArrow(_windows(shape), "doc long, crc long, at int, d int, seed long, large boolean, hash long")
+    found = materialise(repeats.ranges_by_document(repeats.starts(asked.filter("done")), repeats.by_seed(windows, any_large, narrow)))
+    discard(asked)
+    return found
 
 
 def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = False) -> DataFrame:
@@ -88,16 +80,16 @@ def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = Fals
         for b in batches:
             out = []
             for doc_id, z, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = repeats.unpack(z)
-                starts, ends = words(raw)
-                gone = repeats.cover(len(starts), window, [(r["lo"], r["hi"]) for r in ranges or ()])
-                kept = b" ".join([raw[s:e] for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist(), strict=True)])
-                out.append((doc_id, len(starts), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
+                words = repeats.unpack(z).split()
+                gone = repeats.cover(len(words), window, [(r["lo"], r["hi"]) for r in ranges]) if ranges else None
+                left = words if gone is None else list(compress(words, ~gone))
+                kept = b" ".join(left)
+                out.append((doc_id, len(words), len(words) - len(left), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    found = materialise(earlier_windows(docs, shape))
+    found = earlier_windows(docs, shape)
     joined = repeats.packed(repeats.keyed(docs)).join(found, ["doc", "crc"], "left").select("doc_id", "z", "ranges")
     out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out if with_text else out.drop("kept")

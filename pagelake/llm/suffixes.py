@@ -1,18 +1,19 @@
-"""Suffix dedup over bytes by hash classes of winnowed seeds, in place of suffix sorting (operator 5).
+"""Suffix dedup over bytes by classes of winnowed seeds, in place of suffix sorting (operator 5).
 
-A suffix tuple for every byte is reckoned to need several times the text on
-disk, so no suffix is sorted and no order induced. Windows of 200 bytes get a
-seed; those that start up to `reach` bytes before it are told apart by their
+A suffix tuple for every byte needs several times the text on disk (README has
+figures), so no suffix is sorted and no order induced. Windows of 200 bytes get
+a seed; those that start up to `reach` bytes before it are told apart by their
 distance d: two of them are equal iff they have equal seeds at the same d, the
-d bytes before and the 200 - d bytes from the seed on being equal. Hashes of
+d bytes before and the 200 - d bytes from the seed on being equal. Digests of
 stretches stand for the bytes. The classes narrow: all distances of a seed at
-once, then parts of a few, then single ones, each on what is left.
+once, its two halves, then parts of a few distances, then single ones, each on
+what is left.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,48 +21,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import materialise
-from .seeds import BYTE, Shape, find_seeds, prefix_sums, stretches
+from .common import discard, materialise
+from .seeds import Shape, byte_view, digest
 
 SHAPE = Shape(window=200, k=24, part=8)
 
 
-def byte_symbols(raw: bytes) -> np.ndarray:
-    return BYTE[np.frombuffer(raw, np.uint8)]
-
-
 def _parts(shape: Shape):
-    """Of documents with their open sample positions: the parts of distances that have windows there.
+    """Of documents with seeds to look at: the parts of their distances that have windows there.
 
-    core: hash of what all windows of the part share; left and right: the bytes
-    beyond it; near, far: the smallest and largest distance in use. Settled
-    positions give rows with the ranges of starts instead.
+    core: digest of what all windows of the part share; left and right: the
+    bytes beyond it; lo, hi: the smallest and largest distance in use.
     """
-    names = ["doc", "crc", "at", "lo", "hi", "core", "left", "right", "part"]
+    names = ["doc", "crc", "at", "lo", "hi", "seed", "large", "core", "left", "right", "part"]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, crc, z, open_, settled in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                raw = repeats.unpack(z)
-                sums = prefix_sums(byte_symbols(raw))
-                found = find_seeds(sums, shape)
-                done, ask = np.isin(found.at, settled), np.isin(found.at, open_)
-                at, near, far = found.at[ask], found.at[ask] - found.last[ask], found.at[ask] - found.first[ask]
-                n = far // shape.part - near // shape.part + 1
-                part = np.repeat(near // shape.part - np.cumsum(n) + n, n) + np.arange(n.sum())
-                at, near, far = np.repeat(at, n), np.repeat(near, n), np.repeat(far, n)
-                d0 = part * shape.part
-                d1 = np.minimum(d0 + shape.part - 1, shape.reach)
-                core = stretches(sums, at - d0, shape.window - (d1 - d0)) ^ (part.astype(np.uint64) << np.uint64(40))
-                a0, a1, size = (at - d1).tolist(), (at - d0).tolist(), len(raw)
-                left = [raw[max(0, x) : y] for x, y in zip(a0, a1, strict=True)]
-                right = [raw[x + shape.window : min(size, y + shape.window)] for x, y in zip(a0, a1, strict=True)]
-                rows = [at, np.maximum(near, d0), np.minimum(far, d1), core.view(np.int64), left, right, part]
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
-                m = int(done.sum())
-                wide = [None, found.first[done], found.last[done], None, None, None, None]
-                for count, columns in ((len(at), rows), (m, wide)):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc] * count, pa.int64()), pa.array([crc] * count, pa.int64()), *(pa.nulls(count, t) if c is None else pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=names)
+            for doc, crc, z, open_ in zip(*(b.column(c) for c in ("doc", "crc", "z", "open")), strict=True):
+                raw, doc, crc, out = repeats.unpack(z.as_py()), doc.as_py(), crc.as_py(), []
+                for one in open_.as_py():
+                    at, lo, hi, seed, large = (one[k] for k in ("at", "lo", "hi", "seed", "large"))
+                    for part in range(lo // shape.part, hi // shape.part + 1):
+                        d0 = part * shape.part
+                        d1 = min(d0 + shape.part - 1, shape.reach)
+                        a, e = at - d0, at - d1 + shape.window
+                        core = digest(raw[max(0, a) : e], part)
+                        core = core - (1 << 64) if core >> 63 else core
+                        out.append((doc, crc, at, max(lo, d0), min(hi, d1), seed, large, core, raw[max(0, at - d1) : max(0, a)], raw[e : a + shape.window], part))
+                columns = zip(*out, strict=True) if out else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     return run
 
@@ -69,34 +58,43 @@ def _parts(shape: Shape):
 def repeated_windows(docs: DataFrame, shape: Shape = SHAPE) -> DataFrame:
     """(doc, crc, ranges): first and last starts of windows whose bytes also start anywhere else."""
     rows = repeats.keyed(docs)
-    elsewhere = {"least": F.min(repeats.occurrence()), "most": F.max(repeats.occurrence())}
-    several = F.coalesce(F.col("least") != F.col("most"), F.lit(False))
+    here, several = repeats.occurrence(), F.coalesce(F.col("low") != F.col("high"), F.lit(False))
     # One of each settled class stays open as well: others may match a part of it only.
-    open_ = ~several | (repeats.occurrence() == F.col("least"))
-    hits = materialise(repeats.repeated_seeds(repeats.seed_rows(rows, shape, byte_symbols)).drop("seed"))
-    judged = repeats.classes(hits, ["hull"], **elsewhere).withColumns({"done": several, "open": open_})
-    texts = repeats.packed(rows).select("doc", "crc", "z")
-    found = texts.join(repeats.open_and_done(judged), ["doc", "crc"]).select("doc", "crc", "z", "open", "settled")
-    found = materialise(found.mapInArrow(_parts(shape), "doc long, crc long, at int, lo int, hi int, core long, left binary, right binary, part int"))
-    # Distances of a part: all or none where the part's hull or core says so.
+    closed = several & (here != F.col("low"))
+    seeds, any_large, counts = repeats.repeated_seeds(rows, shape, byte_view)
+    asked = repeats.asked(seeds, any_large, shape, here, several, closed)
+    discard(counts)
     last = F.least((F.col("part") + 1) * shape.part - 1, F.lit(shape.reach))  # the part's largest distance
     width = last - F.col("part") * shape.part
-    whole = (F.length("left") == width) & (F.length("right") == width)
-    parts = repeats.classes(found.filter("core is not null"), ["core"], **elsewhere).filter(several).drop("least", "most")
-    parts = materialise(parts.withColumn("hull", F.when(whole, F.xxhash64("core", "left", "right"))))
-    parts = materialise(repeats.classes(parts, ["core", "hull"], **elsewhere).withColumns({"done": several, "open": open_}).drop("least", "most"))
-    # Single distances: the core, the bytes needed before it and after it.
-    single = parts.filter("open").select("doc", "crc", "at", "core", "left", "right", "part", F.explode(F.sequence("lo", "hi")).alias("d"))
-    before, after = F.col("d") - F.col("part") * shape.part, last - F.col("d")
-    bytes_before = F.substring(F.col("left"), F.length("left") - before + 1, before)
-    single = single.select("doc", "crc", "at", "d", "core", F.xxhash64("d", bytes_before, F.substring(F.col("right"), F.lit(1), after)).alias("name"))
-    single = repeats.classes(single, ["core", "name"], **elsewhere).filter(several)
-    start = lambda d: (F.col("at") - F.col(d)).alias
-    return repeats.ranges_by_document(
-        found.filter("core is null").select("doc", "crc", "lo", "hi"),
-        parts.filter("done").select("doc", "crc", start("hi")("lo"), start("lo")("hi")),
-        single.select("doc", "crc", start("d")("lo"), start("d")("hi")),
+
+    def narrow(parts: DataFrame, spread: Callable) -> DataFrame:
+        """Starts of repeated windows: distances of a part, all or none where its hull or core says so, then single ones."""
+        whole = (F.length("left") == width) & (F.length("right") == width)
+        parts = spread(parts, ["seed", "core"], here).filter(several).drop("low", "high").withColumn("hull", F.when(whole, F.xxhash64("core", "left", "right")))
+        parts = spread(parts, ["seed", "core", "hull"], here).withColumns({"done": several, "open": ~closed}).drop("low", "high")
+        # A row with no distance for all of a part, and one for each single distance.
+        all_of_it, singly = F.array(F.lit(None).cast("int")), F.sequence("lo", "hi")
+        d = F.explode(F.when(F.col("done") & F.col("open"), F.concat(all_of_it, singly)).when(F.col("done"), all_of_it).otherwise(singly))
+        parts = parts.withColumn("d", d)
+        before, after = F.col("d") - F.col("part") * shape.part, last - F.col("d")
+        name = F.xxhash64("d", F.substring(F.col("left"), F.length("left") - before + 1, before), F.substring(F.col("right"), F.lit(1), after))
+        single = parts.select("doc", "crc", "at", "lo", "hi", "seed", "core", "d", F.when(F.col("d").isNotNull(), name).alias("name"))
+        single = spread(single, ["seed", "core", "name"], here).filter(F.col("d").isNull() | several)
+        return repeats.starts(single.select("doc", "crc", "at", F.coalesce("d", "lo").alias("near"), F.coalesce("d", "hi").alias("far")))
+
+    parts = repeats.to_look_at(rows, asked).mapInArrow(_parts(shape), "doc long, crc long, at int, lo int, hi int, seed long, large boolean, core long, left binary, right binary, part int")
+    # Rows of equal id and text stand for each other above; every window of theirs is repeated.
+    length = F.octet_length("text")
+    copies = rows.groupBy("doc", "crc").agg(F.count("*").alias("n"), F.max(length).alias("size")).filter(f"n > 1 and size >= {shape.window}")
+    found = materialise(
+        repeats.ranges_by_document(
+            repeats.starts(asked.filter("done")),
+            repeats.by_seed(parts, any_large, narrow),
+            copies.select("doc", "crc", F.lit(0).alias("lo"), (F.col("size") - shape.window).cast("int").alias("hi")),
+        )
     )
+    discard(asked)
+    return found
 
 
 def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -106,8 +104,8 @@ def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = Fals
     else, in this or another document; overlaps count, all is judged on the
     input. n_spans counts maximal removed runs. with_text: also kept, the text
     that stays (without characters cut in two), spans, and the columns carry of docs as c0, c1, ... A null text
-    counts as empty. Rows of equal id and text count as one document, as do
-    rows without id of equal text. Other columns are not read.
+    counts as empty. Each row is a document, so rows of equal id and text, or of
+    equal text without id, repeat each other. Other columns are not read.
     """
     window, more = shape.window, [f"c{i}" for i in range(len(carry))]
     names = ["doc_id", *more, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
@@ -126,7 +124,7 @@ def remove_repeats(docs: DataFrame, shape: Shape = SHAPE, with_text: bool = Fals
                 columns = list(zip(*out, strict=True)) if out else [[]] * 6
                 yield pa.RecordBatch.from_arrays([*part.columns[:-2], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
 
-    found = materialise(repeated_windows(docs, shape))
+    found = repeated_windows(docs, shape)
     rows = repeats.keyed(docs, carry)
     joined = repeats.packed(rows, *more).join(found, ["doc", "crc"], "left").select("doc_id", *more, "z", "ranges")
     out = joined.mapInArrow(run, f"doc_id long{repeats.ddl(rows, *more)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, spans array<array<long>>")
