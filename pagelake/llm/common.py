@@ -17,27 +17,52 @@ def shared_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.conf.get("spark.master", "local").startswith("local["):
+    master = spark.conf.get("spark.master", "local")
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, and what was
-    computed is fixed, whatever order the rows came in. Files go when the
-    session's JVM ends.
+    computed is fixed, whatever order the rows came in. The shuffle files of
+    the write go with it; the table goes with discard(), or when the session's
+    JVM ends.
     """
     spark = df.sparkSession
     target = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(target)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(target)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    path, files = _path(spark, target)
+    files.deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(target)
+    out.scratch_table = target
+    return out
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of materialise() that nothing reads any more."""
+    for df in tables:
+        name = getattr(df, "scratch_table", None)
+        if name:
+            path, files = _path(df.sparkSession, name)
+            files.delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -15,7 +15,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     the smaller ones; the number of rounds grows with the logarithm of the
     longest path. Minima are aggregated before rows move, joins on crowded
     nodes can be split, and every round is written, so a lost executor costs
-    one round at most.
+    one round at most. Rounds end when the links stay the same, judged by their
+    number and two sums of 64-bit hashes.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct())
     state = None
@@ -26,9 +27,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = materialise(large)
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
-        edges = materialise(small.filter("a > b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        before, edges = edges, materialise(small.filter("a > b").distinct())
+        discard(before, large)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
         if tuple(now) == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out.scratch_table = edges.scratch_table
+            return out
         state = tuple(now)
     raise RuntimeError(f"no fixed point after {rounds} rounds")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 from .graph import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -85,11 +85,14 @@ def _links(prints: DataFrame, bits: int) -> DataFrame:
     stars = exact.join(hubs, "cell").filter((F.col("fp") != F.col("hub")) & _near("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     tied = components(stars)
     known = materialise(prints.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
+    discard(tied)
     cells = known.select("fp", "root", F.explode(F.concat(*[_cells(h) for h in _halves()])).alias("cell"))
     left, right = cells, cells.select(F.col("fp").alias("fp2"), F.col("root").alias("root2"), "cell")
     meet = left.join(right, (left["cell"] == right["cell"]) & (F.col("root") < F.col("root2")) & _near("fp", "fp2", bits))
     more = components(meet.select(F.col("root2").alias("a"), F.col("root").alias("b")))
-    return known.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+    out = materialise(known.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
+    discard(known, more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFrame:
@@ -104,6 +107,8 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
         raise ValueError("the grid finds pairs within 4 bits")
     rows = materialise(fingerprints(docs, shingle))
     first = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = materialise(_links(first.select("fp"), bits))
+    roots = _links(first.select("fp"), bits)
     ids = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(roots.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = materialise(roots.join(ids, "root").select("fp", "component_id"))
+    discard(first, roots)
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")

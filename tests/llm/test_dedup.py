@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from pagelake.llm import near_copies, simhash, substrings, suffixes
+from pagelake.llm import near_copies, repeats, simhash, substrings, suffixes
 from pagelake.llm.graph import components
 from pagelake.llm.seeds import Shape
 
@@ -44,7 +44,7 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
-@pytest.mark.parametrize("shape", [substrings.SHAPE, Shape(window=10, k=3, part=1)])
+@pytest.mark.parametrize("shape", [substrings.SHAPE, Shape(window=10, k=3)])
 def test_substrings(docs, rows, shape):
     first = {}
     for i, t in sorted(set(rows), key=lambda r: r[0]):
@@ -67,7 +67,7 @@ def test_substrings(docs, rows, shape):
 @pytest.mark.parametrize("shape", [suffixes.SHAPE, Shape(window=40, k=9, part=5)])
 def test_suffixes(docs, rows, shape):
     n = shape.window
-    seen = Counter(raw[k : k + n] for raw in (((t or "").encode()) for _, t in set(rows)) for k in range(len(raw) - n + 1))
+    seen = Counter(raw[k : k + n] for raw in ((t or "").encode() for _, t in rows) for k in range(len(raw) - n + 1))
     want = []
     for i, t in rows:
         raw = (t or "").encode()
@@ -82,6 +82,46 @@ def test_suffixes(docs, rows, shape):
     assert sorted(got) == sorted(want) and sum(r[2] for r in want) > 100
 
 
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_rolling_hashes_decide_nothing(spark):
+    """Words and passages whose polynomial hashes modulo 2^64 collide are still told apart."""
+    filler = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    one, two = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    docs = spark.createDataFrame([(1, f"{filler(0)} {one}"), (2, f"{filler(0)} {two}"), (3, f"{filler(1)} {one} {filler(2)}"), (4, f"{filler(1)} {two} {filler(2)}")], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).collect()}
+    assert got == {1: 0, 2: 60, 3: 0, 4: 120}
+    ends = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    raw = [one.encode(), two.encode()]
+    seen = Counter(r[k : k + 200] for r in raw for k in range(len(r) - 199))
+    want = {}
+    for i, r in enumerate(raw):
+        gone = np.zeros(len(r), bool)
+        for k in range(len(r) - 199):
+            if seen[r[k : k + 200]] > 1:
+                gone[k : k + 200] = True
+        want[i + 1] = int(gone.sum())
+    assert {r["doc_id"]: r["n_removed"] for r in suffixes.remove_repeats(ends).collect()} == want
+
+
+def test_repeated_rows_of_suffixes(spark):
+    text = " ".join(f"word{i}" for i in range(90))[:400]
+    for ids in ((7, 7), (7, 8), (None, None), (None, 7)):
+        d = spark.createDataFrame([(i, text) for i in ids] + [(9, "other")], "doc_id long, text string")
+        assert sorted(r["n_removed"] for r in suffixes.remove_repeats(d).collect()) == [0, 400, 400], ids
+
+
+def test_large_seeds(spark, docs, rows, monkeypatch):
+    """The ways for large seeds and classes give what the others give."""
+    narrow = Shape(window=40, k=9, part=5)
+    ask = lambda: [sorted(tuple(r) for r in f(docs, s).collect()) for f, s in ((suffixes.remove_repeats, narrow), (substrings.remove_repeats, Shape(window=10, k=3)))]
+    want = ask()
+    monkeypatch.setattr(repeats, "LARGE", 2)
+    assert ask() == want
+
+
 def test_null_ids(spark):
     text = " ".join(f"w{i}" for i in range(90))
     d = spark.createDataFrame([(None, text), (1, text), (2, text + " end")], "doc_id long, text string")
