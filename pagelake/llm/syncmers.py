@@ -1,131 +1,154 @@
 """Document fingerprints from closed syncmers (operator 2); DataFrame functions only.
 
-A text is a sequence of words (letters of scripts without blanks count one by
-one). A k-mer of five words is a closed syncmer if the smallest hash of its
-inner runs of three words stands at its first or last place. Whether it is one
-depends on nothing outside, so equal passages have equal anchors anywhere. The
-fingerprint keeps the smallest anchors, and the likeness of two fingerprints
-estimates the share of anchors in common.
+A k-mer of 15 characters is a closed syncmer, an anchor, if the smallest hash
+of its inner substrings of 8 stands at its first or last place. Whether it is
+one depends on nothing outside, so equal passages have equal anchors anywhere.
+A fingerprint is the list of all anchors of a text, in order, each with its
+position; nothing is cut.
+
+Anchors being free of context, those of an edited text are known from its
+parts: the ones that lie within the kept part, the ones within the new part,
+and the few that cross the seam. So each text is looked at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-
-K, S, KEPT = 5, 3, 64
-#: Thai, Lao and the scripts of East Asia are written without blanks.
-_ALONE = "\\u0E00-\\u0EFF\\u2E80-\\u9FFF\\uF900-\\uFAFF"
-_WORD = f"[{_ALONE}]|[^\\s{_ALONE}]+"
+K, S = 15, 8
+PLACES = K - S + 1  # of inner substrings; a power of two
 _NO_ID = -(1 << 63)
+_STEPS = [1 << i for i in range(PLACES.bit_length() - 1)]
 
 
-def _let(x: Column, f: Callable[[Column], Column]) -> Column:
-    """f(x) with x computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(x), f), 1)
-
+def _paired(df: DataFrame, name: str, step: int, f) -> DataFrame:
+    """An array with f of each element and the one `step` further on. A projection of its own, so it is computed once."""
+    return df.withColumn(name, F.zip_with(name, F.slice(name, F.lit(step + 1), F.size(name)), f))
 
-def anchors(text: Column) -> Column:
-    """Hashes of the closed syncmers of a text in order.
 
-    Two marks stand before the first and after the last word, so that short
-    texts have k-mers too; if none of them is closed, the whole sequence counts.
-    """
-    places = K - S + 1
-    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.xxhash64(w))
-    mark = F.array(F.lit(-1).cast("long"), F.lit(-2).cast("long"))
-
-    def inner(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - S), lambda i: F.xxhash64(*[h[i + j] for j in range(S)]))
+def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with an array of longs: the anchors of a text column in order, 31 bits of hash above 32 bits of position."""
+    n = F.char_length(text)
+    d = df.withColumn("__h", F.transform(F.split(F.col(text), ""), lambda c: F.xxhash64(c)))
+    for step in [1 << i for i in range(S.bit_length() - 1)]:  # hashes of 2, 4, 8 characters
+        d = _paired(d, "__h", step, lambda a, b: F.xxhash64(a, b))
+    d = d.withColumn("__h", F.slice("__h", F.lit(1), F.greatest(n - S + 1, F.lit(0)))).withColumn("__m", F.col("__h"))
+    for step in _STEPS:  # minima of 2, 4, 8 neighbours
+        d = _paired(d, "__m", step, lambda a, b: F.least(a, b))
 
-    def closed(g: Column) -> Column:
-        def anchor(i: Column) -> Column:
-            ends = F.least(g[i], g[i + places - 1])
-            middle = [g[i + j] for j in range(1, places - 1)]
-            low = F.least(*middle) if len(middle) > 1 else middle[0]
-            return F.when(low >= ends, F.xxhash64(*[g[i + j] for j in range(0, places, S - 1)], g[i + places - 1]))
+    def anchor(low: Column, i: Column) -> Column:
+        first, last = F.get(F.col("__h"), i), F.get(F.col("__h"), i + PLACES - 1)
+        hashed = F.shiftleft(F.shiftrightunsigned(F.xxhash64(first, last), 33), 32)
+        return F.when(last.isNotNull() & ((low == first) | (low == last)), hashed.bitwiseOR(i.cast("long")))
 
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(g) - places), anchor), lambda a: a.isNotNull())
+    return d.withColumn(out, F.array_compact(F.transform("__m", anchor))).drop("__h", "__m")
 
-    def of(h: Column) -> Column:
-        found = _let(_let(F.concat(mark, h, mark), inner), closed)
-        return _let(found, lambda a: F.when(F.size(a) > 0, a).otherwise(F.array(F.xxhash64(h))))
 
-    return _let(words, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(of(h)))
+def _or_whole(anchors: Column, text: Column) -> Column:
+    """A text without anchors counts as one of itself; an empty one has none."""
+    return F.when((F.size(anchors) > 0) | (text == ""), anchors).otherwise(F.array(F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 33), 32)))
 
 
-def sketch(text: Column) -> Column:
-    """The 64 smallest distinct anchors, 32 bits of each, ascending."""
-    cut = F.transform(anchors(text), lambda a: F.shiftright(a, 32).cast("int"))
-    return F.slice(F.sort_array(F.array_distinct(cut)), 1, KEPT)
+def hashes(anchors: Column) -> Column:
+    return F.transform(anchors, lambda a: F.shiftright(a, 32).cast("int"))
 
 
-def as_string(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda a: F.lpad(F.hex(a.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+def digest(anchors: Column) -> Column:
+    """Two hashes of all anchors and positions, in hex."""
+    word = lambda seed: F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), anchors)), 16, "0"))
+    return F.concat(word(1), word(2))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two texts' anchors, 0 to 1; two texts without words are alike."""
-    both = F.slice(F.sort_array(F.array_union(a, b)), 1, KEPT)
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(both, F.array_intersect(a, b))) / F.size(both))
+    """Share of two arrays' distinct elements in common, 0 to 1; two empty ones are alike."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, fingerprint of every row; a null text counts as empty, whose fingerprint is ''."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.char_length(text).cast("long").alias("n_chars"), as_string(sketch(text)).alias("fingerprint"))
+    """doc_id, n_chars, anchors and fingerprint, their digest, of every row; a null text counts as empty and has no anchors."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
+    d = with_anchors(rows, "__text", "anchors").withColumn("anchors", _or_whole(F.col("anchors"), F.col("__text")))
+    return d.select("doc_id", F.char_length("__text").cast("long").alias("n_chars"), "anchors", digest(F.col("anchors")).alias("fingerprint"))
 
 
-def _next(keys: DataFrame, pieces: int = 256) -> DataFrame:
-    """Each key (id, twin) with the key that follows, the first after the last: in ranges of ids of equal share."""
-    marks = keys.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)], 100 * pieces).alias("m")).first()["m"]
-    marks = sorted(set(marks or []))
-    place = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < F.col("id"))) if marks else F.lit(0)
-    placed = keys.withColumn("place", place)
-    firsts = {r["place"]: r["first"] for r in placed.groupBy("place").agg(F.min(F.struct("id", "twin")).alias("first")).collect()}  # at most `pieces` rows
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(" ".join(map(str, values))), " ").cast("array<bigint>")
+
+
+def _place(marks: list[int]) -> Column:
+    """Number of the marks below id, found in two steps."""
+    if not marks:
+        return F.lit(0)
+    wide = max(1, int(len(marks) ** 0.5))
+    parts = [marks[i : i + wide] for i in range(0, len(marks), wide)]
+    below = lambda c: F.size(F.filter(c, lambda m: m < F.col("id")))
+    part = below(_longs([p[-1] for p in parts]))  # parts that lie below as a whole
+    inside = F.get(F.split(F.lit("|".join(" ".join(map(str, p)) for p in parts)), "\\|"), part)
+    return part * wide + F.when(inside.isNotNull(), below(F.split(inside, " ").cast("array<bigint>"))).otherwise(0)
+
+
+def _placed(base: DataFrame, rows_each: int, most: int) -> DataFrame:
+    """Rows (id, twin, ...) in ranges of ids of about rows_each rows, place; the first document of the range that follows stands at its end again, as ghost.
+
+    The driver sees a mark and a first key for each of at most `most` ranges.
+    """
+    pieces = min(most, max(1, base.count() // rows_each))
+    marks = base.agg(F.percentile_approx("id", [i / pieces for i in range(1, pieces)], 20 * pieces).alias("m")).first()["m"] if pieces > 1 else []
+    placed = base.withColumn("place", _place(sorted(set(marks or []))))
+    firsts = {r["place"]: r["first"] for r in placed.groupBy("place").agg(F.min(F.struct("id", "twin")).alias("first")).collect()}
     order = sorted(firsts)
-    after = {p: firsts[order[(i + 1) % len(order)]] for i, p in enumerate(order)}
-    if not after:
-        return placed.select("id", "twin", F.col("id").alias("next_id"), F.col("twin").alias("next_twin"))
-    follow = lambda k: F.create_map(*[x for p, f in after.items() for x in (F.lit(p), F.lit(f[k]))])[F.col("place")]
-    w = Window.partitionBy("place").orderBy("id", "twin")
-    return placed.select("id", "twin", *(F.coalesce(F.lead(k).over(w), follow(k)).alias(f"next_{k}") for k in ("id", "twin")))
+    before = {p: order[i - 1] for i, p in enumerate(order)}
+    table = lambda f: _longs([f(firsts[p], p) if p in firsts else 0 for p in range(order[-1] + 1)]) if order else F.array().cast("array<bigint>")
+    own = F.col("place")
+    is_first = (F.get(table(lambda k, _: k["id"]), own) == F.col("id")) & (F.get(table(lambda k, _: k["twin"]), own) == F.col("twin"))
+    at = lambda place, ghost: F.struct(place.cast("int").alias("place"), F.lit(ghost).alias("ghost"))
+    here = F.when(is_first, F.array(at(own, False), at(F.get(table(lambda _, p: before[p]), own), True))).otherwise(F.array(at(own, False)))
+    return placed.select(*base.columns, F.inline(here))
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next for every row.
+def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int = 16_384) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next, and their parts in place, for every row.
 
     The edited text: the last quarter (rounded down) of the code points gives
     way to as many, or all, from the start of the next document by doc_id; the
-    first follows the last. Rows of equal id and text count as one document
-    (each row is returned); of equal ids the order is by a hash of the text,
-    and rows without id come first. Other columns are not read.
+    first follows the last. near_*: the share of distinct anchors in common;
+    edited_in_place, next_in_place: the same of anchors with their positions.
+    fingerprint, edited_fingerprint: digests of all anchors with positions.
+    Rows of equal id and text count as one document (each row is returned); of
+    equal ids the order is by a hash of the text, and rows without id come
+    first. A null text counts as empty. Other columns are not read. Texts move
+    once, to ranges of ids of about rows_each rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    quarter = F.floor(F.char_length("text") / 4).cast("int")
-    # Keys and fingerprints first: small rows. Texts then move by key once, for both joins below.
-    keys = materialise(base.select("id", "twin", quarter.alias("quarter"), sketch(F.col("text")).alias("prints")))
-    keys = keys.dropDuplicates(["id", "twin"])
-    links = materialise(_next(keys.select("id", "twin")))
-    follow = lambda df, *more: df.select(F.col("id").alias("next_id"), F.col("twin").alias("next_twin"), *more)
-    prints = keys.select("id", "twin", "prints").join(links.join(follow(keys, F.col("prints").alias("next_prints")), ["next_id", "next_twin"]).drop("next_id", "next_twin"), ["id", "twin"])
-    heads = follow(base, F.col("text").alias("next_text")).join(links.join(keys.select("id", "twin", "quarter"), ["id", "twin"]), ["next_id", "next_twin"])
-    heads = heads.select("id", "twin", F.substring(F.col("next_text"), F.lit(1), F.col("quarter")).alias("head")).dropDuplicates(["id", "twin"])
-    both = base.join(heads, ["id", "twin"]).join(prints, ["id", "twin"])
+    d = with_anchors(_placed(base, rows_each, most_ranges).repartition("place"), "text", "anchors")
+    d = d.withColumn("nr", F.dense_rank().over(Window.partitionBy("place").orderBy("ghost", "id", "twin")))
+    follows = Window.partitionBy("place").orderBy("nr").rangeBetween(1, 1)
+    d = d.withColumn("next", F.first(F.struct("text", "anchors")).over(follows)).filter("not ghost")
     n = F.char_length("text")
-    edited = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head"))
-    out = edited.withColumn("edited_prints", sketch(F.col("edited")))
-    return out.select(
+    cut = F.floor(n / 4).cast("int")
+    d = d.select("id", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"), n.alias("n"), (n - cut).alias("kept"), cut.alias("cut"))
+    d = d.withColumn("head", F.substring(F.col("next_text"), F.lit(1), F.col("cut"))).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "head"))
+    # The seam: up to K - 1 characters on either side.
+    start = F.greatest(F.col("kept") - (K - 1), F.lit(0))
+    d = with_anchors(d.withColumn("seam", F.substring(F.col("edited"), start + 1, F.col("kept") - start + K - 1)), "seam", "crossing")
+    position = lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF))
+    within = lambda c, end: F.filter(c, lambda a: position(a) + K <= end)
+    moved = lambda c, by: F.transform(c, lambda a: a + by)
+    d = d.withColumn("edited_anchors", F.concat(within("anchors", F.col("kept")), moved("crossing", start), moved(within("next_anchors", F.char_length("head")), F.col("kept"))))
+    whole = {"anchors": "text", "next_anchors": "next_text", "edited_anchors": "edited"}
+    d = d.withColumns({a: _or_whole(F.col(a), F.col(t)) for a, t in whole.items()})
+    d = d.withColumns({f"{a}_h": hashes(F.col(a)) for a in whole})
+    return d.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"),
-        n.cast("long").alias("n_chars"),
+        F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
-        as_string(F.col("prints")).alias("fingerprint"),
-        as_string(F.col("edited_prints")).alias("edited_fingerprint"),
-        likeness(F.col("prints"), F.col("edited_prints")).alias("near_edited"),
-        likeness(F.col("prints"), F.col("next_prints")).alias("near_next"),
+        digest(F.col("anchors")).alias("fingerprint"),
+        digest(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("anchors_h"), F.col("edited_anchors_h")).alias("near_edited"),
+        likeness(F.col("anchors_h"), F.col("next_anchors_h")).alias("near_next"),
+        likeness(F.col("anchors"), F.col("edited_anchors")).alias("edited_in_place"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("next_in_place"),
     )
