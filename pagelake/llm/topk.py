@@ -1,10 +1,15 @@
 """Exact top-k inner products through vector-approximation files (operator 6).
 
-Candidates stand in blocks. A block keeps, besides its exact vectors, a
-quantised cell for each component. A query scans the cells, which bound every
-score from both sides, then reads exact vectors in the order of their bounds
-until no unread one can be among its k. Bounds of earlier blocks of a task
-carry over. Each query's results of all block groups are merged at the end.
+1. The approximation: candidates stand in blocks that hold, for each vector, a
+   quantised cell of one byte for each component; exact vectors stay where they are.
+2. The scan: each query reads all cells. A cell bounds the score from both
+   sides; the kth largest lower bound over the whole table is a floor, and
+   only candidates whose upper bound reaches it can be results.
+3. The exact vectors of those are fetched by key and scored. With cells this
+   narrow they are little more than k for each query.
+
+Only cells meet all queries, in tasks of a group of blocks on either side, and
+so many groups of queries at a time that what is shuffled stays bounded.
 """
 
 from __future__ import annotations
@@ -20,19 +25,23 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-LEVELS = 16
+LEVELS = 256
 
 
-def _blocks(size: int):
-    """Rows (vec_id, vector) to blocks of at most size vectors of one dimension."""
+def _cells(x: np.ndarray) -> tuple:
+    """Cells of vectors, and the lower edge and width of cell 0 for each component."""
+    low, high = x.min(axis=0), x.max(axis=0)
+    width = np.maximum((high - low + 1) / LEVELS, 1e-9)
+    return np.minimum((x - low) / width, LEVELS - 1).astype(np.uint8), low.astype(np.float64), width
 
-    def pack(ids: list[int], vectors: list[list[int]]) -> bytes:
+
+def _blocks(size: int, quantise: bool):
+    """Rows (vec_id, mark, vector) to blocks of at most size vectors of one dimension, as cells or as they are."""
+
+    def pack(rows: list[tuple]) -> bytes:
+        ids, marks, vectors = zip(*rows, strict=True)
         x = np.array(vectors, np.int64).reshape(len(ids), -1)
-        low, high = x.min(axis=0), x.max(axis=0)
-        width = np.maximum((high - low + 1) / LEVELS, 1e-9)
-        cells = np.minimum((x - low) / width, LEVELS - 1).astype(np.uint8)
-        small = x.astype(np.int32) if np.abs(x).max(initial=0) < 1 << 31 else x
-        return pickle.dumps((np.array(ids, np.int64), small, cells, low.astype(np.float64), width))
+        return pickle.dumps((np.array(ids, np.int64), np.array(marks, np.int64), _cells(x) if quantise else x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, waiting = TaskContext.get().partitionId(), 0, {}
@@ -40,12 +49,11 @@ def _blocks(size: int):
         def out(dim: int) -> pa.RecordBatch:
             nonlocal seq
             seq += 1
-            rows = waiting.pop(dim)
-            return pa.RecordBatch.from_arrays([pa.array([part << 40 | seq], pa.int64()), pa.array([dim], pa.int32()), pa.array([pack(*map(list, zip(*rows, strict=True)))], pa.binary())], names=["block", "dim", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 40 | seq], pa.int64()), pa.array([dim], pa.int32()), pa.array([pack(waiting.pop(dim))], pa.binary())], names=["block", "dim", "body"])
 
         for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                waiting.setdefault(len(v), []).append((i, v))
+            for i, m, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                waiting.setdefault(len(v), []).append((i, m, v))
                 if len(waiting[len(v)]) >= size:
                     yield out(len(v))
         for dim in list(waiting):
@@ -54,56 +62,38 @@ def _blocks(size: int):
     return run
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
-def _search(queries: np.ndarray, own: np.ndarray, block: tuple, k: int, found: list) -> int:
-    """Add the block's candidates to found, (ids, scores) of each query; the number of exact vectors read."""
-    ids, exact, cells, low, width = block
+def _bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of the scores of all queries with all cells."""
     q = queries.astype(np.float64)
     middle = q @ ((cells + 0.5) * width + low).T
     spread = np.abs(q) @ (width / 2)
     spread += 1e-9 * (1 + np.abs(q) @ (np.abs(low) + LEVELS * width))  # rounding of the products
-    read = 0
-    for i in range(len(q)):
-        have_ids, have = found[i]
-        upper = middle[i] + spread[i]
-        upper[ids == own[i]] = -np.inf
-        floor = have[k - 1] if len(have) == k else -np.inf
-        lower = upper - 2 * spread[i]
-        if len(ids) > k:
-            floor = max(floor, np.partition(lower, len(lower) - k)[len(lower) - k])
-        order = np.flatnonzero((upper >= floor) & (upper > -np.inf))
-        order = order[np.argsort(-upper[order], kind="stable")]
-        for at in range(0, len(order), 64):
-            if len(have) == k and upper[order[at]] < have[k - 1]:
-                break  # what is unread stays below the kth score
-            some = order[at : at + 64]
-            read += len(some)
-            scores = exact[some].astype(np.int64) @ queries[i]
-            have_ids, have = np.concatenate((have_ids, ids[some])), np.concatenate((have, scores))
-            best = _best(have_ids, have, k)
-            have_ids, have = have_ids[best], have[best]
-        found[i] = (have_ids, have)
-    return read
-
-
-def _pairs(k: int):
+    return middle - spread[:, None], middle + spread[:, None]
+
+
+def _scan(k: int):
+    """Of a group of cells and one of queries: the candidates that may be among a query's k, with their bounds."""
+    names = ["query_id", "vec_id", "mark", "lower", "upper"]
+
     def run(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if candidates.num_rows and queries.num_rows:
-            blocks = [(d, pickle.loads(x)) for d, x in zip(candidates.column("dim").to_pylist(), candidates.column("body").to_pylist(), strict=True)]
-            for dim, body in zip(queries.column("dim").to_pylist(), queries.column("body").to_pylist(), strict=True):
-                own, vectors = pickle.loads(body)[:2]
-                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
-                for d, block in blocks:
-                    if d == dim:
-                        _search(vectors.astype(np.int64), own, block, k, found)
-                out[0] += np.repeat(own, [len(x) for x, _ in found]).tolist()
-                out[1] += [x for xs, _ in found for x in xs.tolist()]
-                out[2] += [x for _, xs in found for x in xs.tolist()]
-        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in out], names=["query_id", "vec_id", "score"])
+        out: list[list] = [[], [], [], [], []]
+        blocks = [(d, pickle.loads(x)) for d, x in zip(candidates.column("dim").to_pylist(), candidates.column("body").to_pylist(), strict=True)]
+        for dim, body in zip(queries.column("dim").to_pylist(), queries.column("body").to_pylist(), strict=True):
+            own, _, vectors = pickle.loads(body)
+            mine = [b for d, b in blocks if d == dim]
+            if not mine:
+                continue
+            ids, marks = (np.concatenate([b[i] for b in mine]) for i in (0, 1))
+            bounds = [_bounds(vectors, *b[2]) for b in mine]
+            lower, upper = (np.concatenate([b[i] for b in bounds], axis=1) for i in (0, 1))
+            same = own[:, None] == ids
+            lower[same] = upper[same] = -np.inf
+            floor = np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
+            i, j = np.nonzero((upper >= floor[:, None]) & ~same)
+            for column, values in zip(out, (own[i], ids[j], marks[j], lower[i, j], upper[i, j]), strict=True):
+                column.append(values)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.Table.from_arrays([pa.array(np.concatenate(c), t) if c else pa.array([], t) for c, t in zip(out, types, strict=True)], names=names)
 
     return run
 
@@ -115,7 +105,7 @@ def scaled(embedding: Column, factor: float = 64.0) -> Column:
     return F.when(fine, F.transform(x, lambda v: F.floor(v * factor)))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 512) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 512, groups_at_once: int = 64) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k largest inner products of each query.
 
     Both tables: vec_id and vector, an array of long, or null. A row never is
@@ -126,14 +116,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
     must fit a long.
     """
     usable = "vec_id is not null and vector is not null and size(vector) > 0"
+    slim = lambda df: df.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("vector").alias("mark"), F.col("vector").cast("array<long>").alias("vector"))
+    table, asked = slim(vectors), slim(queries).distinct()
     schema = "block long, dim int, body binary"
-    candidates = materialise(vectors.filter(usable).select(F.col("vec_id").cast("long"), "vector").mapInArrow(_blocks(block), schema))
-    asked = materialise(queries.filter(usable).select(F.col("vec_id").cast("long"), "vector").distinct().mapInArrow(_blocks(query_block), schema))
+    cells = materialise(table.mapInArrow(_blocks(block, True), schema))
+    asked_blocks = materialise(asked.mapInArrow(_blocks(query_block, False), schema))
     # Groups of about four blocks on each side; every pair of groups is one task's work.
-    groups = [max(1, -(-t.count() // 4)) for t in (candidates, asked)]
-    g, h = (F.pmod(F.xxhash64("block"), F.lit(n)) for n in groups)
-    left = candidates.withColumn("g", g).withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(groups[1] - 1)).cast("array<long>")))
-    right = asked.withColumn("h", h).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups[0] - 1)).cast("array<long>")))
-    found = left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_pairs(k), "query_id long, vec_id long, score long")
+    groups, asked_groups = (max(1, -(-t.count() // 4)) for t in (cells, asked_blocks))
+    g, h = F.pmod(F.xxhash64("block"), F.lit(groups)), F.pmod(F.xxhash64("block"), F.lit(asked_groups))
+    every = lambda a, b: F.explode(F.sequence(F.lit(a), F.lit(b)).cast("array<long>"))
+    found = None
+    for lo in range(0, asked_groups, groups_at_once):
+        hi = min(asked_groups, lo + groups_at_once) - 1
+        left = cells.withColumn("g", g).withColumn("h", every(lo, hi))
+        right = asked_blocks.withColumn("h", h).filter(F.col("h").between(lo, hi)).withColumn("g", every(0, groups - 1))
+        met = materialise(left.groupBy("g", "h").cogroup(right.groupBy("g", "h")).applyInArrow(_scan(k), "query_id long, vec_id long, mark long, lower double, upper double"))
+        found = met if found is None else found.unionByName(met)
+    # The floor of each query over the whole table, then what reaches it.
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
+    kth = found.select("query_id", "lower").withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id").agg(F.min("lower").alias("floor"), F.count("*").alias("n"))
+    left = found.join(kth, "query_id").filter((F.col("upper") >= F.col("floor")) | (F.col("n") < k)).select("query_id", "vec_id", "mark").distinct()
+    exact = left.join(table, ["vec_id", "mark"]).join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query")), "query_id").filter(F.size("vector") == F.size("query"))
+    score = F.aggregate(F.zip_with("vector", "query", lambda a, b: a * b), F.lit(0).cast("long"), lambda x, y: x + y)
+    scored = exact.select("query_id", "vec_id", score.alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
