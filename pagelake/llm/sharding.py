@@ -36,7 +36,7 @@ def _deal(shards: int, out: str):
     return run
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, partitions: int = 64, overhead: int = 16, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, partitions: int | None = None, overhead: int = 16, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns keep, size, text_crc32, shard and slot of every row of docs.
 
     size: UTF-8 bytes of the text and overhead. Sizes of the shards are near
@@ -44,7 +44,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, partitions: int = 64, ove
     share a shard. slot numbers the rows of a shard from 0 without a gap, in
     no stated order. A null text counts as empty (crc 0); null ids and repeated
     rows each get a slot; an empty table gives an empty table. Other columns
-    are not read. The text itself is never shuffled.
+    are not read. The text itself is never shuffled. partitions: by default
+    one for 100,000 rows, 64 at least and 4096 at most.
     """
     text = text_or_empty()
     rows = materialise(
@@ -53,20 +54,24 @@ def shard_documents(docs: DataFrame, shards: int = 40, partitions: int = 64, ove
             (F.octet_length(text).cast("long") + overhead).alias("size"),
             F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
             F.unhex(F.md5(F.encode(text, "utf-8"))).alias("__group"),
+            F.monotonically_increasing_id().alias("__row"),  # fixed by the write; tells equal rows apart
         )
     )
+    count = rows.count()
+    partitions = partitions or min(4096, max(64, count // 100_000))
+    cells_each = min(65_536, max(256, count // (shards * 100_000)))
     groups = rows.groupBy("__group").agg(F.sum("size").alias("group_bytes"))
     local = groups.repartition(partitions, "__group").withColumn("__part", F.spark_partition_id()).sortWithinPartitions(F.desc("group_bytes"), "__group")
     local = materialise(local.mapInArrow(_deal(shards, "__bin"), "__group binary, group_bytes long, __part int, __bin int"))
     bins = local.groupBy("__part", "__bin").agg(F.sum("group_bytes").alias("group_bytes"))
     bins = bins.repartition(1).sortWithinPartitions(F.desc("group_bytes"), "__part", "__bin").mapInArrow(_deal(shards, "shard"), "__part int, __bin int, group_bytes long, shard int")
     dealt = local.join(F.broadcast(bins.drop("group_bytes")), ["__part", "__bin"]).select("__group", "shard")  # partitions * shards rows
-    placed = materialise(rows.join(dealt, "__group").drop("__group").withColumn("__cell", F.pmod(F.xxhash64(*keep, "text_crc32"), F.lit(256)).cast("int")))
+    placed = materialise(rows.join(dealt, "__group").drop("__group").withColumn("__cell", F.pmod(F.xxhash64(*keep, "text_crc32", F.col("__row")), F.lit(cells_each)).cast("int")))
     cells = placed.groupBy("shard", "__cell").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
     start = cells.select("shard", "__cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy("shard", "__cell").orderBy(*keep, "size", "text_crc32")
+    inside = Window.partitionBy("shard", "__cell").orderBy(*keep, "size", "text_crc32", "__row")
     numbered = placed.withColumn("__at", F.row_number().over(inside))
-    return numbered.join(F.broadcast(start), ["shard", "__cell"]).select(  # 256 * shards rows
+    return numbered.join(F.broadcast(start), ["shard", "__cell"]).select(  # cells_each * shards rows
         *keep, "size", "text_crc32", "shard", (F.col("__start") + F.col("__at") - 1).alias("slot")
     )
