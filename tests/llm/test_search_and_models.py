@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -24,7 +26,7 @@ def odd(spark):
 
 
 def clash(df):
-    names = ["id", "twin", "prints", "size", "shard", "slot", "score", "lang_pred", "rate", "copies", "p_clean", "crc", "words", "head"]
+    names = ["id", "twin", "anchors", "place", "next", "size", "shard", "slot", "score", "lang_pred", "rate", "copies", "p_clean", "crc", "words", "head"]
     return df.withColumns({n: F.lit("x") for n in names})
 
 
@@ -45,26 +47,68 @@ def test_fingerprints(spark, odd):
     assert syncmers.compare_with_edits(odd.filter("false")).count() == 0
 
 
-def brute_anchors(hashes, k=syncmers.K, s=syncmers.S):
-    """Positions of closed syncmers, from their definition, on inner hashes of a sequence."""
+def xx(values):
+    """Spark's xxhash64 of longs: each hashes with the one before as its seed."""
+    h = 42
+    for v in values:
+        h = xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_anchors(text, k=syncmers.K, s=syncmers.S):
+    """(hash, position) of closed syncmers, from their definition."""
+    h = [xxhash.xxh64_intdigest(c.encode(), 42) for c in text]
+    h = [x - (1 << 64) if x >> 63 else x for x in h]
+    span = 1
+    while span < s:
+        h = [xx((h[i], h[i + span])) for i in range(len(h) - span)]
+        span *= 2
     out = []
-    for i in range(len(hashes) - (k - s)):
-        inner = hashes[i : i + k - s + 1]
+    for i in range(len(text) - k + 1):
+        inner = h[i : i + k - s + 1]
         if min(inner) in (inner[0], inner[-1]):
-            out.append(i)
+            out.append((xx((inner[0], inner[-1])) % (1 << 64) >> 33, i))
     return out
 
 
-def test_syncmers_are_closed(spark):
+def test_syncmers_by_definition(spark):
     rng = random.Random(1)
-    text = " ".join(rng.choice(["aa", "b", "cc", "d", "ee", "f"]) for _ in range(300))
-    df = spark.createDataFrame([(text,)], "text string")
-    hashes = df.select(F.transform(F.split("text", " "), lambda w: F.xxhash64(w)).alias("h"))
-    inner = hashes.select(F.transform(F.sequence(F.lit(0), F.size("h") - 3), lambda i: F.xxhash64(F.col("h")[i], F.col("h")[i + 1], F.col("h")[i + 2])).alias("g")).first()["g"]
-    found = df.select(syncmers.anchors(F.col("text")).alias("a")).first()["a"]
-    n = len(brute_anchors(inner))
-    assert n <= len(found) <= n + 4  # and those with marks at the ends
-    assert 0.5 < n / len(inner) < 0.85
+    texts = ["", "short", "exactly fifteen", "a" * 60, "".join(rng.choice("abcdeé 中😀") for _ in range(400)), "x" * 14]
+    texts += ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in syncmers.with_anchors(df, "text", "a").collect():
+        assert [(x >> 32, x & 0xFFFFFFFF) for x in r["a"]] == brute_anchors(r["text"]), r["text"]
+    part = len(brute_anchors(texts[4])) / 386
+    assert 0.15 < part < 0.4
+
+
+def test_edits_by_definition(spark):
+    """Every column from whole texts by definition; ids with gaps, ties, repeated rows and texts of all sizes, in many ranges."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcde ") for _ in range(rng.choice((0, 1, 3, 7, 16, 30, 31, 60, 200, 500)))) for _ in range(60)]
+    rows = [(3 * i - 50, t) for i, t in enumerate(texts)] + [(4, "tied with another"), (4, "of that id"), (10, texts[20]), (10, texts[20])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    twins = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted({(i, twins[t], t) for i, t in rows})
+    after = {(i, t): order[(k + 1) % len(order)][2] for k, (i, _, t) in enumerate(order)}
+    whole = lambda t: brute_anchors(t) or ([(twins_of(t) % (1 << 64) >> 33, 0)] if t else [])
+    twins_of = lambda t: twins[t] if t in twins else extra[t]
+    edits = {(i, t): t[: len(t) - len(t) // 4] + n[: len(t) // 4] for (i, t), n in after.items()}
+    extra = {r["text"]: r["h"] for r in spark.createDataFrame([(t,) for t in set(edits.values())], "text string").select("text", F.xxhash64("text").alias("h")).collect()}
+    alike = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    want = []
+    for i, t in rows:
+        a, e, n = whole(t), whole(edits[i, t]), whole(after[i, t])
+        h = lambda x: [y for y, _ in x]
+        want.append((i, len(t), hashlib.sha256(edits[i, t].encode()).hexdigest(), *(round(x, 9) for x in (alike(h(a), h(e)), alike(h(a), h(n)), alike(a, e), alike(a, n)))))
+    columns = ["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "edited_in_place", "next_in_place"]
+    for rows_each in (1, 5, 1000):
+        got = [tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in columns) for r in syncmers.compare_with_edits(df, rows_each).collect()]
+        assert sorted(got) == sorted(want), rows_each
+    prints = {}
+    for r in syncmers.compare_with_edits(df, 3).collect():
+        prints.setdefault(r["fingerprint"], r["n_chars"])
+    assert len(prints) == len({tuple(whole(t)) for _, t in rows})
 
 
 def test_likeness_follows_the_edit(spark):
@@ -126,6 +170,81 @@ def test_language_id(spark, odd):
     assert language_id.predict(odd.filter("false"), model).count() == 0
 
 
+def test_texts_without_letters_have_no_language(spark):
+    docs = documents(spark, SF)
+    model = language_id.fit(docs, train=F.lit(True))
+    rows = [(0, "½ ² ³ ① Ⅷ ٣"), (1, "12.5 %"), (2, "ª word"), (3, "é")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[0] == got[1] == "und" and "und" not in (got[2], got[3])
+
+
+def test_sample_of_languages_is_bounded(spark, monkeypatch):
+    """A text repeated in most rows counts once, rare languages stay, and no language exceeds its share."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [("en", "the same text in most rows")] * 3000 + [("de", " ".join(word() for _ in range(9))) for _ in range(400)] + [("xx", "one lonely row"), (None, "no label"), ("en", None)]
+    df = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(6)
+    drawn: list = []
+    monkeypatch.setattr(language_id, "LanguageModel", lambda x, langs: drawn.append((x, langs)))
+    language_id.fit(df, F.lit(True), max_rows=90, max_per_language=50)
+    langs = drawn[0][1]
+    assert {k: langs.count(k) for k in set(langs)} == {"en": 1, "de": 30, "xx": 1} and len(drawn[0][0]) == 32
+
+
+def brute_features(text):
+    words = regex.findall(r"\p{L}+", text.lower())
+    n = max(1, len(text))
+    symbols = sum(c in "!$%&*#|=<>{}_~^0123456789" for c in text)
+    share = len(set(words)) / max(1, len(words))
+    upper = len(regex.findall(r"\p{Lu}", text)) / n
+    marks = [f"#symbols {math.floor(math.ceil(symbols * 20 / n) / 10 * 10)}", f"#distinct {math.floor(share * 10)}", f"#upper {math.floor(upper * 10)}", f"#length {math.floor(math.log2(max(1, len(words))))}"]
+    return words, marks
+
+
+def least_deviation(x, cap, rounds=400):
+    """How near accelerated projected gradient least squares comes to the targets, given tokens and posteriors."""
+    n, p = x[:, 0], x[:, 1:]
+    first = (n[:, None] * p).sum(axis=0)
+    budget = first[0] / mixing.TARGETS["clean"]
+    wanted = budget * np.array([mixing.TARGETS[d] for d in mixing.DOMAINS])
+    total = lambda r: (n[:, None] * p * r[:, None]).sum(axis=0)
+    rate = ahead = np.ones(len(n))
+    t = 1.0
+    for _ in range(rounds):
+        new = np.clip(ahead - p @ ((total(ahead) - wanted) / first), 0, cap)
+        t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        ahead, rate, t = np.clip(new + (t - 1) / t2 * (new - rate), 0, cap), new, t2
+    return np.abs(total(rate) - wanted).max() / budget
+
+
+def test_mixing_by_definition(spark):
+    """Posteriors, expected totals, rates and copies, from the classifier's weights in plain Python."""
+    docs, labels = documents(spark, "/root/testdata/sf0.001"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = mixing.fit(docs, labels)
+    sure = lambda x: 1 / (1 + math.exp(-max(-50.0, min(50.0, x))))
+    want = {}
+    for r in docs.collect():
+        words, marks = brute_features(r["text"] or "")
+        odds = list(model.start)
+        for w in {*words, *marks} & set(model.weights):
+            odds = [o + x for o, x in zip(odds, model.weights[w], strict=True)]
+        toxic, good = map(sure, odds)
+        want[r["doc_id"]] = (len(words), (1 - toxic) * good, (1 - toxic) * (1 - good), toxic)
+    for cap in (None, 1.0):
+        got = mixing.mix(docs, labels, max_rate=cap).collect()
+        assert len(got) == len(want)
+        for r in got:
+            n, *p = want[r["doc_id"]]
+            assert r["n_tokens"] == n and all(abs(x - r[f"p_{d}"]) < 1e-9 for x, d in zip(p, mixing.DOMAINS, strict=True)), r["doc_id"]
+        clean = sum(n * p[0] for n, *p in want.values())
+        totals = [sum(r["rate"] * want[r["doc_id"]][0] * want[r["doc_id"]][1 + i] for r in got) for i in range(3)]
+        budget = clean / mixing.TARGETS["clean"]
+        off = max(abs(t - budget * mixing.TARGETS[d]) for t, d in zip(totals, mixing.DOMAINS, strict=True)) / budget
+        assert abs(off - got[0]["deviation"]) < 1e-9 and all(0 <= r["rate"] <= (cap or math.inf) for r in got)
+        assert off < least_deviation(np.array([want[r["doc_id"]] for r in got]), cap or math.inf) + 2e-3
+        assert all(abs(r["copies"] - r["rate"]) < 1 for r in got)
+
+
 def test_mixing(spark, odd):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     docs = documents(spark, "/root/testdata/sf0.01")
