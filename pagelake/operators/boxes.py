@@ -106,13 +106,17 @@ def drop_nested(df: DataFrame, wider: float = 1.0, higher: float = 1.0, across:
     The defaults are for columns in columns; (1.75, 1.1, 0.7, 0.85) for narrow
     lines beside a wide one.
     """
-    size = lambda b: (F.greatest(b.width + 1, F.lit(1)), F.greatest(b.height + 1, F.lit(1)))
-    a, b = B.box("a."), B.box("b.")
-    (aw, ah), (bw, bh) = size(a), size(b)
+    from .joins import meeting
+
+    pixels = lambda b: (F.greatest(b.width + 1, F.lit(1)), F.greatest(b.height + 1, F.lit(1)))
+    a, b = B.box(), B.box("o_")
+    (aw, ah), (bw, bh) = pixels(a), pixels(b)
     shared = lambda p1, p2, q1, q2: F.least(p2, q2) - F.greatest(p1, q1) + 1
     covered = (shared(a.x1, a.x2, b.x1, b.x2) >= across * aw) & (shared(a.y1, a.y2, b.y1, b.y2) >= down * ah)
-    on = (F.col("a.page_id") == F.col("b.page_id")) & (F.col("a.det_idx") != F.col("b.det_idx")) & (bw >= wider * aw) & (bh >= higher * ah) & covered
-    return df.alias("a").join(df.alias("b"), on, "left_anti")
+    own = df.select("page_id", "det_idx", "x1", "y1", "x2", "y2")
+    other = df.select("page_id", F.col("det_idx").alias("o_idx"), *(F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")))
+    nested = meeting(own, other, ["page_id"], "y1", "y2", "o_").filter((F.col("det_idx") != F.col("o_idx")) & (bw >= wider * aw) & (bh >= higher * ah) & covered)
+    return df.join(nested.select("page_id", "det_idx").distinct(), ["page_id", "det_idx"], "left_anti")
 
 
 def direction_from_lines(lines: DataFrame, blocks: DataFrame, lang: Column | None = None) -> DataFrame:

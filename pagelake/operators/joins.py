@@ -17,11 +17,24 @@ from ..functions import texts as T
 CORNERS = ("x1", "y1", "x2", "y2")
 
 
+def meeting(a: DataFrame, b: DataFrame, keys: list[str], low: str, high: str, prefix: str, size: int = 256) -> DataFrame:
+    """Rows of a with the rows of b (columns named prefix + low and so on) of equal keys whose extents low .. high meet, edges included.
+
+    Both are dealt to the bands of height that they touch; a pair is kept in
+    the band where it first meets. So a crowded page isn't all pairs.
+    """
+    bands = lambda x, y: F.sequence(F.floor(F.least(x, y) / size), F.floor(F.greatest(x, y) / size))
+    left = a.withColumn("__band", F.explode(bands(F.col(low), F.col(high))))
+    right = b.withColumn("__band", F.explode(bands(F.col(f"{prefix}{low}"), F.col(f"{prefix}{high}"))))
+    first = F.floor(F.greatest(F.least(low, high), F.least(f"{prefix}{low}", f"{prefix}{high}")) / size)
+    return left.join(right, [*keys, "__band"]).filter(F.col("__band") == first).drop("__band")
+
+
 def assign_bubbles(texts: DataFrame, bubbles: DataFrame, least: float = 0.2) -> DataFrame:
     """Texts with the first bubble, in order, that contains them or overlaps enough; text_free without one."""
     b = bubbles.select("page_id", F.col("det_idx").alias("bubble_idx"), *(F.col(c).alias(f"bubble_{c}") for c in CORNERS))
     inside = B.fits(B.box("bubble_"), B.box()) | B.overlaps(B.box("bubble_"), B.box(), least)
-    found = texts.join(b, "page_id").filter(inside).groupBy("page_id", "det_idx").agg(F.min_by(F.struct("bubble_idx", *(f"bubble_{c}" for c in CORNERS)), "bubble_idx").alias("b")).select("page_id", "det_idx", "b.*")
+    found = meeting(texts, b, ["page_id"], "y1", "y2", "bubble_").filter(inside).groupBy("page_id", "det_idx").agg(F.min_by(F.struct("bubble_idx", *(f"bubble_{c}" for c in CORNERS)), "bubble_idx").alias("b")).select("page_id", "det_idx", "b.*")
     out = texts.join(found, ["page_id", "det_idx"], "left")
     return out.withColumn("text_class", F.when(F.col("bubble_idx").isNull(), "text_free").otherwise("text_bubble"))
 
@@ -40,7 +53,7 @@ def assign_lines(lines: DataFrame, blocks: DataFrame, width: int, height: int, l
     line, block = B.box(), B.box("b_")
     centre = (line.cx >= block.x1) & (line.cx <= block.x2) & (line.cy >= block.y1) & (line.cy <= block.y2)
     score = B.intersection(block, line) / F.greatest(line.area, F.lit(1)) + F.when(centre, 0.15).otherwise(0.0)
-    found = lines.join(b, "page_id").withColumn("match", score).filter(F.col("match") >= least)
+    found = meeting(lines, b, ["page_id"], "y1", "y2", "b_").withColumn("match", score).filter(F.col("match") >= least)
     best = found.groupBy("page_id", "block_idx", "line_idx").agg(F.max(F.struct("match", (-F.col("to_block")).alias("neg"))).alias("m"))
     return best.select("page_id", "block_idx", "line_idx", (-F.col("m.neg")).alias("to_block"), F.col("m.match").alias("match"))
 
@@ -50,7 +63,7 @@ def lines_in_blocks(lines: DataFrame, blocks: DataFrame, least: float = 0.5) ->
     b = blocks.select("page_id", F.col("det_idx").alias("in_block"), *(F.col(c).alias(f"b_{c}") for c in CORNERS))
     line, block = B.box(), B.box("b_")
     hit = B.fits(block, line) | (B.intersection(block, line) >= least * line.area)
-    return lines.join(b, "page_id").filter(hit).select("page_id", "block_idx", "line_idx", "in_block")
+    return meeting(lines, b, ["page_id"], "y1", "y2", "b_").filter(hit).select("page_id", "block_idx", "line_idx", "in_block")
 
 
 def polys_in_blocks(polys: DataFrame, blocks: DataFrame, least: float = 0.7) -> DataFrame:
@@ -58,7 +71,7 @@ def polys_in_blocks(polys: DataFrame, blocks: DataFrame, least: float = 0.7) ->
     b = blocks.select("page_id", F.col("det_idx").alias("in_block"), *(F.col(c).alias(f"b_{c}") for c in CORNERS))
     p, block = B.box(), B.box("b_")
     both = B.intersection(block, p)
-    return polys.join(b, "page_id").filter((both >= least * p.area) | (both >= least * block.area)).select("page_id", "block_idx", "line_idx", "in_block")
+    return meeting(polys, b, ["page_id"], "y1", "y2", "b_").filter((both >= least * p.area) | (both >= least * block.area)).select("page_id", "block_idx", "line_idx", "in_block")
 
 
 def banded(probes: DataFrame, found: DataFrame, keys: list[str], ident: list[str], order: str, pixels: int = 5, degrees: float = 1, band: int = 64) -> DataFrame:
@@ -141,7 +154,7 @@ def sync_items(items: DataFrame, blocks: DataFrame, pixels: int = 5, band: int =
 def edit_blocks(edits: DataFrame, blocks: DataFrame, least: float = 0.5) -> DataFrame:
     """Rectangle edits on the first block they overlap enough; other blocks stay."""
     e = edits.select("page_id", "edit_id", *(F.col(c).alias(f"e_{c}") for c in CORNERS), *(F.col(f"new_{c}") for c in CORNERS))
-    hit = blocks.join(e, "page_id").filter(B.iou(B.box(), B.box("e_")) >= least)
+    hit = meeting(blocks, e, ["page_id"], "y1", "y2", "e_").filter(B.iou(B.box(), B.box("e_")) >= least)
     first = hit.groupBy("page_id", "edit_id").agg(F.min_by(F.struct("det_idx", *(f"new_{c}" for c in CORNERS)), "det_idx").alias("m"))
     last = first.groupBy("page_id", F.col("m.det_idx").alias("det_idx")).agg(F.max_by("m", "edit_id").alias("m"))
     d = blocks.join(last, ["page_id", "det_idx"], "left")

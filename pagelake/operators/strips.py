@@ -106,18 +106,18 @@ def view_mappings(layout: DataFrame, views: DataFrame, buffer: int = 0) -> DataF
 
 def visible_blocks(blocks: DataFrame, mappings: DataFrame) -> DataFrame:
     """Blocks in view, by the first mapping they meet, in combined-image coordinates."""
-    m = mappings.select("chapter_id", "page_no", (F.col("top") + F.col("crop_top")).alias("m1"), (F.col("top") + F.col("crop_bottom")).alias("m2"), "combined_start")
-    hit = blocks.join(m, "chapter_id").filter((F.col("y1") < F.col("m2")) & (F.col("y2") > F.col("m1")))
-    first = hit.groupBy("chapter_id", "block_idx").agg(F.min_by(F.struct("x1", "y1", "x2", "y2", "m1", "combined_start", "page_no"), "page_no").alias("s"))
-    shift = F.col("s.combined_start") - F.col("s.m1")
+    m = mappings.select("chapter_id", "page_no", (F.col("top") + F.col("crop_top")).alias("m_y1"), (F.col("top") + F.col("crop_bottom")).alias("m_y2"), "combined_start")
+    hit = J.meeting(blocks, m, ["chapter_id"], "y1", "y2", "m_", size=4096).filter((F.col("y1") < F.col("m_y2")) & (F.col("y2") > F.col("m_y1")))
+    first = hit.groupBy("chapter_id", "block_idx").agg(F.min_by(F.struct("x1", "y1", "x2", "y2", "m_y1", "combined_start", "page_no"), "page_no").alias("s"))
+    shift = F.col("s.combined_start") - F.col("s.m_y1")
     return first.select("chapter_id", "block_idx", F.col("s.page_no").alias("page_no"), F.col("s.x1").alias("x1"), (F.col("s.y1") + shift).alias("y1"), F.col("s.x2").alias("x2"), (F.col("s.y2") + shift).alias("y2"))
 
 
 def combined_to_scene(boxes: DataFrame, mappings: DataFrame) -> DataFrame:
     """Combined-image boxes back to the strip, by the mapping that holds their top edge."""
-    m = mappings.select("chapter_id", "combined_start", "combined_end", (F.col("top") + F.col("crop_top") - F.col("combined_start")).alias("shift"))
-    d = boxes.join(m, "chapter_id").filter((F.col("y1") >= F.col("combined_start")) & (F.col("y1") < F.col("combined_end")))
-    return d.withColumns({"y1": F.col("y1") + F.col("shift"), "y2": F.col("y2") + F.col("shift")}).drop("combined_start", "combined_end", "shift")
+    m = mappings.select("chapter_id", F.col("combined_start").alias("m_y1"), F.col("combined_end").alias("m_y2"), (F.col("top") + F.col("crop_top") - F.col("combined_start")).alias("shift"))
+    d = J.meeting(boxes, m, ["chapter_id"], "y1", "y2", "m_", size=4096).filter((F.col("y1") >= F.col("m_y1")) & (F.col("y1") < F.col("m_y2")))
+    return d.withColumns({"y1": F.col("y1") + F.col("shift"), "y2": F.col("y2") + F.col("shift")}).drop("m_y1", "m_y2", "shift")
 
 
 def first_visible(visible: DataFrame) -> DataFrame:

@@ -121,11 +121,11 @@ def _continues(axis: str, other: str, size, reach: str) -> str:
     least = f"greatest(least({size('k')},{size('x.b')}),1)"
     centres = f"abs((k.{axis}1+k.{axis}2)-(x.b.{axis}1+x.b.{axis}2))/2.0"
     gap = f"greatest(greatest(k.{other}1,x.b.{other}1)-least(k.{other}2,x.b.{other}2),0)"
-    return f"((greatest({shared('k', 'x.b', axis)},0) >= 0.55*{least} OR {centres} <= 0.35*{least}) AND {gap} <= {reach.format(least)})"
+    return f"((greatest({shared('k', 'x.b', axis)},0) >= 0.55e0*{least} OR {centres} <= 0.35e0*{least}) AND {gap} <= {reach.format(least)})"
 
 
-LEVEL, UPRIGHT = _continues("y", "x", h, f"greatest({WIDTH}*0.08, 2.0*{{0}})"), _continues("x", "y", w, "greatest(2*{0}, 8)")
-_TALL, _FLAT = lambda b: f"{h(b)} > 1.25*{w(b)}", lambda b: f"{w(b)} > 1.25*{h(b)}"
+LEVEL, UPRIGHT = _continues("y", "x", h, f"greatest({WIDTH}*0.08e0, 2.0*{{0}})"), _continues("x", "y", w, "greatest(2*{0}, 8)")
+_TALL, _FLAT = lambda b: f"{h(b)} > 1.25e0*{w(b)}", lambda b: f"{w(b)} > 1.25e0*{h(b)}"
 LINE_FITS = f"""CASE WHEN NOT ({_TALL('k')}) AND NOT ({_TALL('x.b')}) AND ({_FLAT('k')} OR {_FLAT('x.b')} OR {LEVEL}) THEN {LEVEL}
  WHEN NOT ({_FLAT('k')}) AND NOT ({_FLAT('x.b')}) THEN {UPRIGHT} ELSE false END"""
 
@@ -186,12 +186,12 @@ def c9_insert_new(t: Tables) -> DataFrame:
 
 ROW = f"STRUCT(x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, m {BOX}[])"
 _LEAST_H = f"(least({h('k')},{h('x.b')})+1)"
-IN_ROW = f"({shared('k', 'x.b', 'y', 1)} >= 0.45*{_LEAST_H} OR abs((k.y1+k.y2)-(x.b.y1+x.b.y2))/2.0 <= greatest(5.0, 0.45*mh))"
+IN_ROW = f"({shared('k', 'x.b', 'y', 1)} >= 0.45e0*{_LEAST_H} OR abs((k.y1+k.y2)-(x.b.y1+x.b.y2))/2.0 <= greatest(5.0, 0.45e0*mh))"
 ADDED = "{'x1': least(k.x1,x.b.x1), 'y1': least(k.y1,x.b.y1), 'x2': greatest(k.x2,x.b.x2), 'y2': greatest(k.y2,x.b.y2), 'm': list_append(k.m, x.b)}"
 FRESH_ROW = "{'x1': x.b.x1, 'y1': x.b.y1, 'x2': x.b.x2, 'y2': x.b.y2, 'm': [x.b]}"
 LAST = "a.s[len(a.s)]"
 _LOW, _HIGH = f"(least({h(LAST)},{h('x.b')})+1)", f"(greatest({h(LAST)},{h('x.b')})+1)"
-ALONG = f"(x.b.x1-{LAST}.x2-1 <= greatest(14.0, 1.55*mh) AND {shared(LAST, 'x.b', 'y', 1)} >= 0.35*{_LOW} AND {_HIGH} <= 1.8*greatest({_LOW},1))"
+ALONG = f"(x.b.x1-{LAST}.x2-1 <= greatest(14.0, 1.55*mh) AND {shared(LAST, 'x.b', 'y', 1)} >= 0.35e0*{_LOW} AND {_HIGH} <= 1.8*greatest({_LOW},1))"
 
 
 def onto_last(ok: str) -> str:
@@ -211,10 +211,10 @@ OWN_PART = "a.s[x.b]"
 _PW, _PH = lambda b: f"greatest({w(b)}+1,1)", lambda b: f"greatest({h(b)}+1,1)"
 _GAP = f"greatest(greatest({OWN_PART}.y1,k.y1)-least({OWN_PART}.y2,k.y2)-1,0)"
 TAKES = f"""(i <> x.b AND NOT k.gone AND ({_PW('k')} >= 2*{_PW(OWN_PART)} OR {_PH('k')} >= 2*{_PH(OWN_PART)})
- AND ({shared(OWN_PART, 'k', 'y', 1)} >= 0.2*least({_PH(OWN_PART)},{_PH('k')}) OR ({_GAP} <= greatest(8.0,0.45*mh) AND {_PH(OWN_PART)} < 0.6*{_PH('k')}))
+ AND ({shared(OWN_PART, 'k', 'y', 1)} >= 0.2e0*least({_PH(OWN_PART)},{_PH('k')}) OR ({_GAP} <= greatest(8.0,0.45e0*mh) AND {_PH(OWN_PART)} < 0.6e0*{_PH('k')}))
  AND (({OWN_PART}.x1+{OWN_PART}.x2)/2.0 BETWEEN k.x1-mh AND k.x2+mh OR {shared(OWN_PART, 'k', 'x', 1)} >= least(0.35*{_PW(OWN_PART)},8.0)))"""
 BEST = f"list_min(list_transform(a.s, lambda k, i: CASE WHEN {TAKES} THEN {{'gap': {_GAP}, 'i': i}} END)).i"
-IS_SMALL = f"(NOT {OWN_PART}.gone AND {_PH(OWN_PART)} <= greatest(8.0,0.45*mh) AND {_PW(OWN_PART)} <= greatest(36.0,0.35*mw))"
+IS_SMALL = f"(NOT {OWN_PART}.gone AND {_PH(OWN_PART)} <= greatest(8.0,0.45e0*mh) AND {_PW(OWN_PART)} <= greatest(36.0,0.35*mw))"
 FRAGMENTS = "(SELECT page_id, det_idx, x1, y1, CASE WHEN det_idx % 3 = 1 THEN x1 + (x2-x1)//4 ELSE x2 END AS x2, CASE WHEN det_idx % 3 = 1 THEN least(y2, y1+10) ELSE y2 END AS y2 FROM fx_text)"
 gone = lambda b, v: f"{{'idx': {b}.idx, 'x1': {b}.x1, 'y1': {b}.y1, 'x2': {b}.x2, 'y2': {b}.y2, 'gone': {v}}}"
 TAKEN = f"CASE WHEN {IS_SMALL} AND {BEST} IS NOT NULL THEN list_transform(a.s, lambda k2, j: CASE WHEN j = {BEST} THEN {hull('k2', OWN_PART, chr(44) + ' ' + chr(39) + 'gone' + chr(39) + ': false')} WHEN j = x.b THEN {gone('k2', 'true')} ELSE k2 END) ELSE a.s END"
@@ -234,7 +234,7 @@ def fragments(t: Tables) -> DataFrame:
 
 COMPONENT = "{'idx': CAST(det_idx AS BIGINT), 'cy': (y1+y2)/2.0}"
 CROW = "STRUCT(n BIGINT, s DOUBLE, m BIGINT[])"
-ROWS = f"CASE WHEN len(a.s) > 0 AND x.b.cy - {LAST}.s/{LAST}.n <= greatest(8.0, 0.75*mh) THEN list_append(a.s[:len(a.s)-1], {{'n': {LAST}.n+1, 's': {LAST}.s+x.b.cy, 'm': list_append({LAST}.m, x.b.idx)}}) ELSE list_append(a.s, {{'n': 1, 's': x.b.cy, 'm': [x.b.idx]}}) END"
+ROWS = f"CASE WHEN len(a.s) > 0 AND x.b.cy - {LAST}.s/{LAST}.n <= greatest(8.0, 0.75e0*mh) THEN list_append(a.s[:len(a.s)-1], {{'n': {LAST}.n+1, 's': {LAST}.s+x.b.cy, 'm': list_append({LAST}.m, x.b.idx)}}) ELSE list_append(a.s, {{'n': 1, 's': x.b.cy, 'm': [x.b.idx]}}) END"
 
 
 @query(f"""WITH f AS (SELECT page_id, {fold('l', f'{CROW}[]', '[]', ROWS)} AS r FROM {gathered('(y1+y2)/2.0, det_idx', fields=COMPONENT, stats=MEDIANS)} p)
@@ -244,8 +244,8 @@ def c13_rows_by_y(t: Tables) -> DataFrame:
 
 
 _LEAST_LAST = f"(least({h(LAST)},{h('x.b')})+1)"
-COLUMN = f"""(x.b.x1-{LAST}.x2-1 <= greatest(5.0,least(14.0,0.85*mw,0.55*mh)) AND {_LEAST_LAST} > 0 AND {shared(LAST, 'x.b', 'y', 1)} >= 0.35*{_LEAST_LAST}
- AND {_PW(LAST)} <= greatest(8.0,1.35*mw) AND {_PW('x.b')} <= greatest(8.0,1.35*mw))"""
+COLUMN = f"""(x.b.x1-{LAST}.x2-1 <= greatest(5.0,least(14.0,0.85e0*mw,0.55e0*mh)) AND {_LEAST_LAST} > 0 AND {shared(LAST, 'x.b', 'y', 1)} >= 0.35e0*{_LEAST_LAST}
+ AND {_PW(LAST)} <= greatest(8.0,1.35e0*mw) AND {_PW('x.b')} <= greatest(8.0,1.35e0*mw))"""
 
 
 @query(unnested(fold("l", f"{BOX}[]", "[]", onto_last(COLUMN)), gathered("x1, det_idx", stats=MEDIANS)))
@@ -302,7 +302,7 @@ def _sliding(value: str, along: str, name: str) -> str:
 JITTER_CTE = f"""{_sliding('cy', 'cx', 'sy')}, {_sliding('cx', 'cy', 'sx')},
 j0 AS (SELECT page_id, count(*) AS n, var_pop(cx) AS vx, max(cx)-min(cx)+2e-6 AS rx, var_pop(cy) AS vy, max(cy)-min(cy)+2e-6 AS ry FROM c GROUP BY 1 HAVING count(*) >= 3),
 j AS (SELECT j0.page_id, CASE WHEN n >= 5 THEN (vy+sy.v)/ry/2 ELSE vy/ry END AS across, CASE WHEN n >= 5 THEN (vx+sx.v)/rx/2 ELSE vx/rx END AS down FROM j0 LEFT JOIN sy ON j0.page_id=sy.page_id LEFT JOIN sx ON j0.page_id=sx.page_id)"""
-JITTER = "SELECT page_id, CASE WHEN across < 0.6*down THEN -1 WHEN down < 0.6*across THEN 1 ELSE 0 END AS v FROM j"
+JITTER = "SELECT page_id, CASE WHEN across < 0.6e0*down THEN -1 WHEN down < 0.6e0*across THEN 1 ELSE 0 END AS v FROM j"
 FLOW_CTE = """f0 AS (SELECT page_id, quantile_cont(greatest(x2-x1,1),0.5) AS mw, quantile_cont(greatest(y2-y1,1),0.5) AS mh FROM c GROUP BY 1 HAVING count(*) >= 3),
 f1 AS (SELECT a.page_id, a.det_idx, min(CASE WHEN b.cx>a.cx AND abs(b.cy-a.cy) < 0.5*(b.cx-a.cx) THEN sqrt((b.cx-a.cx)*(b.cx-a.cx)+(b.cy-a.cy)*(b.cy-a.cy)) END) AS r,
  min(CASE WHEN b.cy>a.cy AND abs(b.cx-a.cx) < 0.5*(b.cy-a.cy) THEN sqrt((b.cx-a.cx)*(b.cx-a.cx)+(b.cy-a.cy)*(b.cy-a.cy)) END) AS d FROM c a JOIN c b ON a.page_id=b.page_id AND a.det_idx<>b.det_idx GROUP BY 1,2),
@@ -366,15 +366,15 @@ def c6_group_lines_auto(t: Tables) -> DataFrame:
 _SHAPES = "SELECT page_id, block_idx, sum(greatest(CAST(greatest(x2-x1,1) AS DOUBLE)/greatest(y2-y1,1)-1,0.0)) AS wide, sum(greatest(CAST(greatest(y2-y1,1) AS DOUBLE)/greatest(x2-x1,1)-1,0.0)) AS tall, min(x1) AS lx1, min(y1) AS ly1, max(x2) AS lx2, max(y2) AS ly2 FROM fx_lines GROUP BY 1,2"
 
 
-@query(f"""WITH s AS ({_SHAPES}) SELECT d.page_id, d.det_idx AS block_idx, CASE WHEN tall > 1.15*wide+0.2 THEN 'vertical' WHEN wide > 1.15*tall+0.2 THEN 'horizontal' WHEN y2-y1 > 1.25*(x2-x1) THEN 'vertical' ELSE 'horizontal' END AS direction
+@query(f"""WITH s AS ({_SHAPES}) SELECT d.page_id, d.det_idx AS block_idx, CASE WHEN tall > 1.15e0*wide+0.2 THEN 'vertical' WHEN wide > 1.15e0*tall+0.2 THEN 'horizontal' WHEN y2-y1 > 1.25e0*(x2-x1) THEN 'vertical' ELSE 'horizontal' END AS direction
 FROM fx_det d LEFT JOIN s ON d.page_id=s.page_id AND d.det_idx=s.block_idx""")
 def a5_direction_from_lines(t: Tables) -> DataFrame:
     return O.direction_from_lines(t.fx_lines, t.fx_det.withColumnRenamed("det_idx", "block_idx"))
 
 
 @query(f"""WITH s AS ({_SHAPES}), e AS (SELECT d.page_id, d.det_idx AS block_idx, tall, wide, greatest(coalesce(lx2,x2)-coalesce(lx1,x1),1) AS w, greatest(coalesce(ly2,y2)-coalesce(ly1,y1),1) AS h, d.page_id % 4 AS k FROM fx_det d LEFT JOIN s ON d.page_id=s.page_id AND d.det_idx=s.block_idx)
-SELECT page_id, block_idx, CASE WHEN tall > 1.15*wide+0.2 THEN 'vertical' WHEN wide > 1.15*tall+0.2 THEN 'horizontal' WHEN k = 0 THEN 'horizontal' WHEN k < 3 AND CAST(h AS DOUBLE)/w BETWEEN 0.85 AND 1.15 THEN (CASE WHEN h >= 0.9*w THEN 'vertical' ELSE 'horizontal' END)
- WHEN h > 1.15*w THEN 'vertical' ELSE 'horizontal' END AS direction FROM e""")
+SELECT page_id, block_idx, CASE WHEN tall > 1.15e0*wide+0.2 THEN 'vertical' WHEN wide > 1.15e0*tall+0.2 THEN 'horizontal' WHEN k = 0 THEN 'horizontal' WHEN k < 3 AND CAST(h AS DOUBLE)/w BETWEEN 0.85e0 AND 1.15e0 THEN (CASE WHEN h >= 0.9e0*w THEN 'vertical' ELSE 'horizontal' END)
+ WHEN h > 1.15e0*w THEN 'vertical' ELSE 'horizontal' END AS direction FROM e""")
 def a5_direction_by_language(t: Tables) -> DataFrame:
     lang = F.element_at(F.array(*map(F.lit, ("Korean", "ja", "zh-CN", "en"))), (F.col("page_id") % 4 + 1).cast("int"))
     return O.direction_from_lines(t.fx_lines, t.fx_det.withColumnRenamed("det_idx", "block_idx"), lang)

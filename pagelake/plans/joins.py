@@ -96,11 +96,11 @@ def p21_clip_to_pages(t: Tables) -> DataFrame:
     return J.clip_to_pages(t.fx_strip, t.fx_layout)
 
 
-@query("""WITH i AS (SELECT page_id, block_idx AS item_idx, x1 + (block_idx*5)%13 - 6 AS px, y1 + (block_idx*3)%7 - 3 AS py, angle AS rotation, concat('t', CAST(block_idx AS VARCHAR(20))) AS plain FROM fx_blocks)
+@query("""WITH i AS (SELECT page_id, block_idx AS item_idx, x1 + (block_idx*5)%13 - 6 AS px, y1 + (block_idx*3)%7 - 3 AS py, angle AS rotation, concat('t&', CAST(block_idx AS VARCHAR(20)), chr(10), 'x') AS plain FROM fx_blocks)
 SELECT i.page_id, i.item_idx, min(b.block_idx) AS block_idx, min(i.plain) AS plain FROM i JOIN fx_blocks b ON i.page_id=b.page_id AND abs(i.px-b.x1)<5 AND abs(i.py-b.y1)<5 AND abs(i.rotation-b.angle)<1 GROUP BY 1,2""")
 def j16_sync_items(t: Tables) -> DataFrame:
     b = F.col("block_idx")
-    items = t.fx_blocks.select("page_id", b.alias("item_idx"), (F.col("x1") + (b * 5) % 13 - 6).alias("px"), (F.col("y1") + (b * 3) % 7 - 3).alias("py"), F.col("angle").alias("rotation"), F.concat(F.lit("t"), b.cast("string")).alias("plain"))
+    items = t.fx_blocks.select("page_id", b.alias("item_idx"), (F.col("x1") + (b * 5) % 13 - 6).alias("px"), (F.col("y1") + (b * 3) % 7 - 3).alias("py"), F.col("angle").alias("rotation"), F.concat(F.lit("<p style='a'>t&amp;<b>"), b.cast("string"), F.lit("</b><br/>x</p>")).alias("plain"))
     return J.sync_items(items, t.fx_blocks)
 
 

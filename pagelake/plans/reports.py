@@ -122,10 +122,10 @@ def s11_export_plan(t: Tables) -> DataFrame:
     return O.export_plan(_named(t))
 
 
-@query("""WITH s AS (SELECT page_id, chapter_id, CASE WHEN page_id % 2 = 0 THEN 'Page' ELSE 'page' END AS stem FROM fx_pages), n AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, lower(stem) ORDER BY page_id) AS n FROM s)
+@query("""WITH s AS (SELECT page_id, chapter_id, concat(CASE WHEN page_id % 2 = 0 THEN 'Page' ELSE 'page' END, CAST(page_id % 3 AS VARCHAR)) AS stem FROM fx_pages), n AS (SELECT *, row_number() OVER (PARTITION BY chapter_id, lower(stem) ORDER BY page_id) AS n FROM s)
 SELECT page_id, CASE WHEN n=1 THEN stem ELSE concat(stem, '_', lpad(CAST(n AS VARCHAR), CAST(greatest(2, length(CAST(n AS VARCHAR))) AS INT), '0')) END AS name FROM n""")
 def w10_unique_names(t: Tables) -> DataFrame:
-    d = t.fx_pages.withColumn("stem", F.when(F.col("page_id") % 2 == 0, "Page").otherwise("page"))
+    d = t.fx_pages.withColumn("stem", F.concat(F.when(F.col("page_id") % 2 == 0, "Page").otherwise("page"), (F.col("page_id") % 3).cast("string")))
     return O.unique_names(d, ["chapter_id"], "page_id").select("page_id", "name")
 
 
