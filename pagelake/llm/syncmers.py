@@ -51,19 +51,20 @@ def _or_whole(anchors: Column, text: Column) -> Column:
 
 
 def hashes(anchors: Column) -> Column:
-    return F.transform(anchors, lambda a: F.shiftright(a, 32).cast("int"))
+    """The distinct anchors, without positions."""
+    return F.array_distinct(F.transform(anchors, lambda a: F.shiftright(a, 32).cast("int")))
 
 
 def digest(anchors: Column) -> Column:
-    """Two hashes of all anchors and positions, in hex."""
-    word = lambda seed: F.lower(F.lpad(F.hex(F.xxhash64(F.lit(seed), anchors)), 16, "0"))
-    return F.concat(word(1), word(2))
+    """A hash of all anchors and positions, in hex."""
+    return F.lower(F.lpad(F.hex(F.xxhash64(anchors)), 16, "0"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of two arrays' distinct elements in common, 0 to 1; two empty ones are alike."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
+    """Share of the elements of two arrays, each without repeats, in common, 0 to 1; two empty ones are alike."""
+    common = F.size(F.array_intersect(a, b))
+    every = F.size(a) + F.size(b) - common
+    return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -109,13 +110,14 @@ def _placed(base: DataFrame, rows_each: int, most: int) -> DataFrame:
 
 
 def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int = 16_384) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited and near_next, and their parts in place, for every row.
+    """doc_id, n_chars, edited_sha256, both fingerprints, near_edited, near_next and edited_in_place for every row.
 
     The edited text: the last quarter (rounded down) of the code points gives
     way to as many, or all, from the start of the next document by doc_id; the
     first follows the last. near_*: the share of distinct anchors in common;
-    edited_in_place, next_in_place: the same of anchors with their positions.
-    fingerprint, edited_fingerprint: digests of all anchors with positions.
+    edited_in_place: of anchors with their positions, the share within what the
+    edit keeps. fingerprint, edited_fingerprint: digests of all anchors with
+    positions.
     Rows of equal id and text count as one document (each row is returned); of
     equal ids the order is by a hash of the text, and rows without id come
     first. A null text counts as empty. Other columns are not read. Texts move
@@ -123,32 +125,33 @@ def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(text).alias("twin"), text.alias("text"))
-    d = with_anchors(_placed(base, rows_each, most_ranges).repartition("place"), "text", "anchors")
+    d = with_anchors(_placed(base, rows_each, most_ranges).repartition("place"), "text", "found")
+    d = d.withColumn("anchors", _or_whole(F.col("found"), F.col("text"))).withColumn("hashes", hashes(F.col("anchors")))
     d = d.withColumn("nr", F.dense_rank().over(Window.partitionBy("place").orderBy("ghost", "id", "twin")))
     follows = Window.partitionBy("place").orderBy("nr").rangeBetween(1, 1)
-    d = d.withColumn("next", F.first(F.struct("text", "anchors")).over(follows)).filter("not ghost")
+    d = d.withColumn("next", F.first(F.struct("text", "found", "hashes")).over(follows)).filter("not ghost")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    d = d.select("id", "text", "anchors", F.col("next.text").alias("next_text"), F.col("next.anchors").alias("next_anchors"), n.alias("n"), (n - cut).alias("kept"), cut.alias("cut"))
+    d = d.select("id", "text", "found", "anchors", "hashes", *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "found", "hashes")), n.alias("n"), (n - cut).alias("kept"), cut.alias("cut"))
     d = d.withColumn("head", F.substring(F.col("next_text"), F.lit(1), F.col("cut"))).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "head"))
     # The seam: up to K - 1 characters on either side.
     start = F.greatest(F.col("kept") - (K - 1), F.lit(0))
-    d = with_anchors(d.withColumn("seam", F.substring(F.col("edited"), start + 1, F.col("kept") - start + K - 1)), "seam", "crossing")
+    d = d.withColumns({"start": start, "head_n": F.char_length("head"), "seam": F.substring(F.col("edited"), start + 1, F.col("kept") - start + K - 1)})
+    d = with_anchors(d, "seam", "crossing")
     position = lambda a: a.bitwiseAND(F.lit(0xFFFFFFFF))
     within = lambda c, end: F.filter(c, lambda a: position(a) + K <= end)
     moved = lambda c, by: F.transform(c, lambda a: a + by)
-    d = d.withColumn("edited_anchors", F.concat(within("anchors", F.col("kept")), moved("crossing", start), moved(within("next_anchors", F.char_length("head")), F.col("kept"))))
-    whole = {"anchors": "text", "next_anchors": "next_text", "edited_anchors": "edited"}
-    d = d.withColumns({a: _or_whole(F.col(a), F.col(t)) for a, t in whole.items()})
-    d = d.withColumns({f"{a}_h": hashes(F.col(a)) for a in whole})
+    d = d.withColumn("stay", within("found", F.col("kept")))
+    d = d.withColumn("edited_anchors", F.concat("stay", moved("crossing", F.col("start")), moved(within("next_found", F.col("head_n")), F.col("kept"))))
+    d = d.withColumn("edited_anchors", _or_whole(F.col("edited_anchors"), F.col("edited"))).withColumn("edited_hashes", hashes(F.col("edited_anchors")))
+    stay = F.size("stay")
     return d.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"),
         F.col("n").cast("long").alias("n_chars"),
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         digest(F.col("anchors")).alias("fingerprint"),
         digest(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("anchors_h"), F.col("edited_anchors_h")).alias("near_edited"),
-        likeness(F.col("anchors_h"), F.col("next_anchors_h")).alias("near_next"),
-        likeness(F.col("anchors"), F.col("edited_anchors")).alias("edited_in_place"),
-        likeness(F.col("anchors"), F.col("next_anchors")).alias("next_in_place"),
+        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        F.when(F.col("edited") == F.col("text"), F.lit(1.0)).otherwise(stay / (F.size("anchors") + F.size("edited_anchors") - stay)).alias("edited_in_place"),
     )

@@ -100,8 +100,10 @@ def test_edits_by_definition(spark):
     for i, t in rows:
         a, e, n = whole(t), whole(edits[i, t]), whole(after[i, t])
         h = lambda x: [y for y, _ in x]
-        want.append((i, len(t), hashlib.sha256(edits[i, t].encode()).hexdigest(), *(round(x, 9) for x in (alike(h(a), h(e)), alike(h(a), h(n)), alike(a, e), alike(a, n)))))
-    columns = ["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "edited_in_place", "next_in_place"]
+        stay = sum(at + syncmers.K <= len(t) - len(t) // 4 for _, at in brute_anchors(t))
+        in_place = 1.0 if edits[i, t] == t else stay / (len(a) + len(e) - stay)
+        want.append((i, len(t), hashlib.sha256(edits[i, t].encode()).hexdigest(), *(round(x, 9) for x in (alike(h(a), h(e)), alike(h(a), h(n)), in_place))))
+    columns = ["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "edited_in_place"]
     for rows_each in (1, 5, 1000):
         got = [tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in columns) for r in syncmers.compare_with_edits(df, rows_each).collect()]
         assert sorted(got) == sorted(want), rows_each
