@@ -192,7 +192,10 @@ def asked(seeds: DataFrame, any_large: bool, shape: Shape, value: Column, settle
     """
     columns = ["doc", "crc", "seed", "at", "near", "far", "lo", "hi", "done", "large"]
     stay = "done or lo <= hi"
-    out = _judge(seeds, shape, value, settled, closed, windowed("seed", "salt") if any_large else windowed("seed"))
+    dealt = ("seed", "salt") if any_large else ("seed",)
+    # Asking for whole seeds first puts them together once, whichever join Spark has taken; the narrower windows then need no shuffle.
+    seeds = seeds.withColumn("__n", F.count("*").over(Window.partitionBy(*dealt))).filter("large or __n > 1").drop("__n")
+    out = _judge(seeds, shape, value, settled, closed, windowed(*dealt))
     if not any_large:
         return materialise(out.filter(stay).select(columns))
     if_large = [F.when(F.col("large"), F.col(c)).alias(c) for c in ("hull", "left", "right")]
