@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, licenses, mixing, sharding, simhash, substrings, suffixes, syncmers, token_counts, topk, turns
+from . import bpe, language_id, licenses, mixing, sharding, simhash, spelling, substrings, suffixes, syncmers, token_counts, topk, turns
 from .common import documents
 
 
@@ -57,6 +57,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "cut_chars")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
@@ -67,7 +71,7 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     numbered = (op1_bpe, op2_syncmers, op3_substrings, op4_shard_documents, op5_suffixes, op6_topk, op7_simhash, op8_mixing, op9_language_id, op10_token_counts)
-    return {f.__name__: f for f in (*numbered, op12_licenses, op13_conversations)}
+    return {f.__name__: f for f in (*numbered, op11_spelling, op12_licenses, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
