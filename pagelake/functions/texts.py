@@ -134,7 +134,8 @@ def clean_ja(c: Column) -> Column:
 
 def safe_stem(c: Column) -> Column:
     """A file stem without forbidden characters; 'chapter' if nothing is left."""
-    s = F.trim(F.regexp_replace(c, '[<>:"/\\\\|?*\\x00-\\x1f]+', "_"))
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), '[<>:"/\\\\|?*\r\n\t]+', "_")
+    s = F.trim(F.regexp_replace(s, "(?U)[\\s\x1c-\x1f]+", " "))
     s = F.regexp_replace(s, "^[._-]+|[._-]+$", "")
     return F.when(s == "", "chapter").otherwise(s)
 
@@ -152,11 +153,11 @@ def block_id() -> Column:
 
 
 def natural_key(c: Column) -> Column:
-    """Sorts p2 before p10: a run of digits sorts by its length without leading zeros, then by its digits."""
-    parts = F.regexp_extract_all(c, F.lit("\\d+|\\D+"), F.lit(0))
-    bare = lambda p: F.regexp_replace(p, "^0+(?=\\d)", "")
-    number = lambda p: F.concat(F.lpad(F.length(bare(p)).cast("string"), 10, "0"), bare(p))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), number(p)).otherwise(p)), "")
+    """Sorts p2 before P10: an array of (lower-cased text, number of digits, digits), numbers by value; a text at the end without number comes before one with."""
+    parts = F.regexp_extract_all(c, F.lit("[^0-9]+[0-9]*|[0-9]+"), F.lit(0))
+    digits = lambda p: F.regexp_extract(p, "([0-9]*)$", 1)
+    bare = lambda p: F.regexp_replace(digits(p), "^0+", "")
+    return F.transform(parts, lambda p: F.struct(F.lower(F.regexp_replace(p, "[0-9]+$", "")).alias("text"), F.when(digits(p) == "", -1).otherwise(F.length(bare(p))).alias("n"), bare(p).alias("digits")))
 
 
 def is_image_file(c: Column) -> Column:

@@ -94,7 +94,8 @@ def merge_slices(df: DataFrame, page_height: int | str, inside: float = 0.85, sa
     """Boxes of a page and label from overlapping slices, in order, in one pass.
 
     Of two boxes, one inside the other (or nearly equal) by the shares given,
-    the larger stays. page_height: a number or a column. Stacked parts of one object become their hull: the gap
+    the larger stays; of equal areas the second if one is inside, else the
+    first. page_height: a number or a column. Stacked parts of one object become their hull: the gap
     is under that share of the page height and a tenth of the taller one, they
     overlap across, their areas differ by less than 0.3, both edges by less
     than half the wider one, and the hull is no larger than three times the
@@ -108,7 +109,6 @@ def merge_slices(df: DataFrame, page_height: int | str, inside: float = 0.85, sa
         a, b = as_box(one), as_box(two)
         small, large = F.least(area(a), area(b)), F.greatest(area(a), area(b))
         both = B.intersection(a, b)
-        larger = F.when(area(b) > area(a), two).otherwise(one)
         contained = (small > 0) & (both / F.nullif(small, F.lit(0.0)) >= inside)
         apart = F.least(F.abs(a.y1 - b.y2), F.abs(a.y2 - b.y1))
         narrow, wide = F.least(a.width, b.width), F.greatest(a.width, b.width)
@@ -117,13 +117,15 @@ def merge_slices(df: DataFrame, page_height: int | str, inside: float = 0.85, sa
         stacked = (
             (apart < F.least(gap * F.col("ph"), 0.1 * F.greatest(a.height, b.height)))
             & (narrow > 0)
-            & (across > shared * narrow)
-            & (small > 0.3 * large)
+            & (across / F.nullif(narrow, F.lit(0)) > shared)
+            & (small / F.nullif(large, F.lit(0.0)) > 0.3)
             & (F.abs(a.x1 - b.x1) < 0.5 * wide)
             & (F.abs(a.x2 - b.x2) < 0.5 * wide)
             & (area(whole) <= 3 * large)
         )
-        return F.when(contained | (B.iou(a, b) >= same), larger).when(stacked, struct(whole, idx=one["idx"]))
+        within = F.when(area(a) > area(b), one).otherwise(two)
+        alike = F.when(area(b) > area(a), two).otherwise(one)
+        return F.when(contained, within).when(B.iou(a, b) >= same, alike).when(stacked, struct(whole, idx=one["idx"]))
 
     def onto(acc: Column, other: Column) -> Column:
         new = F.transform(F.array(joined(acc["own"], other)), lambda x: x)[0]
@@ -183,7 +185,7 @@ def merge_line_boxes(df: DataFrame, width: int, height: int) -> DataFrame:
             shared = B.overlap_1d(k[low], k[high], b[low], b[high])
             centres = F.abs((k[low] + k[high]) - (b[low] + b[high])) / 2
             gap = F.greatest(F.greatest(k[across[0]], b[across[0]]) - F.least(k[across[1]], b[across[1]]), F.lit(0))
-            return ((shared >= 0.55 * least) | (centres <= 0.35 * least)) & (gap <= reach(least))
+            return ((shared / least >= 0.55) | (centres <= 0.35 * least)) & (gap <= reach(least))
 
         level = along("y1", "y2", a.height, c.height, ("x1", "x2"), lambda s: F.greatest(F.lit(0.08 * width), 2.0 * s))
         upright = along("x1", "x2", a.width, c.width, ("y1", "y2"), lambda s: F.greatest(2 * s, F.lit(8)))

@@ -21,7 +21,7 @@ def dominant_script(blocks: DataFrame, least: float = 0.7) -> DataFrame:
     return _shares(blocks).select("page_id", F.when(F.col("share") >= least, F.col("top")).otherwise("").alias("script"))
 
 
-def resolve_auto_lang(blocks: DataFrame, least: float = 0.7) -> DataFrame:
+def resolve_auto_lang(blocks: DataFrame) -> DataFrame:
     """The language of a sure script, else of the largest; Latin leaves it open."""
     return _shares(blocks).select("page_id", L.script_language(F.coalesce("top", F.lit(""))).alias("language"))
 

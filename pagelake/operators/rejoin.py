@@ -23,11 +23,11 @@ def _order() -> Column:
     return F.struct(F.col("page_no").cast("long").alias("page_no"), F.col("idx").cast("long").alias("idx"))
 
 
-def _pairs(items: DataFrame, at_a: list[Column], at_b: list[Column], reach: float, hit: Callable, exactly: bool) -> DataFrame:
-    """Every item a with every partner b: one of the heights at_a within reach of the one at its place in at_b, on one page or (exactly: only) neighbours."""
+def _pairs(items: DataFrame, at_a: list[Column], at_b: list[Column], reach: float, hit: Callable) -> DataFrame:
+    """Every item a with every partner b: one of the heights at_a within reach of the one at its place in at_b, on one page or neighbours."""
     place = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
     asked = F.array_distinct(F.array(*[place(k, band) for k, c in enumerate(at_a) for band in (F.floor((c - reach) / BAND), F.floor((c + reach) / BAND))]))
-    a = items.withColumn("__c", F.explode(asked)).withColumn("__p", F.explode(F.array(F.lit(-1), F.lit(1)) if exactly else F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    a = items.withColumn("__c", F.explode(asked)).withColumn("__p", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
     a = a.select(*(F.col(c).alias(f"a_{c}") for c in items.columns), F.col("__c.k").alias("k"), F.col("__c.v").alias("v"), F.col("chapter_id"), (F.col("page_no") + F.col("__p")).alias("page_no"))
     places = F.array(*[place(k, F.floor(c / BAND)) for k, c in enumerate(at_b)])
     b = items.select(*(F.col(c).alias(f"b_{c}") for c in items.columns), F.inline(places)).withColumns({"chapter_id": F.col("b_chapter_id"), "page_no": F.col("b_page_no")})
@@ -44,10 +44,12 @@ def _stacked(gap: float, left: float, width: float) -> Callable:
     return hit
 
 
-def rejoin_pairs(items: DataFrame, gap: float = 15, left: float = 10, width: float = 20) -> DataFrame:
-    """Pairs of stacked, aligned items of equal style and near equal width on one page or neighbouring ones, both ways round."""
+def rejoin_pairs(items: DataFrame, gap: float = 15, left: float = 10, width: float = 20, turn: float | None = None) -> DataFrame:
+    """Pairs of stacked, aligned items of equal style and near equal width on one page or neighbouring ones, both ways round; with turn also of angles (a column) no further apart."""
     ends = [F.col("y2"), F.col("y1")]
-    return _pairs(items, ends, ends[::-1], gap, _stacked(gap, left, width), False)
+    stacked = _stacked(gap, left, width)
+    hit = stacked if turn is None else lambda a, b: stacked(a, b) & (F.abs(a("angle") - b("angle")) <= turn)
+    return _pairs(items, ends, ends[::-1], gap, hit)
 
 
 def stroke_pairs(items: DataFrame, down: float = 20, across: float = 50) -> DataFrame:
@@ -55,7 +57,7 @@ def stroke_pairs(items: DataFrame, down: float = 20, across: float = 50) -> Data
     cy = lambda s: (s("y1") + s("y2")) / 2
     cx = lambda s: (s("x1") + s("x2")) / 2
     middle = [(F.col("y1") + F.col("y2")) / 2]
-    return _pairs(items, middle, middle, down, lambda a, b: (F.abs(cy(a) - cy(b)) <= down) & (F.abs(cx(a) - cx(b)) <= across), False)
+    return _pairs(items, middle, middle, down, lambda a, b: (F.abs(cy(a) - cy(b)) <= down) & (F.abs(cx(a) - cx(b)) <= across))
 
 
 def _member(prefix: str) -> Column:
@@ -130,7 +132,8 @@ def merge_groups(items: DataFrame, found: DataFrame, layout: DataFrame, glue: st
 
 
 def rejoin_blocks(items: DataFrame, layout: DataFrame) -> DataFrame:
-    return merge_groups(items, groups(rejoin_pairs(items)), layout, differ=True)
+    """Text blocks: style is their class and languages, which must be equal; angles may differ by one degree."""
+    return merge_groups(items, groups(rejoin_pairs(items, turn=1.0)), layout, differ=True)
 
 
 def rejoin_rects(items: DataFrame, layout: DataFrame) -> DataFrame:

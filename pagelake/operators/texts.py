@@ -331,7 +331,10 @@ def overflow_report(lines: DataFrame) -> DataFrame:
 
 
 def layout_columns(blocks: DataFrame, width: int, first_indent: str = "", next_indent: str = "", max_lines: int | None = None, placeholder: str = "...") -> DataFrame:
-    """Texts wrapped into columns; words longer than a line are broken with a hyphen; line rows with an overflow flag."""
+    """Texts wrapped into columns; words longer than a line are broken with a hyphen; line rows with an overflow flag.
+
+    Where an indent leaves less than two columns, lines get a letter each.
+    """
 
     def wrap(text: str) -> tuple[list[str], bool]:
         lines, line, words = [], "", text.split()
@@ -346,10 +349,13 @@ def layout_columns(blocks: DataFrame, width: int, first_indent: str = "", next_i
                 words.insert(0, word[room - 1 :])
                 lines.append(indent + line)
                 line = ""
-            else:
+            elif line:
                 lines.append(indent + line)
                 line = ""
                 words.insert(0, word)
+            else:  # an indent that leaves no room for a letter and a hyphen: a letter at least
+                lines.append(indent + word[: max(1, room)])
+                words[:0] = [word[max(1, room) :]] if len(word) > max(1, room) else []
         if line:
             lines.append((next_indent if lines else first_indent) + line)
         if max_lines is not None and len(lines) > max_lines:

@@ -87,12 +87,12 @@ def c1_merge_contained(t: Tables) -> DataFrame:
 OWN, NEW = "c.s.own", "y.b"
 CONTAINED = f"(least({area(OWN)},{area(NEW)}) > 0 AND {both(OWN, NEW)}/least({area(OWN)},{area(NEW)}) >= 0.85)"
 STACKED = f"""(least(abs({OWN}.y1-{NEW}.y2),abs({OWN}.y2-{NEW}.y1)) < least(0.1*{HEIGHT}, 0.1*greatest({h(OWN)},{h(NEW)})) AND least({w(OWN)},{w(NEW)}) > 0
- AND greatest({shared(OWN, NEW, 'x')},0) > 0.2*least({w(OWN)},{w(NEW)}) AND least({area(OWN)},{area(NEW)}) > 0.3*greatest({area(OWN)},{area(NEW)})
+ AND greatest({shared(OWN, NEW, 'x')},0)/least({w(OWN)},{w(NEW)}) > 0.2e0 AND least({area(OWN)},{area(NEW)})/greatest({area(OWN)},{area(NEW)}) > 0.3e0
  AND abs({OWN}.x1-{NEW}.x1) < 0.5*greatest({w(OWN)},{w(NEW)}) AND abs({OWN}.x2-{NEW}.x2) < 0.5*greatest({w(OWN)},{w(NEW)})
  AND CAST((greatest({OWN}.x2,{NEW}.x2)-least({OWN}.x1,{NEW}.x1))*(greatest({OWN}.y2,{NEW}.y2)-least({OWN}.y1,{NEW}.y1)) AS DOUBLE) <= 3*greatest({area(OWN)},{area(NEW)}))"""
 ALIKE = f"({CONTAINED} OR {iou(OWN, NEW)} >= 0.5)"
 INNER = f"STRUCT(own {BOX}, rest {BOX}[])"
-ONTO = f"""{{'own': CASE WHEN {ALIKE} THEN (CASE WHEN {area(NEW)} > {area(OWN)} THEN {NEW} ELSE {OWN} END) WHEN {STACKED} THEN {hull(OWN, NEW)} ELSE {OWN} END,
+ONTO = f"""{{'own': CASE WHEN {CONTAINED} THEN (CASE WHEN {area(OWN)} > {area(NEW)} THEN {OWN} ELSE {NEW} END) WHEN {ALIKE} THEN (CASE WHEN {area(NEW)} > {area(OWN)} THEN {NEW} ELSE {OWN} END) WHEN {STACKED} THEN {hull(OWN, NEW)} ELSE {OWN} END,
  'rest': CASE WHEN {ALIKE} OR {STACKED} THEN c.s.rest ELSE list_append(c.s.rest, {NEW}) END}}"""
 PASS = f"""list_reduce(list_transform(a.s.rest[2:], lambda e: {{'b': e, 's': CAST(NULL AS {INNER})}}), lambda c, y: {{'b': y.b, 's': {ONTO}}}, {{'b': NULL, 's': CAST({{'own': a.s.rest[1], 'rest': []}} AS {INNER})}}).s"""
 OUTER = f"STRUCT(o {BOX}[], rest {BOX}[])"
@@ -121,7 +121,7 @@ def _continues(axis: str, other: str, size, reach: str) -> str:
     least = f"greatest(least({size('k')},{size('x.b')}),1)"
     centres = f"abs((k.{axis}1+k.{axis}2)-(x.b.{axis}1+x.b.{axis}2))/2.0"
     gap = f"greatest(greatest(k.{other}1,x.b.{other}1)-least(k.{other}2,x.b.{other}2),0)"
-    return f"((greatest({shared('k', 'x.b', axis)},0) >= 0.55e0*{least} OR {centres} <= 0.35e0*{least}) AND {gap} <= {reach.format(least)})"
+    return f"((greatest({shared('k', 'x.b', axis)},0)/CAST({least} AS DOUBLE) >= 0.55e0 OR {centres} <= 0.35e0*{least}) AND {gap} <= {reach.format(least)})"
 
 
 LEVEL, UPRIGHT = _continues("y", "x", h, f"greatest({WIDTH}*0.08e0, 2.0*{{0}})"), _continues("x", "y", w, "greatest(2*{0}, 8)")

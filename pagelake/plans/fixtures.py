@@ -83,6 +83,7 @@ VIEWS = {
                250 + l.chapter_id % 7 + (l.page_no % 3) * 6 + (l.page_id % 4) * 5 AS x2,
                CASE WHEN n.i = 0 THEN l.top + l.height - l.page_id % 20 ELSE l.top + l.page_id % 9 + 50 END AS y2,
                CASE WHEN l.page_id % 11 = 0 THEN 'b' ELSE 'a' END AS style,
+               CAST((l.page_id % 4) * 0.5 AS DOUBLE) AS angle,
                CASE WHEN l.page_id % 5 = 0 THEN '' ELSE concat('t', CAST(l.page_id % 4 AS VARCHAR(20))) END AS text
         FROM fx_layout l CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) n""",
     # Boxes in strip coordinates: two for each page, some over the border to the next page.

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import struct
+import tarfile
 import zipfile
 from collections.abc import Iterator
 
@@ -11,52 +13,150 @@ from pyspark.sql import functions as F
 
 from ..operators import reports as O
 from ..operators import texts as X
-from ..sources import inputs as I
+from ..sources import archives as A
+from ..sources import images as P
 from ..sources.folders import drop_at_end, shared_folder
+from ..sources.ranges import open_path
 from .fixtures import Tables
 from .registry import query
 
 
-@query("""WITH p AS (SELECT chapter_id, page_no, concat('v', CAST(chapter_id AS VARCHAR), CASE chapter_id % 5 WHEN 0 THEN '.rar' WHEN 1 THEN '.CBZ' ELSE '.zip' END) AS archive, chapter_id % 5 = 0 OR chapter_id % 13 = 1 AS bad, page_no * 7919 % 120 AS k FROM fx_pages)
-SELECT archive, CASE WHEN NOT bad THEN concat('P', CAST(k AS VARCHAR), CASE WHEN page_no % 2 = 0 THEN '.png' ELSE '.JPG' END) END AS entry_name, CASE WHEN NOT bad AND page_no % 2 = 1 THEN '.jpg' ELSE '.png' END AS ext,
-CAST(row_number() OVER (PARTITION BY archive ORDER BY k, page_no) AS INT) AS page_no, bad AS failed FROM p WHERE NOT bad OR page_no = 0""")
-def s1_scan_archives(t: Tables) -> DataFrame:
-    """An archive for each chapter with its pages in another order and a note; some can't be read."""
+_ARCHIVES = """p AS (SELECT chapter_id, page_no, concat('v', CAST(chapter_id AS VARCHAR), CASE chapter_id % 5 WHEN 0 THEN '.rar' WHEN 1 THEN '.CBZ' WHEN 2 THEN '.tar' ELSE '.zip' END) AS archive, chapter_id % 5 = 0 OR chapter_id % 13 = 1 AS bad, page_no * 7919 % 120 AS k FROM fx_pages),
+e AS (SELECT *, concat(CASE WHEN page_no % 3 = 0 THEN 'P' ELSE 'p' END, CAST(k AS VARCHAR), CASE WHEN page_no % 2 = 0 THEN '.png' ELSE '.JPG' END) AS name FROM p)"""
+_LISTED = f"""WITH {_ARCHIVES} SELECT archive, CASE WHEN NOT bad THEN name END AS entry_name, CASE WHEN NOT bad AND page_no % 2 = 1 THEN '.jpg' ELSE '.png' END AS ext,
+CAST(row_number() OVER (PARTITION BY archive ORDER BY k, page_no) AS INT) AS page_no, bad AS failed FROM e WHERE NOT bad OR page_no = 0"""
+
+
+def _archives(t: Tables) -> DataFrame:
+    """(path, content): an archive for each chapter with its pages in another order and a note; some can't be read."""
+
+    def zipped(names: list[str]) -> bytes:
+        file = io.BytesIO()
+        with zipfile.ZipFile(file, "w") as z:
+            for n in [*names, "note.txt"]:
+                z.writestr(n, n.encode())
+        return file.getvalue()
+
+    def tarred(names: list[str]) -> bytes:
+        file = io.BytesIO()
+        with tarfile.open(fileobj=file, mode="w") as z:
+            for n in [*names, "note.txt"]:
+                info = tarfile.TarInfo(n)
+                info.size = len(n)
+                z.addfile(info, io.BytesIO(n.encode()))
+        return file.getvalue()
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for b in batches:
-            rows = []
-            for path, chapter, names in zip(b["path"], b["chapter_id"], b["names"], strict=True):
-                file = io.BytesIO()
-                with zipfile.ZipFile(file, "w") as z:
-                    for n in [*names, "note.txt"]:
-                        z.writestr(n, b"")
-                rows.append((path, b"broken" if chapter % 13 == 1 else file.getvalue()))
+            rows = [
+                (path, b"broken" if chapter % 13 == 1 else tarred(names) if path.endswith(".tar") else zipped(names))
+                for path, chapter, names in zip(b["path"], b["chapter_id"], b["names"], strict=True)
+            ]
             yield pd.DataFrame(rows, columns=["path", "content"])
 
     k = (F.col("page_no") * 7919 % 120).cast("string")
-    name = F.concat(F.lit("P"), k, F.when(F.col("page_no") % 2 == 0, ".png").otherwise(".JPG"))
-    suffix = F.when(F.col("chapter_id") % 5 == 0, ".rar").when(F.col("chapter_id") % 5 == 1, ".CBZ").otherwise(".zip")
+    name = F.concat(F.when(F.col("page_no") % 3 == 0, "P").otherwise("p"), k, F.when(F.col("page_no") % 2 == 0, ".png").otherwise(".JPG"))
+    suffix = F.element_at(F.array(*map(F.lit, (".rar", ".CBZ", ".tar", ".zip", ".zip"))), (F.col("chapter_id") % 5 + 1).cast("int"))
     path = F.concat(F.lit("v"), F.col("chapter_id").cast("string"), suffix)
-    files = t.fx_pages.groupBy("chapter_id", path.alias("path")).agg(F.sort_array(F.collect_list(name)).alias("names")).mapInPandas(run, "path string, content binary")
-    return I.archive_entries(files).select("archive", "entry_name", "ext", "page_no", F.col("error").isNotNull().alias("failed"))
+    return t.fx_pages.groupBy("chapter_id", path.alias("path")).agg(F.sort_array(F.collect_list(name)).alias("names")).mapInPandas(run, "path string, content binary")
+
+
+def _written(t: Tables, files: DataFrame, name: str) -> str:
+    """The files (path, content) in a shared folder, each written by the task that has it."""
+    place = shared_folder(t.spark, name)
+    drop_at_end(t.spark, place)
+
+    def run(batches: Iterator) -> Iterator:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                with open_path(f"{place}/{path}", write=True) as f:
+                    f.write(content)
+            yield b[["path"]]
+
+    files.mapInPandas(run, "path string").write.format("noop").mode("overwrite").save()
+    return place
+
+
+@query(_LISTED)
+def s1_scan_archives(t: Tables) -> DataFrame:
+    """Archives held in a table."""
+    return A.archive_entries(_archives(t)).select("archive", "entry_name", "ext", "page_no", F.col("error").isNotNull().alias("failed"))
+
+
+@query(_LISTED)
+def s1_list_archives(t: Tables) -> DataFrame:
+    """Archives in files, of which only directories and headers are read."""
+    found = A.scan_archives(t.spark, _written(t, _archives(t), "archives"))
+    return found.select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "entry_name", "ext", "page_no", F.col("error").isNotNull().alias("failed"))
 
 
-@query("""SELECT path, CASE WHEN page_id % 17 <> 0 THEN width END AS width, CASE WHEN page_id % 17 <> 0 THEN height END AS height FROM (SELECT page_id, CAST(page_id AS VARCHAR) AS path, width, height FROM fx_pages) p""")
+@query(f"""WITH {_ARCHIVES} SELECT archive, name AS entry_name, md5(name) AS digest, false AS failed FROM e WHERE NOT bad
+UNION ALL SELECT DISTINCT archive, 'missing.png', NULL, true FROM e WHERE NOT bad""")
+def s1_read_entries(t: Tables) -> DataFrame:
+    """Every page of the archives and one that isn't there, read where it lies."""
+    listed = A.scan_archives(t.spark, _written(t, _archives(t), "archives")).filter("error is null").select("archive", "entry_name")
+    asked = listed.unionByName(listed.select("archive", F.lit("missing.png").alias("entry_name")).distinct())
+    return A.read_entries(asked).select(F.regexp_extract("archive", "[^/]*$", 0).alias("archive"), "entry_name", F.md5("content").alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+_SIZES = """SELECT CAST(page_id AS VARCHAR) AS path, CASE WHEN page_id % 17 <> 0 THEN width END AS width, CASE WHEN page_id % 17 <> 0 THEN height END AS height FROM fx_pages"""
+
+
+def _images(t: Tables) -> DataFrame:
+    """(path, content): the head of an image of each page's size, in six formats; one of 17 is no image."""
+
+    def box(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body) + 8) + kind + body
+
+    def frame(width: int, height: int, kind: int = 0xC0) -> bytes:
+        return struct.pack(">BBHBHHB", 0xFF, kind, 17, 8, height, width, 3) + bytes(9)
+
+    def head(number: int, w: int, h: int) -> bytes:
+        if number % 17 == 0:
+            return b"no image"
+        kind = number % 6
+        if kind == 0:
+            return b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + struct.pack(">II", w, h)
+        if kind == 1:
+            return b"BM" + bytes(12) + struct.pack("<Iii", 40, w, -h if number % 4 == 1 else h)
+        if kind == 2:  # a thumbnail with a frame header of its own lies in a segment before
+            inner = b"Exif\0\0\xff\xd8" + frame(160, 120)
+            return b"\xff\xd8\xff\xe1" + struct.pack(">H", len(inner) + 2) + inner + b"\xff" + frame(w, h, 0xC2 if number % 4 else 0xC0)
+        if kind == 3:
+            return b"GIF89a" + struct.pack("<HH", w, h)
+        if kind == 4:
+            body = bytes(4) + (w - 1).to_bytes(3, "little") + (h - 1).to_bytes(3, "little") if number % 4 else b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", w, h)
+            return b"RIFF" + struct.pack("<I", 30) + b"WEBP" + (b"VP8X" if number % 4 else b"VP8 ") + struct.pack("<I", 10) + body
+        extent = lambda a, b: box(b"ispe", struct.pack(">III", 0, a, b))
+        owned = box(b"ipma", struct.pack(">IIHBBHBB", 0, 2, 1, 1, 0x81, 7, 1, 0x82))
+        items = box(b"iprp", box(b"ipco", extent(33, 44) + extent(w, h)) + owned)
+        return box(b"ftyp", b"avif" + bytes(4)) + box(b"meta", bytes(4) + box(b"pitm", struct.pack(">IH", 0, 7)) + items)
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for b in batches:
+            yield pd.DataFrame([(str(n), head(n, w, h)) for n, w, h in zip(b["page_id"], b["width"], b["height"], strict=True)], columns=["path", "content"])
+
+    return t.fx_pages.select("page_id", "width", "height").mapInPandas(run, "path string, content binary")
+
+
+@query(_SIZES)
 def s6_page_sizes(t: Tables) -> DataFrame:
-    """Headers of PNG and BMP files; one of 17 is no image."""
-    big = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
-    small = lambda c: F.unhex(F.concat(*[F.substring(F.lpad(F.hex(c), 8, "0"), i, 2) for i in (7, 5, 3, 1)]))
-    w, h = F.col("width"), F.col("height")
-    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A0000000D49484452")), big(w), big(h))
-    bmp = F.concat(F.unhex(F.lit("424D" + "00" * 16)), small(w), small(h))
-    content = F.when(F.col("page_id") % 17 == 0, F.encode(F.lit("no image"), "utf-8")).when(F.col("page_id") % 2 == 0, png).otherwise(bmp)
-    sizes, errors = I.header_sizes(t.fx_pages.select(F.col("page_id").cast("string").alias("path"), content.alias("content")))
+    """Images held in a table."""
+    sizes, errors = P.header_sizes(_images(t))
     return sizes.unionByName(errors.select("path", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height")))
 
 
+@query(_SIZES)
+def s6_scan_sizes(t: Tables) -> DataFrame:
+    """Images in files, of which only heads are read."""
+    found = P.scan_sizes(t.spark, _written(t, _images(t), "images"))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("path"), "width", "height")
+
+
 @query("""WITH j AS (SELECT page_id, concat('    "block_', CAST(row_number() OVER (PARTITION BY page_id ORDER BY block_idx) - 1 AS VARCHAR), '": ', to_json(text)) AS r, block_idx FROM fx_blocks)
 SELECT page_id % 4 AS chapter_id, page_id, md5(concat('{', chr(10), string_agg(r, concat(',', chr(10)) ORDER BY block_idx), chr(10), '}')) AS digest FROM j GROUP BY page_id""")
 def s10_write_page_json(t: Tables) -> DataFrame:

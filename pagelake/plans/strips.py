@@ -222,12 +222,15 @@ SELECT chapter_id, CAST(g-1 AS INT) AS "group", parts, x1, y1, x2, y2, text, (SE
 _CENTRES = "abs((a.y1+a.y2)/2.0-(b.y1+b.y2)/2.0) <= {0} AND abs((a.x1+a.x2)/2.0-(b.x1+b.x2)/2.0) <= 50"
 
 
-@query(f"WITH {_pairs_sql(_stacked_sql(15, 10, 20))} SELECT * FROM ps")
+_TURNED = _stacked_sql(15, 10, 20) + " AND abs(a.angle-b.angle) <= 1.0"
+
+
+@query(f"WITH {_pairs_sql(_TURNED)} SELECT * FROM ps")
 def c10_rejoin_pairs(t: Tables) -> DataFrame:
-    return N.rejoin_pairs(t.fx_cut).select("chapter_id", F.col("a_page_no").alias("ap"), F.col("a_idx").alias("ai"), F.col("b_page_no").alias("bp"), F.col("b_idx").alias("bi"))
+    return N.rejoin_pairs(t.fx_cut, turn=1.0).select("chapter_id", F.col("a_page_no").alias("ap"), F.col("a_idx").alias("ai"), F.col("b_page_no").alias("bp"), F.col("b_idx").alias("bi"))
 
 
-@query(f"WITH {_pairs_sql(_stacked_sql(15, 10, 20))}, {GROUPS}, {_merged_sql(chr(39) + ' ' + chr(39), True)}")
+@query(f"WITH {_pairs_sql(_TURNED)}, {GROUPS}, {_merged_sql(chr(39) + ' ' + chr(39), True)}")
 def c10_rejoin_blocks(t: Tables) -> DataFrame:
     return N.rejoin_blocks(t.fx_cut, t.fx_layout)
 

@@ -144,17 +144,22 @@ def f27_block_id(t: Tables) -> DataFrame:
 @query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN concat('a_b', CAST(page_id AS VARCHAR)) WHEN 1 THEN 'chapter' WHEN 2 THEN concat('x', CAST(page_id % 37 AS VARCHAR)) ELSE concat('p ', CAST(page_id AS VARCHAR)) END AS stem, CASE page_id % 5 WHEN 0 THEN '.cbz' WHEN 3 THEN '.cbt' ELSE '.zip' END AS ext FROM fx_pages""")
 def f25_f26_names(t: Tables) -> DataFrame:
     n, s = F.col("page_id"), lambda c: c.cast("string")
-    name = F.when(n % 4 == 0, F.concat(F.lit("a/b"), s(n))).when(n % 4 == 1, "***").when(n % 4 == 2, F.concat(F.lit("..x"), s(n % 37), F.lit(".."))).otherwise(F.concat(F.lit(" p "), s(n), F.lit(" ")))
+    name = F.when(n % 4 == 0, F.concat(F.lit("a/b"), s(n))).when(n % 4 == 1, "***").when(n % 4 == 2, F.concat(F.lit("..x"), s(n % 37), F.lit(".."))).otherwise(F.concat(F.lit(" p \u00a0 "), s(n), F.lit("\u2003 ")))
     ext = F.element_at(F.array(*map(F.lit, (" CBZ ", "", ".rar", "cbt", ".ZIP"))), (n % 5 + 1).cast("int"))
     return t.fx_pages.select("page_id", T.safe_stem(name).alias("stem"), T.out_ext(ext).alias("ext"))
 
 
-@query("""SELECT page_id, path, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY page_id % 37, page_id) AS INT) AS rank FROM fx_pages""")
+MIXED = "CASE page_id % 5 WHEN 0 THEN upper(path) WHEN 1 THEN replace(path, '/p', '/P0') WHEN 2 THEN replace(path, '.png', '') WHEN 3 THEN replace(path, '.png', '-B.png') ELSE path END"
+_NATURAL = "list_transform(regexp_extract_all(name, '[^0-9]+[0-9]*|[0-9]+'), lambda p: {'t': lower(regexp_replace(p, '[0-9]+$', '')), 'n': CASE WHEN regexp_matches(p, '[0-9]$') THEN CAST(regexp_extract(p, '[0-9]+$') AS BIGINT) ELSE -1 END})"
+
+
+@query(f"""WITH m AS (SELECT chapter_id, page_id, {MIXED} AS name FROM fx_pages) SELECT page_id, name, CAST(row_number() OVER (PARTITION BY chapter_id ORDER BY {_NATURAL}, page_id) AS INT) AS rank FROM m""")
 def w14_natural_order(t: Tables) -> DataFrame:
+    """Names in mixed case, with leading zeros, some ending in their number."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("chapter_id").orderBy(T.natural_key(F.col("path")), "page_id")
-    return t.fx_pages.withColumn("rank", F.row_number().over(w)).select("page_id", "path", "rank")
+    w = Window.partitionBy("chapter_id").orderBy(T.natural_key(F.col("name")), "page_id")
+    return t.fx_pages.withColumn("name", F.expr(MIXED)).select("page_id", "name", F.row_number().over(w).alias("rank"))
 
 
 @query("""SELECT page_id, path LIKE '%.png' AS image, '.png' AS ext, page_id % 2 = 0 AS archive, CASE WHEN page_id % 2 = 0 THEN concat('v', CAST(page_id AS VARCHAR(20))) ELSE 'chapter' END AS label FROM fx_pages""")

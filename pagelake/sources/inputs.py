@@ -1,19 +1,11 @@
-"""Inputs: archives and loose files, their entries and sizes."""
+"""Inputs: which come from archives, memory logs."""
 
 from __future__ import annotations
 
-import io
-import tarfile
-import zipfile
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import texts as T
-
 ARCHIVE = "\\.(cbz|zip|epub|cbt|tar|cbr|rar|cb7|7z|pdf)$"
-LISTED = "\\.(cbz|zip|epub|cbt|tar)$"
 
 
 def plan_inputs(asked: DataFrame) -> DataFrame:
@@ -23,64 +15,6 @@ def plan_inputs(asked: DataFrame) -> DataFrame:
     return asked.withColumns({"archive": archive, "label": F.coalesce(F.nullif(stem, F.lit("")), F.lit("chapter"))})
 
 
-def archive_entries(files: DataFrame) -> DataFrame:
-    """One row for each image of the archives (path, content), in natural order; an archive that can't be read gives an error row."""
-
-    def names(suffix: str, content: bytes) -> list[str]:
-        if suffix in ("cbt", "tar"):
-            with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                return [m.name for m in t.getmembers() if m.isfile()]
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            return [n for n in z.namelist() if not n.endswith("/")]
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for b in batches:
-            rows: list[tuple] = []
-            for archive, content in zip(b["path"], b["content"], strict=True):
-                suffix = archive.rpartition(".")[2].lower()
-                try:
-                    if suffix not in ("cbz", "zip", "epub", "cbt", "tar"):
-                        raise ValueError("unsupported suffix")
-                    rows += [(archive, n, None) for n in names(suffix, content)]
-                except Exception as e:  # a bad archive is a row, not the end of the scan
-                    rows.append((archive, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["archive", "entry_name", "error"])
-
-    d = files.select("path", "content").mapInPandas(run, "archive string, entry_name string, error string")
-    d = d.filter(F.col("entry_name").isNull() | T.is_image_file(F.col("entry_name")))
-    w = Window.partitionBy("archive").orderBy(T.natural_key(F.col("entry_name")), "entry_name")
-    return d.select("archive", "entry_name", T.safe_ext(F.col("entry_name")).alias("ext"), F.row_number().over(w).alias("page_no"), "error")
-
-
-def scan_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of all archives under a path."""
-    return archive_entries(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-
-
-def header_sizes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, width, height) of images (path, content) by their headers: PNG, BMP, GIF, JPEG; and one error row for each other path."""
-    at = lambda pos, n: F.hex(F.substring(F.col("content"), pos, n))
-    number = lambda h: F.conv(h, 16, 10).cast("int")
-    turned = lambda pos, n: F.concat(*[at(pos + i, 1) for i in reversed(range(n))])
-    kind = F.when(at(1, 8) == "89504E470D0A1A0A", "png").when(at(1, 2) == "424D", "bmp").when(at(1, 4) == "47494638", "gif").when(at(1, 3) == "FFD8FF", "jpeg")
-    # The frame header of a JPEG: a marker C0 to CF other than C4, C8, CC, with length, precision, height and width.
-    frame = F.regexp_extract(F.hex("content"), "^(?:FFD8)(?:FF(?!C[0-35-79A-BD-F])[0-9A-F]{2}.*?)??(?:FFC[0-35-79A-BD-F])[0-9A-F]{6}([0-9A-F]{8})", 1)
-    half = lambda i: number(F.nullif(F.substring(frame, i, 4), F.lit("")))
-    w = F.when(F.col("kind") == "png", number(at(17, 4))).when(F.col("kind") == "bmp", number(turned(19, 4))).when(F.col("kind") == "gif", number(turned(7, 2))).otherwise(half(5))
-    h = F.when(F.col("kind") == "png", number(at(21, 4))).when(F.col("kind") == "bmp", number(turned(23, 4))).when(F.col("kind") == "gif", number(turned(9, 2))).otherwise(half(1))
-    d = files.select("path", "content", kind.alias("kind")).select("path", F.when(F.col("kind").isNotNull(), w).alias("width"), F.when(F.col("kind").isNotNull(), h).alias("height"))
-    good = (F.col("width") > 0) & (F.col("height") > 0)
-    return d.filter(good), d.filter(~F.coalesce(good, F.lit(False))).select("path").distinct()
-
-
-def scan_page_sizes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Sizes of readable images, and one error row for each other path."""
-    d = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.origin", "image.width", "image.height")
-    return d.filter("width > 0"), d.filter("width <= 0").select(F.col("origin").alias("path")).distinct()
-
-
 def read_memlog(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """Memory snapshots, an object on each line."""
     reader = spark.readStream if stream else spark.read

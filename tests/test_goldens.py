@@ -15,7 +15,7 @@ from pagelake.operators import joins as J
 from pagelake.operators import orientation as D
 from pagelake.operators import strips as S
 from pagelake.operators import texts as OT
-from pagelake.sources import inputs
+from pagelake.sources import archives, images
 from pagelake.streaming import streams
 
 
@@ -31,13 +31,15 @@ def test_scalars(spark):
     assert one(spark, *(T.preserve_case(s(m), s("new word")) for m in ("ABC", "abc", "Abc", "aBc"))) == ("NEW WORD", "new word", "New Word", "new word")
     assert one(spark, T.preview(s("a" * 100), s(50), s(55))) == ("…" + "a" * 65 + "…",)
     assert one(spark, *(R.error_detail(s(e)) for e in ("HTTP 429 Too Many Requests", "503 Service Unavailable", ""))) == ("Rate limited by provider", "Provider unavailable", "")
-    assert one(spark, *(T.safe_stem(s(x)) for x in ("a/b:c..", "***"))) == ("a_b_c", "chapter")
+    assert one(spark, *(T.safe_stem(s(x)) for x in ("a/b:c..", "***", "a/b:c ..", " a\u00a0 \u2003b ", "x\x07y", None))) == ("a_b_c", "chapter", "a_b_c ", "a b", "x\x07y", "chapter")
     assert tuple(one(spark, R.parse_credits(s("7")))[0]) == (None, 7, 7)
     assert one(spark, *(T.clean_ja(s(x)) for x in ("a b…!?", "あ・い・・う", "ﾊﾟｶﾞ"))) == ("ａｂ．．．！？", "あ・い．．う", "パガ")
     assert one(spark, T.title_case(s("it's a NEW day")), T.preserve_case(s("It's"), s("new word")), T.preserve_case(s("TheEnd"), s("new word"))) == ("It'S A New Day", "New word", "New word")
     names = ["p1", "p" + "9" * 21, "p1" + "0" * 20 + "1", "p1" + "0" * 20 + "2", "p007", "p7b"]
     d = rows(spark, [(n,) for n in names], "n string")
     assert [r["n"] for r in d.orderBy(T.natural_key(F.col("n"))).collect()] == ["p1", "p007", "p7b", *names[1:4]]
+    mixed = rows(spark, [(n,) for n in ("B", "P3", "a", "p2", "p10", "P1", "p1a", "a-1", "ab", "a1")], "n string")
+    assert [r["n"] for r in mixed.orderBy(T.natural_key(F.col("n"))).collect()] == ["a", "a1", "a-1", "ab", "B", "P1", "p1a", "p2", "P3", "p10"]
     assert one(spark, R.error_line(s('Traceback (most recent call last):\n x')), R.error_line(s('\n File "a", line 1\nboom')), R.error_detail(s("content was flagged, 429")), R.error_action(s("OCR"), s("content was flagged"))) == ("", "boom", "The AI provider flagged this content", "Try another text recognition tool")
     assert one(spark, R.skip_reason(s("Text Blocks"), s(""))) == ("No text blocks detected",)
 
@@ -165,7 +167,7 @@ def test_scan_archives(spark, tmp_path):
         for n in ("p10.png", "p2.png", "note.txt", "P1.png"):
             z.writestr(n, b"x")
     (tmp_path / "bad.zip").write_bytes(b"no archive")
-    got = inputs.scan_archives(spark, str(tmp_path)).collect()
+    got = archives.scan_archives(spark, str(tmp_path)).collect()
     assert [r["entry_name"] for r in sorted((r for r in got if r["error"] is None), key=lambda r: r["page_no"])] == ["P1.png", "p2.png", "p10.png"]
     assert [r["archive"].rpartition("/")[2] for r in got if r["error"]] == ["bad.zip"]
 
@@ -192,5 +194,5 @@ def test_reorder(spark):
 def test_image_headers(spark):
     jpeg = bytes.fromhex("FFD8FFE000104A46494600010100000100010000FFC00011080064009603012200021101031101FFDA")
     files = rows(spark, [("a", bytearray(jpeg)), ("b", bytearray(b"none")), ("c", bytearray(b"GIF89a\x0a\x00\x14\x00")), ("d", None)], "path string, content binary")
-    good, bad = inputs.header_sizes(files)
+    good, bad = images.header_sizes(files)
     assert sorted(map(tuple, good.collect())) == [("a", 150, 100), ("c", 10, 20)] and sorted(r["path"] for r in bad.collect()) == ["b", "d"]
