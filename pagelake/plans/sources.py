@@ -8,7 +8,7 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import reports as O
@@ -17,6 +17,7 @@ from ..sources import archives as A
 from ..sources import images as P
 from ..sources.folders import drop_at_end, shared_folder
 from ..sources.ranges import open_path
+from ..sources.store import PageStore
 from .fixtures import Tables
 from .registry import query
 
@@ -181,3 +182,27 @@ def s7_save_pages(t: Tables) -> DataFrame:
     gone = t.fx_files.filter("file_id % 10 = 5").select(name("gone").alias("path"), F.lit(1).cast("long").alias("size"), F.lit(1).cast("long").alias("mtime"), F.sha2("content", 256).alias("hash"))
     d = O.save_pages(files, known.withColumn("mtime", F.col("mtime").cast("long")).unionByName(gone))
     return d.select("path", "hash", "size", "state")
+
+
+@query("""WITH f AS (SELECT file_id, content, file_id % 10 AS k, CASE WHEN file_id % 10 = 1 THEN concat(content, '+') ELSE content END AS later FROM fx_files)
+SELECT 1 AS version, concat('p', CAST(file_id AS VARCHAR)) AS path, octet_length(encode(content)) AS size, sha256(content) AS hash, md5(content) AS digest FROM f WHERE k <> 0
+UNION ALL SELECT 2, concat('p', CAST(file_id AS VARCHAR)), octet_length(encode(later)), sha256(later), md5(later) FROM f WHERE k <> 5
+UNION ALL SELECT 2, 'blobs', (SELECT count(DISTINCT c) FROM (SELECT content AS c FROM f WHERE k <> 0 UNION ALL SELECT later FROM f WHERE k <> 5) u), NULL, NULL""")
+def s7_store_versions(t: Tables) -> DataFrame:
+    """Two saves with a failed one between: pages are added, change, are touched and vanish; both versions are read back with their contents."""
+    n = F.col("file_id") % 10
+    place = shared_folder(t.spark, "store")
+    drop_at_end(t.spark, place)
+    store = PageStore(t.spark, place, buckets=16)
+
+    def files(keep: Column, content: Column, mtime: Column) -> DataFrame:
+        path = F.concat(F.lit("p"), F.col("file_id").cast("string"))
+        return t.fx_files.filter(keep).select(path.alias("path"), F.octet_length(content).cast("long").alias("size"), mtime.cast("long").alias("mtime"), content.alias("content"))
+
+    first = store.save(files(n != 0, F.col("content"), F.lit(1)))
+    store.prepare(files(n < 3, F.concat(F.col("content"), F.lit("!")), F.lit(2)))  # never committed
+    second = store.save(files(n != 5, F.when(n == 1, F.concat(F.col("content"), F.lit("+"))).otherwise(F.col("content")), F.when(n.between(1, 2), 3).otherwise(1)))
+    read = lambda v: store.contents(v).select(F.lit(v).alias("version"), "path", "size", "hash", F.md5("data").alias("digest"))
+    none = F.lit(None).cast("string")
+    blobs = store.blobs().agg(F.count("*").alias("size")).select(F.lit(second).alias("version"), F.lit("blobs").alias("path"), "size", none.alias("hash"), none.alias("digest"))
+    return read(first).unionByName(read(second)).unionByName(blobs)
