@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.folders import drop_at_end, shared_folder
@@ -36,14 +36,38 @@ def t2_stream_report(t: Tables) -> DataFrame:
     return S.run_to_end(S.stream_report(live(t, "fx_runs")), "complete")
 
 
-@query("SELECT DISTINCT event_id FROM fx_runs WHERE kind = 'skip'")
+def in_batches(t: Tables, rows: DataFrame, part: Column, parts: int) -> DataFrame:
+    """The rows as a stream of so many batches, in the order of part."""
+    place = shared_folder(t.spark, "batches")
+    drop_at_end(t.spark, place)
+    rows = rows.withColumn("__part", part.cast("int"))
+    for i in range(parts):  # one file after the other: files are taken in the order of their times
+        rows.filter(F.col("__part") == i).drop("__part").coalesce(1).write.parquet(f"{place}/{i:03d}")
+    return t.spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(place)
+
+
+def _runs_in_batches(t: Tables) -> DataFrame:
+    """Runs over six batches by time, now and then ended."""
+    d = t.fx_runs.withColumn("ended", F.col("event_id") % 499 == 0)
+    ends = d.agg(F.min("ts").cast("timestamp").cast("double").alias("a"), F.max("ts").cast("timestamp").cast("double").alias("b")).first()
+    share = (F.col("ts").cast("timestamp").cast("double") - ends["a"]) / (ends["b"] - ends["a"])
+    return in_batches(t, d, F.least(F.floor(share * 6), F.lit(5)), 6)
+
+
+_EPOCHS = "e AS (SELECT *, sum(CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY ts, event_id) AS epoch FROM fx_runs)"
+
+
+@query(f"WITH {_EPOCHS} SELECT run_id, path, reason, arg_min(event_id, [epoch_us(ts), event_id]) AS event_id FROM e WHERE event_id % 499 <> 0 GROUP BY run_id, epoch, path, reason")
 def t4_stream_deltas(t: Tables) -> DataFrame:
-    return S.run_to_end(S.stream_deltas(live(t, "fx_runs").filter("kind = 'skip'"), ["event_id"]).select("event_id"), "append")
+    """The first of each path and reason within a run, over six batches."""
+    found = S.stream_deltas(_runs_in_batches(t).select("run_id", "path", "reason", "ts", "event_id", "ended"), ["path", "reason"], ["ts", "event_id"])
+    return S.run_to_end(found, "append").select("run_id", "path", "reason", "event_id")
 
 
-@query("SELECT DISTINCT path FROM fx_runs WHERE reason = 'Image Load'")
+@query(f"WITH {_EPOCHS} SELECT run_id, path, arg_min(event_id, [epoch_us(ts), event_id]) AS event_id FROM e WHERE reason = 'Image Load' AND event_id % 499 <> 0 GROUP BY run_id, epoch, path")
 def t5_once_per_path(t: Tables) -> DataFrame:
-    return S.run_to_end(S.once_per_path(live(t, "fx_runs").filter("reason = 'Image Load'")).select("path"), "append")
+    errors = _runs_in_batches(t).filter("ended or reason = 'Image Load'").select("run_id", "path", "ts", "event_id", "ended")
+    return S.run_to_end(S.once_per_path(errors, ["ts", "event_id"]), "append").select("run_id", "path", "event_id")
 
 
 @query("""WITH d AS (SELECT run_id, ts, lag(ts) OVER (PARTITION BY run_id ORDER BY ts) AS pv FROM fx_runs WHERE kind='page_done'),
@@ -61,15 +85,17 @@ def t7_stream_memlog(t: Tables) -> DataFrame:
 
 @query(f"WITH {SEAMS}, {MATCHES}, {MERGED} SELECT chapter_id, slice_no, block_idx AS idx, x1, y1, x2, y2 FROM mg")
 def t3_stream_seams(t: Tables) -> DataFrame:
-    """Slices written as files, a chapter's end marked, and read back as a stream: the rows of j15_seam_merge."""
+    """Slices and end markers in any order over ten batches: the rows of j15_seam_merge."""
     b = slice_blocks(t)
     part = F.struct(F.col("block_idx").alias("idx"), *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    slices = b.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(part)).alias("blocks"))
-    end = slices.select("chapter_id").distinct().select("chapter_id", F.lit(8).cast("long").alias("slice_no"), F.lit(None).cast(slices.schema["blocks"].dataType).alias("blocks"))
-    place = shared_folder(t.spark, "slices")
-    drop_at_end(t.spark, place)
-    slices.unionByName(end).select("chapter_id", "slice_no", F.lit(SLICE).cast("long").alias("height"), "blocks").write.parquet(place)
-    stream = t.spark.readStream.schema(t.spark.read.parquet(place).schema).parquet(place)
+    found = b.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(part)).alias("found"))
+    none = F.array().cast(found.schema["found"].dataType)
+    chapters = b.select("chapter_id").distinct()
+    numbers = chapters.withColumn("slice_no", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<long>")))
+    slices = numbers.join(found, ["chapter_id", "slice_no"], "left").select("chapter_id", "slice_no", F.coalesce("found", none).alias("blocks"))
+    end = chapters.select("chapter_id", F.lit(8).cast("long").alias("slice_no"), F.lit(None).cast(slices.schema["blocks"].dataType).alias("blocks"))
+    every = slices.unionByName(end).select("chapter_id", "slice_no", F.lit(SLICE).cast("long").alias("height"), "blocks")
+    stream = in_batches(t, every, F.pmod(F.xxhash64("chapter_id", "slice_no"), F.lit(10)), 10)
     return S.run_to_end(S.stream_seams(stream, EDGE), "append")
 
 

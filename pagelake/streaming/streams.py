@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.folders import drop_at_end, shared_folder
 
 LATE = "1 hour"
 
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keyed state lies in RocksDB, beside the heap; a session that has chosen a provider of its own keeps it if it can do the same."""
+    if "RocksDB" not in spark.conf.get(_PROVIDER, ""):
+        spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def event_time(events: DataFrame, late: str = LATE) -> DataFrame:
     """ts as a time with zone, which a watermark needs."""
     return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -29,13 +41,66 @@ def stream_report(events: DataFrame) -> DataFrame:
     return skips.groupBy("run_id", "path").agg(F.sort_array(F.collect_set("reason")).alias("reasons"))
 
 
-def stream_deltas(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Only what was not published within the watermark."""
-    return items.dropDuplicatesWithinWatermark(keys)
+class _FirstOfRun(StatefulProcessor):
+    """What a run has been told already, until the run ends."""
+
+    def __init__(self, keys: list[str], order: list[str]):
+        self.keys, self.order = keys, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.told = handle.getMapState("told", "item string", "n int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803  Spark's names
+        import pandas as pd
+
+        frames = [f for f in rows if len(f)]
+        if not frames:
+            return
+        d = pd.concat(frames).sort_values([*self.order, "ended"], kind="stable")
+        fresh, known = [], {}
+        for i, (item, ended) in enumerate(zip(d["item"], d["ended"], strict=True)):
+            if ended:
+                self.told.clear()
+                known = {}
+            elif item not in known:
+                known[item] = True
+                if not self.told.containsKey((item,)):
+                    self.told.updateValue((item,), (1,))
+                    fresh.append(i)
+        yield d.iloc[fresh].drop(columns=["bucket", "item", "ended"])
+
+    def close(self) -> None:
+        pass
+
+
+def first_of_run(events: DataFrame, keys: list[str], order: list[str], buckets: int = 64) -> DataFrame:
+    """Of each run the events that are the first of their keys; columns as in events, but for `ended`.
+
+    events: run_id, keys, order (columns that sort a run's events) and
+    ended, true for a run's end, after which it may begin again. A run is
+    remembered however long it goes on; it lies in `buckets` states by a hash of
+    the keys, so a large one is no single task's, and an end goes to all of them.
+    An end counts for what stands before it in its batch or has come in
+    earlier ones; equal order counts the event first.
+    """
+    use_keyed_state(events.sparkSession)
+    item = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    own = F.array(F.pmod(F.xxhash64(item), F.lit(buckets)).cast("int"))
+    d = events.withColumns({"item": item, "ended": F.coalesce("ended", F.lit(False))})
+    d = d.withColumn("bucket", F.explode(F.when(F.col("ended"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(own)))
+    schema = T.StructType([f for f in events.schema.fields if f.name != "ended"])
+    columns = [f.name for f in schema.fields]
+    return d.select(*columns, "bucket", "item", "ended").groupBy("run_id", "bucket").transformWithStateInPandas(_FirstOfRun(keys, order), schema, "append", "None")
+
 
+def stream_deltas(items: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of a run's items, those that it has not published yet."""
+    return first_of_run(items, keys, order)
 
-def once_per_path(errors: DataFrame) -> DataFrame:
-    return errors.dropDuplicatesWithinWatermark(["path"])
+
+def once_per_path(errors: DataFrame, order: list[str]) -> DataFrame:
+    """A run's unreadable paths, each reported once."""
+    return first_of_run(errors, ["path"], order)
 
 
 def coalesce_saves(events: DataFrame, gap: str = "10 minutes") -> DataFrame:
@@ -52,54 +117,105 @@ def stream_memlog(log: DataFrame, size: str = "1 hour") -> DataFrame:
 _PARTS = ("idx", "x1", "y1", "x2", "y2")
 
 
-def stream_seams(slices: DataFrame, edge: float = 60, timeout_ms: int | None = None) -> DataFrame:
+class _Seams(StatefulProcessor):
+    """The slices of a chapter that wait for one before them, and the last one that hasn't been published."""
+
+    def __init__(self, edge: float, first: int, timeout_ms: int | None):
+        self.edge, self.first, self.timeout_ms = edge, first, timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "slice_no long", "height long, blocks string")
+        self.held = handle.getValueState("held", "slice_no long, height long, gone string, blocks string")
+        self.next = handle.getValueState("next", "slice_no long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:  # noqa: N802, N803
+        due = self.next.get()[0] if self.next.exists() else self.first
+        for f in rows:
+            for r in f.to_dict("records"):
+                if r["slice_no"] >= due:  # else it has come before
+                    blocks = None if r["blocks"] is None else [tuple(int(b[k]) for k in _PARTS) for b in r["blocks"]]
+                    height = 0 if blocks is None else int(r["height"])
+                    self.waiting.updateValue((int(r["slice_no"]),), (height, json.dumps(blocks)))
+        yield self._frame(key, self._go_on(due))
+        if self.timeout_ms:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:  # noqa: N802, N803
+        """Nothing has come for long: what waits is published, gaps and all."""
+        out = []
+        for number in sorted(k[0] for k in self.waiting.keys()):
+            out += self._go_on(number)
+        out += self._publish(None)
+        self._forget()
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+    def _forget(self) -> None:
+        self.waiting.clear()
+        self.held.clear()
+        self.next.clear()
+
+    def _frame(self, key, out: list[tuple]):
+        import pandas as pd
+
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["chapter_id", "slice_no", *_PARTS]).astype("int64")
+
+    def _publish(self, follower: tuple | None) -> list[tuple]:
+        """The held slice's blocks, joined with those of the slice (number, height, blocks) that takes its place."""
+        held = self.held.get() if self.held.exists() else None
+        out: list[tuple] = []
+        gone: list[int] = []
+        if held is not None:
+            number, height, consumed, blocks = held[0], held[1], json.loads(held[2]), [tuple(b) for b in json.loads(held[3])]
+            own = [b for b in blocks if b[0] not in consumed]
+            if follower is not None and follower[0] == number + 1:
+                own, gone = join_slices((number, height, consumed, blocks), follower[2], self.edge)
+            out = [(number, *b) for b in own]
+        if follower is None:
+            self.held.clear()
+        else:
+            self.held.update((follower[0], follower[1], json.dumps(gone), json.dumps(follower[2])))
+        return out
+
+    def _go_on(self, due: int) -> list[tuple]:
+        """Take the slices that have come, as far as they follow each other."""
+        out: list[tuple] = []
+        while self.waiting.containsKey((due,)):
+            height, blocks = self.waiting.getValue((due,))
+            self.waiting.removeKey((due,))
+            blocks = json.loads(blocks)
+            if blocks is None:
+                out += self._publish(None)
+                self._forget()
+                self.next.update((due + 1,))  # what comes again of this chapter is known to be old
+                return out
+            out += self._publish((due, height, [tuple(b) for b in blocks]))
+            due += 1
+            self.next.update((due,))
+        return out
+
+
+def stream_seams(slices: DataFrame, edge: float = 60, timeout_ms: int | None = None, first: int = 0) -> DataFrame:
     """Merge blocks cut by the border of consecutive slices of a chapter, as seam_match and seam_merge do for whole tables.
 
     slices: chapter_id, slice_no, height and blocks, an array of (idx, x1, y1,
-    x2, y2), in order of slice_no. State holds the last slice and which of its
-    blocks the seam above has consumed. A slice is published when the next has
-    come, the last of a chapter at its end marker (blocks null) or, for streams
-    that go on for ever, after the timeout.
+    x2, y2); a chapter's slices count from `first` and may come in any order
+    over any number of batches. State holds those that wait for one before them,
+    and the last slice with what the seam above has consumed of it. A slice is
+    published when the next has come, the last one at the chapter's end marker,
+    the number after it with blocks null. With a timeout, what waits is
+    published when nothing has come for so long; without one a slice that never
+    comes holds up those after it. A slice that comes again is left out.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
+    use_keyed_state(slices.sparkSession)
     out = "chapter_id long, slice_no long, idx long, x1 long, y1 long, x2 long, y2 long"
-    state_schema = "slice_no long, height long, gone array<long>, blocks array<struct<idx:long,x1:long,y1:long,x2:long,y2:long>>"
-
-    def as_tuples(blocks) -> list[tuple]:
-        return [tuple(int(b[k]) for k in _PARTS) for b in blocks]
-
-    def step(key: tuple, frames: Iterator, state: GroupState) -> Iterator:
-        import pandas as pd
-
-        done: list[tuple] = []
-        held = (state.get[0], state.get[1], list(state.get[2]), as_tuples(state.get[3])) if state.exists else None
-        if timeout_ms and state.hasTimedOut:
-            if held is not None:
-                done += [(key[0], held[0], *b) for b in held[3] if b[0] not in held[2]]
-            state.remove()
-        else:
-            arrived = sorted((r for f in frames for r in f.to_dict("records")), key=lambda r: r["slice_no"])
-            for r in arrived:
-                blocks = None if r["blocks"] is None else as_tuples(r["blocks"])
-                gone: list[int] = []
-                if held is not None:
-                    own = [b for b in held[3] if b[0] not in held[2]]
-                    if blocks is not None and r["slice_no"] == held[0] + 1:
-                        own, gone = join_slices(held, blocks, edge)
-                    done += [(key[0], held[0], *b) for b in own]
-                held = None if blocks is None else (int(r["slice_no"]), int(r["height"]), gone, blocks)
-            if held is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update(held)
-                if timeout_ms:
-                    state.setTimeoutDuration(timeout_ms)
-        yield pd.DataFrame(done, columns=["chapter_id", "slice_no", *_PARTS])
-
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return slices.groupBy("chapter_id").applyInPandasWithState(step, out, state_schema, "append", timeout)
+    processor = _Seams(edge, first, timeout_ms)
+    return slices.select("chapter_id", "slice_no", "height", "blocks").groupBy("chapter_id").transformWithStateInPandas(processor, out, "append", "ProcessingTime" if timeout_ms else "None")
 
 
 def seam_score(a: tuple, b: tuple, height: int, edge: float) -> float | None:
