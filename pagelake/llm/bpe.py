@@ -17,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import os
 import pickle
-import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -40,12 +39,19 @@ WORD = regex.compile(r"\p{L}+|'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\p{White_Space}\p{L}
 BLOCK_CHARS = 32 << 20
 
 
+#: Outside of these, Unicode versions differ: letters, and marks and their order, are left to the library.
+STEADY = regex.compile("[\u0000-\u02ff\u2000-\u20cf]*+").fullmatch
+
+
 def normalise(text: str) -> str:
     """NFC and lower case, letter by letter (no final-sigma rule)."""
-    if text.isascii():
-        return text.lower()
-    text = unicodedata.normalize("NFC", text)
-    return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
+    if text.isascii() or STEADY(text):
+        return text.lower()  # nothing here is composed any further
+    if "nfc" not in _LOADED:
+        from tokenizers import normalizers
+
+        _LOADED["nfc"] = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    return _LOADED["nfc"].normalize_str(text)
 
 
 def split_words(text: str) -> list[str]:
@@ -123,7 +129,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(range(i, i + len(some)), pa.int32()), pa.array(some, pa.string())], names=["block", "number", "word"])
 
 
-_LOADED: dict[str, object] = {}
+_LOADED: dict[object, object] = {}
 
 
 def tokenizer(file: str):
@@ -138,6 +144,17 @@ def tokenizer(file: str):
     return _LOADED[file]
 
 
+def word_encoder(file: str):
+    """The tokenizer for words of split_words(). They are normalised; a second time would move marks behind the one that a capital İ leaves."""
+    if (file, "words") not in _LOADED:
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_str(tokenizer(file).to_str())
+        t.normalizer = None
+        _LOADED[file, "words"] = t
+    return _LOADED[file, "words"]
+
+
 def pieces(file: str) -> list[str]:
     """The id-to-piece table."""
     t = tokenizer(file)
@@ -153,7 +170,7 @@ def _encode_words(file: str) -> Callable:
     """Distinct words to (word, ids), ids packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, kind = tokenizer(file), id_kind(file)
+        t, kind = word_encoder(file), id_kind(file)
         for b in batches:
             coded = t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(e.ids, kind).tobytes() for e in coded], pa.binary()), pa.array([e.ids for e in coded], pa.list_(pa.int32()))], names=["word", "packed", "ids"])

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 LEVELS = 256
+#: The bound on the sum of a vector's squares, a little under 2 ** 63 for rounding.
+LARGEST = 9.2e18
 
 
 def _cells(x: np.ndarray) -> tuple:
@@ -99,10 +101,17 @@ def _scan(k: int):
 
 
 def scaled(embedding: Column, factor: float = 64.0) -> Column:
-    """floor(factor * x) of each component as long; null if the vector or a component is null or not finite."""
+    """floor(factor * x) of each component as long; null if the vector or a component is null or not finite.
+
+    Null too if the squares of the scaled components reach LARGEST: below it
+    any inner product, and any part of its sum, fits a long (Cauchy-Schwarz),
+    beyond it there need not be a score that does.
+    """
     x = embedding.cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v * factor)))
+    scale = lambda v: F.floor(v * factor)
+    squares = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (F.abs(v * factor) + 1) * (F.abs(v * factor) + 1))
+    return F.when(fine & (squares < LARGEST), F.transform(x, scale))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, query_block: int = 512, groups_at_once: int = 64) -> DataFrame:
@@ -112,11 +121,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096
     a result of a query of its own vec_id; ties go to the smaller vec_id. Rows
     with a null id or vector take no part; vectors of other length aren't
     compared; fewer than k candidates are all returned. A repeated candidate
-    row is returned once for each row; repeated query rows count as one. Sums
-    must fit a long.
+    row is returned once for each row; repeated query rows count as one. A
+    vector whose squares sum up to LARGEST or more takes no part, as scaled()
+    has it, so no sum leaves the range of a long.
     """
     usable = "vec_id is not null and vector is not null and size(vector) > 0"
-    slim = lambda df: df.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("vector").alias("mark"), F.col("vector").cast("array<long>").alias("vector"))
+    short = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")) < LARGEST
+    slim = lambda df: df.filter(usable).filter(short(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("vector").alias("mark"), F.col("vector").cast("array<long>").alias("vector"))
     table, asked = slim(vectors), slim(queries).distinct()
     schema = "block long, dim int, body binary"
     cells = materialise(table.mapInArrow(_blocks(block, True), schema))

@@ -138,6 +138,16 @@ def test_sharding(spark, odd):
     assert sharding.shard_documents(odd.filter("false")).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1e18, 1e18]), (2, [1e300, -1e300]), (3, [4e7, -3e7]), (20, [2e7, 4.2e7]), (4, [5e15, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(table, table.filter("vec_id % 20 = 0")).collect()}
+    whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i in (0, 3, 20)}
+    assert got == {(q, v): sum(a * b for a, b in zip(whole[q], whole[v], strict=True)) for q in (0, 20) for v in whole if v != q}
+    raw = spark.createDataFrame([(0, [1 << 62, 1]), (20, [3, 1]), (5, [1 << 31, -(1 << 30)])], "vec_id long, vector array<long>")
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(raw, raw.filter("vec_id % 20 = 0")).collect()} == {(20, 5, 3 * (1 << 31) - (1 << 30))}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     vectors = [[float(x) for x in rng.normal(size=8)] for _ in range(300)]

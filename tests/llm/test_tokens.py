@@ -1,6 +1,8 @@
 """Operators 1 and 10 against the tokenizer libraries."""
 
 import hashlib
+import random
+import unicodedata
 
 import numpy as np
 import public_tokenizers
@@ -55,13 +57,34 @@ def test_blocks_split_rows(docs):
     assert sorted(str(tuple(r)) for r in bpe.digests(many, block_chars=10).collect()) == sorted(str(tuple(r)) for r in bpe.digests(docs).collect())
 
 
-def test_words_cover_the_library(subtests=None):
-    t = bpe.tokenizer(public_tokenizers.path(bpe.TOKENIZER))
+def encoders():
+    file = public_tokenizers.path(bpe.TOKENIZER)
+    whole, words = bpe.tokenizer(file), bpe.word_encoder(file)
+    ours = lambda text: [i for e in words.encode_batch(bpe.split_words(text), add_special_tokens=False) for i in e.ids]
+    return ours, lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
+def test_words_cover_the_library():
+    ours, library = encoders()
     for c in range(0x3100):
         if not 0xD800 <= c < 0xE000:
             text = f"a{chr(c)}b {chr(c)}"
-            ours = [i for e in t.encode_batch(bpe.split_words(text), add_special_tokens=False) for i in e.ids]
-            assert ours == t.encode(text, add_special_tokens=False).ids, hex(c)
+            assert ours(text) == library(text), hex(c)
+
+
+def test_marks_of_every_class_after_capitals():
+    ours, library = encoders()
+    marks = [chr(c) for c in range(0x300, 0x1E000) if unicodedata.combining(chr(c))]
+    of_class = {unicodedata.combining(m): m for m in marks}
+    capitals = "İIÅΣǅẞΑΪ"
+    for m in marks:
+        for c in capitals:
+            assert ours(f"{c}{m}a normal text") == library(f"{c}{m}a normal text"), (c, hex(ord(m)))
+    rng = random.Random(3)
+    letters = [*capitals, "i", "e", " ", "'", "S", "s", "1", "<|endoftext|>", "\u1e9b", "\ufb01", "\uac00", "\u1100", "\u1161", *of_class.values(), *marks[:112]]
+    for _ in range(6000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 12)))
+        assert ours(text) == library(text), ascii(text)
 
 
 def test_token_counts(docs):
