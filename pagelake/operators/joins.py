@@ -161,10 +161,12 @@ def edit_blocks(edits: DataFrame, blocks: DataFrame, least: float = 0.5) -> Data
     return d.select("page_id", "det_idx", *(F.coalesce(F.col(f"m.new_{c}"), F.col(c)).alias(c) for c in CORNERS))
 
 
-def replace_range(old: DataFrame, new: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Drop old blocks wholly inside a re-detected range, add the new ones."""
-    hit = (F.col("o.chapter_id") == F.col("r.chapter_id")) & (F.col("o.y1") >= F.col("r.lo")) & (F.col("o.y2") <= F.col("r.hi"))
-    return old.alias("o").join(ranges.alias("r"), hit, "left_anti").unionByName(new)
+def replace_range(old: DataFrame, new: DataFrame, ranges: DataFrame, size: int = 4096) -> DataFrame:
+    """Drop old blocks wholly inside a re-detected range, add the new ones. A chapter may have any number of ranges; blocks meet them by the band of their upper edge."""
+    r = ranges.select("chapter_id", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size))).alias("band"))
+    o = old.withColumn("__band", F.floor(F.col("y1") / size)).alias("o")
+    hit = (F.col("o.chapter_id") == F.col("r.chapter_id")) & (F.col("o.__band") == F.col("r.band")) & (F.col("o.y1") >= F.col("r.lo")) & (F.col("o.y2") <= F.col("r.hi"))
+    return o.join(r.filter("lo <= hi").alias("r"), hit, "left_anti").drop("__band").unionByName(new)
 
 
 def apply_responses(blocks: DataFrame, responses: DataFrame) -> DataFrame:

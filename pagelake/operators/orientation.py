@@ -86,14 +86,25 @@ def vote_jitter(d: DataFrame, factor: float = 0.6) -> DataFrame:
 
 
 def vote_flow(d: DataFrame, factor: float = 1.2) -> DataFrame:
-    """Boxes with a neighbour close to the right against those with one close below; from three boxes on."""
+    """Boxes with a neighbour close to the right against those with one close below; from three boxes on.
+
+    Close is under three median widths, or heights, of the page. So the page
+    is cut into cells of that size, and a box meets those of six cells only.
+    """
     one = F.lit(1)
     size = d.groupBy("page_id").agg(F.percentile(F.greatest(F.col("x2") - F.col("x1"), one), 0.5).alias("mw"), F.percentile(F.greatest(F.col("y2") - F.col("y1"), one), 0.5).alias("mh"), F.count("*").alias("n")).filter("n >= 3")
-    other = d.select("page_id", F.col("det_idx").alias("o"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    ways = F.inline(F.array(F.struct(F.lit(True).alias("across"), (3 * F.col("mw")).alias("reach")), F.struct(F.lit(False).alias("across"), (3 * F.col("mh")).alias("reach"))))
+    placed = d.select("page_id", "det_idx", "cx", "cy").join(size.select("page_id", ways), "page_id").withColumns({"gx": F.floor(F.col("cx") / F.col("reach")), "gy": F.floor(F.col("cy") / F.col("reach"))})
+    along, beside = (F.explode(F.array(*map(F.lit, steps))) for steps in ((0, 1), (-1, 0, 1)))
+    asked = placed.withColumn("i", along).withColumn("j", beside)
+    asked = asked.withColumns({"gx": F.col("gx") + F.when(F.col("across"), F.col("i")).otherwise(F.col("j")), "gy": F.col("gy") + F.when(F.col("across"), F.col("j")).otherwise(F.col("i"))})
+    other = placed.select("page_id", "across", "gx", "gy", F.col("det_idx").alias("o"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
     dx, dy = F.col("ox") - F.col("cx"), F.col("oy") - F.col("cy")
-    dist = F.sqrt(dx * dx + dy * dy)
-    met = d.join(other, "page_id").filter("det_idx <> o").groupBy("page_id", "det_idx").agg(F.min(F.when((dx > 0) & (F.abs(dy) < 0.5 * dx), dist)).alias("right"), F.min(F.when((dy > 0) & (F.abs(dx) < 0.5 * dy), dist)).alias("below"))
-    near = met.join(size, "page_id").groupBy("page_id").agg(F.sum(F.coalesce(F.col("right") < 3 * F.col("mw"), F.lit(False)).cast("int")).alias("a"), F.sum(F.coalesce(F.col("below") < 3 * F.col("mh"), F.lit(False)).cast("int")).alias("b"))
+    ahead, aside = F.when(F.col("across"), dx).otherwise(dy), F.when(F.col("across"), dy).otherwise(dx)
+    close = (F.col("det_idx") != F.col("o")) & (ahead > 0) & (F.abs(aside) < 0.5 * ahead) & (F.sqrt(dx * dx + dy * dy) < F.col("reach"))
+    met = asked.join(other, ["page_id", "across", "gx", "gy"]).filter(close).select("page_id", "across", "det_idx").distinct()
+    counts = met.groupBy("page_id").agg(F.sum(F.col("across").cast("int")).alias("a"), F.sum((~F.col("across")).cast("int")).alias("b"))
+    near = size.select("page_id").join(counts, "page_id", "left").na.fill(0)
     return _vote(near, F.col("b") > factor * F.col("a"), F.col("a") > factor * F.col("b"))
 
 

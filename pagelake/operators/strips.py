@@ -93,35 +93,49 @@ def to_physical(df: DataFrame, vpages: DataFrame) -> DataFrame:
     return d.withColumns({"y1": F.col("y1") + F.col("crop_top"), "y2": F.col("y2") + F.col("crop_top")}).drop("crop_top")
 
 
+def _view_keys(df: DataFrame) -> list[str]:
+    return ["chapter_id", *(["view_id"] if "view_id" in df.columns else [])]
+
+
 def view_mappings(layout: DataFrame, views: DataFrame, buffer: int = 0) -> DataFrame:
-    """Pages in a view, with the cut of each and its place in the combined image."""
+    """Pages in a view, with the cut of each and its place in the combined image.
+
+    views: chapter_id, view_top, view_bottom and, if a chapter has several,
+    view_id, which goes on into the mappings. Pages meet views by bands of
+    height.
+    """
     low, high = F.col("view_top") - buffer, F.col("view_bottom") + buffer
-    d = layout.withColumn("bottom", F.col("top") + F.col("height")).join(views, "chapter_id").filter((F.col("top") < high) & (F.col("bottom") > low))
-    d = d.withColumns({"crop_top": F.greatest(low, F.col("top")) - F.col("top"), "crop_bottom": F.least(high, F.col("bottom")) - F.col("top")})
+    keys = _view_keys(views)
+    v = views.select(*keys, low.alias("v_top"), high.alias("v_bottom"))
+    met = J.meeting(layout.withColumn("bottom", F.col("top") + F.col("height")), v, ["chapter_id"], "top", "bottom", "v_", size=4096)
+    d = met.filter((F.col("top") < F.col("v_bottom")) & (F.col("bottom") > F.col("v_top")))
+    d = d.withColumns({"crop_top": F.greatest("v_top", "top") - F.col("top"), "crop_bottom": F.least("v_bottom", "bottom") - F.col("top")})
     size = F.col("crop_bottom") - F.col("crop_top")
-    w = Window.partitionBy("chapter_id").orderBy("page_no")
+    w = Window.partitionBy(*keys, "v_top", "v_bottom").orderBy("page_no")
     start = F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return d.select("chapter_id", "page_id", "page_no", "top", "crop_top", "crop_bottom", start.alias("combined_start"), (start + size).alias("combined_end"))
+    return d.select(*keys, "page_id", "page_no", "top", "crop_top", "crop_bottom", start.alias("combined_start"), (start + size).alias("combined_end"))
 
 
 def visible_blocks(blocks: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Blocks in view, by the first mapping they meet, in combined-image coordinates."""
-    m = mappings.select("chapter_id", "page_no", (F.col("top") + F.col("crop_top")).alias("m_y1"), (F.col("top") + F.col("crop_bottom")).alias("m_y2"), "combined_start")
+    """Blocks in view, by the first mapping of a view that they meet, in combined-image coordinates."""
+    keys = _view_keys(mappings)
+    m = mappings.select(*keys, "page_no", (F.col("top") + F.col("crop_top")).alias("m_y1"), (F.col("top") + F.col("crop_bottom")).alias("m_y2"), "combined_start")
     hit = J.meeting(blocks, m, ["chapter_id"], "y1", "y2", "m_", size=4096).filter((F.col("y1") < F.col("m_y2")) & (F.col("y2") > F.col("m_y1")))
-    first = hit.groupBy("chapter_id", "block_idx").agg(F.min_by(F.struct("x1", "y1", "x2", "y2", "m_y1", "combined_start", "page_no"), "page_no").alias("s"))
+    first = hit.groupBy(*keys, "block_idx").agg(F.min_by(F.struct("x1", "y1", "x2", "y2", "m_y1", "combined_start", "page_no"), "page_no").alias("s"))
     shift = F.col("s.combined_start") - F.col("s.m_y1")
-    return first.select("chapter_id", "block_idx", F.col("s.page_no").alias("page_no"), F.col("s.x1").alias("x1"), (F.col("s.y1") + shift).alias("y1"), F.col("s.x2").alias("x2"), (F.col("s.y2") + shift).alias("y2"))
+    return first.select(*keys, "block_idx", F.col("s.page_no").alias("page_no"), F.col("s.x1").alias("x1"), (F.col("s.y1") + shift).alias("y1"), F.col("s.x2").alias("x2"), (F.col("s.y2") + shift).alias("y2"))
 
 
 def combined_to_scene(boxes: DataFrame, mappings: DataFrame) -> DataFrame:
-    """Combined-image boxes back to the strip, by the mapping that holds their top edge."""
-    m = mappings.select("chapter_id", F.col("combined_start").alias("m_y1"), F.col("combined_end").alias("m_y2"), (F.col("top") + F.col("crop_top") - F.col("combined_start")).alias("shift"))
-    d = J.meeting(boxes, m, ["chapter_id"], "y1", "y2", "m_", size=4096).filter((F.col("y1") >= F.col("m_y1")) & (F.col("y1") < F.col("m_y2")))
+    """Combined-image boxes back to the strip, by the mapping that holds their top edge; with view_id in the mappings the boxes have it too."""
+    keys = _view_keys(mappings)
+    m = mappings.select(*keys, F.col("combined_start").alias("m_y1"), F.col("combined_end").alias("m_y2"), (F.col("top") + F.col("crop_top") - F.col("combined_start")).alias("shift"))
+    d = J.meeting(boxes, m, keys, "y1", "y2", "m_", size=4096).filter((F.col("y1") >= F.col("m_y1")) & (F.col("y1") < F.col("m_y2")))
     return d.withColumns({"y1": F.col("y1") + F.col("shift"), "y2": F.col("y2") + F.col("shift")}).drop("m_y1", "m_y2", "shift")
 
 
 def first_visible(visible: DataFrame) -> DataFrame:
-    return visible.groupBy("chapter_id").agg(F.min_by("block_idx", F.struct("y1", "block_idx")).alias("block_idx"))
+    return visible.groupBy(*_view_keys(visible)).agg(F.min_by("block_idx", F.struct("y1", "block_idx")).alias("block_idx"))
 
 
 def seam_score(top: list[Column], bottom: list[Column], height: Column, edge: float) -> Column:

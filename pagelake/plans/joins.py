@@ -127,10 +127,12 @@ def j20_apply_positional(t: Tables) -> DataFrame:
     return J.apply_positional(t.fx_blocks, replies, F.trim("text") != "").select("page_id", "block_idx", "translation")
 
 
-@query("""WITH r AS (SELECT chapter_id, min(top) AS lo, min(top)+3000 AS hi FROM fx_layout GROUP BY chapter_id)
-SELECT b.chapter_id, b.block_idx, b.y1, b.y2 FROM fx_strip b JOIN r ON b.chapter_id=r.chapter_id WHERE NOT (b.y1>=r.lo AND b.y2<=r.hi) UNION ALL SELECT chapter_id, -1, lo, lo+10 FROM r""")
+@query("""WITH r AS (SELECT chapter_id, min(top) + v*9000 AS lo, min(top) + v*9000 + 3000 AS hi FROM fx_layout, range(2) t(v) GROUP BY chapter_id, v)
+SELECT b.chapter_id, b.block_idx, b.y1, b.y2 FROM fx_strip b WHERE NOT EXISTS (SELECT 1 FROM r WHERE b.chapter_id=r.chapter_id AND b.y1>=r.lo AND b.y2<=r.hi) UNION ALL SELECT chapter_id, -1, lo, lo+10 FROM r""")
 def j30_replace_range(t: Tables) -> DataFrame:
-    r = t.fx_layout.groupBy("chapter_id").agg(F.min("top").alias("lo"), (F.min("top") + 3000).alias("hi"))
+    """Two ranges of each chapter."""
+    first = t.fx_layout.groupBy("chapter_id").agg(F.min("top").alias("top"))
+    r = first.select("chapter_id", F.explode(F.array(F.col("top"), F.col("top") + 9000)).alias("lo")).withColumn("hi", F.col("lo") + 3000)
     new = r.select("chapter_id", F.lit(-1).cast("long").alias("block_idx"), F.col("lo").alias("y1"), (F.col("lo") + 10).alias("y2"))
     return J.replace_range(t.fx_strip.select("chapter_id", "block_idx", "y1", "y2"), new, r)
 

@@ -79,41 +79,43 @@ def p20_to_physical(t: Tables) -> DataFrame:
     return S.to_physical(v.select("page_id", "virtual_index", F.lit(5).alias("y1"), F.lit(25).alias("y2")), v)
 
 
-MAPS = """vw AS (SELECT chapter_id, min(top) + 2000 AS a, min(top) + 14000 AS b FROM fx_layout GROUP BY 1),
-c AS (SELECT l.chapter_id, l.page_id, l.page_no, l.top, greatest(a-500, l.top)-l.top AS crop_top, least(b+500, l.top+l.height)-l.top AS crop_bottom FROM fx_layout l JOIN vw ON l.chapter_id=vw.chapter_id AND l.top < b+500 AND l.top+l.height > a-500),
-m AS (SELECT *, CAST(sum(crop_bottom-crop_top) OVER (PARTITION BY chapter_id ORDER BY page_no) AS BIGINT) AS combined_end FROM c)"""
+MAPS = """vw AS (SELECT chapter_id, v AS view_id, min(top) + 2000 + v * 7000 AS a, min(top) + 14000 - v * 3000 AS b FROM fx_layout, range(2) t(v) GROUP BY 1, 2),
+c AS (SELECT l.chapter_id, view_id, l.page_id, l.page_no, l.top, greatest(a-500, l.top)-l.top AS crop_top, least(b+500, l.top+l.height)-l.top AS crop_bottom FROM fx_layout l JOIN vw ON l.chapter_id=vw.chapter_id AND l.top < b+500 AND l.top+l.height > a-500),
+m AS (SELECT *, CAST(sum(crop_bottom-crop_top) OVER (PARTITION BY chapter_id, view_id ORDER BY page_no) AS BIGINT) AS combined_end FROM c)"""
 
 
 def _maps(t: Tables) -> DataFrame:
-    views = t.fx_layout.groupBy("chapter_id").agg((F.min("top") + 2000).alias("view_top"), (F.min("top") + 14000).alias("view_bottom"))
+    """Two views of each chapter, which share some pages."""
+    two = t.fx_layout.withColumn("view_id", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<long>"))).groupBy("chapter_id", "view_id").agg(F.min("top").alias("first"))
+    views = two.select("chapter_id", "view_id", (F.col("first") + 2000 + F.col("view_id") * 7000).alias("view_top"), (F.col("first") + 14000 - F.col("view_id") * 3000).alias("view_bottom"))
     return S.view_mappings(t.fx_layout, views, 500)
 
 
-@query(f"WITH {MAPS} SELECT chapter_id, page_id, crop_top, crop_bottom, combined_end-(crop_bottom-crop_top) AS combined_start, combined_end FROM m")
+@query(f"WITH {MAPS} SELECT chapter_id, view_id, page_id, crop_top, crop_bottom, combined_end-(crop_bottom-crop_top) AS combined_start, combined_end FROM m")
 def w18_view_mappings(t: Tables) -> DataFrame:
-    return _maps(t).select("chapter_id", "page_id", "crop_top", "crop_bottom", "combined_start", "combined_end")
+    return _maps(t).select("chapter_id", "view_id", "page_id", "crop_top", "crop_bottom", "combined_start", "combined_end")
 
 
-SEEN = f"""{MAPS}, vis AS (SELECT * FROM (SELECT b.chapter_id, b.block_idx, m.page_no, b.x1, b.y1 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y1, b.x2, b.y2 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y2,
- row_number() OVER (PARTITION BY b.chapter_id, b.block_idx ORDER BY m.page_no) AS rn FROM fx_strip b JOIN m ON b.chapter_id=m.chapter_id AND b.y1 < m.top+crop_bottom AND b.y2 > m.top+crop_top) x WHERE rn = 1)"""
+SEEN = f"""{MAPS}, vis AS (SELECT * FROM (SELECT b.chapter_id, view_id, b.block_idx, m.page_no, b.x1, b.y1 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y1, b.x2, b.y2 + combined_end-(crop_bottom-crop_top)-(m.top+crop_top) AS y2,
+ row_number() OVER (PARTITION BY b.chapter_id, view_id, b.block_idx ORDER BY m.page_no) AS rn FROM fx_strip b JOIN m ON b.chapter_id=m.chapter_id AND b.y1 < m.top+crop_bottom AND b.y2 > m.top+crop_top) x WHERE rn = 1)"""
 
 
-@query(f"WITH {SEEN} SELECT chapter_id, block_idx, page_no, x1, y1, x2, y2 FROM vis")
+@query(f"WITH {SEEN} SELECT chapter_id, view_id, block_idx, page_no, x1, y1, x2, y2 FROM vis")
 def j11_visible_blocks(t: Tables) -> DataFrame:
     return S.visible_blocks(t.fx_strip, _maps(t))
 
 
-@query(f"WITH {SEEN} SELECT chapter_id, min(block_idx) AS block_idx FROM (SELECT *, rank() OVER (PARTITION BY chapter_id ORDER BY y1) AS r FROM vis) x WHERE r = 1 GROUP BY 1")
+@query(f"WITH {SEEN} SELECT chapter_id, view_id, min(block_idx) AS block_idx FROM (SELECT *, rank() OVER (PARTITION BY chapter_id, view_id ORDER BY y1) AS r FROM vis) x WHERE r = 1 GROUP BY 1, 2")
 def w17_first_visible(t: Tables) -> DataFrame:
     return S.first_visible(S.visible_blocks(t.fx_strip, _maps(t)))
 
 
-@query(f"""WITH {MAPS}, b AS (SELECT chapter_id, page_id AS box, combined_end - 20 AS y1, combined_end + 5 AS y2 FROM m)
-SELECT b.chapter_id, b.box, b.y1 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y1, b.y2 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y2
-FROM b JOIN m ON b.chapter_id=m.chapter_id AND b.y1 >= combined_end-(crop_bottom-crop_top) AND b.y1 < combined_end""")
+@query(f"""WITH {MAPS}, b AS (SELECT chapter_id, view_id, page_id AS box, combined_end - 20 AS y1, combined_end + 5 AS y2 FROM m)
+SELECT b.chapter_id, b.view_id, b.box, b.y1 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y1, b.y2 + m.top + crop_top - (combined_end-(crop_bottom-crop_top)) AS y2
+FROM b JOIN m ON b.chapter_id=m.chapter_id AND b.view_id=m.view_id AND b.y1 >= combined_end-(crop_bottom-crop_top) AND b.y1 < combined_end""")
 def j12_combined_to_scene(t: Tables) -> DataFrame:
     m = _maps(t)
-    boxes = m.select("chapter_id", F.col("page_id").alias("box"), (F.col("combined_end") - 20).alias("y1"), (F.col("combined_end") + 5).alias("y2"))
+    boxes = m.select("chapter_id", "view_id", F.col("page_id").alias("box"), (F.col("combined_end") - 20).alias("y1"), (F.col("combined_end") + 5).alias("y2"))
     return S.combined_to_scene(boxes, m)
 
 

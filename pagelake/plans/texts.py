@@ -281,15 +281,58 @@ def w19_coalesce_runs(t: Tables) -> DataFrame:
     return O.coalesce_runs(spans.withColumn("start", F.greatest("start", F.lit(2))), lengths)
 
 
-@query()
+def _greedy_sql(measure: str) -> str:
+    """CTEs lw and ll, the lines of texts with and without blanks, by the rule step by step; measure: the width of {}."""
+    m = measure.format
+    left = "CASE WHEN line = '' THEN '' ELSE concat(line, ' ') END"
+    part = m("concat(lft, substr(w1, 1, e))")
+    return f"""tx AS (SELECT page_id, block_idx, text, script LIKE 'Japanese%' AS tight FROM fx_blocks),
+rw AS (SELECT page_id, block_idx, regexp_extract_all(text, '\\S+') AS w, CAST([] AS VARCHAR[]) AS lines, '' AS line FROM tx WHERE NOT tight
+ UNION ALL SELECT page_id, block_idx, CASE WHEN fits OR (cut = 0 AND line = '') THEN w[2:] WHEN cut > 0 THEN list_prepend(substr(w1, cut + 1), w[2:]) ELSE w END,
+  CASE WHEN fits THEN lines WHEN cut > 0 THEN list_append(lines, concat(lft, substr(w1, 1, cut))) WHEN line <> '' THEN list_append(lines, line) ELSE list_append(lines, w1) END, CASE WHEN fits THEN concat(lft, w1) ELSE '' END
+ FROM (SELECT *, coalesce(list_max(list_filter(range(2, length(w1)), lambda e: substr(w1, e, 1) = '-' AND {part} <= 24)), 0) AS cut
+  FROM (SELECT *, {m("concat(lft, w1)")} <= 24 AS fits FROM (SELECT *, w[1] AS w1, {left} AS lft FROM rw WHERE len(w) > 0) x) y) z),
+rl AS (SELECT page_id, block_idx, replace(replace(replace(text, concat(chr(13), chr(10)), chr(10)), chr(13), chr(10)), ' ', '') AS t, 1 AS i, CAST([] AS VARCHAR[]) AS lines, '' AS line FROM tx WHERE tight
+ UNION ALL SELECT page_id, block_idx, t, i + 1, CASE WHEN c = chr(10) OR no_room THEN list_append(lines, line) ELSE lines END, CASE WHEN c = chr(10) THEN '' WHEN no_room THEN c ELSE concat(line, c) END
+ FROM (SELECT *, line <> '' AND {m("concat(line, c)")} > 24 AS no_room FROM (SELECT *, substr(t, i, 1) AS c FROM rl WHERE i <= length(t)) x) y),
+ln AS (SELECT page_id, block_idx, CASE WHEN line <> '' THEN list_append(lines, line) ELSE lines END AS lines FROM rw WHERE len(w) = 0 UNION ALL SELECT page_id, block_idx, list_append(lines, line) FROM rl WHERE i > length(t)),
+ov AS (SELECT page_id, block_idx, CAST(n - 1 AS INT) AS line_no, lines[n] AS line, {m("lines[n]")} > 24 AS overflow FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM ln) x)"""
+
+
+_LENGTH = "length({0})"
+_WIDE = "(length({0}) + length(regexp_replace({0}, '[^mwMW]', '', 'g')))"
+_TAIL = " – well-known and-so-on-and-so-forth incomprehensibilities-"
+
+
+def _tailed(t: Tables) -> DataFrame:
+    return t.fx_blocks.withColumn("lang", F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en"))
+
+
+@query(f"WITH RECURSIVE {_greedy_sql(_LENGTH)} SELECT * FROM ov")
 def f23_layout_greedy(t: Tables) -> DataFrame:
-    d = t.fx_blocks.withColumn("lang", F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en"))
-    return O.layout_greedy(d, F.lit(24))
+    return O.layout_greedy(_tailed(t), F.lit(24))
 
 
-@query()
+_HYPHENED = f"CASE WHEN block_idx % 2 = 0 THEN concat(text, '{_TAIL}') ELSE text END"
+
+
+@query(f"WITH RECURSIVE {_greedy_sql(_LENGTH).replace('block_idx, text, script', f'block_idx, {_HYPHENED} AS text, script')} SELECT * FROM ov")
+def f23_layout_hyphens(t: Tables) -> DataFrame:
+    """Texts with words that break at hyphens and words longer than a line."""
+    return O.layout_greedy(_tailed(t).withColumn("text", F.expr(_HYPHENED)), F.lit(24))
+
+
+@query("""WITH RECURSIVE r AS (SELECT page_id, block_idx, regexp_extract_all(text, '\\S+') AS w, CAST([] AS VARCHAR[]) AS lines, '' AS line FROM fx_blocks
+ UNION ALL SELECT page_id, block_idx, CASE WHEN fits THEN w[2:] WHEN cut > 0 THEN list_prepend(substr(w1, cut + 1), w[2:]) ELSE w END,
+  CASE WHEN fits THEN lines WHEN cut > 0 THEN list_append(lines, concat(ind, lft, substr(w1, 1, cut), '-')) ELSE list_append(lines, concat(ind, line)) END, CASE WHEN fits THEN concat(lft, w1) ELSE '' END
+ FROM (SELECT *, length(w1) <= 9 - length(ind) - length(lft) AS fits, CASE WHEN length(w1) > 9 - length(ind) AND 9 - length(ind) - length(lft) > 1 THEN 8 - length(ind) - length(lft) ELSE 0 END AS cut
+  FROM (SELECT *, w[1] AS w1, CASE WHEN len(lines) = 0 THEN '  ' ELSE '' END AS ind, CASE WHEN line = '' THEN '' ELSE concat(line, ' ') END AS lft FROM r WHERE len(w) > 0) x) y),
+f AS (SELECT page_id, block_idx, CASE WHEN line = '' THEN lines ELSE list_append(lines, concat(CASE WHEN len(lines) = 0 THEN '  ' ELSE '' END, line)) END AS l FROM r WHERE len(w) = 0),
+o AS (SELECT page_id, block_idx, CASE WHEN len(l) > 4 THEN list_append(l[1:3], concat(rtrim(l[4][1:6]), '...')) ELSE l END AS l, len(l) > 4 AS overflow FROM f)
+SELECT page_id, block_idx, CAST(n - 1 AS INT) AS line_no, l[n] AS line, overflow FROM (SELECT *, unnest(range(1, len(l) + 1)) AS n FROM o) z""")
 def f24_layout_columns(t: Tables) -> DataFrame:
-    return O.layout_columns(t.fx_blocks, 24, first_indent="  ", max_lines=4)
+    """Narrow columns, so that words break."""
+    return O.layout_columns(t.fx_blocks, 9, first_indent="  ", max_lines=4)
 
 
 @query("""SELECT page_id, block_idx, concat(array_to_string(list_transform(str_split(replace(regexp_replace(text, '\\s+', '', 'g'), '…', '...'), ''), lambda c: CASE WHEN ord(c) BETWEEN 33 AND 126 THEN chr(ord(c) + 65248) ELSE c END), ''), '．．．ｘ・ガパア。') AS clean FROM fx_blocks""")
@@ -298,10 +341,11 @@ def f22_clean_ja(t: Tables) -> DataFrame:
     return t.fx_blocks.select(*B, T.clean_ja(F.concat("text", F.lit(" ・.・x・ｶﾞﾊﾟｱ｡"))).alias("clean"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_greedy_sql(_WIDE).replace('block_idx, text, script', f'block_idx, {_HYPHENED} AS text, script')}, bl AS (SELECT page_id, block_idx, bool_or(overflow) AS o FROM ov GROUP BY 1, 2)
+SELECT page_id, count(*) AS blocks, CAST(sum(CASE WHEN o THEN 1 ELSE 0 END) AS BIGINT) AS overflowing FROM bl GROUP BY 1""")
 def h4_overflow_report(t: Tables) -> DataFrame:
     """Lines measured by a function: wide letters count double."""
-    d = t.fx_blocks.withColumn("lang", F.when(F.col("script").startswith("Japanese"), "ja").otherwise("en"))
+    d = _tailed(t).withColumn("text", F.expr(_HYPHENED))
     return O.overflow_report(O.layout_greedy(d, F.lit(24.0), lambda line: sum(2 if c in "mwMW" else 1 for c in line)))
 
 
