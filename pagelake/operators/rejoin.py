@@ -4,17 +4,19 @@ items: chapter_id, page_no, idx (the order within the page), corners in strip
 coordinates, style (what must be equal) and text. A pair can only stand on one
 page or on neighbours, and within a few pixels, so pairs come from a join on
 page and band of height. Groups then form around seeds in the order of items;
-that fold sees only items that have a partner.
+that fold sees the items that hang together over any number of pairs, so a
+chapter of many items is many small folds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins as J
+from .components import components
 
 BAND = 256
 
@@ -67,12 +69,20 @@ def _member(prefix: str) -> Column:
 
 def groups(pairs: DataFrame) -> DataFrame:
     """(chapter_id, group, page_no, idx): each item in order, unless taken, takes all its partners that are not."""
-    rows = pairs.select("chapter_id", _member("a").alias("a"), _member("b").alias("b")).groupBy("chapter_id", "a").agg(F.sort_array(F.collect_list("b")).alias("bs"))
-    return _grown(rows, lambda seed, bs, used: F.filter(bs, lambda b: ~F.array_contains(used, F.struct(b["page_no"], b["idx"]))))
+    return _grown(pairs, lambda seed, bs, used: F.filter(bs, lambda b: ~F.array_contains(used, F.struct(b["page_no"], b["idx"]))))
+
 
+def _node(prefix: str) -> Column:
+    return F.struct("chapter_id", F.col(f"{prefix}_page_no").cast("long").alias("page_no"), F.col(f"{prefix}_idx").cast("long").alias("idx"))
 
-def _grown(rows: DataFrame, choose: Callable[[Column, Column, Column], Column]) -> DataFrame:
-    chapter = rows.groupBy("chapter_id").agg(F.sort_array(F.collect_list(F.struct("a", "bs"))).alias("seeds"))
+
+def _grown(pairs: DataFrame, choose: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """(chapter_id, group, place, page_no, idx): seeds in order take what choose gives of their partners. Groups are numbered within a chapter in the order of their seeds."""
+    root = components(pairs.select(_node("a").alias("a"), _node("b").alias("b")))
+    root = root.select(F.col("node.chapter_id").alias("chapter_id"), F.col("node.page_no").alias("page_no"), F.col("node.idx").alias("idx"), "root")
+    rows = pairs.select("chapter_id", _member("a").alias("a"), _member("b").alias("b")).groupBy("chapter_id", "a").agg(F.sort_array(F.collect_list("b")).alias("bs"))
+    own = rows.withColumns({"page_no": F.col("a.page_no"), "idx": F.col("a.idx")}).join(root, ["chapter_id", "page_no", "idx"])
+    together = own.groupBy("chapter_id", "root").agg(F.sort_array(F.collect_list(F.struct("a", "bs"))).alias("seeds"))
     key = "struct<page_no:bigint,idx:bigint>"
     zero = F.struct(F.array().cast(f"array<{key}>").alias("used"), F.array().cast(f"array<array<{key}>>").alias("out"))
     name = lambda m: F.struct(m["page_no"].alias("page_no"), m["idx"].alias("idx"))
@@ -84,7 +94,9 @@ def _grown(rows: DataFrame, choose: Callable[[Column, Column, Column], Column])
         grown = F.struct(F.concat(acc["used"], own).alias("used"), F.when(F.size(got) > 0, F.concat(acc["out"], F.array(own))).otherwise(acc["out"]).alias("out"))
         return F.when(taken, acc).otherwise(grown)
 
-    out = chapter.select("chapter_id", F.posexplode(F.aggregate("seeds", zero, step, lambda a: a["out"])).alias("group", "m"))
+    out = together.select("chapter_id", F.explode(F.aggregate("seeds", zero, step, lambda a: a["out"])).alias("m"))
+    order = Window.partitionBy("chapter_id").orderBy(F.col("m")[0])
+    out = out.withColumn("group", F.row_number().over(order) - 1)
     return out.select("chapter_id", "group", F.posexplode("m").alias("place", "k")).select("chapter_id", "group", "place", "k.page_no", "k.idx")
 
 
@@ -98,7 +110,6 @@ def text_groups(items: DataFrame, gap: float = 50, left: float = 15) -> DataFram
     near = lambda c: F.floor(F.col(c) / (left + 1))
     a = a.withColumn("v", F.explode(F.array(near("a_x1") - 1, near("a_x1"), near("a_x1") + 1)))
     met = a.join(b.withColumn("v", near("b_x1")), ["chapter_id", "page_no", "v"]).filter((F.col("a_style") == F.col("b_style")) & aligned(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}")))
-    rows = met.select("chapter_id", _member("a").alias("a"), _member("b").alias("b")).groupBy("chapter_id", "a").agg(F.sort_array(F.collect_list("b")).alias("bs"))
 
     def choose(seed: Column, bs: Column, used: Column) -> Column:
         def onto(acc: Column, b: Column) -> Column:
@@ -112,7 +123,7 @@ def text_groups(items: DataFrame, gap: float = 50, left: float = 15) -> DataFram
         grown = F.aggregate(bs, F.array(seed), onto)
         return F.slice(grown, F.lit(2), F.greatest(F.size(grown) - 1, F.lit(0)))
 
-    return _grown(rows, choose)
+    return _grown(met, choose)
 
 
 def merge_groups(items: DataFrame, found: DataFrame, layout: DataFrame, glue: str = " ", differ: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins as J
+from .components import components
 
 
 def strip_layout(pages: DataFrame, start: int = 100, gap: int = 0) -> DataFrame:
@@ -190,21 +191,19 @@ def seam_merge(blocks: DataFrame, heights: DataFrame, matches: DataFrame) -> Dat
 
     blocks: chapter_id, slice_no, block_idx, corners and bubble corners
     (bubble_x1 ..., null without one); heights: chapter_id, slice_no, height;
-    matches: chapter_id, slice_no (of the upper slice), block_idx, next_idx. A
-    block that the seam above has consumed owns nothing; what it was matched
-    with stays. Seams of a chapter follow each other, so consumed blocks are
-    found by a fold over its matches, which are few.
+    matches: chapter_id, slice_no (of the upper slice), block_idx, next_idx,
+    where a block has at most one match above and one below. A block that the
+    seam above has consumed owns nothing; what it was matched with stays. So of
+    the matches that hang together, one below the other, every second one
+    counts.
     """
-    seam = matches.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(F.struct(F.col("block_idx").cast("long").alias("a"), F.col("next_idx").cast("long").alias("b")))).alias("m"))
-    chapter = seam.groupBy("chapter_id").agg(F.sort_array(F.collect_list(F.struct(F.col("slice_no").cast("long").alias("s"), "m"))).alias("seams"))
-    pair = "array<struct<a:bigint,b:bigint>>"
-    zero = F.struct(F.lit(-1).cast("long").alias("s"), F.array().cast("array<bigint>").alias("gone"), F.array().cast(f"array<struct<s:bigint,m:{pair}>>").alias("out"))
-
-    def step(acc: Column, one: Column) -> Column:
-        kept = F.filter(one["m"], lambda p: ~((acc["s"] + 1 == one["s"]) & F.array_contains(acc["gone"], p["a"])))
-        return F.struct(one["s"].alias("s"), F.transform(kept, lambda p: p["b"]).alias("gone"), F.concat(acc["out"], F.array(F.struct(one["s"].alias("s"), kept.alias("m")))).alias("out"))
-
-    kept = chapter.select("chapter_id", F.inline(F.aggregate("seams", zero, step, lambda a: a["out"]))).select("chapter_id", F.col("s").alias("slice_no"), F.inline("m"))
+    number = lambda c: F.col(c).cast("long")
+    node = lambda slice_no, block: F.struct("chapter_id", slice_no.alias("s"), block.alias("n"))
+    links = matches.select("chapter_id", number("slice_no").alias("slice_no"), number("block_idx").alias("a"), number("next_idx").alias("b"))
+    links = links.withColumns({"upper": node(F.col("slice_no"), F.col("a")), "lower": node(F.col("slice_no") + 1, F.col("b"))})
+    chain = components(links.select(F.col("upper").alias("a"), F.col("lower").alias("b"))).withColumnRenamed("node", "upper")
+    place = F.row_number().over(Window.partitionBy("root").orderBy("slice_no"))
+    kept = links.join(chain, "upper").withColumn("place", place).filter(F.col("place") % 2 == 1).select("chapter_id", "slice_no", "a", "b")
     below = blocks.select("chapter_id", (F.col("slice_no") - 1).alias("slice_no"), F.col("block_idx").alias("b"), *(F.col(f"{p}{c}").alias(f"n_{p}{c}") for p in ("", "bubble_") for c in J.CORNERS))
     parts = kept.join(heights, ["chapter_id", "slice_no"]).join(below, ["chapter_id", "slice_no", "b"]).withColumnRenamed("a", "block_idx")
     gone = kept.select("chapter_id", (F.col("slice_no") + 1).alias("slice_no"), F.col("b").alias("block_idx"))
