@@ -182,11 +182,11 @@ def _piece_table(spark: SparkSession, file: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(pieces(file))), "id int, piece string"))
 
 
-def _decoded(lists: DataFrame, key: list[str], table: DataFrame) -> DataFrame:
-    """(*key, decoded) of rows (*key, ids), keys distinct: ids meet their pieces in a join and are put back in order."""
-    parts = lists.select(*key, F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
-    joined = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
-    return joined.select(*key, F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
+def _decoded(lists: DataFrame, key: str, table: DataFrame, *keep: str) -> DataFrame:
+    """(key, *keep, decoded) of rows (key, *keep, ids), keys distinct: ids meet their pieces in a join and are put back in order."""
+    parts = lists.select(key, *keep, F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
+    joined = parts.groupBy(key).agg(*(F.first(c).alias(c) for c in keep), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+    return joined.select(key, *keep, F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
 
 
 class _Words:
@@ -271,7 +271,8 @@ def _encode(docs: DataFrame, keep: tuple[str, ...], file: str | None, finish: Ca
     # The distinct-word table: each word encoded, and where asked decoded, once.
     table = words.select("word").distinct().mapInArrow(_encode_words(file), "word string, packed binary, ids array<int>")
     if decode:
-        table = _decoded(table, ["word", "packed"], _piece_table(docs.sparkSession, file))
+        # Dealt by word before ids are taken apart, so that neither putting them together nor the join below moves them again.
+        table = _decoded(table.repartition("word"), "word", _piece_table(docs.sparkSession, file), "packed")
     coded = words.join(table.withColumn("ids", F.col("packed")), "word").select("block", "number", "ids", *(["decoded"] if decode else []))
     return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join_back(file, list(keep), finish, pa.schema(fields)), ddl)
 
@@ -302,5 +303,5 @@ def decode(encoded: DataFrame, file: str | None = None) -> DataFrame:
     """
     # null and [] share a key and a text.
     rows = encoded.select("doc_id", "ids", F.struct(F.xxhash64("ids").alias("a"), F.xxhash64(F.lit(1), "ids").alias("b")).alias("__key"))
-    texts = _decoded(rows.select("__key", "ids").dropDuplicates(["__key"]), ["__key"], _piece_table(encoded.sparkSession, file or public_tokenizers.path(TOKENIZER)))
+    texts = _decoded(rows.select("__key", "ids").dropDuplicates(["__key"]), "__key", _piece_table(encoded.sparkSession, file or public_tokenizers.path(TOKENIZER)))
     return rows.join(texts, "__key").select("doc_id", "decoded")
