@@ -139,7 +139,7 @@ def test_sharding(spark, odd):
 
 
 def test_top_k_of_huge_components(spark):
-    rows = [(0, [1.0, 2.0]), (1, [1e18, 1e18]), (2, [1e300, -1e300]), (3, [4e7, -3e7]), (20, [2e7, 4.2e7]), (4, [5e15, 0.0])]
+    rows = [(0, [1.0, 2.0]), (1, [1e18, 1e18]), (2, [1e300, -1e300]), (3, [3e7, -3e7]), (5, [4e7, -3e7]), (20, [2e7, 4.2e7]), (4, [5e15, 0.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").select("vec_id", topk.scaled(F.col("embedding")).alias("vector"))
     got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(table, table.filter("vec_id % 20 = 0")).collect()}
     whole = {i: [math.floor(64 * x) for x in v] for i, v in rows if i in (0, 3, 20)}
