@@ -2,7 +2,9 @@
 
 A page is one array of boxes, in order, and each operator a fold over it in
 the JVM. A page holds tens of boxes, so its array is small; pages are spread
-over the cluster by the one shuffle that gathers them.
+over the cluster by the one shuffle that gathers them. Where a fold compares a
+box with all boxes so far, pages of more than `crowd` boxes are folded by cells
+instead (crowded.py), with the same result.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
+from . import crowded
 
 CORNERS = ("x1", "y1", "x2", "y2")
 _IDX = "idx:bigint,"
@@ -70,7 +73,7 @@ def listed(df: DataFrame, items: Column, *keys: str) -> DataFrame:
     return df.select(*(keys or ("page_id",)), F.inline(items))
 
 
-def merge_contained(df: DataFrame, least: float = 0.3, same: float = 0.5) -> DataFrame:
+def merge_contained(df: DataFrame, least: float = 0.3, same: float = 0.5, crowd: int = crowded.CROWD) -> DataFrame:
     """Boxes in order, grown over all original boxes in a containment of at least that share; then of near-equal results the first."""
     page = boxes_of(df, [F.col("det_idx")])
 
@@ -86,8 +89,11 @@ def merge_contained(df: DataFrame, least: float = 0.3, same: float = 0.5) -> Dat
         known = F.exists(acc, lambda k: (k == s) | (B.iou(as_box(k), as_box(s)) >= same))
         return F.when(known, acc).otherwise(F.concat(acc, F.array(s)))
 
-    grown = page.withColumn("grown", F.transform("items", grow))
-    return grown.select("page_id", F.posexplode(F.aggregate("grown", empty(_BOX), keep)).alias("idx", "b")).select("page_id", "idx", "b.*")
+    def usual(pages: DataFrame) -> DataFrame:
+        grown = pages.withColumn("grown", F.transform("items", grow))
+        return grown.select("page_id", F.posexplode(F.aggregate("grown", empty(_BOX), keep)).alias("idx", "b")).select("page_id", "idx", "b.*")
+
+    return crowded.by_crowd(page, usual, lambda rows: crowded.merge_contained(rows, least, same), crowd)
 
 
 def merge_slices(df: DataFrame, page_height: int | str, inside: float = 0.85, same: float = 0.5, shared: float = 0.2, gap: float = 0.1) -> DataFrame:
@@ -142,7 +148,7 @@ def merge_slices(df: DataFrame, page_height: int | str, inside: float = 0.85, sa
     return listed(page, F.aggregate("items", zero, outer, lambda a: a["out"]), "page_id", "label").drop("idx")
 
 
-def merge_touching(df: DataFrame, width: int, height: int, pad: int = 32) -> DataFrame:
+def merge_touching(df: DataFrame, width: int, height: int, pad: int = 32, crowd: int = crowded.CROWD) -> DataFrame:
     """Padded boxes that touch (edges included) are merged until none do; the hulls don't depend on the order."""
     from .boxes import pad_boxes
 
@@ -159,7 +165,7 @@ def merge_touching(df: DataFrame, width: int, height: int, pad: int = 32) -> Dat
         return F.when(acc["done"], acc).otherwise(F.transform(F.array(merged), lambda m: F.struct(m.alias("b"), (F.size(m) == F.size(acc["b"])).alias("done")))[0])
 
     start = F.struct(F.transform("items", lambda k: struct(as_box(k))).alias("b"), F.lit(False).alias("done"))
-    return listed(page, F.aggregate("items", start, again, lambda a: a["b"]))
+    return crowded.by_crowd(page, lambda pages: listed(pages, F.aggregate("items", start, again, lambda a: a["b"])), crowded.merge_touching, crowd)
 
 
 def _merge_into_first(page: DataFrame, fits: Callable[[Column, Column], Column]) -> Column:
@@ -172,7 +178,7 @@ def _merge_into_first(page: DataFrame, fits: Callable[[Column, Column], Column])
     return F.aggregate("items", empty(_IDX + _BOX), step)
 
 
-def merge_line_boxes(df: DataFrame, width: int, height: int) -> DataFrame:
+def merge_line_boxes(df: DataFrame, width: int, height: int, crowd: int = crowded.CROWD) -> DataFrame:
     """Line fragments in (y, x) order merged into the first group that they continue, along or down; clamped, over 3 pixels."""
 
     def fits(k: Column, b: Column) -> Column:
@@ -192,7 +198,7 @@ def merge_line_boxes(df: DataFrame, width: int, height: int) -> DataFrame:
         return F.when(~tall(a) & ~tall(c) & (flat(a) | flat(c) | level), level).when(~flat(a) & ~flat(c), upright).otherwise(False)
 
     page = boxes_of(df, [F.col("y1"), F.col("x1"), F.col("det_idx")])
-    out = listed(page, _merge_into_first(page, fits))
+    out = crowded.by_crowd(page, lambda pages: listed(pages, _merge_into_first(pages, fits)), lambda rows: crowded.merge_line_boxes(rows, width), crowd)
     from .boxes import clean_boxes
 
     return clean_boxes(out, width, height, tol=3)
@@ -234,7 +240,7 @@ def merge_aligned(df: DataFrame) -> DataFrame:
     return listed(rows, F.aggregate(F.sort_array("r.members"), empty(_IDX + _BOX), along))
 
 
-def absorb_fragments(df: DataFrame) -> DataFrame:
+def absorb_fragments(df: DataFrame, crowd: int = crowded.CROWD) -> DataFrame:
     """Small fragments, in order, each taken by the much larger box of least vertical gap that it overlaps or nearly touches; that box grows.
 
     Small: height up to max(8, 0.45 medians) and width up to max(36, 0.35
@@ -265,7 +271,7 @@ def absorb_fragments(df: DataFrame) -> DataFrame:
 
     start = F.transform("items", lambda k: struct(as_box(k), gone=F.lit(False), idx=k["idx"]))
     folded = F.aggregate(F.sequence(F.lit(0), F.size("items") - 1), start, step, lambda a: F.filter(a, lambda k: ~k["gone"]))
-    return listed(page, folded).drop("gone")
+    return crowded.by_crowd(page, lambda pages: listed(pages, folded).drop("gone"), crowded.absorb_fragments, crowd)
 
 
 def rows_by_y(df: DataFrame) -> DataFrame:
@@ -329,7 +335,7 @@ def reading_order(df: DataFrame, rtl: bool = False, vertical: Column | None = No
     return page.select("page_id", F.posexplode(placed).alias("rank", "b")).select("page_id", F.col("b.idx").alias("det_idx"), "rank")
 
 
-def dedup_blocks(df: DataFrame, tolerance: float = 5, degrees: float = 0.1) -> DataFrame:
+def dedup_blocks(df: DataFrame, tolerance: float = 5, degrees: float = 0.1, crowd: int = crowded.CROWD) -> DataFrame:
     """Blocks in order: one near a kept one (less than so many pixels and degrees) with equal text takes its place if larger, else goes."""
     fields = {"idx": F.col("det_idx").cast("long")} | longs(*CORNERS) | {"angle": F.col("angle").cast("double"), "text": F.col("text")}
     page = gathered(df, ["page_id"], [F.col("det_idx")], fields)
@@ -345,7 +351,8 @@ def dedup_blocks(df: DataFrame, tolerance: float = 5, degrees: float = 0.1) -> D
         larger = put(acc, at, lambda k: F.when(as_box(new).area > as_box(k).area, new).otherwise(k))
         return F.when(at.isNull(), F.concat(acc, F.array(new))).otherwise(larger)
 
-    return listed(page, F.aggregate("items", empty(f"{_IDX}{_BOX},angle:double,text:string"), step)).drop("angle", "text")
+    folded = F.aggregate("items", empty(f"{_IDX}{_BOX},angle:double,text:string"), step)
+    return crowded.by_crowd(page, lambda pages: listed(pages, folded).drop("angle", "text"), lambda rows: crowded.dedup_blocks(rows, tolerance, degrees), crowd)
 
 
 #: What each kind of item compares, by numbers within the tolerance, and whether angle and plain text count.

@@ -13,7 +13,7 @@ from ..operators import clusters as C
 from ..operators import orientation as D
 from .boxes import HEIGHT, WIDTH
 from .fixtures import Tables
-from .registry import query
+from .registry import query, same_rows_as
 
 BOX = "STRUCT(idx BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)"
 FIELDS = "{'idx': CAST(det_idx AS BIGINT), 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}"
@@ -84,6 +84,11 @@ def c1_merge_contained(t: Tables) -> DataFrame:
     return C.merge_contained(t.fx_text)
 
 
+@same_rows_as("c1_merge_contained")
+def c1_contained_by_cells(t: Tables) -> DataFrame:
+    return C.merge_contained(t.fx_text, crowd=0)
+
+
 OWN, NEW = "c.s.own", "y.b"
 CONTAINED = f"(least({area(OWN)},{area(NEW)}) > 0 AND {both(OWN, NEW)}/least({area(OWN)},{area(NEW)}) >= 0.85)"
 STACKED = f"""(least(abs({OWN}.y1-{NEW}.y2),abs({OWN}.y2-{NEW}.y1)) < least(0.1*{HEIGHT}, 0.1*greatest({h(OWN)},{h(NEW)})) AND least({w(OWN)},{w(NEW)}) > 0
@@ -117,6 +122,11 @@ def c3_merge_touching(t: Tables) -> DataFrame:
     return C.merge_touching(t.fx_text, WIDTH, HEIGHT)
 
 
+@same_rows_as("c3_merge_touching")
+def c3_touching_by_cells(t: Tables) -> DataFrame:
+    return C.merge_touching(t.fx_text, WIDTH, HEIGHT, crowd=0)
+
+
 def _continues(axis: str, other: str, size, reach: str) -> str:
     least = f"greatest(least({size('k')},{size('x.b')}),1)"
     centres = f"abs((k.{axis}1+k.{axis}2)-(x.b.{axis}1+x.b.{axis}2))/2.0"
@@ -137,6 +147,11 @@ def c4_merge_line_boxes(t: Tables) -> DataFrame:
     return C.merge_line_boxes(t.fx_text, WIDTH, HEIGHT)
 
 
+@same_rows_as("c4_merge_line_boxes")
+def c4_line_boxes_by_cells(t: Tables) -> DataFrame:
+    return C.merge_line_boxes(t.fx_text, WIDTH, HEIGHT, crowd=0)
+
+
 DOUBLED = """(SELECT page_id, det_idx, x1, y1, x2, y2, CAST((page_id+det_idx) % 3 AS DOUBLE) AS angle, CAST(det_idx AS VARCHAR) AS text FROM fx_text
  UNION ALL SELECT page_id, det_idx + 100, x1, y1, x2 + 3, y2, CAST((page_id+det_idx) % 3 AS DOUBLE) + CASE WHEN page_id % 2 = 0 THEN 0.05 ELSE 0.2 END, CAST(det_idx AS VARCHAR) FROM fx_text)"""
 BLOCK = "STRUCT(idx BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT, angle DOUBLE, text VARCHAR)"
@@ -146,11 +161,20 @@ NEAR = "k.text = x.b.text AND abs(k.angle-x.b.angle) < 0.1 AND " + " AND ".join(
 
 @query(unnested(fold("l", f"{BLOCK}[]", "[]", into_first("a.s", "x.b", NEAR, f"CASE WHEN {area('x.b')} > {area('k')} THEN x.b ELSE k END")), gathered("det_idx", fields=BLOCK_FIELDS, source=DOUBLED + " z")))
 def c8_dedup_blocks(t: Tables) -> DataFrame:
+    return C.dedup_blocks(doubled(t))
+
+
+@same_rows_as("c8_dedup_blocks")
+def c8_dedup_by_cells(t: Tables) -> DataFrame:
+    return C.dedup_blocks(doubled(t), crowd=0)
+
+
+def doubled(t: Tables) -> DataFrame:
     turn = ((F.col("page_id") + F.col("det_idx")) % 3).cast("double")
     one = t.fx_text.select("page_id", "det_idx", *C.CORNERS, turn.alias("angle"), F.col("det_idx").cast("string").alias("text"))
     lean = F.when(F.col("page_id") % 2 == 0, 0.05).otherwise(0.2)
     two = one.withColumns({"det_idx": F.col("det_idx") + 100, "x2": F.col("x2") + 3, "angle": F.col("angle") + lean})
-    return C.dedup_blocks(one.unionByName(two))
+    return one.unionByName(two)
 
 
 #: New items by kind: all texts twice, the second time moved by 2 pixels; existing ones: every text moved by 4 or 7.
@@ -227,6 +251,11 @@ def c12_absorb_fragments(t: Tables) -> DataFrame:
     return C.absorb_fragments(fragments(t))
 
 
+@same_rows_as("c12_absorb_fragments")
+def c12_absorb_by_cells(t: Tables) -> DataFrame:
+    return C.absorb_fragments(fragments(t), crowd=0)
+
+
 def fragments(t: Tables) -> DataFrame:
     small = F.col("det_idx") % 3 == 1
     return t.fx_text.withColumns({"x2": F.when(small, F.col("x1") + F.floor((F.col("x2") - F.col("x1")) / 4)).otherwise(F.col("x2")), "y2": F.when(small, F.least("y2", F.col("y1") + 10)).otherwise(F.col("y2"))})

@@ -22,6 +22,17 @@ def query(sql: str | None = None):
     return register
 
 
+def same_rows_as(name: str):
+    """Register a function of Tables that takes another way to the rows of an earlier query, whose SQL holds for both."""
+
+    def register(f: Callable) -> Callable:
+        query()(f)
+        _SQL[f.__name__] = _SQL[name]
+        return f
+
+    return register
+
+
 def _load() -> None:
     from . import boxes, clusters, joins, reports, sources, streams, strips, texts  # noqa: F401
 
