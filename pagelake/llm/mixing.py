@@ -4,8 +4,10 @@ A naive Bayes classifier, fitted on labelled documents, gives each document a
 posterior over domains. Nonnegative document rates are then fitted by
 projected gradient least squares, so that the expected tokens of each domain
 (rate * tokens * posterior, summed) meet their targets. A rate depends on the
-posterior and on one short vector for each step, so a step moves only the sums
-of domains; documents stay where they are.
+posterior and on one short vector for each step, so tokens are added up once by
+cells of the posterior, and steps are taken on that table, whose size is
+bounded; documents stay where they are. Each document's rate then follows from
+its own posterior, and the totals reported are those of all documents.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
 #: Rates so near a whole number are that number, so that clean documents stay; totals move by that share at most.
 SNAP = 0.02
+#: Cells of a posterior's axis while rates are fitted: at most GRID * (GRID + 1) / 2 + GRID cells hold documents.
+GRID = 256
 
 
 def tokens(text: Column) -> Column:
@@ -156,6 +160,22 @@ class Rates:
         return _rate(self.steps, max_rate)["rate"] if self.steps else F.lit(1.0)
 
 
+def cells(posteriors: DataFrame) -> DataFrame:
+    """Tokens and their mean posteriors by cells of the posterior, one row a cell; documents without tokens weigh nothing."""
+    at = [F.floor(F.col(f"p_{d}") * GRID) for d in ("toxic", "clean")]
+    n = F.sum("n_tokens")
+    means = [(F.sum(F.col("n_tokens") * F.col(f"p_{d}")) / n).alias(f"p_{d}") for d in DOMAINS]
+    return posteriors.filter("n_tokens > 0").groupBy(at[0].alias("u"), at[1].alias("v")).agg(n.alias("n_tokens"), *means).drop("u", "v")
+
+
+def totals(rows: DataFrame, steps: list[list[float]], max_rate: float | None) -> tuple[list[float], list[float]]:
+    """Expected tokens of each domain, of the rates after the steps and of where momentum has led."""
+    state = _rate(steps, max_rate) if steps else F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead"))
+    sums = [F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col(f"s.{k}")).alias(f"{k}_{d}") for d in DOMAINS for k in ("rate", "ahead")]
+    row = rows.withColumn("s", state).agg(*sums).first()
+    return tuple([row[f"{k}_{d}"] or 0.0 for d in DOMAINS] for k in ("rate", "ahead"))
+
+
 def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, rounds: int = 60, tolerance: float = 1e-3, still: float = 1e-4, patience: int = 8) -> Rates:
     """The projected gradient steps, with momentum, that bring expected domain tokens to the targets in the sense of least squares.
 
@@ -164,28 +184,29 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, max_ra
     They end when the largest deviation is within the tolerance or has not
     fallen by `still` in `patience` rounds: then bounds on rates, or posteriors
     too soft, forbid a better fit. Those up to the best round are returned.
+    Within a cell the mean posterior stands for all; as rates are bent lines
+    of the posterior, that errs by the bends only. The deviation returned is
+    measured on all posteriors.
     """
+    table = materialise(cells(posteriors).coalesce(4))  # its size is bounded
     steps: list[list[float]] = []
     seen: list[float] = []
-    first: list[float] | None = None
     t = 1.0
+    first, _ = totals(table, steps, max_rate)
+    main = max(targets, key=lambda d: targets[d])
+    budget = first[DOMAINS.index(main)] / targets[main]
+    wanted = [targets.get(d, 0.0) * budget for d in DOMAINS]
+    off = lambda sums: max(abs(a - b) for a, b in zip(sums, wanted, strict=True)) / budget if budget else 0.0
     while True:
-        # Totals of the rate itself, and of where momentum has led, from which the next step starts.
-        state = _rate(steps, max_rate)
-        rows = posteriors.withColumn("s", state if steps else F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("ahead")))
-        row = rows.agg(*[F.sum(F.col("n_tokens") * F.col(f"p_{d}") * F.col(f"s.{k}")).alias(f"{k}_{d}") for d in DOMAINS for k in ("rate", "ahead")]).first()
-        now, ahead = ([row[f"{k}_{d}"] or 0.0 for d in DOMAINS] for k in ("rate", "ahead"))
-        if first is None:
-            first = now
-            main = max(targets, key=lambda d: targets[d])
-            budget = now[DOMAINS.index(main)] / targets[main]
-            wanted = [targets.get(d, 0.0) * budget for d in DOMAINS]
-        seen.append(max(abs(a - b) for a, b in zip(now, wanted, strict=True)) / budget if budget else 0.0)
+        now, ahead = totals(table, steps, max_rate)
+        seen.append(off(now))
         if seen[-1] <= tolerance or len(seen) > rounds or len(seen) > patience and min(seen[:-patience]) - min(seen[-patience:]) < still:
-            best = min(range(len(seen)), key=seen.__getitem__)
-            return Rates(steps[:best], seen[best])
+            break
         t, old = (1 + math.sqrt(1 + 4 * t * t)) / 2, t
         steps.append([*((a - b) / m if m > 0 else 0.0 for a, b, m in zip(ahead, wanted, first, strict=True)), (old - 1) / t])
+    discard(table)
+    best = steps[: min(range(len(seen)), key=seen.__getitem__)]
+    return Rates(best, off(totals(posteriors, best, max_rate)[0]))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None) -> DataFrame:
