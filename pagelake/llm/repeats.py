@@ -25,10 +25,14 @@ from pyspark.sql import functions as F
 from .common import discard, materialise
 from .seeds import Shape, View, digest, find_seeds
 
-#: A seed or class of more rows than this and than total / MOST is large: there are at most MOST of them. Rows of other
-#: seeds are sorted in one task each, which spills, so it is a matter of time only.
-LARGE, MOST = 1 << 20, 8192
-SALTS = 64
+#: A seed or class of more rows than this and than total / MOST is large: there are at most MOST of them, which bounds
+#: what is broadcast. A large seed's rows are dealt out by as many salts as its count asks for, so that about so many
+#: share a salt; rows of other seeds meet in one task each.
+LARGE, MOST = 100_000, 1 << 18
+
+
+def bound(total: int) -> int:
+    return max(LARGE, total // MOST)
 
 
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -131,16 +135,16 @@ def repeated_seeds(rows: DataFrame, shape: Shape, view: Callable[[bytes], View])
     their salt, all others have salt 0. Seeds are counted before rows move.
     """
     counts = seed_counts(rows, shape, view)
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    is_large = F.col("count") > max(LARGE, total // MOST)
-    large = counts.filter(is_large).select("seed", F.lit(True).alias("large"))
+    most = bound(counts.agg(F.sum("count")).first()[0] or 0)
+    salts = F.when(F.col("count") > most, F.ceil(F.col("count") / most).cast("int"))
+    large = counts.select("seed", salts.alias("salts")).filter("salts is not null")
     some = bool(large.head(1))
     seeds = _seed_rows(rows, shape, view)
     if not some:
         return seeds.join(counts.select("seed"), "seed").withColumns({"large": F.lit(False), "salt": F.lit(0)}), False, counts
-    salted = seeds.join(F.broadcast(large), "seed", "left").withColumn("salt", F.when(F.col("large"), F.pmod(occurrence(), F.lit(SALTS))).otherwise(0).cast("int"))  # at most MOST rows
-    dealt = counts.select("seed", F.explode(F.when(is_large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    return salted.join(dealt, ["seed", "salt"]).withColumn("large", F.coalesce("large", F.lit(False))), True, counts
+    salted = seeds.join(F.broadcast(large), "seed", "left").withColumn("salt", F.coalesce(F.pmod(occurrence(), F.col("salts")), F.lit(0)).cast("int"))  # at most MOST rows
+    dealt = counts.select("seed", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)).alias("salt"))
+    return salted.join(dealt, ["seed", "salt"]).withColumn("large", F.col("salts").isNotNull()).drop("salts"), True, counts
 
 
 def windowed(*dealt: str) -> Callable[[DataFrame, list[str], Column], DataFrame]:
@@ -164,7 +168,7 @@ def classes(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
     known = " and ".join(f"{k} is not null" for k in keys)
     stats = rows.filter(known).groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("__n"))
     stats = materialise(stats.filter("__n > 1"))
-    is_large = F.col("__n") > max(LARGE, rows.count() // MOST)
+    is_large = F.col("__n") > bound(rows.count())
     large = stats.filter(is_large).drop("__n").withColumnsRenamed({"low": "__low", "high": "__high"})
     # Rows of large classes, and those of none, are dealt out by themselves and meet nothing in the shuffle.
     own = F.when(F.expr(known) & F.col("__low").isNull(), F.xxhash64(*keys)).otherwise(F.xxhash64(*rows.columns))
