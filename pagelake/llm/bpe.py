@@ -2,9 +2,11 @@
 
 1. Tasks split whole texts into words and cut their rows into blocks. A block
    keeps its distinct words and, for every position, the number of its word.
-2. The words of all blocks give the distinct-word table; each word is encoded once.
-3. A join by word gives each block its words' ids, by number, which fill the positions.
-4. Decoding joins ids with the vocabulary's id-to-piece table, once for each distinct word.
+2. The words of all blocks are put together by word: the distinct-word table,
+   sorted, in which each word is encoded once.
+3. A join by block gives each block its words' ids, by number, which fill the positions.
+4. Decoding joins the ids that a block holds, each once, with the vocabulary's
+   id-to-piece table. Its pieces go on in the same task, ahead of its rows.
 
 Texts travel once, as compressed word numbers; equal shuffles are reused by
 Spark. Blocks depend on the order of rows within input partitions, which a
@@ -166,13 +168,20 @@ def id_kind(file: str) -> str:
 
 
 def _encode_words(file: str) -> Callable:
-    """Distinct words to (word, ids), ids packed."""
+    """Rows (block, number, word), sorted by word, to (block, number, ids), ids packed; each distinct word of the task is encoded once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, kind = word_encoder(file), id_kind(file)
+        last, packed = None, b""
         for b in batches:
-            coded = t.encode_batch(b.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(e.ids, kind).tobytes() for e in coded], pa.binary()), pa.array([e.ids for e in coded], pa.list_(pa.int32()))], names=["word", "packed", "ids"])
+            named = b.column(2).dictionary_encode()
+            words = named.dictionary.to_pylist()
+            if not words:
+                continue
+            known = [packed] if words[0] == last else []  # a word that the batch before ended with
+            known += [np.array(e.ids, kind).tobytes() for e in t.encode_batch(words[len(known) :], add_special_tokens=False)]
+            last, packed = words[-1], known[-1]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(known, pa.binary()).take(named.indices)], names=["block", "number", "ids"])
 
     return run
 
@@ -182,11 +191,11 @@ def _piece_table(spark: SparkSession, file: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(list(enumerate(pieces(file))), "id int, piece string"))
 
 
-def _decoded(lists: DataFrame, key: str, table: DataFrame, *keep: str) -> DataFrame:
-    """(key, *keep, decoded) of rows (key, *keep, ids), keys distinct: ids meet their pieces in a join and are put back in order."""
-    parts = lists.select(key, *keep, F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
-    joined = parts.groupBy(key).agg(*(F.first(c).alias(c) for c in keep), F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
-    return joined.select(key, *keep, F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
+def _decoded(lists: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """(key, decoded) of rows (key, ids), keys distinct: ids meet their pieces in a join and are put back in order."""
+    parts = lists.select(key, F.posexplode_outer("ids").alias("pos", "id")).join(table, "id", "left")
+    joined = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "piece")))).alias("p"))
+    return joined.select(key, F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("decoded"))
 
 
 class _Words:
@@ -213,7 +222,17 @@ class _Words:
         return self.flat[at], sums[np.cumsum(lengths)]
 
 
-def _join_back(file: str, keep: list[str], finish: Callable, schema: pa.Schema, at_once: int = 1 << 20) -> Callable:
+def _join_back(file: str, keep: list[str], schema: pa.Schema, packed: bool, at_once: int = 1 << 20) -> Callable:
+    """A block's rows with their ids, an array; packed: bytes, after rows that hold nothing but one of the block's distinct ids each."""
+    kind = id_kind(file)
+
+    def column(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        first = np.concatenate(([0], ends))
+        if not packed:
+            return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))
+        size = np.dtype(kind).itemsize
+        return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer((first * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, kind))])
+
     def run(blocks: pa.Table, entries: pa.Table) -> pa.Table:
         if blocks.num_rows != 1:
             raise ValueError("a block was split differently when it was computed again; checkpoint the input")
@@ -221,60 +240,59 @@ def _join_back(file: str, keep: list[str], finish: Callable, schema: pa.Schema,
         kept, lengths = pa.ipc.open_stream(kept).read_all(), np.frombuffer(lengths, np.uint32).astype(np.int64)
         planes = np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(4, -1)
         codes = np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1)
-        words = _Words(entries, int(codes.max()) + 1 if len(codes) else 0, id_kind(file))
-        finisher = finish(entries, words)
+        words = _Words(entries, int(codes.max()) + 1 if len(codes) else 0, kind)
         ends = np.cumsum(lengths)
         out, lo = [], 0
         while lo < len(lengths):  # rows of about a million words at a time
             done = int(ends[lo - 1]) if lo else 0
             hi = max(lo + 1, int(np.searchsorted(ends, done + at_once, side="right")))
-            out.append(finisher(codes[done : int(ends[hi - 1])], lengths[lo:hi]))
+            out.append(column(*words.ids(codes[done : int(ends[hi - 1])], lengths[lo:hi])))
             lo = hi
-        columns = [pa.chunked_array([c[i] for c in out], schema.field(len(keep) + i).type) for i in range(len(schema) - len(keep))]
-        return pa.Table.from_arrays([*(kept.column(k) for k in keep), *columns], schema=schema)
+        columns = [*(kept.column(k) for k in keep), pa.chunked_array(out, schema.field(len(keep)).type)]
+        if not packed:
+            return pa.Table.from_arrays(columns, schema=schema)
+        used = pa.array(np.unique(words.flat).astype(np.int32))
+        ahead = pa.Table.from_arrays([*(pa.nulls(len(used), f.type) for f in list(schema)[:-1]), used], schema=schema)
+        return pa.concat_tables([ahead, pa.Table.from_arrays([*columns, pa.nulls(len(lengths), pa.int32())], schema=schema)])
 
     return run
 
 
-def _as_ids(entries: pa.Table, words: _Words) -> Callable:
-    def finish(codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
-        ids, ends = words.ids(codes, lengths)
-        return [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))]
-
-    return finish
-
-
-def _as_digests(entries: pa.Table, words: _Words) -> Callable:
-    texts = [x.encode() for x in entries.column("decoded").take(words.order).to_pylist()]
-
-    def finish(codes: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
-        ids, ends = words.ids(codes, lengths)
-        ids, upto = ids.astype("<u4"), np.cumsum(lengths).tolist()
-        starts = np.concatenate(([0], ends[:-1]))
-        coded = [hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        decoded = [hashlib.sha256(b" ".join([texts[c] for c in codes[a:b].tolist()])).hexdigest() for a, b in zip([0, *upto[:-1]], upto, strict=True)]
-        return [pa.array(ends - starts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
-
-    return finish
-
-
-def _encode(docs: DataFrame, keep: tuple[str, ...], file: str | None, finish: Callable, more: dict[str, tuple[str, pa.DataType]], decode: bool, block_chars: int) -> DataFrame:
+def _encode(docs: DataFrame, keep: tuple[str, ...], file: str, packed: bool, block_chars: int) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    file = file or public_tokenizers.path(TOKENIZER)
     source = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     kept = source.drop("__text").schema
-    fields = [*to_arrow_schema(kept), *(pa.field(k, t) for k, (_, t) in more.items())]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{k} {t}" for k, (t, _) in more.items())])
+    more = [pa.field("__ids", pa.binary()), pa.field("__id", pa.int32())] if packed else [pa.field("ids", pa.list_(pa.int32()))]
+    schema = pa.schema([*(pa.field(f.name, f.type) for f in to_arrow_schema(kept)), *more])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__ids binary, __id int" if packed else "ids array<int>"])
     blocks = source.mapInArrow(_blocks(list(keep), block_chars), "block long, body binary").repartition("block")
     words = blocks.mapInArrow(_words, "block long, number int, word string")
-    # The distinct-word table: each word encoded, and where asked decoded, once.
-    table = words.select("word").distinct().mapInArrow(_encode_words(file), "word string, packed binary, ids array<int>")
-    if decode:
-        # Dealt by word before ids are taken apart, so that neither putting them together nor the join below moves them again.
-        table = _decoded(table.repartition("word"), "word", _piece_table(docs.sparkSession, file), "packed")
-    coded = words.join(table.withColumn("ids", F.col("packed")), "word").select("block", "number", "ids", *(["decoded"] if decode else []))
-    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join_back(file, list(keep), finish, pa.schema(fields)), ddl)
+    # The distinct-word table: rows of a word stand together, so it is encoded once, and none moves before its ids do.
+    coded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(file), "block long, number int, ids binary")
+    return blocks.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_join_back(file, list(keep), schema, packed), ddl)
+
+
+def _as_digests(keep: list[str], file: str) -> Callable:
+    """Rows (keep, packed ids, id, piece) to digests: a row with an id brings its piece, the others are decoded by the pieces before them."""
+    kind, names = id_kind(file), [*keep, "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, bytes] = {}
+        for b in batches:
+            n = len(keep)
+            told = b.filter(b.column(n + 1).is_valid())
+            known.update(zip(told.column(n + 1).to_pylist(), told.column(n + 2).cast(pa.binary()).to_pylist(), strict=True))
+            rows, out = b.filter(b.column(n).is_valid()), []
+            for packed in rows.column(n):
+                ids = np.frombuffer(packed.as_buffer(), kind)
+                decoded = b" ".join(map(known.__getitem__, ids.tolist()))
+                out.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            types = (pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*rows.columns[:n], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=names)
+
+    return run
 
 
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -285,13 +303,21 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | Non
     keep their row; other columns of docs are not read. A task holds one
     block: about block_chars characters, or one text if that is longer.
     """
-    return _encode(docs, keep, file, _as_ids, {"ids": ("array<int>", pa.list_(pa.int32()))}, False, block_chars)
+    return _encode(docs, keep, file or public_tokenizers.path(TOKENIZER), False, block_chars)
 
 
 def digests(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), file: str | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The columns keep, n_tokens, ids_sha256 and decoded_sha256: encode and decode without keeping the ids."""
-    text = ("string", pa.string())
-    return _encode(docs, keep, file, _as_digests, {"n_tokens": ("long", pa.int64()), "ids_sha256": text, "decoded_sha256": text}, True, block_chars)
+    """The columns keep, n_tokens, ids_sha256 and decoded_sha256: encode and decode without keeping the ids.
+
+    A null or empty text has no tokens and the digests of nothing; repeated
+    rows and null ids each keep their row; other columns of docs are not read.
+    The join with the id-to-piece table streams a block's rows on in their
+    order; a piece that came late would fail the task, not change a result.
+    """
+    file = file or public_tokenizers.path(TOKENIZER)
+    coded = _encode(docs, keep, file, True, block_chars).join(_piece_table(docs.sparkSession, file).toDF("__id", "__piece"), "__id", "left").select(*keep, "__ids", "__id", "__piece")
+    ddl = "".join(f"`{k}` {coded.schema[k].dataType.simpleString()}, " for k in keep)
+    return coded.mapInArrow(_as_digests(list(keep), file), f"{ddl}n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, file: str | None = None) -> DataFrame:

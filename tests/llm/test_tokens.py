@@ -57,6 +57,13 @@ def test_blocks_split_rows(docs):
     assert sorted(str(tuple(r)) for r in bpe.digests(many, block_chars=10).collect()) == sorted(str(tuple(r)) for r in bpe.digests(docs).collect())
 
 
+def test_kept_columns_may_have_any_name(docs):
+    named = docs.select(F.col("doc_id").alias("id"), F.lit("p").alias("piece"), F.lit(1).alias("number"), "text")
+    got = bpe.digests(named, keep=("id", "piece", "number"), block_chars=50)
+    assert sorted(str(tuple(r)) for r in got.drop("piece", "number").collect()) == sorted(str(tuple(r)) for r in bpe.digests(docs).collect())
+    assert got.select("piece", "number").distinct().collect() == [("p", 1)]
+
+
 def encoders():
     file = public_tokenizers.path(bpe.TOKENIZER)
     whole, words = bpe.tokenizer(file), bpe.word_encoder(file)
