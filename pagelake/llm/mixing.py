@@ -24,8 +24,6 @@ from .common import discard, materialise
 
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.9, "poor": 0.1, "toxic": 0.0}
-#: Rates so near a whole number are that number, so that clean documents stay; totals move by that share at most.
-SNAP = 0.02
 #: Cells of a posterior's axis while rates are fitted: at most GRID * (GRID + 1) / 2 + GRID cells hold documents.
 GRID = 256
 
@@ -209,12 +207,13 @@ def fit_rates(posteriors: DataFrame, targets: dict[str, float] = TARGETS, max_ra
     return Rates(best, off(totals(posteriors, best, max_rate)[0]))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, whole_within: float = 0.0) -> DataFrame:
     """doc_id, crc, n_tokens, p_clean, p_poor, p_toxic, rate, copies and deviation for every row of docs.
 
     No rate exceeds max_rate; targets are then met as nearly as that allows.
     copies is the rate rounded down or up by a hash of id and text, so its
-    mean is the rate; rates within SNAP of a whole number are that number.
+    mean is the rate. whole_within: rates so near a whole number give that many
+    copies; totals then move by that share at most.
     deviation: how far expected totals stay from the targets, see fit_rates. A
     null or blank text has no tokens and is judged like one without words; rows with
     a null id are drawn by their text. Repeated rows get equal values. Without
@@ -228,13 +227,13 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     rate = fitted.rate(max_rate)
     whole = F.round("rate")
     draw = F.pmod(F.xxhash64("doc_id", "crc"), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.when(F.abs(F.col("rate") - whole) <= SNAP, whole).otherwise(F.floor(F.col("rate") + draw))
+    copies = F.when(F.abs(F.col("rate") - whole) <= whole_within, whole).otherwise(F.floor(F.col("rate") + draw))
     return scored.withColumn("rate", rate).withColumns({"copies": copies.cast("int"), "deviation": F.lit(fitted.deviation)})
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None) -> DataFrame:
-    """The rows of docs, each as often as its copies say; columns as in docs."""
-    chosen = mix(docs, labels, targets, max_rate).filter("copies > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("crc").alias("__crc"), F.col("copies").alias("__copies")).distinct()
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, max_rate: float | None = None, whole_within: float = 0.0) -> DataFrame:
+    """The rows of docs, each as often as its copies say (see mix); columns as in docs. Repeated rows, and null ids of equal text, come or go together."""
+    chosen = mix(docs, labels, targets, max_rate, whole_within).filter("copies > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("crc").alias("__crc"), F.col("copies").alias("__copies")).distinct()
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__crc": F.crc32(F.encode(text, "utf-8"))})
     joined = rows.join(chosen, ["__id", "__crc"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
