@@ -312,3 +312,20 @@ def test_language_stage_drops_junk_and_unlearned_languages(spark):
     kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, clean.unionByName(bad), SF).collect()}
     assert not {i for i in kept if i >= 10_000}
     assert {r["doc_id"] for r in clean.filter("n_chars > 30").collect()} <= kept
+
+
+def test_expected_likeness_is_a_mean_of_draws():
+    rng = np.random.default_rng(4)
+    p = rng.dirichlet(np.full(300, 0.3))
+    centre = np.sqrt(p)
+    for n in (4, 64, 1024):
+        drawn = [np.sqrt(x) / np.sqrt(x.sum()) @ centre for x in rng.multinomial(n, p, 400)]
+        assert abs(np.mean(drawn) - language_id.expected_likeness(centre, np.array([float(n)]))[0]) < 0.03
+
+
+def test_languages_are_bounded(spark):
+    """A dirty column of languages neither fills the driver nor hides the common ones."""
+    df = documents(spark, "/root/testdata/sf0.001").select("text", "lang")
+    dirty = spark.range(600).select(F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"))
+    model = language_id.fit(df.unionByName(dirty), F.lit(True), max_rows=60, max_languages=5)
+    assert len(model.langs) == 5 and {r["lang"] for r in df.filter("lang is not null").select("lang").distinct().collect()} <= set(model.langs)
