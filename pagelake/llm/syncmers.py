@@ -30,7 +30,7 @@ def _paired(df: DataFrame, name: str, step: int, f) -> DataFrame:
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with an array of longs: the anchors of a text column in order, 31 bits of hash above 32 bits of position."""
     n = F.char_length(text)
-    d = df.withColumn("__h", F.transform(F.split(F.col(text), ""), lambda c: F.xxhash64(c)))
+    d = df.withColumn("__h", F.split(F.col(text), ""))
     for step in [1 << i for i in range(S.bit_length() - 1)]:  # hashes of 2, 4, 8 characters
         d = _paired(d, "__h", step, lambda a, b: F.xxhash64(a, b))
     d = d.withColumn("__h", F.slice("__h", F.lit(1), F.greatest(n - S + 1, F.lit(0)))).withColumn("__m", F.col("__h"))

@@ -57,9 +57,9 @@ def xx(values):
 
 def brute_anchors(text, k=syncmers.K, s=syncmers.S):
     """(hash, position) of closed syncmers, from their definition."""
-    h = [xxhash.xxh64_intdigest(c.encode(), 42) for c in text]
+    h = [xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)) for a, b in zip(text, text[1:], strict=False)]
     h = [x - (1 << 64) if x >> 63 else x for x in h]
-    span = 1
+    span = 2
     while span < s:
         h = [xx((h[i], h[i + span])) for i in range(len(h) - span)]
         span *= 2
