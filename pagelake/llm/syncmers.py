@@ -6,6 +6,9 @@ one depends on nothing outside, so equal passages have equal anchors anywhere.
 A fingerprint is the list of all anchors of a text, in order, each with its
 position; nothing is cut.
 
+Short texts may lack anchors. Where one of two texts does and both are of fewer
+than 128 characters, all their pieces of four characters are compared instead.
+
 Anchors being free of context, those of an edited text are known from its
 parts: the ones that lie within the kept part, the ones within the new part,
 and the few that cross the seam. So each text is looked at once.
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 
 K, S = 15, 8
 PLACES = K - S + 1  # of inner substrings; a power of two
+#: Pieces of texts without anchors, and the length from which no text lacks them but by a chance of about 1 in 10^14.
+PIECE, SMALL = 4, 128
 _NO_ID = -(1 << 63)
 _STEPS = [1 << i for i in range(PLACES.bit_length() - 1)]
 
@@ -67,6 +72,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(common / every)
 
 
+def pieces(text: Column) -> Column:
+    """The distinct pieces of a short text, as hashes; one of fewer characters is its own piece."""
+    starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - PIECE + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(text, i, PIECE))))
+
+
+def alike(a: str, b: str) -> Column:
+    """The likeness of two texts with columns <name>, <name>_found and <name>_hashes: text, anchors and their hashes."""
+    short = lambda x: (F.char_length(x) > 0) & (F.char_length(x) < SMALL)
+    bare = (F.size(f"{a}_found") == 0) | (F.size(f"{b}_found") == 0)
+    return F.when(bare & short(a) & short(b), likeness(pieces(F.col(a)), pieces(F.col(b)))).otherwise(likeness(F.col(f"{a}_hashes"), F.col(f"{b}_hashes")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, anchors and fingerprint, their digest, of every row; a null text counts as empty and has no anchors."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
@@ -114,7 +132,8 @@ def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int
 
     The edited text: the last quarter (rounded down) of the code points gives
     way to as many, or all, from the start of the next document by doc_id; the
-    first follows the last. near_*: the share of distinct anchors in common;
+    first follows the last. near_*: the share of distinct anchors in common (of
+    short texts without an anchor: of pieces);
     edited_in_place: of anchors with their positions, the share within what the
     edit keeps. fingerprint, edited_fingerprint: digests of all anchors with
     positions.
@@ -132,8 +151,8 @@ def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int
     d = d.withColumn("next", F.first(F.struct("text", "found", "hashes")).over(follows)).filter("not ghost")
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
-    d = d.select("id", "text", "found", "anchors", "hashes", *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "found", "hashes")), n.alias("n"), (n - cut).alias("kept"), cut.alias("cut"))
-    d = d.withColumn("head", F.substring(F.col("next_text"), F.lit(1), F.col("cut"))).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "head"))
+    d = d.select("id", "text", "found", "anchors", "hashes", F.col("next.text").alias("after"), F.col("next.found").alias("after_found"), F.col("next.hashes").alias("after_hashes"), n.alias("n"), (n - cut).alias("kept"), cut.alias("cut"))
+    d = d.withColumn("head", F.substring(F.col("after"), F.lit(1), F.col("cut"))).withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("kept")), "head"))
     # The seam: up to K - 1 characters on either side.
     start = F.greatest(F.col("kept") - (K - 1), F.lit(0))
     d = d.withColumns({"start": start, "head_n": F.char_length("head"), "seam": F.substring(F.col("edited"), start + 1, F.col("kept") - start + K - 1)})
@@ -142,8 +161,9 @@ def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int
     within = lambda c, end: F.filter(c, lambda a: position(a) + K <= end)
     moved = lambda c, by: F.transform(c, lambda a: a + by)
     d = d.withColumn("stay", within("found", F.col("kept")))
-    d = d.withColumn("edited_anchors", F.concat("stay", moved("crossing", F.col("start")), moved(within("next_found", F.col("head_n")), F.col("kept"))))
-    d = d.withColumn("edited_anchors", _or_whole(F.col("edited_anchors"), F.col("edited"))).withColumn("edited_hashes", hashes(F.col("edited_anchors")))
+    d = d.withColumn("edited_anchors", F.concat("stay", moved("crossing", F.col("start")), moved(within("after_found", F.col("head_n")), F.col("kept"))))
+    d = d.withColumnsRenamed({"found": "text_found", "hashes": "text_hashes", "edited_anchors": "edited_found"})
+    d = d.withColumn("edited_anchors", _or_whole(F.col("edited_found"), F.col("edited"))).withColumn("edited_hashes", hashes(F.col("edited_anchors")))
     stay = F.size("stay")
     return d.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias("doc_id"),
@@ -151,7 +171,7 @@ def compare_with_edits(docs: DataFrame, rows_each: int = 1000, most_ranges: int
         F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         digest(F.col("anchors")).alias("fingerprint"),
         digest(F.col("edited_anchors")).alias("edited_fingerprint"),
-        likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        alike("text", "edited").alias("near_edited"),
+        alike("text", "after").alias("near_next"),
         F.when(F.col("edited") == F.col("text"), F.lit(1.0)).otherwise(stay / (F.size("anchors") + F.size("edited_anchors") - stay)).alias("edited_in_place"),
     )

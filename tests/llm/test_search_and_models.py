@@ -98,11 +98,14 @@ def test_edits_by_definition(spark):
     alike = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
     want = []
     for i, t in rows:
-        a, e, n = whole(t), whole(edits[i, t]), whole(after[i, t])
+        a, e = whole(t), whole(edits[i, t])
         h = lambda x: [y for y, _ in x]
+        cut = lambda x: {x[j : j + 4] for j in range(max(1, len(x) - 3))}
+        bare = lambda x, y: 0 < len(x) < 128 and 0 < len(y) < 128 and not (brute_anchors(x) and brute_anchors(y))
+        near = lambda x, y: alike(cut(x), cut(y)) if bare(x, y) else alike(h(whole(x)), h(whole(y)))
         stay = sum(at + syncmers.K <= len(t) - len(t) // 4 for _, at in brute_anchors(t))
         in_place = 1.0 if edits[i, t] == t else stay / (len(a) + len(e) - stay)
-        want.append((i, len(t), hashlib.sha256(edits[i, t].encode()).hexdigest(), *(round(x, 9) for x in (alike(h(a), h(e)), alike(h(a), h(n)), in_place))))
+        want.append((i, len(t), hashlib.sha256(edits[i, t].encode()).hexdigest(), *(round(x, 9) for x in (near(t, edits[i, t]), near(t, after[i, t]), in_place))))
     columns = ["doc_id", "n_chars", "edited_sha256", "near_edited", "near_next", "edited_in_place"]
     for rows_each in (1, 5, 1000):
         got = [tuple(round(r[c], 9) if isinstance(r[c], float) else r[c] for c in columns) for r in syncmers.compare_with_edits(df, rows_each).collect()]
@@ -113,6 +116,12 @@ def test_edits_by_definition(spark):
     assert len(prints) == len({tuple(whole(t)) for _, t in rows})
 
 
+def test_short_texts_are_alike_by_pieces(spark):
+    rows = [(1, "ten chars!"), (2, "fifteen letters"), (3, "eighteen letters.."), (4, ""), (5, "x")]
+    by = {r["doc_id"]: r["near_edited"] for r in syncmers.compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert by[1] == 5 / 9 and 0.3 < by[2] < 1 and 0.3 < by[3] < 1 and by[4] == by[5] == 1.0
+
+
 def test_likeness_follows_the_edit(spark):
     r = queries.op2_syncmers(spark, SF).filter("n_chars > 300").agg(F.avg("near_edited").alias("e"), F.avg("near_next").alias("n")).first()
     assert 0.5 < r["e"] < 0.7 and r["n"] < 0.02
