@@ -214,7 +214,11 @@ def count_tokens(docs: DataFrame, budget: int = 4096, model_file: str | None = N
 
 
 def prefix_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """doc_id and counts, an array: entry i is the exact token count of the first i code points."""
+    """doc_id and counts, an array: entry i is the exact token count of the first i code points.
+
+    A null or empty text has the one count 0; null ids and repeated rows each
+    give a row; an empty table gives an empty table. Other columns are not read.
+    """
     model = model_file or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +233,12 @@ def prefix_counts(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def fits_budget(counts: DataFrame, budget: int) -> DataFrame:
-    """Answers from stored prefix counts, without a tokenizer: n_tokens and the longest prefix within budget."""
+    """Answers from stored prefix counts, without a tokenizer: n_tokens, over (the text exceeds the budget) and cut_chars, the longest prefix within it.
+
+    Of several prefixes within the budget the longest counts, also where a
+    shorter one exceeds it. One row for each row of counts, repeated ones and
+    null ids too; the array [0] of an empty text gives 0 tokens and 0 characters.
+    """
     n = F.size("counts") - 1
     fit = F.array_max(F.transform("counts", lambda c, i: F.when(c <= budget, i)))
     return counts.select("doc_id", F.element_at("counts", -1).cast("long").alias("n_tokens"), (n > fit).alias("over"), fit.cast("long").alias("cut_chars"))

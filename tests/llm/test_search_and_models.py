@@ -1,6 +1,7 @@
 """Operators 2, 4, 6, 8, 9 and the pipeline."""
 
 import hashlib
+import heapq
 import math
 import random
 import zlib
@@ -127,6 +128,26 @@ def test_likeness_follows_the_edit(spark):
     assert 0.5 < r["e"] < 0.7 and r["n"] < 0.02
 
 
+def test_sharding_against_one_heap(spark, odd):
+    """One partition gives the groups and loads of a plain heap over all groups; many come near its largest load."""
+    for docs in (documents(spark, SF), clash(odd)):
+        sizes: dict = {}
+        for r in docs.collect():
+            text = (r["text"] or "").encode()
+            sizes[text] = sizes.get(text, 0) + len(text) + 16
+        heap, groups = [(0, i) for i in range(7)], {}
+        for text, size in sorted(sizes.items(), key=lambda x: (-x[1], hashlib.md5(x[0]).digest())):
+            load, i = heapq.heappop(heap)
+            heapq.heappush(heap, (load + size, i))
+            groups.setdefault(i, set()).add(zlib.crc32(text))
+        out = {}
+        for parts in (1, 16):
+            rows = sharding.shard_documents(docs, shards=7, partitions=parts).collect()
+            out[parts] = [{r["text_crc32"] for r in rows if r["shard"] == k} for k in {r["shard"] for r in rows}], max(sum(r["size"] for r in rows if r["shard"] == k) for k in range(7))
+        assert sorted(map(sorted, out[1][0])) == sorted(map(sorted, groups.values())) and out[1][1] == max(heap)[0]
+        assert out[16][1] <= max(max(sizes.values()), 1.1 * max(heap)[0])
+
+
 def test_sharding(spark, odd):
     for docs in (documents(spark, SF), clash(odd)):
         out = sharding.shard_documents(docs, shards=7, partitions=5).collect()

@@ -102,6 +102,12 @@ def test_token_counts(docs):
 
 def test_prefix_answers(docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(token_counts.MODEL))
+    # Null ids, repeated rows, and long texts at some of their prefixes.
+    places = lambda n: sorted({*range(0, n + 1, max(1, n // 60)), n, max(0, n - 1)})
+    every = docs.unionByName(docs.filter("doc_id is null or doc_id in (0, 4, 7)"))
+    got = [(r["doc_id"], len(r["counts"]) - 1, [r["counts"][i] for i in places(len(r["counts"]) - 1)]) for r in token_counts.prefix_counts(every).collect()]
+    texts = [(r["doc_id"], r["text"] or "") for r in every.collect()]
+    assert sorted(got, key=str) == sorted([(i, len(t), [len(sp.encode(t[:j])) for j in places(len(t))]) for i, t in texts], key=str)
     some = docs.filter(F.length("text") < 100).filter("doc_id is not null and doc_id <> 3")
     counts = token_counts.prefix_counts(some)
     for r in counts.join(some, "doc_id").collect():
