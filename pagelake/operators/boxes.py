@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,10 +106,13 @@ def drop_nested(df: DataFrame, wider: float = 1.0, higher: float = 1.0, across:
     """Drop boxes covered by those shares, in pixels, by another box at least so many times as wide and high.
 
     The defaults are for columns in columns; (1.75, 1.1, 0.7, 0.85) for narrow
-    lines beside a wide one.
+    lines beside a wide one. Numbers are compared as written, in decimals: as
+    doubles 1.1 times 50 pixels is more than 55.
     """
     from .joins import meeting
 
+    wider, higher, across, down = (F.lit(Decimal(str(v))) for v in (wider, higher, across, down))
+
     pixels = lambda b: (F.greatest(b.width + 1, F.lit(1)), F.greatest(b.height + 1, F.lit(1)))
     a, b = B.box(), B.box("o_")
     (aw, ah), (bw, bh) = pixels(a), pixels(b)

@@ -6,7 +6,7 @@ import statistics
 
 from pyspark.sql import functions as F
 
-from pagelake.operators import clusters, joins, orientation, rejoin, strips, texts
+from pagelake.operators import boxes, clusters, joins, orientation, rejoin, strips, texts
 from pagelake.operators.components import components
 
 BOXES = "page_id long, label int, det_idx int, x1 long, y1 long, x2 long, y2 long"
@@ -113,3 +113,12 @@ def test_blocks_of_many_ranges_are_replaced(spark):
     df = spark.createDataFrame(old, "chapter_id long, block_idx long, y1 long, y2 long")
     got = joins.replace_range(df, df.filter("false"), spark.createDataFrame(ranges, "chapter_id long, lo long, hi long"))
     assert sorted(map(tuple, got.collect())) == sorted(o for o in old if not any(o[0] == c and lo <= o[2] and o[3] <= hi for c, lo, hi in ranges))
+
+
+def test_a_box_exactly_so_many_times_as_high_takes_what_it_covers(spark):
+    """1.1 times 50, 90 or 100 pixels is 55, 99 or 110; as doubles it is a little more."""
+    rows = [r for page, h in enumerate((50, 90, 100, 60)) for r in ((page, 0, 0, 0, 0, 99, h - 1), (page, 0, 1, 0, 0, 299, h * 11 // 10 - 1))]
+    got = boxes.drop_nested(spark.createDataFrame(rows, BOXES), 1.75, 1.1, 0.7, 0.85)
+    assert sorted((r["page_id"], r["det_idx"]) for r in got.collect()) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    less = spark.createDataFrame([(1, 0, 0, 0, 0, 99, 49), (1, 0, 1, 0, 0, 299, 53)], BOXES)  # 54 of 55
+    assert boxes.drop_nested(less, 1.75, 1.1, 0.7, 0.85).count() == 2
