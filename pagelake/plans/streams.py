@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.folders import drop_at_end, shared_folder
 from ..sources.inputs import read_memlog
@@ -40,10 +41,13 @@ def in_batches(t: Tables, rows: DataFrame, part: Column, parts: int) -> DataFram
     """The rows as a stream of so many batches, in the order of part."""
     place = shared_folder(t.spark, "batches")
     drop_at_end(t.spark, place)
-    rows = rows.withColumn("__part", part.cast("int"))
+    dealt = shared_folder(t.spark, "dealt")
+    drop_at_end(t.spark, dealt)
+    rows.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(dealt)  # once, by all tasks
+    back = t.spark.read.schema(StructType([*rows.schema.fields, StructField("__part", IntegerType())])).parquet(dealt)
     for i in range(parts):  # one file after the other: files are taken in the order of their times
-        rows.filter(F.col("__part") == i).drop("__part").coalesce(1).write.parquet(f"{place}/{i:03d}")
-    return t.spark.readStream.schema(rows.drop("__part").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(place)
+        back.filter(F.col("__part") == i).drop("__part").coalesce(1).write.parquet(f"{place}/{i:03d}")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(place)
 
 
 def _runs_in_batches(t: Tables) -> DataFrame:

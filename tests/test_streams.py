@@ -83,3 +83,38 @@ def test_both_seam_scores_agree(spark):
         want = streams.seam_score((0, *box[:4]), (1, *box[4:]), 1000, 60)
         assert (got[n] is None) == (want is None) and (want is None or got[n] == pytest.approx(want, abs=1e-9))
     assert 20 < sum(v is not None for v in got.values()) < 400
+
+
+def test_a_chapter_reads_and_writes_one_value_a_batch():
+    """Slices up to 16 ahead wait in the chapter's value, others in the map; calls to the state cost more than all else."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.known = {}
+
+        def __getattr__(self, name):
+            known = self.known
+            does = {"get": lambda: known.get(()), "update": lambda v: known.update({(): v}), "updateValue": known.__setitem__, "getValue": known.get, "removeKey": known.pop, "containsKey": known.__contains__, "clear": known.clear, "keys": lambda: list(known)}[name]
+            return lambda *a: calls.append(name) or does(*a)
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        getMapState = getValueState  # noqa: N815
+
+    seams = streams._Seams(60, 0, None)
+    seams.init(Handle())
+    rng = random.Random(8)
+    slices = [{"slice_no": n, "height": 1000, "blocks": [{"idx": 0, "x1": 10, "y1": 0, "x2": 110, "y2": 1000}]} for n in range(16)]
+    slices.append({"slice_no": 16, "height": 1000, "blocks": None})
+    rng.shuffle(slices)
+    slices.remove(due := next(s for s in slices if s["slice_no"] == 0))
+    out = []
+    for s in [*slices[:8], due, *slices[8:]]:
+        before = len(calls)
+        out += seams.handleInputRows((7,), iter([s]), None)
+        assert len(calls) - before <= 5
+    assert [(r["chapter_id"], r["slice_no"], r["y2"]) for r in out if r["slice_no"] % 2 == 0] == [(7, n, 2000) for n in range(0, 16, 2)] and len(out) == 8
+    assert len(calls) < 45  # 17 calls of two, and what lay 16 ahead
