@@ -52,15 +52,28 @@ def virtual_pages(pages: DataFrame, low: int = 2000, high: int = 3500, target: i
     return d.select("chapter_id", "page_id", "page_no", F.col("i").alias("virtual_index"), top.alias("crop_top"), (top + base + (F.col("i") < rest).cast("long")).alias("crop_bottom"))
 
 
-def overlap_slices(pages: DataFrame, ratio: float = 3.5, share: float = 0.2) -> DataFrame:
-    """Pages over the ratio in slices three widths high that overlap by a fifth; the last goes to the end."""
+def _cut(ratio: float, share: float) -> tuple[Column, Column, Column, Column]:
+    """Whether a page is cut, a slice's height, the step from one to the next, and the number of the last one."""
     w, h = F.col("width"), F.col("height")
     tall, size = h / w > ratio, 3 * F.col("width")
     step = F.floor(size * (1 - share)).cast("long")
-    n = F.when(tall, F.ceil(F.greatest(h - size, F.lit(0)) / step)).otherwise(0).cast("long")
+    return tall, size, step, F.when(tall, F.ceil(F.greatest(h - size, F.lit(0)) / step)).otherwise(0).cast("long")
+
+
+def overlap_slices(pages: DataFrame, ratio: float = 3.5, share: float = 0.2, *keep: str) -> DataFrame:
+    """Pages over the ratio in slices three widths high that overlap by a fifth; the last goes to the end. keep: columns of pages."""
+    tall, size, step, n = _cut(ratio, share)
     d = pages.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), n))).withColumn("last", n)
     start = F.col("slice") * step
-    return d.select("page_id", "slice", start.alias("start_y"), F.when(~tall | (F.col("slice") == F.col("last")), h).otherwise(start + size).alias("end_y"))
+    return d.select("page_id", *keep, "slice", start.alias("start_y"), F.when(~tall | (F.col("slice") == F.col("last")), F.col("height")).otherwise(start + size).alias("end_y"))
+
+
+def whole_pages(boxes: DataFrame, pages: DataFrame, ratio: float = 3.5, share: float = 0.2) -> DataFrame:
+    """Boxes of overlap_slices in their pages, with page_height; a slice's place follows from its number and the page's size."""
+    _, _, step, n = _cut(ratio, share)
+    start = F.col("slice") * step
+    d = boxes.join(pages.select("page_id", "width", "height"), "page_id").filter(F.col("slice").between(0, n))
+    return d.withColumns({"y1": F.col("y1") + start, "y2": F.col("y2") + start}).drop("width").withColumnRenamed("height", "page_height")
 
 
 def unslice(boxes: DataFrame, slices: DataFrame) -> DataFrame:

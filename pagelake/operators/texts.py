@@ -385,18 +385,17 @@ def detect(pages: DataFrame, fn: Callable, ratio: float = 3.5, share: float = 0.
     time, so a model loads once for each worker.
     """
     from .clusters import merge_slices
-    from .strips import overlap_slices, unslice
+    from .strips import overlap_slices, whole_pages
 
-    slices = overlap_slices(pages, ratio, share)
+    slices = overlap_slices(pages, ratio, share, *(c for c in pages.columns if c != "page_id"))
 
     def run(batches: Iterator) -> Iterator:
         for b in batches:
             yield fn(b)
 
-    found = pages.join(slices, "page_id").mapInPandas(run, "page_id long, slice long, label int, x1 long, y1 long, x2 long, y2 long")
+    found = slices.mapInPandas(run, "page_id long, slice long, label int, x1 long, y1 long, x2 long, y2 long")
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("slice", "y1", "x1", "y2", "x2", "label"))
-    whole = unslice(found, slices).withColumn("det_idx", order).join(pages.select("page_id", F.col("height").alias("page_height")), "page_id")
-    return merge_slices(whole, "page_height")
+    return merge_slices(whole_pages(found, pages, ratio, share).withColumn("det_idx", order), "page_height", crowd=4)
 
 
 def _by_key(df: DataFrame, keys: list[str], fn: Callable, schema: str, size: int = 20_000) -> DataFrame:

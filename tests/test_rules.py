@@ -134,3 +134,24 @@ def test_the_edit_that_was_made_where_the_text_goes_on_with_its_letters(spark, t
     got = registry.queries()["f14_text_delta"](spark, str(tmp_path))
     want = duckdb.sql(registry.oracle_sql()["f14_text_delta"].replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'"))
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_slices_are_merged_the_same_both_ways(spark):
+    """The fold over an array and the one that passes over pairs by their edges."""
+    rng = random.Random(21)
+    rows = []
+    for page, n in enumerate([1, 3, 8, 20, 45] * 6):
+        for i in range(n):
+            x, y, w, h = rng.randrange(-5, 300), rng.randrange(-5, 400), rng.choice([0, 20, 60, 150, -4]), rng.choice([0, 15, 60, 140, -9])
+            if i % 2 and rows[-1][0] == page:
+                x, y, w = rows[-1][3] + rng.randrange(-4, 5), rng.choice([rows[-1][4], rows[-1][6]]) + rng.randrange(-4, 5), w or 9
+            rows.append((page, i % 2, i, x, y, x + w, y + h))
+    d = spark.createDataFrame(rows, BOXES)
+    got = [sorted(map(tuple, clusters.merge_slices(d, 500, crowd=c).collect())) for c in (1 << 30, 0, 6)]
+    assert got[0] == got[1] == got[2] and len(got[0]) < len(rows)
+
+
+def test_a_tall_page_of_many_boxes_is_not_folded_in_an_array(spark):
+    pages = spark.createDataFrame([(1, 100, 6000)], "page_id long, width long, height long")
+    found = texts.detect(pages, lambda pdf: pdf.assign(label=1, x1=0, y1=0, x2=9, y2=9)[["page_id", "slice", "label", "x1", "y1", "x2", "y2"]])
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString() and found.count() == 25
