@@ -15,7 +15,7 @@ then gives only the links between groups that aren't connected yet.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1))[:n]
     last = ends[-n:]
     hashes = xxhash.xxh64_intdigest
-    h = np.array([hashes(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64)
+    return majority(np.array([hashes(joined[a:b], 42) for a, b in zip(starts.tolist(), last.tolist(), strict=True)], np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 of none."""
     by_byte = h.view(np.uint8).reshape(-1, 8)
     counts = np.concatenate([np.bincount(by_byte[:, k], minlength=256) @ _BITS for k in range(8)])
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
@@ -78,18 +82,26 @@ def _cells(half: Column) -> Column:
     return F.array_compact(F.array(*near))
 
 
-def _links(prints: DataFrame, bits: int) -> DataFrame:
-    """(fp, root) of all fingerprints linked to a smaller one, prints: distinct fp."""
+def linked(prints: DataFrame, bits: int = 4, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(fp, root): each fingerprint and the smallest one that it hangs together with, prints: distinct fp.
+
+    check: which of the pairs (a, b) within bits are links, all without it.
+    """
     exact = prints.select("fp", F.explode(F.array(*_halves())).alias("cell"))
     hubs = exact.groupBy("cell").agg(F.min("fp").alias("hub"))
     stars = exact.join(hubs, "cell").filter((F.col("fp") != F.col("hub")) & _near("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
-    tied = components(stars)
+    tied = components(stars if check is None else check(stars))
     known = materialise(prints.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     discard(tied)
     cells = known.select("fp", "root", F.explode(F.concat(*[_cells(h) for h in _halves()])).alias("cell"))
     left, right = cells, cells.select(F.col("fp").alias("fp2"), F.col("root").alias("root2"), "cell")
     meet = left.join(right, (left["cell"] == right["cell"]) & (F.col("root") < F.col("root2")) & _near("fp", "fp2", bits))
-    more = components(meet.select(F.col("root2").alias("a"), F.col("root").alias("b")))
+    if check is None:
+        more = components(meet.select(F.col("root2").alias("a"), F.col("root").alias("b")))
+    else:
+        root = lambda k: known.select(F.col("fp").alias(k), F.col("root").alias(f"root_{k}"))
+        kept = check(meet.select(F.col("fp2").alias("a"), F.col("fp").alias("b")).distinct())
+        more = components(kept.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     out = materialise(known.join(more.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("fp", F.coalesce("top", "root").alias("root")))
     discard(known, more)
     return out
@@ -107,7 +119,7 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
         raise ValueError("the grid finds pairs within 4 bits")
     rows = materialise(fingerprints(docs, shingle))
     first = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = _links(first.select("fp"), bits)
+    roots = linked(first.select("fp"), bits)
     ids = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(roots.join(ids, "root").select("fp", "component_id"))
     discard(first, roots)

@@ -235,3 +235,40 @@ def test_stage_drops_edited_copies(spark, edited):
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in edited], "doc_id long, text string, lang string, source string, n_chars long")
     want = sorted(set(groups_of(edited)))
     assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()) == want and len(want) < len(edited) - 10
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n, m, both in ((0, 0, 0), (1, 1, 0), (1, 3, 1), (9, 10, 9), (70, 60, 58), (500, 40, 40), (3000, 3100, 2900), (300, 300, 20)):
+        some = rng.integers(0, 2**63, n + m - both, np.uint64)
+        a, b = some[:n], some[n - both :]
+        least = near_copies.differ(near_copies.sketch(a), near_copies.sketch(b))
+        assert least == near_copies.differ(near_copies.sketch(b), near_copies.sketch(a)) and least <= n + m - 2 * both
+    assert least * 180 > 20 * (n + m)
+
+
+def test_unlike_pairs_go_before_texts_are_read(spark):
+    """Texts that share a line of words, but little else, meet in its cells."""
+    rng = random.Random(3)
+    line = " ".join(f"w{i}" for i in range(30))
+    sets = [near_copies.grams(line + " " + " ".join(str(rng.random()) for _ in range(90))) for _ in range(20)]
+    sets.append(np.unique(np.append(sets[0][2:], np.uint64(1))))
+    sketches = spark.createDataFrame([(i, len(g), bytearray(near_copies.sketch(g))) for i, g in enumerate(sets)], "key long, n int, sketch binary")
+    pairs = spark.createDataFrame([(a, b) for a in range(21) for b in range(a)], "a long, b long")
+    assert [tuple(r) for r in near_copies._sketched(pairs, sketches, 80).collect()] == [(20, 0)]
+
+
+def test_simhash_links_of_the_stage_are_checked(spark):
+    """Of sets within four bits of another those that pass the check are linked, over several steps too; sets further apart are not asked."""
+    prints = [(1, 0b1), (2, 0b111), (3, 0b111), (4, 0b1111111), (5, (1 << 40) - 1), (6, (1 << 40) - 2)]
+    sketches = spark.createDataFrame(prints, "key long, fp long")
+    asked = []
+
+    def verified(pairs):
+        asked.extend(tuple(sorted((r["a"], r["b"]))) for r in pairs.collect())
+        return pairs.filter("a + b <> 11")
+
+    links = {frozenset((r["a"], r["b"])) for r in near_copies._within_bits(sketches, verified).collect()}
+    of = near_copies.components(spark.createDataFrame([tuple(p) for p in links], "a long, b long"))
+    assert {r["node"]: r["root"] for r in of.collect()} == {2: 1, 3: 1, 4: 1}
+    assert (5, 6) in asked and not {(a, b) for a, b in asked if a < 5 <= b}
