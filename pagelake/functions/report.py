@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,16 +33,24 @@ REASONS = {
 }
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def error_line(c: Column, most: int = 180) -> Column:
     """The first line that says something before a traceback; file lines and notes on handling are passed by; cut with dots."""
     lines = F.filter(F.transform(F.split(c, "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^File [\"']") & ~x.startswith("During handling of the above exception"))
-    first = F.coalesce(F.get(lines, F.lit(0)), F.lit(""))
-    said = F.when(F.lower(first).startswith("traceback"), "").otherwise(first)
-    return F.when(F.length(said) > most, F.concat(F.substring(said, 1, most - 3), F.lit("..."))).otherwise(said)
+    cut = lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most - 3), F.lit("..."))).otherwise(x)
+    return _let(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), lambda x: F.when(F.lower(x).startswith("traceback"), "").otherwise(cut(x)))
 
 
 def _any(c: Column, phrases: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower(c), p))
+    return _let(F.lower(c), lambda said: _says(said, phrases))
+
+
+def _says(said: Column, phrases: tuple[str, ...]) -> Column:
+    return reduce(or_, (F.contains(said, F.lit(p)) for p in phrases))
 
 
 def is_flagged(c: Column) -> Column:
@@ -54,29 +66,46 @@ def is_no_text(reason: Column) -> Column:
     return reason == "Text Blocks"
 
 
+def _class(c: Column) -> Column:
+    """The place of an error in DETAILS, their number for any other error, null without one."""
+
+    def place(said: Column) -> Column:
+        out = F.when(said != "", len(DETAILS))
+        for i, (phrases, _, _) in reversed(list(enumerate(DETAILS))):
+            out = F.when(_says(said, phrases), i).otherwise(out)
+        return out
+
+    return _let(F.lower(error_line(c)), place)
+
+
+def _detail(kind: Column) -> Column:
+    return F.coalesce(F.get(F.array(*(F.lit(told) for _, told, _ in DETAILS), F.lit(OTHER)), kind), F.lit(""))
+
+
+def _action(reason: Column, kind: Column) -> Column:
+    def by_reason(other: str) -> Column:
+        return _let(F.lower(F.coalesce(reason, F.lit(""))), lambda why: F.when(why.contains("ocr"), ADVICE["ocr"]).when(why.contains("translator") | why.contains("translation"), ADVICE["translat"]).otherwise(other))
+
+    known = F.array(*(F.lit(advice) for _, _, advice in DETAILS))
+    no_advice = F.when(reason == "Text Blocks", "").otherwise(by_reason("Try again"))
+    return _let(kind, lambda k: F.when(k < len(DETAILS), F.coalesce(F.get(known, k), by_reason("Try another tool"))).otherwise(no_advice))
+
+
 def error_detail(c: Column) -> Column:
     """The class of an error, '' without one."""
-    said, out = error_line(c), F.lit(OTHER)
-    for phrases, told, _ in reversed(DETAILS):
-        out = F.when(_any(said, phrases), told).otherwise(out)
-    return F.when(F.coalesce(said, F.lit("")) == "", "").otherwise(out)
+    return _detail(_class(c))
 
 
 def error_action(reason: Column, c: Column) -> Column:
     """What to do: by the error's class; by the reason if content was flagged or the error says nothing known."""
-    said, why = error_line(c), F.lower(F.coalesce(reason, F.lit("")))
-    by_reason = lambda other: F.when(why.contains("ocr"), ADVICE["ocr"]).when(why.contains("translator") | why.contains("translation"), ADVICE["translat"]).otherwise(other)
-    out = F.when(reason == "Text Blocks", "").otherwise(by_reason("Try again"))
-    for phrases, _, advice in reversed(DETAILS):
-        out = F.when(_any(said, phrases), by_reason("Try another tool") if advice is None else F.lit(advice)).otherwise(out)
-    return out
+    return _action(reason, _class(c))
 
 
 def skip_reason(reason: Column, c: Column) -> Column:
     """The text of a reason, with the error's class and the advice where there are such."""
     base = F.coalesce(F.create_map(*[x for k, v in REASONS.items() for x in (F.lit(k), F.lit(v))])[reason], F.lit("Page processing failed"))
-    detail, action = error_detail(c), error_action(reason, c)
-    return F.concat(base, F.when(detail != "", F.concat(F.lit(": "), detail)).otherwise(""), F.when(action != "", F.concat(F.lit(". "), action, F.lit("."))).otherwise(""))
+    after = lambda lead, said, end="": F.when(said != "", F.concat(F.lit(lead), said, F.lit(end))).otherwise("")
+    return _let(_class(c), lambda k: F.concat(base, _let(_detail(k), lambda d: after(": ", d)), _let(_action(reason, k), lambda a: after(". ", a, "."))))
 
 
 def http_error(status: Column, body: Column) -> tuple[Column, Column]:
