@@ -165,3 +165,37 @@ def test_projection_paints_without_a_row_for_each_line(spark):
     got = orientation.vote_projection(orientation.centres(spark.createDataFrame(boxes, "page_id long, det_idx long, x1 long, y1 long, x2 long, y2 long")))
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(r["page_id"] for r in got.collect()) == [0, 1]
+
+
+def test_reasons_compute_an_error_line_once(spark):
+    from pagelake.functions import report
+
+    d = spark.createDataFrame([("OCR", "x\nRequest timed out"), ("Translator", "content was flagged"), ("Text Blocks", ""), (None, "Odd"), ("OCR", None)], "reason string, error string")
+    got = d.select(report.skip_reason(F.col("reason"), F.col("error")).alias("told"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert [r["told"] for r in got.collect()] == [
+        "Text recognition failed: Unexpected tool error. Try another text recognition tool.",
+        "Translation failed: The AI provider flagged this content. Try another translator.",
+        "No text blocks detected",
+        "Page processing failed: Unexpected tool error. Try again.",
+        "Text recognition failed. Try another text recognition tool.",
+    ]
+
+
+def test_pairs_meet_once_without_a_row_for_each_page(spark):
+    """Items that meet by both ends are one pair each way; a chapter of many pages is one pass."""
+    rows = [(1, p, i, 0, 100 * p + 10 * i, 50, 100 * p + 10 * i + 9, "a", "t") for p in range(40) for i in range(10)]
+    items = spark.createDataFrame(rows, "chapter_id long, page_no long, idx long, x1 long, y1 long, x2 long, y2 long, style string, text string")
+    got = rejoin.rejoin_pairs(items)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    y = {(p, i): (a, b) for _, p, i, _, a, _, b, *_ in rows}
+    want = sorted((k, m) for k in y for m in y if k != m and abs(k[0] - m[0]) <= 1 and (abs(y[k][1] - y[m][0]) < 15 or abs(y[m][1] - y[k][0]) < 15))
+    assert sorted(((r["a_page_no"], r["a_idx"]), (r["b_page_no"], r["b_idx"])) for r in got.collect()) == want
+    used, groups = set(), []
+    for k in sorted(y):
+        took = [m for a, m in want if a == k and m not in used]
+        if k not in used:
+            used.update([k, *took])
+            groups += [[k, *took]] if took else []
+    found = rejoin.groups(got).orderBy("group", "place").collect()
+    assert [[(r["page_no"], r["idx"]) for r in found if r["group"] == g] for g in range(len(groups))] == groups
