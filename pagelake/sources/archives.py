@@ -7,6 +7,7 @@ seeking skips from one to the next. An entry's bytes are read where they lie.
 from __future__ import annotations
 
 import io
+import struct
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts as T
-from .ranges import Counted, list_files, open_path
+from .ranges import Counted, Span, list_files, open_path
 
 LISTED = (".cbz", ".zip", ".epub", ".cbt", ".tar")
 _TARS = (".cbt", ".tar")
@@ -73,11 +74,11 @@ def _listed(opened: Callable):
     return run
 
 
-def _pages(listed: DataFrame) -> DataFrame:
+def _pages(listed: DataFrame, *keep: str) -> DataFrame:
     """Image entries numbered in natural order, ties in the archive's own; archives that can't be read give an error row."""
     d = listed.filter((F.col("entry_name").isNull() & F.col("error").isNotNull()) | T.is_image_file(F.col("entry_name")))
     w = Window.partitionBy("archive").orderBy(F.col("error").isNotNull(), T.natural_key(F.col("entry_name")), "pos")
-    return d.select("archive", "entry_name", T.safe_ext(F.col("entry_name")).alias("ext"), F.row_number().over(w).alias("page_no"), "error")
+    return d.select("archive", "entry_name", T.safe_ext(F.col("entry_name")).alias("ext"), F.row_number().over(w).alias("page_no"), "error", *keep)
 
 
 def archive_entries(files: DataFrame) -> DataFrame:
@@ -99,38 +100,111 @@ def scan_archives(spark: SparkSession, path: str) -> DataFrame:
     return _pages(list_archives(spark, path))
 
 
-def read_entries(entries: DataFrame, spread: int = 16) -> DataFrame:
-    """archive, entry_name, content and error for rows (archive, entry_name).
+def scan_packed_archives(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of all archives that lie uncompressed in the zip archives below a path, and where each archive lies: file, start and length.
 
-    Rows of one archive come together, in `spread` parts at most, so that it
-    is opened a few times and a large one isn't read by a single task.
+    archive is the file's path with the archive's name behind it. A file that can't be read gives an error row.
     """
-    d = entries.select("archive", "entry_name").repartition("archive", F.pmod(F.xxhash64("entry_name"), F.lit(spread))).sortWithinPartitions("archive", "entry_name")
 
-    def reader(path: str) -> tuple[Callable[[str], bytes], Callable[[], None]]:
-        f = open_path(path)
-        if path.lower().endswith(_TARS):
-            t = tarfile.open(fileobj=f, mode="r:")
-            return (lambda name: t.extractfile(name).read()), f.close
-        z = zipfile.ZipFile(f)
-        return z.read, f.close
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                rows = []
+                with Counted(open_path(name)) as f:
+                    try:
+                        with zipfile.ZipFile(f) as z:
+                            inner = [i for i in z.infolist() if not i.is_dir()]
+                        for i in inner:
+                            f.seek(i.header_offset + 26)
+                            start = i.header_offset + 30 + sum(struct.unpack("<HH", f.read(4)))
+                            rows.append((f"{name}/{i.filename}", name, start, i.file_size) if i.compress_type == zipfile.ZIP_STORED else (f"{name}/{i.filename}", name, None, None))
+                    except Exception:
+                        rows.append((name, name, None, None))
+                for at in range(0, len(rows), 1000):
+                    columns = zip(*rows[at : at + 1000], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["archive", "file", "start", "length"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, file = None, None
+        try:
+            for b in places(batches):
+                where = dict(zip(b.column(0).to_pylist(), zip(*(c.to_pylist() for c in b.columns[1:]), strict=True), strict=True))
+
+                def opened(name: str, _: object):
+                    nonlocal own, file
+                    path, start, length = where[name]
+                    if start is None:
+                        raise ValueError("no stored archive")
+                    if path != own:
+                        if file is not None:
+                            file.close()
+                        own, file = None, open_path(path)
+                        own = path
+                    return io.BufferedReader(Span(file, start, length), 4096)
+
+                for out in _listed(opened)(iter([b.select(["archive", "length"])])):
+                    place = [where[a] for a in out.column(0).to_pylist()]
+                    columns = zip(*place, strict=True) if place else [[]] * 3
+                    more = [pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*out.columns, *more], names=[*out.schema.names, "file", "start", "length"])
+        finally:
+            if file is not None:
+                file.close()
+
+    return _pages(list_files(spark, path).mapInArrow(listed, f"{_ENTRY}, file string, start long, length long"), "file", "start", "length")
+
+
+def read_entries(entries: DataFrame, spread: int = 16, large: int = 1 << 26) -> DataFrame:
+    """archive, entry_name, content and error for rows (archive, entry_name) and, of archives in a part of a file, file, start and length.
+
+    Rows of one archive come together, in `spread` parts at most, so that it
+    is opened a few times and a large one isn't read by a single task; one
+    that is known to be no larger than `large` is opened once.
+    """
+    packed = {"file", "start", "length"} <= set(entries.columns)
+    own = [F.col("file"), F.col("start"), F.col("length")] if packed else [F.col("archive").alias("file"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("length")]
+    part = F.when(F.coalesce(F.col("length") > large, F.lit(True)), F.pmod(F.xxhash64("entry_name"), F.lit(spread))).otherwise(0)
+    d = entries.select("archive", "entry_name", *own)
+    d = d.repartition("archive", part).sortWithinPartitions("file", "start", "archive", "entry_name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, read, close = None, None, lambda: None
+        own = at = f = read = None
+        rows, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns], names=["archive", "entry_name", "content", "error"])
+
         for b in batches:
-            for path, name in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for path, name, file, start, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 content = error = None
                 try:
-                    if path != own:
-                        close()
-                        own, (read, close) = None, (None, lambda: None)
-                        read, close = reader(path)
-                        own = path
+                    if file != own:
+                        if f is not None:
+                            f.close()
+                        own = at = f = read = None
+                        f = open_path(file)
+                        own = file
+                    if at != path:
+                        at = read = None
+                        whole = f if start is None else io.BufferedReader(Span(f, start, length), 4096)
+                        whole.seek(0)
+                        if path.lower().endswith(_TARS):
+                            read = (lambda t: lambda n: t.extractfile(n).read())(tarfile.open(fileobj=whole, mode="r:"))
+                        else:
+                            read = zipfile.ZipFile(whole).read
+                        at = path
                     content = read(name)
                 except Exception as e:
                     error = f"{type(e).__name__}: {e}"
-                columns = zip((path, name, content, error), (pa.string(), pa.string(), pa.binary(), pa.string()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in columns], names=["archive", "entry_name", "content", "error"])
-        close()
+                rows.append((path, name, content, error))
+                size += len(content or b"")
+                if len(rows) >= 1000 or size > 1 << 22:
+                    yield batch()
+                    rows, size = [], 0
+        if rows:
+            yield batch()
+        if f is not None:
+            f.close()
 
     return d.mapInArrow(run, "archive string, entry_name string, content binary, error string")

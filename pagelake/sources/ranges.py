@@ -65,6 +65,41 @@ class Counted(io.RawIOBase):
         super().close()
 
 
+class Span(io.RawIOBase):
+    """A part of a seekable file as a file; closing it leaves the file open."""
+
+    def __init__(self, file, start: int, length: int):
+        self.file, self.start, self.length, self.at = file, start, length, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def read(self, size: int = -1) -> bytes:
+        left = max(0, self.length - self.at)
+        self.file.seek(self.start + self.at)
+        data = self.file.read(left if size is None or size < 0 else min(size, left))
+        self.at += len(data)
+        return data
+
+    def readinto(self, buffer) -> int:
+        data = self.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        at = offset + (0, self.at, self.length)[whence]
+        if at < 0:
+            raise ValueError("negative seek")
+        self.at = at
+        return at
+
+    def tell(self) -> int:
+        return self.at
+
+
 def list_files(spark: SparkSession, path: str) -> DataFrame:
     """path and length of all files of at least one byte below a path; their content isn't read, so no file is too large."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")

@@ -6,6 +6,8 @@ import struct
 import tarfile
 import zipfile
 
+from pyspark.sql import functions as F
+
 from pagelake.plans import sources
 from pagelake.sources import archives, images, ranges
 from pagelake.sources.ranges import open_path, split_path
@@ -131,3 +133,31 @@ def test_page_images_share_files(spark):
     t = sources.Tables(spark, "/root/testdata/sf0.001")
     place = sources._packed(t, spark.range(0, 12_000, 1, 3).selectExpr("cast(id as string) path", "cast('x' as binary) content"), "packs")
     assert 3 <= ranges.list_files(spark, place).count() <= 6
+
+
+def test_packed_archives(spark, tmp_path):
+    """Archives in a zip are listed and read where they lie; one that is compressed, or a pack that is none, is an error row."""
+
+    def zipped(names):
+        f = io.BytesIO()
+        with zipfile.ZipFile(f, "w") as z:
+            for n in names:
+                z.writestr(n, n * 3)
+        return f.getvalue()
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("one.cbz", zipped(["p2.png", "p10.png", "note.txt"]))
+        z.writestr("two.zip", zipped([f"q{i}.png" for i in range(1500)]))
+        z.writestr("bad.cbz", b"broken")
+        z.writestr("thin.cbz", zipped(["p1.png"]), zipfile.ZIP_DEFLATED)
+    (tmp_path / "b.zip").write_bytes(b"no pack")
+    found = archives.scan_packed_archives(spark, str(tmp_path)).withColumn("n", F.regexp_extract("archive", "[^/]*$", 0))
+    rows = found.collect()
+    assert sorted(r["n"] for r in rows if r["error"]) == ["b.zip", "bad.cbz", "thin.cbz"]
+    assert [r["entry_name"] for r in sorted(rows, key=lambda r: r["page_no"]) if r["n"] == "one.cbz"] == ["p2.png", "p10.png"]
+    good = found.filter("error is null")
+    asked = good.select("archive", "file", "start", "length", "entry_name")
+    asked = asked.unionByName(asked.filter("entry_name = 'p2.png'").withColumn("entry_name", F.lit("none.png")))
+    read = archives.read_entries(asked).collect()
+    assert len(read) == 1503 and [r["entry_name"] for r in read if r["error"]] == ["none.png"]
+    assert all(bytes(r["content"]).decode() == r["entry_name"] * 3 for r in read if not r["error"])
