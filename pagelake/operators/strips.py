@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import joins as J
-from .components import components
+from . import paged
 
 
 def strip_layout(pages: DataFrame, start: int = 100, gap: int = 0) -> DataFrame:
@@ -186,44 +188,60 @@ def seam_candidates(tops: DataFrame, bottoms: DataFrame, edge: float = 60) -> Da
 
 
 def seam_match(candidates: DataFrame) -> DataFrame:
-    """Greedy pairs of a seam, best score first (ties by block, then next block), each block once; a seam holds few candidates."""
-    order = F.struct((-F.col("score")).alias("neg"), "block_idx", "next_idx")
-    seam = candidates.groupBy("seam").agg(F.array_sort(F.collect_list(order)).alias("c"))
-    empty = F.slice("c", 1, 0)
+    """Greedy pairs of a seam, best score first (ties by block, then next block), each block once."""
 
-    def take(acc: Column, c: Column) -> Column:
-        used = F.exists(acc, lambda t: (t["block_idx"] == c["block_idx"]) | (t["next_idx"] == c["next_idx"]))
-        return F.when(used, acc).otherwise(F.concat(acc, F.array(c)))
+    def fold(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        take, last = [], -1
+        seams = paged.pages_of(starts, rows.num_rows).tolist()
+        for i, (seam, a, b) in enumerate(zip(seams, rows["block_idx"].to_pylist(), rows["next_idx"].to_pylist(), strict=True)):
+            if seam != last:
+                last, upper, lower = seam, set(), set()
+            if a not in upper and b not in lower:
+                upper.add(a)
+                lower.add(b)
+                take.append(i)
+        return rows.take(pa.array(take, pa.int64()))
 
-    d = seam.select("seam", F.explode(F.aggregate("c", empty, take)).alias("m"))
-    return d.select("seam", "m.block_idx", "m.next_idx", (-F.col("m.neg")).alias("score"))
+    d = candidates.select("seam", "block_idx", "next_idx", "score")
+    return paged.by_page(d, ["seam"], [F.col("score").desc(), "block_idx", "next_idx"], fold, ", ".join(f"{c} {t}" for c, t in d.dtypes))
 
 
-def seam_merge(blocks: DataFrame, heights: DataFrame, matches: DataFrame) -> DataFrame:
+def seam_merge(blocks: DataFrame, heights: DataFrame | int, matches: DataFrame) -> DataFrame:
     """Blocks of consecutive slices after their seams are merged: the upper block owns both, the lower one goes.
 
     blocks: chapter_id, slice_no, block_idx, corners and bubble corners
-    (bubble_x1 ..., null without one); heights: chapter_id, slice_no, height;
-    matches: chapter_id, slice_no (of the upper slice), block_idx, next_idx,
+    (bubble_x1 ..., null without one); heights: chapter_id, slice_no, height,
+    or one height for all; matches: chapter_id, slice_no (of the upper slice), block_idx, next_idx,
     where a block has at most one match above and one below. A block that the
-    seam above has consumed owns nothing; what it was matched with stays. So of
-    the matches that hang together, one below the other, every second one
-    counts.
+    seam above has consumed owns nothing; what it was matched with stays. So a
+    chapter's matches (not its blocks) pass by in the order of slices, and of
+    each slice only what it has consumed is remembered.
     """
-    number = lambda c: F.col(c).cast("long")
-    node = lambda slice_no, block: F.struct("chapter_id", slice_no.alias("s"), block.alias("n"))
-    links = matches.select("chapter_id", number("slice_no").alias("slice_no"), number("block_idx").alias("a"), number("next_idx").alias("b"))
-    links = links.withColumns({"upper": node(F.col("slice_no"), F.col("a")), "lower": node(F.col("slice_no") + 1, F.col("b"))})
-    chain = components(links.select(F.col("upper").alias("a"), F.col("lower").alias("b"))).withColumnRenamed("node", "upper")
-    place = F.row_number().over(Window.partitionBy("root").orderBy("slice_no"))
-    kept = links.join(chain, "upper").withColumn("place", place).filter(F.col("place") % 2 == 1).select("chapter_id", "slice_no", "a", "b")
-    below = blocks.select("chapter_id", (F.col("slice_no") - 1).alias("slice_no"), F.col("block_idx").alias("b"), *(F.col(f"{p}{c}").alias(f"n_{p}{c}") for p in ("", "bubble_") for c in J.CORNERS))
-    parts = kept.join(heights, ["chapter_id", "slice_no"]).join(below, ["chapter_id", "slice_no", "b"]).withColumnRenamed("a", "block_idx")
-    gone = kept.select("chapter_id", (F.col("slice_no") + 1).alias("slice_no"), F.col("b").alias("block_idx"))
-    d = blocks.join(gone, ["chapter_id", "slice_no", "block_idx"], "left_anti").join(parts.drop("b"), ["chapter_id", "slice_no", "block_idx"], "left")
-    pick = {"x1": F.least, "y1": F.least, "x2": F.greatest, "y2": F.greatest}
-    joined = {f"{p}{c}": f(F.col(f"{p}{c}"), F.col(f"n_{p}{c}") + (F.col("height") if c[0] == "y" else 0)) for p in ("", "bubble_") for c, f in pick.items()}  # least and greatest pass over nulls
-    return d.select("chapter_id", "slice_no", "block_idx", *(v.alias(k) for k, v in joined.items()))
+    number = lambda c: F.col(c).cast("long").alias(c)
+
+    def fold(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        take, last = [], (-1, 0)
+        chapters = paged.pages_of(starts, rows.num_rows).tolist()
+        for i, (chapter, slice_no, a, b) in enumerate(zip(chapters, *(rows[c].to_pylist() for c in ("slice_no", "block_idx", "next_idx")), strict=True)):
+            if (chapter, slice_no) != last:
+                before = gone if last == (chapter, slice_no - 1) else set()  # noqa: F821
+                last, gone = (chapter, slice_no), set()
+            if a not in before:
+                gone.add(b)
+                take.append(i)
+        return rows.take(pa.array(take, pa.int64()))
+
+    high = matches.withColumn("height", F.lit(heights)) if isinstance(heights, int) else matches.join(heights, ["chapter_id", "slice_no"])
+    links = high.select("chapter_id", number("slice_no"), number("block_idx"), number("next_idx"), "height")
+    kept = paged.by_page(links, ["chapter_id"], ["slice_no", "block_idx", "next_idx"], fold, ", ".join(f"{c} {t}" for c, t in links.dtypes))
+    place, sides = ["chapter_id", "slice_no", "block_idx"], [f"{p}{c}" for p in ("", "bubble_") for c in J.CORNERS]
+    gone = kept.select("chapter_id", (F.col("slice_no") + 1).alias("slice_no"), F.col("next_idx").alias("block_idx"), F.col("block_idx").alias("owner"), "height")
+    moved = [(F.col(c) + (F.col("height") if c[-2] == "y" else 0)).alias(f"n_{c}") for c in sides]
+    taken = blocks.join(gone, place).select("chapter_id", (F.col("slice_no") - 1).alias("slice_no"), F.col("owner").alias("block_idx"), F.lit(False).alias("gone"), *moved)
+    told = taken.unionByName(gone.select(*place, F.lit(True).alias("gone")), allowMissingColumns=True)
+    d = blocks.join(told, place, "left").filter("gone is null or not gone")
+    joined = {c: (F.least if c[-1] == "1" else F.greatest)(F.col(c), F.col(f"n_{c}")) for c in sides}  # both pass over nulls
+    return d.select(*place, *(v.alias(k) for k, v in joined.items()))
 
 
 def spill_items(items: DataFrame, pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ import pytest
 from pagelake.operators import clusters as C
 from pagelake.operators import orientation as D
 from pagelake.operators import paged
+from pagelake.operators import strips as S
 from pagelake.plans import registry
 
 ITEMS = "page_id long, idx long, x1 long, y1 long, x2 long, y2 long, x long, y long, w long, h long, angle double, plain string"
@@ -150,3 +151,32 @@ def test_flow_of_a_crowded_page(aside):
     vertical, horizontal, has, _ = D._flow(D._Boxes(rows, np.zeros(1, int)))
     assert vertical.tolist() == [True] and horizontal.tolist() == [False] and has.all()
     assert time.process_time() - start < 30
+
+
+def test_merged_seams_without_rounds(spark, small_batches):
+    """Chains of matches down a chapter: every second one counts, a gap begins anew; no job runs before the rows are asked for."""
+    rng = random.Random(6)
+    blocks = [(c, s, i, 10 * i, 5, 10 * i + 9, 90, *((10 * i - 5, 0, 10 * i + 14, 95) if i % 2 == 0 else (None,) * 4)) for c in range(5) for s in range(40) for i in range(4)]
+    links = [(c, s, i, i) for c in range(5) for s in range(39) for i in range(4) if rng.random() < 0.7]
+    sides = [f"{p}{c}" for p in ("", "bubble_") for c in C.CORNERS]
+    b = spark.createDataFrame(blocks, "chapter_id long, slice_no long, block_idx long, " + ", ".join(f"{c} long" for c in sides))
+    m = spark.createDataFrame(links, "chapter_id long, slice_no long, block_idx long, next_idx long")
+    heights = spark.createDataFrame([(c, s, 100 + s) for c in range(5) for s in range(40)], "chapter_id long, slice_no long, height long")
+    kept = set()
+    for c, s, i, _ in sorted(links):
+        if (c, s - 1, i) not in kept:
+            kept.add((c, s, i))
+    own = {r[:3]: r[3:] for r in blocks}
+    for given in (100, heights):
+        want = []
+        for (c, s, i), box in own.items():
+            if (c, s - 1, i) in kept:
+                continue
+            high = given if given == 100 else 100 + s
+            both = [v + high if k % 2 and v is not None and (c, s, i) in kept and k % 4 == 3 else v for k, v in enumerate(box)]
+            want.append((c, s, i, *both))
+        group = f"seams {len(str(given))}"
+        spark.sparkContext.setJobGroup(group, "none before asked")
+        merged = S.seam_merge(b, given, m)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+        assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, want))
