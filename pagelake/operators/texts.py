@@ -395,7 +395,7 @@ def detect(pages: DataFrame, fn: Callable, ratio: float = 3.5, share: float = 0.
 
     found = slices.mapInPandas(run, "page_id long, slice long, label int, x1 long, y1 long, x2 long, y2 long")
     order = F.row_number().over(Window.partitionBy("page_id").orderBy("slice", "y1", "x1", "y2", "x2", "label"))
-    return merge_slices(whole_pages(found, pages, ratio, share).withColumn("det_idx", order), "page_height", crowd=4)
+    return merge_slices(whole_pages(found, pages, ratio, share).withColumn("det_idx", order), "page_height")
 
 
 def _by_key(df: DataFrame, keys: list[str], fn: Callable, schema: str, size: int = 20_000) -> DataFrame:

@@ -180,3 +180,23 @@ def test_merged_seams_without_rounds(spark, small_batches):
         merged = S.seam_merge(b, given, m)
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
         assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, want))
+
+
+def test_slices_of_many_pages_are_merged_at_once(spark, small_batches):
+    """What the fold over an array gives, for pages of few and of many boxes; one without all its corners stays."""
+    rng = random.Random(9)
+    rows = []
+    for page, n in enumerate([1, 2, 2, 3, 5, 9, 20, 60] * 4 + [450]):
+        for i in range(n):
+            x, y, w, h = rng.randrange(300), rng.randrange(20 * n), rng.choice([0, 20, 60, 110]), rng.choice([0, 30, 90])
+            if rows and i % 3 == 1:
+                x, y = rows[-1][3], rng.choice([rows[-1][6], rows[-1][4] + 5])
+            rows.append((page, i // 6 % 2, i, x, y, x + w, y + h))
+    boxes = "page_id long, label int, det_idx int, x1 long, y1 long, x2 long, y2 long"
+    d = spark.createDataFrame(rows, boxes)
+    merged = C.merge_slices(d, 900)
+    assert "collect_list" not in plan(merged) and plan(merged).count("MapInArrow") == 1
+    got, usual = (sorted(map(str, map(tuple, f.collect()))) for f in (merged, C.merge_slices(d, 900, crowd=1 << 30)))
+    assert got == usual and len(got) < len(rows)
+    odd = spark.createDataFrame([(1, 0, 0, 0, 0, 9, 9), (1, 0, 1, None, 0, 9, 9), (1, 0, 2, 0, 0, 9, 8)], boxes)
+    assert sorted(map(str, map(tuple, C.merge_slices(odd, 900).collect()))) == ["(1, 0, 0, 0, 9, 9)", "(1, 0, None, 0, 9, 9)"]
