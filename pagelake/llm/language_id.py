@@ -183,12 +183,15 @@ def predict(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...] = ("doc
     judged by its whole text alone, so repeated rows agree; an empty table
     gives an empty table.
     """
-    source = docs.select(*keep, F.col("text").alias("__text"))
+    at = keep.index("text") if "text" in keep else len(keep)
+    source = docs.select(*keep, *[F.col("text").alias("__text")][: at == len(keep)])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), "lang_pred string, score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            said = [model.predict(t, least) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                b = batch.slice(lo, 512)
+                said = [model.predict(t, least) for t in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array([x for x, _ in said], pa.string()), pa.array([x for _, x in said], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

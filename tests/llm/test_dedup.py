@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -272,3 +273,16 @@ def test_simhash_links_of_the_stage_are_checked(spark):
     of = near_copies.components(spark.createDataFrame([tuple(p) for p in links], "a long, b long"))
     assert {r["node"]: r["root"] for r in of.collect()} == {2: 1, 3: 1, 4: 1}
     assert (5, 6) in asked and not {(a, b) for a, b in asked if a < 5 <= b}
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    docs, sizes, before = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text").coalesce(1), [], spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def common(source, *_):
+        sizes.extend(r["n"] for r in source.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches), "n long").collect())
+        return np.zeros(0, np.uint64)
+
+    monkeypatch.setattr(near_copies, "_common", common)
+    assert near_copies.near_copies(docs).count() == 3000
+    assert sum(sizes) == 3000 and max(sizes) <= 500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before

@@ -212,6 +212,13 @@ def test_language_id(spark, odd):
     assert language_id.predict(odd.filter("false"), model).count() == 0
 
 
+def test_language_id_sends_a_kept_text_once(spark):
+    docs = spark.range(2000).selectExpr("id as doc_id", "concat('some words of a plain text ', id) as text", "'en' as lang").coalesce(1)
+    said = language_id.predict(docs, language_id.fit(docs, train=F.lit(True)), keep=("text", "doc_id"))
+    assert "__text" not in said._jdf.queryExecution().optimizedPlan().toString() and said.columns == ["text", "doc_id", "lang_pred", "score"]
+    assert sorted((r["doc_id"], r["text"]) for r in said.filter("lang_pred = 'en'").collect()) == [(i, f"some words of a plain text {i}") for i in range(2000)]
+
+
 def test_texts_without_letters_have_no_language(spark):
     docs = documents(spark, SF)
     model = language_id.fit(docs, train=F.lit(True))
