@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, measured_broadcasts
 from .graph import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+").findall
@@ -82,20 +82,22 @@ def _cells(half: Column) -> Column:
     return F.array_compact(F.array(*near))
 
 
-def linked(prints: DataFrame, bits: int = 4, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _links(prints: DataFrame, bits: int = 4, check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(fp, root): each fingerprint and the smallest one that it hangs together with, prints: distinct fp.
 
     check: which of the pairs (a, b) within bits are links, all without it.
+    Cells are asked to be sorted and merged: Spark takes them for as small as
+    the fingerprints, of which each has about 50.
     """
     exact = prints.select("fp", F.explode(F.array(*_halves())).alias("cell"))
     hubs = exact.groupBy("cell").agg(F.min("fp").alias("hub"))
-    stars = exact.join(hubs, "cell").filter((F.col("fp") != F.col("hub")) & _near("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    stars = exact.join(hubs.hint("merge"), "cell").filter((F.col("fp") != F.col("hub")) & _near("fp", "hub", bits)).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     tied = components(stars if check is None else check(stars))
     known = materialise(prints.join(tied.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")))
     discard(tied)
     cells = known.select("fp", "root", F.explode(F.concat(*[_cells(h) for h in _halves()])).alias("cell"))
     left, right = cells, cells.select(F.col("fp").alias("fp2"), F.col("root").alias("root2"), "cell")
-    meet = left.join(right, (left["cell"] == right["cell"]) & (F.col("root") < F.col("root2")) & _near("fp", "fp2", bits))
+    meet = left.join(right.hint("merge"), (left["cell"] == right["cell"]) & (F.col("root") < F.col("root2")) & _near("fp", "fp2", bits))
     if check is None:
         more = components(meet.select(F.col("root2").alias("a"), F.col("root").alias("b")))
     else:
@@ -117,9 +119,14 @@ def near_duplicates(docs: DataFrame, bits: int = 4, shingle: int = 4) -> DataFra
     """
     if bits > 4:
         raise ValueError("the grid finds pairs within 4 bits")
+    with measured_broadcasts(docs.sparkSession):
+        return _near_duplicates(docs, bits, shingle)
+
+
+def _near_duplicates(docs: DataFrame, bits: int, shingle: int) -> DataFrame:
     rows = materialise(fingerprints(docs, shingle))
     first = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = linked(first.select("fp"), bits)
+    roots = _links(first.select("fp"), bits)
     ids = roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialise(roots.join(ids, "root").select("fp", "component_id"))
     discard(first, roots)

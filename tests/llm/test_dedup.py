@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from pagelake.llm import near_copies, repeats, simhash, substrings, suffixes
+from pagelake.llm import common, graph, near_copies, repeats, simhash, substrings, suffixes
 from pagelake.llm.graph import components
 from pagelake.llm.seeds import Shape
 
@@ -286,3 +286,28 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert near_copies.near_copies(docs).count() == 3000
     assert sum(sizes) == 3000 and max(sizes) <= 500
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_exploded_cells_are_not_broadcast(spark, monkeypatch):
+    """Spark sizes cells like the rows they come from, so within its bound they can be many times as large as the driver's memory."""
+    plans = []
+    for m in (simhash, near_copies, graph):
+        monkeypatch.setattr(m, "materialise", lambda df, f=m.materialise: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f g"), (3, "x y")], "doc_id long, text string")
+    simhash._links(spark.createDataFrame([(1,), (3,), (-1,)], "fp long"))
+    near_copies.near_copies(docs)
+    exploded = [p for p in plans if re.search(r"Generate (explode\((array_compact|concat|array)|posexplode)\(.*cell#", p) and "Join [cell#" in p]
+    assert len(exploded) >= 3 and not [p for p in exploded if "BroadcastHashJoin [cell#" in p]
+
+
+def test_broadcasts_are_measured(spark):
+    guessed, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = spark.conf.get(guessed)
+    try:
+        for given, want in ((before, "1048576"), ("256k", "262144"), ("-1", "-1")):
+            spark.conf.set(guessed, given)
+            with common.measured_broadcasts(spark), common.measured_broadcasts(spark):
+                assert spark.conf.get(guessed) == want and spark.conf.get(measured) == str({"256k": 262144}.get(given, given.rstrip("b")))
+            assert spark.conf.get(guessed) == given and not spark.conf.get(measured, None)
+    finally:
+        spark.conf.set(guessed, before)
