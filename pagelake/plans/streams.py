@@ -37,17 +37,21 @@ def t2_stream_report(t: Tables) -> DataFrame:
     return S.run_to_end(S.stream_report(live(t, "fx_runs")), "complete")
 
 
-def in_batches(t: Tables, rows: DataFrame, part: Column, parts: int) -> DataFrame:
-    """The rows as a stream of so many batches, in the order of part."""
+def in_batches(t: Tables, rows: DataFrame, part: Column, parts: int, each: int = 500_000) -> DataFrame:
+    """The rows as a stream of so many batches, in the order of part; a batch is as many files of about `each` rows as all parts need on average."""
     place = shared_folder(t.spark, "batches")
     drop_at_end(t.spark, place)
     dealt = shared_folder(t.spark, "dealt")
     drop_at_end(t.spark, dealt)
     rows.withColumn("__part", part.cast("int")).write.partitionBy("__part").parquet(dealt)  # once, by all tasks
     back = t.spark.read.schema(StructType([*rows.schema.fields, StructField("__part", IntegerType())])).parquet(dealt)
-    for i in range(parts):  # one file after the other: files are taken in the order of their times
-        back.filter(F.col("__part") == i).drop("__part").coalesce(1).write.parquet(f"{place}/{i:03d}")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(place)
+    files = max(1, round(back.count() / parts / each))
+    for i in range(parts):  # one after the other: files are taken in the order of their times
+        one = back.filter(F.col("__part") == i).drop("__part")
+        (one.coalesce(1) if files == 1 else one.repartition(files)).write.parquet(f"{place}/{i:03d}")
+        for _ in range(files - len(t.spark.read.parquet(f"{place}/{i:03d}").inputFiles()) if files > 1 else 0):
+            one.limit(0).coalesce(1).write.mode("append").parquet(f"{place}/{i:03d}")  # no task writes an empty file of many
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(place)
 
 
 def _runs_in_batches(t: Tables) -> DataFrame:
@@ -90,15 +94,11 @@ def t7_stream_memlog(t: Tables) -> DataFrame:
 @query(f"WITH {SEAMS}, {MATCHES}, {MERGED} SELECT chapter_id, slice_no, block_idx AS idx, x1, y1, x2, y2 FROM mg")
 def t3_stream_seams(t: Tables) -> DataFrame:
     """Slices and end markers in any order over ten batches: the rows of j15_seam_merge."""
-    b = slice_blocks(t)
-    part = F.struct(F.col("block_idx").alias("idx"), *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    found = b.groupBy("chapter_id", "slice_no").agg(F.sort_array(F.collect_list(part)).alias("found"))
-    none = F.array().cast(found.schema["found"].dataType)
-    chapters = b.select("chapter_id").distinct()
-    numbers = chapters.withColumn("slice_no", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<long>")))
-    slices = numbers.join(found, ["chapter_id", "slice_no"], "left").select("chapter_id", "slice_no", F.coalesce("found", none).alias("blocks"))
-    end = chapters.select("chapter_id", F.lit(8).cast("long").alias("slice_no"), F.lit(None).cast(slices.schema["blocks"].dataType).alias("blocks"))
-    every = slices.unionByName(end).select("chapter_id", "slice_no", F.lit(SLICE).cast("long").alias("height"), "blocks")
+    part = F.struct("slice_no", F.col("block_idx").alias("idx"), *(F.col(c).cast("long").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    chapters = slice_blocks(t).groupBy("chapter_id").agg(F.sort_array(F.collect_list(part)).alias("found"))  # eight slices of seven blocks at most
+    of_slice = F.transform(F.filter("found", lambda b: b["slice_no"] == F.col("slice_no")), lambda b: b.dropFields("slice_no"))
+    slices = chapters.withColumn("slice_no", F.explode(F.sequence(F.lit(0), F.lit(8)).cast("array<long>")))
+    every = slices.select("chapter_id", "slice_no", F.lit(SLICE).cast("long").alias("height"), F.when(F.col("slice_no") < 8, of_slice).alias("blocks"))  # 8: the end
     stream = in_batches(t, every, F.pmod(F.xxhash64("chapter_id", "slice_no"), F.lit(10)), 10)
     return S.run_to_end(S.stream_seams(stream, EDGE), "append")
 

@@ -1,12 +1,15 @@
 """Streams over many batches: state for a run, slices in any order, timers."""
 
 import random
+import tempfile
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import strips
+from pagelake.plans.streams import in_batches
 from pagelake.streaming import streams
 
 BLOCK = "struct<idx:long,x1:long,y1:long,x2:long,y2:long>"
@@ -116,3 +119,70 @@ def test_a_chapter_reads_and_writes_one_value_a_batch():
             out += seams.handleInputRows((7,), iter([s]), None)
             assert len(calls) - before <= most
         assert [(r["chapter_id"], r["slice_no"], r["y2"]) for r in out] == [(7, n, 2000 if n < 14 else 1000) for n in range(0, 15, 2)]
+
+
+def test_a_bucket_reads_and_writes_two_values_for_all_its_chapters():
+    """The same rows as chapter by chapter; far slices wait in the map; what has ended may go on; calls don't grow with the chapters."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.known = {}
+
+        def __getattr__(self, name):
+            known = self.known
+            does = {"get": lambda: known.get(()), "update": lambda v: known.update({(): v}), "updateValue": known.__setitem__, "getValue": known.get, "removeKey": known.pop, "containsKey": known.__contains__, "clear": known.clear, "keys": lambda: list(known)}[name]
+            return lambda *a: calls.append(name) or does(*a)
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return State()
+
+        getMapState = getValueState  # noqa: N815
+
+    rng = random.Random(6)
+    rows = []
+    for chapter in range(300):
+        n = rng.randint(1, 9)
+        for k in range(n):
+            rows.append((chapter, k, 1000, [(i, x := rng.randint(0, 300), y := rng.choice([0, 5, 940, 955]), x + rng.randint(40, 90), y + rng.randint(30, 60)) for i in range(rng.randint(0, 4))]))
+        rows.append((chapter, n, 0, None))
+        rows += [(chapter, n + 1, 1000, [(9, 1, 1, 2, 2)]), (chapter, n + 2, 0, None)][: 2 * (chapter % 2)]
+    rng.shuffle(rows)
+    for near in (16, 2):
+        bucket, own, out, want = streams._SeamsOfBucket(60, 0, near), {}, [], []
+        bucket.init(Handle())
+        for lo in range(0, len(rows), 400):
+            some = rows[lo : lo + 400] + rows[:5]
+            for chapter in {c for c, *_ in some}:
+                if chapter not in own:
+                    own[chapter] = streams._Seams(60, 0, None, near)
+                    own[chapter].init(Handle())
+                slices = [{"slice_no": k, "height": h, "blocks": None if b is None else [dict(zip(streams._PARTS, x, strict=True)) for x in b]} for c, k, h, b in some if c == chapter]
+                want += [tuple(r) for r in own[chapter].handleInputRows((chapter,), iter(slices), None)]
+            calls.clear()
+            flat = [(c, k, h, None if b is None else np.array([v for x in b for v in x], np.int64)) for c, k, h, b in some]
+            for found in bucket.handleInputRows((0,), iter([pd.DataFrame(flat[i::2], columns=["chapter_id", "slice_no", "height", "blocks"]) for i in range(2)]), None):
+                out += found.itertuples(index=False, name=None)
+            assert len(calls) <= 4 or near == 2
+        assert sorted(out) == sorted(want) and len(want) > 1000
+
+
+def test_slices_without_a_chapter(spark, tmp_path):
+    rows = [(None, 0, 1000, [(0, 10, 950, 110, 1000)]), (2**60 + 1, 0, 1000, [(0, 10, 950, 110, 1000)]), (None, 1, None, None), (2**60 + 1, 1, None, None)]
+    got = streams.run_to_end(streams.stream_seams(stream_of(spark, tmp_path, [rows], SLICES)), "append")
+    assert {tuple(r) for r in got.collect()} == {(c, 0, 0, 10, 950, 110, 1000) for c in (None, 2**60 + 1)}
+
+
+def test_large_batches_come_as_several_files_each(spark):
+    """Parts of many, few and no rows stay batches of their own."""
+    from types import SimpleNamespace
+
+    part = F.expr("case when id < 60 then 0 when id < 62 then 1 else 3 end")
+    stream = in_batches(SimpleNamespace(spark=spark), spark.range(100), part, 4, each=6)
+    place = tempfile.mkdtemp(prefix="spark-")
+    seen = {}
+    stream.writeStream.foreachBatch(lambda batch, n: seen.update({n: sorted(r["id"] for r in batch.collect())})).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
+    assert [seen[n] for n in sorted(seen) if seen[n]] == [list(range(60)), [60, 61], list(range(62, 100))]
